@@ -9,6 +9,7 @@ read: every cleaning step writes a new ``version=`` directory.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,25 +150,38 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
 
 
 def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str], fmt: str = "parquet",
-                      mode: str = "overwrite") -> None:
+                      mode: str = "overwrite", files_per_key: int | None = None) -> None:
     """One output directory per key combination (model / group / language ...).
 
-    Rows are clustered on the partition keys first so each task writes few files.
+    Default: no shuffle -- each task sorts its rows by the keys and writes one
+    file per key it holds, so a key holding a third of all rows is written by
+    every task instead of one.  ``files_per_key`` instead hash-repartitions on
+    the keys plus a deterministic salt in ``[0, files_per_key)`` (fewer, larger
+    files; a hot key still spreads over ``files_per_key`` tasks).
     """
     keys = [F.col(f"`{k}`") for k in partition_by]
-    w = df.repartition(*keys).write.mode(mode).partitionBy(*partition_by)
+    if files_per_key:
+        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_key))
+        out = df.repartition(*keys, salt)
+    else:
+        out = df.sortWithinPartitions(*keys)
+    w = out.write.mode(mode).partitionBy(*partition_by)
     if fmt == "csv":
         w = w.option("header", "true")
     w.format(fmt).save(path)
 
 
+def _local(path: str) -> str:
+    """Drop a ``file:`` scheme so local and URI forms compare equal."""
+    return re.sub(r"^file:/+", "/", path)
+
+
 def write_version(df: DataFrame, base: str, version: str, partition_by: Sequence[str] = (),
                   fmt: str = "parquet") -> str:
     """Write a cleaning step's output as ``base/version=<version>``; refuses to
     overwrite a version that the plan itself reads."""
     target = f"{base.rstrip('/')}/version={version}"
-    inputs = set(df.inputFiles())
-    if any(p.startswith(target) or p.startswith("file:" + target) for p in inputs):
+    if any(_local(p).startswith(_local(target)) for p in df.inputFiles()):
         raise ValueError("refusing to overwrite the version being read; write a new version")
     if partition_by:
         write_partitioned(df, target, partition_by, fmt, mode="errorifexists")
