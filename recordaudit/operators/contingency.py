@@ -28,14 +28,15 @@ def gender_counts(df: DataFrame, model: str = "model_name", group: str = "diseas
     Returns ``model, language, <group>, female, male, total``.
     """
     cols = dict(columns or DEFAULT_GENDER_COLUMNS)
+    proj = [(F.col(c) if isinstance(c, str) else c).alias(f"_g{i}") for i, c in enumerate(cols.values())]
+    src = df.where(F.col(group).isNotNull()).select(F.col(model).alias("model"), F.col(group), *proj)
     aggs, items = [F.count(F.lit(1)).alias("_total")], []
-    for i, (lang, c) in enumerate(cols.items()):
-        v = F.col(c) if isinstance(c, str) else c
+    for i, lang in enumerate(cols):
+        v = F.col(f"_g{i}")
         aggs += [F.count_if(v == F.lit(female)).alias(f"_f{i}"), F.count_if(v == F.lit(male)).alias(f"_m{i}")]
         items.append(F.struct(F.lit(lang).alias("language"), F.col(f"_f{i}").alias("female"),
                               F.col(f"_m{i}").alias("male")))
-    src = df.where(F.col(group).isNotNull())
-    agg = src.groupBy(F.col(model).alias("model"), F.col(group)).agg(*aggs)
+    agg = src.groupBy("model", F.col(group)).agg(*aggs)
     return agg.select("model", group, "_total", F.inline(F.array(*items))) \
         .select("model", "language", group, "female", "male", F.col("_total").alias("total"))
 

@@ -48,12 +48,15 @@ def coverage_counts(df: DataFrame, model: str = "model_name",
     <label>: Neither`` for every label; a missing column counts as all null.
     """
     pairs = dict(pairs or DEFAULT_PAIRS)
+    # one projected case per row and language, then plain comparisons in the aggregate
+    cases = [coverage_case(_col_or_null(df, age), _col_or_null(df, sex)).alias(f"_case{i}")
+             for i, (age, sex) in enumerate(pairs.values())]
+    src = df.select(F.col(model).alias("Model"), *cases)
     aggs = []
-    for label, (age, sex) in pairs.items():
-        case = coverage_case(_col_or_null(df, age), _col_or_null(df, sex))
+    for i, label in enumerate(pairs):
         for short, full in CASE_COLUMNS:
-            aggs.append(F.count_if(case == F.lit(full)).alias(f"{label}: {short}"))
-    out = df.groupBy(F.col(model).alias("Model")).agg(*aggs)
+            aggs.append(F.count_if(F.col(f"_case{i}") == F.lit(full)).alias(f"{label}: {short}"))
+    out = src.groupBy("Model").agg(*aggs)
     return out.orderBy("Model")
 
 

@@ -81,15 +81,19 @@ def binned_distribution(df: DataFrame, values: str | Mapping[str, Column | str],
     cols = dict(values) if multi else {values: values}
     keys = list(by)
     labels = band_labels(width, low, high, label_style)
-    src = _keys_not_null(df, keys)
-    aggs, items = [], []
-    for j, (name, col) in enumerate(cols.items()):
+    # Band ids are projected once per row; the aggregate then only compares ints
+    # (evaluating the band expression inside every conditional count is ~10x slower).
+    proj = [F.col(k) for k in keys]
+    for j, col in enumerate(cols.values()):
         x = _c(col).cast("double")
-        b = band_index(x, width, low, high)
-        total = F.count(F.lit(1)) if denominator == "all" else F.count(x)
+        proj += [band_index(x, width, low, high).alias(f"_b{j}"), x.isNotNull().alias(f"_v{j}")]
+    src = _keys_not_null(df, keys).select(*proj)
+    aggs, items = [], []
+    for j, name in enumerate(cols):
+        total = F.count(F.lit(1)) if denominator == "all" else F.count_if(F.col(f"_v{j}"))
         aggs.append(total.alias(f"_t{j}"))
         for i, label in enumerate(labels):
-            aggs.append(F.count_if(b == i).alias(f"_n{j}_{i}"))
+            aggs.append(F.count_if(F.col(f"_b{j}") == i).alias(f"_n{j}_{i}"))
             fields = [F.lit(i).alias("band_idx"), F.lit(label).alias("band"),
                       F.col(f"_n{j}_{i}").alias("n"), F.col(f"_t{j}").alias("_total")]
             if multi:
@@ -111,8 +115,8 @@ def category_distribution(df: DataFrame, value: Column | str, by: Sequence[str]
     values.  Returns ``by..., category_idx, category, n, pct, cell``.
     """
     keys = list(by)
-    v = _c(value)
-    src = _keys_not_null(df, keys)
+    src = _keys_not_null(df, keys).select(*[F.col(k) for k in keys], _c(value).alias("_v"))
+    v = F.col("_v")
     aggs = [F.count(F.lit(1)).alias("_total")]
     items = []
     for i, d in enumerate(domain):
