@@ -2,9 +2,10 @@
 
 Spark rows have no order, so a position is always derived from an explicit
 ordering key by :func:`dense_position`: a range-partitioned sort, then
-per-partition row counts turned into offsets.  The only collected state is
-one row per (partition, group) -- bounded by the partition count -- so no
-single-partition window ever holds the data, whatever the group sizes.
+per-partition row counts turned into offsets.  The only derived state is one
+row per (partition, group) -- at most #groups + #partitions rows, size-checked
+before it is broadcast -- so no single-partition window ever holds the data,
+whatever the group sizes.
 Keyed alignment (the default for pairing) is a plain equi-join.
 """
 
@@ -43,7 +44,9 @@ def dense_position(df: DataFrame, order_by: Sequence[str], partition_by: Sequenc
     groups = [F.col(_q(k)) for k in partition_by]
     counts = tagged.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base"))
     before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    # one row per (partition, group): at most #groups + #partitions rows; computed
+    # once (frozen) so the size probe and the join do not both re-aggregate the data
+    offsets = freeze(counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
     t = tagged.alias("_t")
     o = bounded_broadcast(offsets).alias("_o")
     cond = [F.col("_t._pid") == F.col("_o._pid")] + [
@@ -59,10 +62,6 @@ def number_rows(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[s
     return dense_position(df, order_by, partition_by, name=name, start=start)
 
 
-def _replace_or_append(target: DataFrame, column: str, value: Column) -> DataFrame:
-    return target.withColumn(column, value)
-
-
 def copy_column_strict(source: DataFrame, target: DataFrame, column: str,
                        source_order: Sequence[str], target_order: Sequence[str]) -> DataFrame:
     """Copy ``column`` by row position; the row counts must be equal else raise."""

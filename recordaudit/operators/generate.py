@@ -82,32 +82,65 @@ def _call_with_retry(fn: Callable[[str], str | None], prompt, attempts: int, del
     return None
 
 
+def completion_udf(fn: Callable[[str], str | None], prompt: str = "prompt", answer: str = "answer",
+                   attempts: int = 3, delay: float = 2.0, backoff: float = 2.0,
+                   sleep: Callable[[float], None] = time.sleep, concurrency: int = 1):
+    """The per-partition function for ``mapInPandas``: adds ``answer`` to each Arrow batch.
+
+    With ``concurrency > 1`` each task keeps that many calls in flight (the
+    calls are I/O bound); the answers keep the row order of the batch.
+    """
+    def call(p):
+        return _call_with_retry(fn, p, attempts, delay, backoff, sleep)
+
+    def run(batches):
+        pool = None
+        if concurrency > 1:
+            from concurrent.futures import ThreadPoolExecutor
+            pool = ThreadPoolExecutor(max_workers=concurrency)
+        try:
+            for pdf in batches:
+                pdf = pdf.copy()
+                prompts = list(pdf[prompt])
+                answers = list(pool.map(call, prompts)) if pool else [call(p) for p in prompts]
+                pdf[answer] = pd.Series(answers, index=pdf.index, dtype="object")
+                yield pdf
+        finally:
+            if pool:
+                pool.shutdown()
+
+    return run
+
+
+def answer_schema(schema: T.StructType, answer: str = "answer") -> T.StructType:
+    return T.StructType(schema.fields + [T.StructField(answer, T.StringType(), True)])
+
+
+def finish_answers(out: DataFrame, answer: str = "answer", stop: Iterable[str] | None = None,
+                   keep_failed: bool = False) -> DataFrame:
+    """Cut answers at the first stop token and drop failed rows (unless kept)."""
+    if stop:
+        out = out.withColumn(answer, cut_at_stop_tokens(F.col(answer), stop))
+    if not keep_failed:
+        out = out.where(F.col(answer).isNotNull())
+    return out
+
+
 def batch_complete(grid: DataFrame, fn: Callable[[str], str | None], prompt: str = "prompt",
                    answer: str = "answer", attempts: int = 3, delay: float = 2.0, backoff: float = 2.0,
                    sleep: Callable[[float], None] = time.sleep, partitions: int | None = None,
                    stop: Iterable[str] | None = None, keep_failed: bool = False,
-                   materialize: bool = True) -> DataFrame:
+                   materialize: bool = True, concurrency: int = 1) -> DataFrame:
     """Call ``fn`` once per grid row; retries with back-off; null after the last
     failure (only that row is lost).  Failed rows are dropped unless
-    ``keep_failed``; the answer is cut at the first ``stop`` token."""
-    schema = T.StructType(grid.schema.fields + [T.StructField(answer, T.StringType(), True)])
-
-    def run(batches):
-        for pdf in batches:
-            pdf = pdf.copy()
-            pdf[answer] = pd.Series([_call_with_retry(fn, p, attempts, delay, backoff, sleep)
-                                     for p in pdf[prompt]], index=pdf.index, dtype="object")
-            yield pdf
-
+    ``keep_failed``; the answer is cut at the first ``stop`` token.
+    ``partitions`` x ``concurrency`` bounds the calls in flight."""
+    run = completion_udf(fn, prompt, answer, attempts, delay, backoff, sleep, concurrency)
     src = grid.repartition(partitions) if partitions else grid
-    out = src.mapInPandas(run, schema)
+    out = src.mapInPandas(run, answer_schema(grid.schema, answer))
     if materialize:
         out = freeze(out)
-    if stop:
-        out = out.withColumn(answer, cut_at_stop_tokens(F.col(answer), stop))
-    if not keep_failed:
-        out = out.where(F.col(answer).isNotNull())
-    return out
+    return finish_answers(out, answer, stop, keep_failed)
 
 
 def stamp(df: DataFrame, constants: Mapping[str, object]) -> DataFrame:
