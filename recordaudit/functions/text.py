@@ -127,11 +127,36 @@ def cut_at_stop_tokens(c: Column | str, stop: Iterable[str], literal: bool = Tru
     return F.split(as_text(c), "|".join(parts), 2).getItem(0)
 
 
+def _python_float_text(x: Column, formatted: Column) -> Column:
+    """Null stays null (Java would print "null"); NaN / infinities print as Python does."""
+    d = x.cast("double")
+    return (F.when(d.isNull(), F.lit(None).cast("string"))
+            .when(F.isnan(d), F.lit("nan"))
+            .when(d == float("inf"), F.lit("inf"))
+            .when(d == float("-inf"), F.lit("-inf"))
+            .otherwise(formatted))
+
+
 def fixed2(x: Column) -> Column:
     """Text with 2 decimals after half-even rounding (``f'{x:.2f}'``)."""
-    return F.format_string("%.2f", round_half_even(x, 2))
+    return _python_float_text(x, F.format_string("%.2f", round_half_even(x, 2)))
 
 
 def sci4(x: Column) -> Column:
     """Scientific text with 4 decimals (``f'{x:.4e}'``)."""
-    return F.format_string("%.4e", x.cast("double"))
+    return _python_float_text(x, F.format_string("%.4e", x.cast("double")))
+
+
+def label_by_substring(c: Column | str, rules: "dict[str, Iterable[str]]", default: Column | None = None) -> Column:
+    """First label whose needles occur in the lower-cased text (e.g. 'Type 1 diabetes'
+    -> 'T1DM' for needles 'type 1' / 't1dm'); otherwise ``default`` (the text itself)."""
+    s = as_text(c)
+    low = F.lower(s)
+    out = None
+    for label, needles in rules.items():
+        cond = F.lit(False)
+        for n in needles:
+            cond = cond | F.coalesce(low.contains(n.lower()), F.lit(False))
+        out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
+    fallback = s if default is None else default
+    return fallback if out is None else out.otherwise(fallback)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import CHI2_1_CRITICAL_05, chi2_pvalue_dof1, chi_square_2x2, is_degenerate
-from ..functions.text import fixed2, param_size, round_half_even, sci4
+from ..functions.text import cell_count, fixed2, label_by_substring, param_size, round_half_even, sci4
 
 DEFAULT_GENDER_COLUMNS = {"English": "Sex", "Chinese": "Sex_Chinese"}
 
@@ -42,13 +42,17 @@ def gender_counts(df: DataFrame, model: str = "model_name", group: str = "diseas
 
 
 def attach_real(counts: DataFrame, real: DataFrame, group: str = "disease", real_group: str = "disease",
-                aliases: DataFrame | None = None, real_female: str = "female", real_male: str = "male") -> DataFrame:
+                aliases: DataFrame | None = None, real_female: str = "female", real_male: str = "male",
+                alias_rules: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Join real-world counts on the group, optionally through an alias table
-    (``aliases``: columns ``alias``, ``<real_group>``; e.g. 'Type 1 diabetes' -> 'T1DM')."""
+    (``aliases``: columns ``alias``, ``<real_group>``; e.g. 'Type 1 diabetes' -> 'T1DM')
+    or substring rules (``{'T1DM': ['type 1', 't1dm']}``)."""
     r = real.select(F.col(real_group).alias("_rg"), F.col(real_female).cast("bigint").alias("real_female"),
                     F.col(real_male).cast("bigint").alias("real_male"))
     c = counts
-    if aliases is not None:
+    if alias_rules:
+        c = c.withColumn("_rg", label_by_substring(F.col(group), dict(alias_rules)))
+    elif aliases is not None:
         a = aliases.select(F.col("alias").alias("_alias"), F.col(real_group).alias("_ag"))
         c = c.join(a, c[group] == a["_alias"], "left") \
             .withColumn("_rg", F.coalesce(F.col("_ag"), F.col(group))).drop("_alias", "_ag")
@@ -82,13 +86,28 @@ def chi_square_table(table: DataFrame, a: str = "real_female", b: str = "real_ma
 
 def gender_chi_square(df: DataFrame, real: DataFrame, model: str = "model_name", group: str = "disease",
                       columns: Mapping[str, Column | str] | None = None, aliases: DataFrame | None = None,
-                      real_group: str = "disease", with_p: bool = True) -> DataFrame:
+                      real_group: str = "disease", with_p: bool = True,
+                      alias_rules: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Records -> counts -> join real -> 2x2 test, for every model x language x group."""
     counts = gender_counts(df, model, group, columns)
-    joined = attach_real(counts, real, group, real_group, aliases)
+    joined = attach_real(counts, real, group, real_group, aliases, alias_rules=alias_rules)
     return chi_square_table(joined, with_p=with_p)
 
 
+def real_from_report(report: DataFrame, label: str = "gender", groups: Sequence[str] | None = None,
+                     female: str = "Female", male: str = "Male", group: str = "disease") -> DataFrame:
+    """Real-world counts from a wide report: a ``label`` column naming the row
+    (Female / Male ...) and one column per group whose cells are numbers or
+    ``"n (p%)"``.  Returns ``<group>, female, male``."""
+    cols = list(groups) if groups is not None else [c for c in report.columns if c != label]
+    long = report.select(F.col(label).cast("string").alias("_label"),
+                         *[F.col(f"`{c}`").cast("string").alias(c) for c in cols]) \
+        .unpivot(["_label"], cols, group, "_cell").withColumn("_n", cell_count(F.col("_cell")))
+    return long.groupBy(group).agg(
+        F.sum(F.when(F.col("_label") == F.lit(female), F.col("_n"))).cast("bigint").alias("female"),
+        F.sum(F.when(F.col("_label") == F.lit(male), F.col("_n"))).cast("bigint").alias("male"))
+
+
 # ---------------------------------------------------------------------------
 # Lengths and tokens
 # ---------------------------------------------------------------------------

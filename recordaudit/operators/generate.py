@@ -45,13 +45,15 @@ def prompt_grid(prompts: DataFrame, conditions: DataFrame, template: str = "temp
                 placeholders: Iterable[str] = CONDITION_PLACEHOLDERS,
                 location_placeholder: str = LOCATION_PLACEHOLDER,
                 line_sep: str = "\n", block_sep: str = "\n\n",
-                max_parameter_rows: int = MAX_PARAMETER_ROWS) -> DataFrame:
+                max_parameter_rows: int = MAX_PARAMETER_ROWS, carry: Iterable[str] = ()) -> DataFrame:
     """Every prompt template x condition (x location) x run, with the final prompt text.
 
-    Output: prompt columns, ``condition``, [``background``], [``location``],
+    ``carry`` passes further condition columns through (e.g. the English
+    disease name stored on Chinese rows as the shared key).
+    Output: prompt columns, ``condition``, [``background``], [carried], [``location``],
     ``run`` (1..runs), ``prompt``.
     """
-    cond_cols = [condition] + ([background] if background else [])
+    cond_cols = [condition] + ([background] if background else []) + list(carry)
     crow = bounded_rows(conditions.select(*cond_cols), max_parameter_rows, "conditions")
     grid = prompts.select("*", F.inline(_literal_array(crow, cond_cols)))
     if locations is not None:

@@ -39,3 +39,18 @@ def report_counts(wide: DataFrame, index: Sequence[str], columns: Sequence[str]
     """Unpivot a ``"n (p%)"`` report and parse the counts back out (``n``)."""
     long = unpivot_report(wide, index, columns, variable, value)
     return long.withColumn("n", cell_count(F.col(value)))
+
+
+def project_available(df: DataFrame, order: Sequence[str], rest: bool = False) -> DataFrame:
+    """Columns of ``order`` that exist, in that order (optionally followed by the rest)."""
+    cols = [c for c in order if c in df.columns]
+    if rest:
+        cols += [c for c in df.columns if c not in cols]
+    return df.select(*[F.col(f"`{c}`") for c in cols])
+
+
+def select_matching(df: DataFrame, markers: Sequence[str], keep: Sequence[str] = (), require_all: bool = False) -> DataFrame:
+    """``keep`` columns plus every column whose name contains any (or all) of ``markers``."""
+    test = all if require_all else any
+    cols = list(keep) + [c for c in df.columns if c not in keep and test(m in c for m in markers)]
+    return df.select(*[F.col(f"`{c}`") for c in cols])

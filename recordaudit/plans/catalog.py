@@ -379,6 +379,18 @@ def chi_square_2x2(spark, d):
     return contingency.gender_chi_square(X.records(spark, d), X.real(spark, d), columns=_clean_sex(), with_p=False)
 
 
+@register("chi_square_from_report", _chi_sql())
+def chi_square_from_report(spark, d):
+    """Same test, with the real counts read back from a wide "n (p%)" report."""
+    orders = T(spark, d, "orders").withColumn(
+        "gender", F.when(F.col("o_orderstatus") == "F", "Female").when(F.col("o_orderstatus") == "O", "Male")
+        .otherwise("Unknown"))
+    long = profile.category_distribution(orders, "gender", by=["o_orderpriority"])
+    wide = reshape.pivot_report(long, ["category"], "o_orderpriority").withColumnRenamed("category", "gender")
+    real = contingency.real_from_report(wide, label="gender")
+    return contingency.gender_chi_square(X.records(spark, d), real, columns=_clean_sex(), with_p=False)
+
+
 @register("chi_square_p")
 def chi_square_p(spark, d):
     return contingency.gender_chi_square(X.records(spark, d), X.real(spark, d), columns=_clean_sex(), with_p=True)
