@@ -46,6 +46,14 @@ def scan(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet",
     return df.withColumns(dict(keys)) if keys else df
 
 
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when a scan yields fewer splits than the cluster can run
+    (few files with one row group each); a no-op on large inputs.  Spark sorts rows
+    before a round-robin repartition, so a retried task sees the same rows."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def model_from_file(file_name: Column, suffix_pattern: str = r"(_v[0-9.]+)?\.[A-Za-z]+$") -> Column:
     """Model key = file name without the version tag and extension."""
     return F.regexp_replace(file_name, suffix_pattern, "")
