@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.age import age_present
 from ..functions.gender import gender_present
 from ..functions.text import fixed2, round_half_even, strip_admin_suffix
-from ..session import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from ..session import DEFAULT_BROADCAST_ROWS
 
 # The four coverage cases and the report's language pairs.
 BOTH, ONLY_AGE, ONLY_GENDER, NEITHER = (
@@ -119,14 +119,20 @@ def _name_set(gazetteer: DataFrame, column: str) -> DataFrame:
             .where(F.col(column).isNotNull()).distinct())
 
 
-def _flag(df: DataFrame, key: Column, names: DataFrame, flag: str, max_rows: int) -> DataFrame:
-    """Existence flag: left join to a distinct name set (no fan-out)."""
+def _flag(df: DataFrame, key: Column, names: DataFrame, flag: str, small: bool) -> DataFrame:
+    """Existence flag: left join to a distinct name set (no fan-out); broadcast when
+    the caller proved the set small, else left to AQE."""
     keyed = df.withColumn("_key", key)
-    right = bounded_broadcast(names.select(F.col("_name").alias("_key"), F.lit(True).alias(flag)), max_rows)
+    right = names.select(F.col("_name").alias("_key"), F.lit(True).alias(flag))
+    right = F.broadcast(right) if small else right
     return keyed.join(right, "_key", "left").drop("_key") \
         .withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
+def _is_small(df: DataFrame, max_rows: int) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def location_flags(df: DataFrame, gazetteer: DataFrame, home: DataFrame | Sequence[str] | None = None,
                    places: Mapping[str, str] | None = None, levels: Mapping[str, str] | None = None,
                    max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -139,17 +145,19 @@ def location_flags(df: DataFrame, gazetteer: DataFrame, home: DataFrame | Sequen
     """
     places = dict(places or {"Province": "Province_Chinese", "City": "City_Chinese", "District": "District_Chinese"})
     levels = dict(levels or {"Province": "省", "City": "地级市", "District": "县区"})
+    # every distinct name set has at most as many rows as the gazetteer: one probe bounds all three
+    small = _is_small(gazetteer, max_rows)
     out = df
     for level in LOCATION_LEVELS:
         col = _col_or_null(df, places[level])
-        out = _flag(out, strip_admin_suffix(col), _name_set(gazetteer, levels[level]), f"_m_{level.lower()}", max_rows)
+        out = _flag(out, strip_admin_suffix(col), _name_set(gazetteer, levels[level]), f"_m_{level.lower()}", small)
     district = _col_or_null(df, places["District"])
     out = out.withColumn("_district_clean", F.when(district.isNotNull(), strip_admin_suffix(district)))
     if home is None:
         in_home = F.lit(False)
     elif isinstance(home, DataFrame):
         home_names = home.select(strip_admin_suffix(F.col(home.columns[0])).alias("_name")).distinct()
-        out = _flag(out, F.col("_district_clean"), home_names, "_home", max_rows)
+        out = _flag(out, F.col("_district_clean"), home_names, "_home", _is_small(home, max_rows))
         in_home = F.col("_home")
     else:
         in_home = F.col("_district_clean").isin(list(home))
