@@ -41,18 +41,19 @@ def coverage_case(age: Column, sex: Column) -> Column:
 
 
 def coverage_counts(df: DataFrame, model: str = "model_name",
-                    pairs: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
+                    pairs: Mapping[str, tuple[str, str]] | None = None, total: str | None = None) -> DataFrame:
     """Per model, how many rows carry age and gender, per language pair.
 
     Columns ``Model, <label>: Both, <label>: Only age, <label>: Only gender,
     <label>: Neither`` for every label; a missing column counts as all null.
+    ``total`` names an extra row-count column from the same aggregate.
     """
     pairs = dict(pairs or DEFAULT_PAIRS)
     # one projected case per row and language, then plain comparisons in the aggregate
     cases = [coverage_case(_col_or_null(df, age), _col_or_null(df, sex)).alias(f"_case{i}")
              for i, (age, sex) in enumerate(pairs.values())]
     src = df.select(F.col(model).alias("Model"), *cases)
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias(total)] if total else []
     for i, label in enumerate(pairs):
         for short, full in CASE_COLUMNS:
             aggs.append(F.count_if(F.col(f"_case{i}") == F.lit(full)).alias(f"{label}: {short}"))

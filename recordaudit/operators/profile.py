@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.age import is_invalid
 from ..functions.text import count_pct_cell, round_half_even
+from ..session import freeze
 
 # The reference's banding is 20 right-closed bands of 5 years.
 BAND_WIDTH, BAND_LOW, BAND_HIGH = 5, 0, 100
@@ -156,12 +157,13 @@ def value_frequency(df: DataFrame, value: str, by: Sequence[str] = (), dropna: b
     src = _keys_not_null(df, keys)
     if dropna:
         src = src.filter(F.col(value).isNotNull())
-    counts = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    # the counted table is materialized once; totals come from it, not from a second scan
+    counts = freeze(src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
     if keys:
         totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
         counts = counts.join(totals, keys)
     else:
-        counts = counts.withColumn("_total", src.select(F.count(F.lit(1))).scalar())
+        counts = counts.withColumn("_total", counts.select(F.sum("n")).scalar())
     out = counts.select(*keys, value, "n", round_half_even(_pct(F.col("n"), F.col("_total")), 2).alias("pct"))
     return out.orderBy(*keys, F.desc("n"), F.asc_nulls_first(value)) if sort else out
 
@@ -210,12 +212,13 @@ def invalid_ratio(df: DataFrame, value: str, lo: float = 0, hi: float = 120, by:
 def cleaning_before_after(df: DataFrame, raw: str, cleaned: Column, by: Sequence[str] = ()) -> DataFrame:
     """Distribution of raw values (nulls kept) and of cleaned values (nulls dropped).
 
-    One scan: the records are aggregated once by ``(raw, cleaned)`` and both
-    stages are derived from that aggregate.  Returns ``by..., stage, value, n, pct``.
+    One scan: the records are aggregated once by ``(raw, cleaned)``, that
+    (small) aggregate is materialized, and both stages and their totals are
+    derived from it.  Returns ``by..., stage, value, n, pct``.
     """
     keys = list(by)
-    pairs = df.groupBy(*keys, F.col(raw).cast("string").alias("_raw"), cleaned.cast("string").alias("_clean")) \
-        .agg(F.count(F.lit(1)).alias("_n"))
+    pairs = freeze(df.groupBy(*keys, F.col(raw).cast("string").alias("_raw"), cleaned.cast("string").alias("_clean"))
+                   .agg(F.count(F.lit(1)).alias("_n")))
     before = pairs.groupBy(*keys, F.col("_raw").alias("value")).agg(F.sum("_n").alias("n"))
     after = pairs.where(F.col("_clean").isNotNull()) \
         .groupBy(*keys, F.col("_clean").alias("value")).agg(F.sum("_n").alias("n"))

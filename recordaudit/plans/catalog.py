@@ -324,10 +324,8 @@ def location_accuracy(spark, d):
     for lab in ("English", "Chinese") for c in ("Both", "Only age", "Only gender", "Neither"))
           + ' from cov join tot on cov."Model" = tot.model_name')
 def percentage_columns(spark, d):
-    rec = X.records(spark, d)
-    cov = coverage.coverage_counts(rec, pairs=PAIRS)
-    tot = rec.groupBy(F.col("model_name").alias("Model")).agg(F.count(F.lit(1)).alias("Total_Samples"))
-    return coverage.percentage_columns(cov.join(tot, "Model"))
+    cov = coverage.coverage_counts(X.records(spark, d), pairs=PAIRS, total="Total_Samples")
+    return coverage.percentage_columns(cov)
 
 
 # --- contingency and chi-square ---------------------------------------------
