@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.age import clean_age_v1, clean_age_v2, digits_only, first_number, numeric_coerce, range_mask, to_int
 from ..functions.gender import clean_gender, gender_rule_matched
@@ -49,7 +50,8 @@ def age_profile(df: DataFrame, columns: Sequence[str] = ("Age", "Age_Chinese"),
                 coerce: bool = True, label_style: str = "upper", denominator: str = "all",
                 wide: bool = False) -> DataFrame:
     """Banded age distribution per group for each age column (one aggregate)."""
-    values = {c: (numeric_coerce(F.col(c)) if coerce else F.col(c)) for c in columns}
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    values = {c: (numeric_coerce(F.col(c)) if coerce and c in text else F.col(c)) for c in columns}
     long = profile.binned_distribution(df, values, by=[group], label_style=label_style, denominator=denominator)
     if not wide:
         return long

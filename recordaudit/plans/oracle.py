@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from ..functions import gender as G
-from ..functions.text import ASCII_DIGITS, FULLWIDTH_DIGITS, NULL_TOKENS
+from ..functions.text import ASCII_DIGITS, FULLWIDTH_DIGITS, NULL_TOKENS, PY_WHITESPACE
 
 ND = r"\p{Nd}"
 
@@ -24,7 +24,7 @@ def in_list(items: Sequence[str]) -> str:
 
 
 def strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^[\s\p{{Z}}\x{{1c}}-\x{{1f}}]+|[\s\p{{Z}}\x{{1c}}-\x{{1f}}]+$', '', 'g')"
+    return f"trim({x}, {lit(PY_WHITESPACE)})"
 
 
 def norm(x: str) -> str:
