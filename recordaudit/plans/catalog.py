@@ -635,4 +635,94 @@ def gender_profile(spark, d):
     return jobs.gender_profile(jobs.clean_genders(rec), ["Sex", "Sex_Chinese"], "disease")
 
 
+# --- more composite jobs under the gate ---------------------------------------
+@register("clean_ages_legacy", f"""{REC}
+  select rid, cast(case when {O.digits_only('age_zh_raw')} between 0 and 120 then {O.digits_only('age_zh_raw')} end as integer)
+      as age_zh, cast({O.first_number('age_raw')} as integer) as age_en
+  from records""")
+def clean_ages_legacy(spark, d):
+    rec = X.records(spark, d).withColumnsRenamed({"age_raw": "Age", "age_zh_raw": "Age_Chinese"})
+    return jobs.clean_ages_legacy(rec).select("rid", F.col("Age_Chinese").alias("age_zh"), F.col("Age").alias("age_en"))
+
+
+@register("age_valid_ratio", f"""{REC},
+  v as (select model_name, {O.age_v2('age_raw')} as a_en, {O.age_v2('age_zh_raw')} as a_zh from records)
+  select * from (
+    select model_name, 'Age' as "column", count(a_en) as valid, count(*) as total,
+      {O.r2(PCT('count(a_en)', 'count(*)'))} as valid_pct from v group by model_name
+    union all
+    select model_name, 'Age_Chinese' as "column", count(a_zh) as valid, count(*) as total,
+      {O.r2(PCT('count(a_zh)', 'count(*)'))} as valid_pct from v group by model_name)""")
+def age_valid_ratio(spark, d):
+    rec = X.records(spark, d).withColumnsRenamed({"age_raw": "Age", "age_zh_raw": "Age_Chinese"})
+    return profile.valid_ratio(jobs.clean_ages(rec), ["Age", "Age_Chinese"], by=["model_name"])
+
+
+@register("value_audit_frequency", f"""{REC},
+  l as (select model_name, 'age_raw' as "column", cast(age_raw as varchar) as value from records
+        union all select model_name, 'sex_raw' as "column", cast(sex_raw as varchar) as value from records),
+  c as (select model_name, "column", value, count(*) as n from l group by 1, 2, 3)
+  select model_name, "column", value, n,
+    {O.r2(PCT('n', 'sum(n) over (partition by model_name, "column")'))} as pct from c""")
+def value_audit_frequency(spark, d):
+    return jobs.value_audit(X.records(spark, d), ["age_raw", "sex_raw"], by=["model_name"])["frequency"]
+
+
+@register("coverage_key_metrics", f"{REC}, {SQL_COVERAGE} select " + ", ".join(
+    f'"{c}"' for c in jobs.KEY_METRICS) + f" from ({_ratio_sql()})")
+def coverage_key_metrics(spark, d):
+    return jobs.coverage_report(coverage_counts(spark, d), key_metrics_only=True)
+
+
+@register("pair_languages_indexed", """
+  with u as (select conv_id, turn, text as "English_a" from conversations where role = 'user'),
+  a as (select conv_id, turn - 1 as turn, text as "Chinese_a" from conversations where role = 'assistant'),
+  j as (select u.conv_id, u.turn, "English_a", "Chinese_a" from u join a on u.conv_id = a.conv_id and u.turn = a.turn)
+  select row_number() over (order by conv_id, turn) - 1 as "index", "English_a", "Chinese_a", conv_id, turn from j""")
+def pair_languages_indexed(spark, d):
+    conv = T(spark, d, "conversations")
+    en = conv.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("English_a"))
+    zh = conv.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("Chinese_a"))
+    return jobs.pair_languages(en, zh, how="key", on=["conv_id", "turn"])
+
+
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@register("age_profile_wide", f"""{REC},
+  v as (select disease, {O.age_v2('age_raw')} as a_en from records),
+  b as {O.banded('(select disease, a_en from v)', ['disease'], 'a_en')}
+  select band_idx, band, """ + ", ".join(
+    f"max(case when disease = '{p}' then cell end) as \"{p}\"" for p in _PRIORITIES) + """
+  from b group by band_idx, band""")
+def age_profile_wide(spark, d):
+    rec = jobs.clean_ages(X.records(spark, d).withColumnRenamed("age_raw", "Age"), ["Age"])
+    long = jobs.age_profile(rec, ["Age"], "disease")
+    return reshape.pivot_report(long, ["band_idx", "band"], "disease")
+
+
+@register("gender_profile_wide", f"""{REC},
+  g as (select disease, {O.gender_merged('sex_zh_raw')} as v from records where disease is not null),
+  t as (select disease, count(*) as _total from g group by 1),
+  c as (select disease, v, count(*) as n from g group by 1, 2),
+  dom(category_idx, category) as (values (0, 'Female'), (1, 'Male'), (2, 'Unknown')),
+  l as (select t.disease, cast(dom.category_idx as integer) as category_idx, dom.category,
+          {O.cell('coalesce(c.n, 0)', PCT('coalesce(c.n, 0)', 't._total'))} as cell
+        from t cross join dom left join c on c.disease = t.disease and c.v = dom.category)
+  select category_idx, category, """ + ", ".join(
+    f"max(case when disease = '{p}' then cell end) as \"{p}\"" for p in _PRIORITIES) + """
+  from l group by category_idx, category""")
+def gender_profile_wide(spark, d):
+    rec = X.records(spark, d).withColumn("Sex_Chinese", G.clean_gender_merged(F.col("sex_zh_raw")))
+    return jobs.gender_profile(rec, ["Sex_Chinese"], "disease", wide=True).drop("column")
+
+
+@register("shape_report", """
+  select "column", "type", (select count(*) from documents) as n_rows, 5 as n_columns
+  from (values ('doc_id', 'bigint'), ('text', 'string'), ('lang', 'string'), ('source', 'string'),
+               ('n_chars', 'bigint')) s("column", "type")""")
+def shape_report(spark, d):
+    return files.shape_report(T(spark, d, "documents"))
+
+
 FLAGSHIP = "coverage_ratios"
