@@ -38,7 +38,8 @@ def _group(s: Column, pattern: str, i: int = 1) -> Column:
 
 
 def _midpoint(s: Column) -> Column:
-    return F.floor((_group(s, AGE_RANGE, 1) + _group(s, AGE_RANGE, 2)) / F.lit(2)).cast("bigint")
+    # try_add: an absurd range ("9223372036854775807-9") gives null instead of an ANSI overflow error
+    return F.floor(F.try_add(_group(s, AGE_RANGE, 1), _group(s, AGE_RANGE, 2)) / F.lit(2)).cast("bigint")
 
 
 def _contains_any(s: Column, words: list[str]) -> Column:

@@ -100,7 +100,8 @@ def location_accuracy(summary: DataFrame, total: int = DEFAULT_SAMPLE_SIZE,
         for level in LOCATION_LEVELS:
             src = f"{lab}: {level} Correct"
             correct = F.col(f"`{src}`") if src in summary.columns else F.lit(0)
-            cols[f"{lab}_{level}_Accuracy"] = F.coalesce(correct, F.lit(0)).cast("double") / F.lit(float(total)) * 100.0
+            cols[f"{lab}_{level}_Accuracy"] = F.try_divide(F.coalesce(correct, F.lit(0)).cast("double"),
+                                                           F.lit(float(total))) * 100.0
     return summary.withColumns(cols)
 
 
