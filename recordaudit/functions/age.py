@@ -2,8 +2,8 @@
 
 Rule order is the whole semantics: every cleaner is one ``CASE WHEN`` chain,
 first matching rule wins, exactly like the reference's early returns.  ``\\d``
-and ``\\s`` run with ``(?U)`` so full-width digits and Unicode spaces behave as
-in Python's ``re``; full-width digits are mapped to ASCII before a cast.
+and ``\\s`` run with ``(?U)`` so Unicode digits and spaces behave as in Python's
+``re``; every Unicode decimal digit is mapped to ASCII before a cast.
 """
 
 from __future__ import annotations

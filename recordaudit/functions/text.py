@@ -6,6 +6,7 @@ them calls Python per row.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -25,9 +26,10 @@ NULL_TOKENS = [
 ADMIN_SUFFIX_PATTERN = r"(省|市|区|县|自治州|盟|地区|特别行政区)$"
 # Text standing for a missing value when a length is taken (Python str(None-like NaN)).
 NULL_TEXT = "nan"
-# Full-width digits and their ASCII forms.
-FULLWIDTH_DIGITS = "０１２３４５６７８９"
-ASCII_DIGITS = "0123456789"
+# Every Unicode decimal digit (what Python's \\d and int() accept) and its ASCII
+# value, built by rule; full-width digits are among them.
+UNICODE_DIGITS = "".join(chr(c) for c in range(0x80, 0x110000) if chr(c).isdecimal())
+ASCII_DIGITS = "".join(str(unicodedata.decimal(ch)) for ch in UNICODE_DIGITS)
 # Characters Python's str.strip() removes: derived from str.isspace (29 code points,
 # incl. the ASCII separators 0x1c-0x1f and the ideographic space).
 PY_WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
@@ -49,8 +51,9 @@ def norm_lower(c: Column | str) -> Column:
 
 
 def ascii_digits(c: Column) -> Column:
-    """Map full-width digits to ASCII so a cast can read them."""
-    return F.translate(c, FULLWIDTH_DIGITS, ASCII_DIGITS)
+    """Map every Unicode decimal digit (full-width, Arabic-Indic ...) to ASCII so a
+    cast reads it as Python's int() would."""
+    return F.translate(c, UNICODE_DIGITS, ASCII_DIGITS)
 
 
 def null_tokens(c: Column | str, tokens: Iterable[str] = NULL_TOKENS) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from ..functions import gender as G
-from ..functions.text import ASCII_DIGITS, FULLWIDTH_DIGITS, NULL_TOKENS, PY_WHITESPACE
+from ..functions.text import ASCII_DIGITS, NULL_TOKENS, PY_WHITESPACE, UNICODE_DIGITS
 
 ND = r"\p{Nd}"
 
@@ -32,7 +32,7 @@ def norm(x: str) -> str:
 
 
 def ascii_num(x: str, typ: str = "bigint") -> str:
-    return f"try_cast(translate({x}, {lit(FULLWIDTH_DIGITS)}, {lit(ASCII_DIGITS)}) as {typ})"
+    return f"try_cast(translate({x}, {lit(UNICODE_DIGITS)}, {lit(ASCII_DIGITS)}) as {typ})"
 
 
 def r2(x: str) -> str:

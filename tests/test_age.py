@@ -74,3 +74,9 @@ def test_range_mask_and_invalid(spark):
 def test_age_present(one):
     vals = ["25", "25.5", ".5", "25.", "-5", "", ".", "1.2.3", "Unknown", "２５", None]
     assert one(vals, A.age_present) == [True, True, True, True, False, False, False, False, False, True, False]
+
+
+def test_other_unicode_digits(one):
+    vals = ["٣٥岁", "४० years old", "约٢٥岁"]  # Arabic-Indic and Devanagari digits
+    assert one(vals, A.clean_age_v2) == [35, 40, 25]
+    assert one(vals, A.first_number) == [35.0, 40.0, 25.0]
