@@ -136,7 +136,7 @@ def invalid_values(spark, d):
 
 
 @register("invalid_ratio", f"""{REC}
-  select model_name, count_if(not coalesce({O.numeric('age_zh_raw')} between 0 and 120, false)) as invalid,
+  select model_name, cast(count_if(not coalesce({O.numeric('age_zh_raw')} between 0 and 120, false)) as bigint) as invalid,
     count(*) as total,
     {O.r2(PCT(f"count_if(not coalesce({O.numeric('age_zh_raw')} between 0 and 120, false))", 'count(*)'))} as invalid_pct
   from records group by model_name""")
@@ -279,9 +279,11 @@ def _loc_sql(percentages: bool) -> str:
     from places),
   s as (select model_name as "Model", count(*) as "Total_Samples", count(Address_Chinese) as "Chinese_Address",
     count(Province_Chinese) as "Chinese_Province", count(City_Chinese) as "Chinese_City",
-    count(District_Chinese) as "Chinese_District", count_if(coalesce(mp, false)) as "Matched_Province",
-    count_if(coalesce(mc, false)) as "Matched_City", count_if(coalesce(md, false)) as "Matched_District",
-    count_if(District_Chinese is not null and not coalesce(mh, false) and coalesce(md, false)) as "Out_Of_Home_Districts"
+    count(District_Chinese) as "Chinese_District", cast(count_if(coalesce(mp, false)) as bigint) as "Matched_Province",
+    cast(count_if(coalesce(mc, false)) as bigint) as "Matched_City",
+    cast(count_if(coalesce(md, false)) as bigint) as "Matched_District",
+    cast(count_if(District_Chinese is not null and not coalesce(mh, false) and coalesce(md, false)) as bigint)
+      as "Out_Of_Home_Districts"
     from f group by model_name)"""
     if not percentages:
         return flags
@@ -306,7 +308,8 @@ def out_of_home_rows(spark, d):
 @register("location_accuracy", f"""with {_loc_sql(False)}
   select "Model", "Matched_Province" as "Chinese: Province Correct", "Matched_City" as "Chinese: City Correct",
     "Matched_District" as "Chinese: District Correct",
-    0.0 as "English_Province_Accuracy", 0.0 as "English_City_Accuracy", 0.0 as "English_District_Accuracy",
+    cast(0 as double) as "English_Province_Accuracy", cast(0 as double) as "English_City_Accuracy",
+    cast(0 as double) as "English_District_Accuracy",
     cast("Matched_Province" as double) / 3000 * 100 as "Chinese_Province_Accuracy",
     cast("Matched_City" as double) / 3000 * 100 as "Chinese_City_Accuracy",
     cast("Matched_District" as double) / 3000 * 100 as "Chinese_District_Accuracy"

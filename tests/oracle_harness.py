@@ -75,6 +75,19 @@ def compare(spark, name: str, fn, sql: str, sf_dir: str, con=None) -> dict:
     return out
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
+def type_diff(spark_df, con, sql: str) -> dict:
+    """Columns whose Spark type does not correspond to the oracle's DuckDB type."""
+    st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+          for f in spark_df.schema.fields}
+    rel = con.sql(sql)
+    dt = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return {c: (st.get(c), dt.get(c)) for c in set(st) | set(dt) if st.get(c) != dt.get(c)}
+
+
 if __name__ == "__main__":
     import json
 
@@ -102,3 +115,4 @@ if __name__ == "__main__":
         bad += not r["ok"]
         print(json.dumps(r, ensure_ascii=False, default=str))
     print("FAILED", bad)
+

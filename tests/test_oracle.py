@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 
 from .conftest import SF_ORACLE, SF_SMALL
-from .oracle_harness import compare, duck
+from .oracle_harness import compare, duck, type_diff
 
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
@@ -20,6 +20,7 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     r = compare(spark, name, QUERIES[name], ORACLES[name], SF_ORACLE, con)
     assert r["ok"], r
+    assert not type_diff(QUERIES[name](spark, SF_ORACLE), con, ORACLES[name]), name
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
