@@ -728,4 +728,44 @@ def shape_report(spark, d):
     return files.shape_report(T(spark, d, "documents"))
 
 
+@register("coverage_ratios_actual", f"{REC}, {SQL_COVERAGE} " + _ratio_sql(
+    total='cast(("English: Both" + "English: Only age" + "English: Only gender" + "English: Neither") as double)'))
+def coverage_ratios_actual(spark, d):
+    """Ratios over each model's own row count instead of the fixed 3000."""
+    return jobs.coverage_report(coverage_counts(spark, d), total=None)
+
+
+@register("age_profile_lower_non_null", f"""{REC},
+  v as (select disease, {O.age_v2('age_zh_raw')} as a_zh from records)
+  select * from {O.banded('(select disease, a_zh from v)', ['disease'], 'a_zh', total='count(_x)', style='lower')}""")
+def age_profile_lower_non_null(spark, d):
+    rec = jobs.clean_ages(X.records(spark, d).withColumnRenamed("age_zh_raw", "Age_Chinese"), ["Age_Chinese"])
+    return profile.binned_distribution(rec, "Age_Chinese", by=["disease"], label_style="lower", denominator="non_null")
+
+
+@register("reindex_counts", """
+  with c as (select o_orderstatus, o_orderpriority, count(*) as n from orders group by 1, 2),
+  s as (select distinct o_orderstatus from orders),
+  d(category_idx, o_orderpriority) as (values """ + ", ".join(f"({i}, {O.lit(v)})" for i, v in enumerate(PRIORITY_DOMAIN)) + """)
+  select s.o_orderstatus, cast(d.category_idx as integer) as category_idx, d.o_orderpriority,
+    cast(coalesce(c.n, 0) as bigint) as n
+  from s cross join d left join c on c.o_orderstatus = s.o_orderstatus and c.o_orderpriority = d.o_orderpriority""")
+def reindex_counts(spark, d):
+    counts = T(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return profile.reindex_counts(counts, "o_orderpriority", PRIORITY_DOMAIN, by=["o_orderstatus"])
+
+
+PRIORITY_RULES = {"URGENT": ["urgent"], "HIGH": ["high"], "MEDIUM": ["medium"], "NOT SPECIFIED": ["not spec"],
+                  "LOW": ["low"]}
+
+
+@register("chi_square_alias_rules", _chi_sql())
+def chi_square_alias_rules(spark, d):
+    """Real counts keyed by a different spelling ('URGENT'), matched by substring rules."""
+    real = T(spark, d, "orders").groupBy(F.substring("o_orderpriority", 3, 100).alias("disease")).agg(
+        F.count_if(F.col("o_orderstatus") == "F").alias("female"), F.count_if(F.col("o_orderstatus") == "O").alias("male"))
+    return contingency.gender_chi_square(X.records(spark, d), real, columns=_clean_sex(), with_p=False,
+                                         alias_rules=PRIORITY_RULES)
+
+
 FLAGSHIP = "coverage_ratios"

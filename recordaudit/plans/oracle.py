@@ -171,7 +171,7 @@ def band_domain(style: str = "upper", width: int = 5, n: int = 20) -> str:
     return f"(select cast(i as integer) as band_idx, {lab} as band from range({n}) r(i))"
 
 
-def banded(src: str, keys: Sequence[str], value: str, total: str = "count(*)") -> str:
+def banded(src: str, keys: Sequence[str], value: str, total: str = "count(*)", style: str = "upper") -> str:
     """Long banded distribution of ``value`` over ``src`` per ``keys`` (zero-filled)."""
     k = ", ".join(keys)
     kc = (k + ", ") if keys else ""
@@ -183,4 +183,4 @@ def banded(src: str, keys: Sequence[str], value: str, total: str = "count(*)") -
   c as (select {kc}band_idx, count(*) as n from b where band_idx is not null group by {kc}band_idx)
   select {", ".join("t." + x for x in keys)}{", " if keys else ""}d.band_idx, d.band, cast(coalesce(c.n, 0) as bigint) as n,
     {r2(pct("coalesce(c.n, 0)", "t._total"))} as pct, {cell("coalesce(c.n, 0)", pct("coalesce(c.n, 0)", "t._total"))} as cell
-  from t cross join {band_domain()} d left join c on {on})"""
+  from t cross join {band_domain(style)} d left join c on {on})"""
