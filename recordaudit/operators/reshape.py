@@ -13,14 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_count
+from ..session import freeze
 
 
 def pivot_report(long: DataFrame, index: Sequence[str], columns: str, cell: str = "cell",
                  values: Sequence | None = None) -> DataFrame:
     """Rows = ``index``, one column per value of ``columns``, holding ``cell``.
 
-    Pass ``values`` to skip the extra distinct job and fix the column order.
+    Pass ``values`` to fix the column order.  Without them Spark first runs a
+    distinct job over the pivot input; the (small) long report is materialized
+    once so that job and the pivot do not both recompute the upstream plan.
     """
+    if values is None:
+        long = freeze(long)
     grouped = long.groupBy(*index)
     pivoted = grouped.pivot(columns, list(values)) if values is not None else grouped.pivot(columns)
     return pivoted.agg(F.max(cell))
