@@ -66,7 +66,7 @@ def clean_age_v1(c: Column | str) -> Column:
 def clean_age_v2(c: Column | str, mask: bool = True) -> Column:
     """Second cleaner: pure digits must be in range; same rules; then the first
     number anywhere if in range; then months/weeks/days -> 0.  With ``mask`` the
-    0..120 range mask and the integer cast of the pipeline follow."""
+    0..120 range mask and the integer cast of the cleaning step follow."""
     s = py_strip(c)
     digits = _num(s)
     first = _group(s, FIRST_NUMBER)
