@@ -13,8 +13,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest dimension table we agree to broadcast without measuring it at runtime.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Largest side we broadcast after proving its row count (a few hundred bytes per
+# row at most for name sets and offset tables, i.e. well under 1 GB).
+DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "recordaudit") -> SparkSession:
