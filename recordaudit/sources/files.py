@@ -186,13 +186,16 @@ def _local(path: str) -> str:
 
 def write_version(df: DataFrame, base: str, version: str, partition_by: Sequence[str] = (),
                   fmt: str = "parquet") -> str:
-    """Write a cleaning step's output as ``base/version=<version>``; refuses to
-    overwrite a version that the plan itself reads."""
+    """Write a cleaning step's output as ``base/version=<version>``.
+
+    Refuses to write into a version the plan itself reads; any other existing
+    content of the target is replaced, so rerunning a failed job is idempotent.
+    """
     target = f"{base.rstrip('/')}/version={version}"
     if any(_local(p).startswith(_local(target)) for p in df.inputFiles()):
         raise ValueError("refusing to overwrite the version being read; write a new version")
     if partition_by:
-        write_partitioned(df, target, partition_by, fmt, mode="errorifexists")
+        write_partitioned(df, target, partition_by, fmt, mode="overwrite")
     else:
-        df.write.mode("errorifexists").format(fmt).save(target)
+        df.write.mode("overwrite").format(fmt).save(target)
     return target

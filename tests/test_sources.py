@@ -71,6 +71,7 @@ def test_sinks_roundtrip(spark, tmp):
     with pytest.raises(ValueError):
         files.write_version(v1, os.path.join(tmp, "ds"), "v1")
     files.write_version(v1.withColumn("v", F.col("v") + 1), os.path.join(tmp, "ds"), "v2")
+    files.write_version(v1.withColumn("v", F.col("v") + 1), os.path.join(tmp, "ds"), "v2")  # a rerun replaces
     assert spark.read.parquet(os.path.join(tmp, "ds", "version=v2")).count() == 3
 
 
