@@ -112,8 +112,10 @@ def real_from_report(report: DataFrame, label: str = "gender", groups: Sequence[
 # Lengths and tokens
 # ---------------------------------------------------------------------------
 def mean_std_text(x: Column) -> Column:
-    """``"m ± s"`` with 2 decimals; a one-value std prints ``nan``."""
-    return F.concat(fixed2(F.avg(x)), F.lit(" ± "), F.coalesce(fixed2(F.stddev_samp(x)), F.lit("nan")))
+    """``"m ± s"`` with 2 decimals; an undefined part (no values, or one value for
+    the std) prints ``nan``."""
+    nan = F.lit("nan")
+    return F.concat(F.coalesce(fixed2(F.avg(x)), nan), F.lit(" ± "), F.coalesce(fixed2(F.stddev_samp(x)), nan))
 
 
 def token_summary(df: DataFrame, columns: Sequence[str], model: str = "model_name",

@@ -413,7 +413,7 @@ def unpivot_report(spark, d):
 
 # --- lengths and tokens -----------------------------------------------------
 def _mean_std_sql(x: str) -> str:
-    return f"{O.fixed2(f'avg({x})')} || ' ± ' || coalesce({O.fixed2(f'stddev_samp({x})')}, 'nan')"
+    return f"coalesce({O.fixed2(f'avg({x})')}, 'nan') || ' ± ' || coalesce({O.fixed2(f'stddev_samp({x})')}, 'nan')"
 
 
 @register("token_mean_std", f"""

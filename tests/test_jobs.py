@@ -56,6 +56,9 @@ def test_token_summary_by_file_key(spark):
     df = spark.createDataFrame([("f1", 1, "qwen-7B", 10.0), ("f1", 2, "qwen-7B", 20.0), ("f2", 1, "yi-14B", 5.0),
                                 ("f3", 1, "gemma", None), ("f3", 2, "gemma", 3.0)],
                                "file string, pos int, model_name string, English_a_tokens double")
+    empty = contingency.token_summary(df.where("model_name = 'gemma'").withColumn("English_a_tokens", F.lit(None).cast("double")),
+                                      ["English_a_tokens"]).first()
+    assert empty.english_a_tokens == "nan ± nan"
     out = contingency.token_summary(df, ["English_a_tokens"], key="file", position="pos").collect()
     assert [r.model_name for r in out] == ["yi-14B", "qwen-7B", "gemma"]
     assert [r.english_a_tokens for r in out] == ["5.00 ± nan", "15.00 ± 7.07", "3.00 ± nan"]
