@@ -58,3 +58,15 @@ def test_scan_prunes_columns(spark, name, table, cols):
 def test_gazetteer_joins_are_broadcast(spark):
     plan = _executed(spark, "gazetteer_match")
     assert plan.count("BroadcastHashJoin") >= 4 and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_stays_in_whole_stage_codegen(spark, name):
+    """No Project / Filter / HashAggregate falls out of codegen (e.g. a huge generated method)."""
+    df = QUERIES[name](spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    off = [line.strip() for line in final.splitlines()
+           if re.search(r"(^|[-+:] )(Project|Filter|HashAggregate) \[", line.strip())
+           and not re.search(r"\*\(\d+\) (Project|Filter|HashAggregate)", line)]
+    assert not off, (name, off[:2])
