@@ -7,6 +7,7 @@ shared.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from ..functions import gender as G
@@ -184,3 +185,15 @@ def banded(src: str, keys: Sequence[str], value: str, total: str = "count(*)", s
   select {", ".join("t." + x for x in keys)}{", " if keys else ""}d.band_idx, d.band, cast(coalesce(c.n, 0) as bigint) as n,
     {r2(pct("coalesce(c.n, 0)", "t._total"))} as pct, {cell("coalesce(c.n, 0)", pct("coalesce(c.n, 0)", "t._total"))} as cell
   from t cross join {band_domain(style)} d left join c on {on})"""
+
+
+def erfc(x: str) -> str:
+    """Same series / continued fraction as the Spark expression, with list_reduce."""
+    from ..functions.stats import CF_TERMS, SERIES_TERMS, SWITCH
+    inv = repr(1.0 / math.sqrt(math.pi))
+    two_inv = repr(2.0 * (1.0 / math.sqrt(math.pi)))
+    series = (f"list_reduce(range(0, {SERIES_TERMS}), lambda acc, n: {{'t': acc.t * (-({x} * {x})) / (n + 1), "
+              f"'s': acc.s + acc.t / (2 * n + 1)}}, {{'t': cast({x} as double), 's': cast(0 as double)}}).s")
+    fraction = f"list_reduce(range({CF_TERMS}, 0, -1), lambda acc, k: {x} + (k / 2.0) / acc, cast({x} as double))"
+    return (f"(case when {x} is null then null when {x} < {SWITCH} then 1.0 - {two_inv} * {series} "
+            f"else exp(-({x} * {x})) * {inv} / {fraction} end)")

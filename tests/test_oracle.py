@@ -35,7 +35,11 @@ def test_entry_smoke(spark):
 
 
 def test_chi_square_p_consistent(spark):
-    rows = QUERIES["chi_square_p"](spark, SF_SMALL).collect()
+    from recordaudit.operators import contingency
+    from recordaudit.plans import catalog, fixtures
+    rows = contingency.gender_chi_square(fixtures.records(spark, SF_SMALL), fixtures.real(spark, SF_SMALL),
+                                         columns=catalog._clean_sex(), with_p=True).collect()
     for r in rows:
         if r.status == "ok":
             assert (r.p_value < 0.05) == r.significant
+            assert r.p_text == f"{r.p_value:.4e}"
