@@ -23,9 +23,8 @@ def test_query_matches_oracle(spark, con, name):
     assert not type_diff(QUERIES[name](spark, SF_ORACLE), con, ORACLES[name]), name
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_rows_only(spark, name):
-    assert QUERIES[name](spark, SF_ORACLE).count() > 0
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_smoke(spark):
