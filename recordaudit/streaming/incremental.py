@@ -24,13 +24,14 @@ def complete_stream(spark: SparkSession, source: str, schema: T.StructType | str
                     fmt: str = "parquet", max_files_per_trigger: int | None = None,
                     stop: Iterable[str] | None = None, keep_failed: bool = False, attempts: int = 3,
                     delay: float = 2.0, backoff: float = 2.0, sleep: Callable[[float], None] = time.sleep,
-                    concurrency: int = 1, available_now: bool = True) -> StreamingQuery:
+                    concurrency: int = 1, available_now: bool = True, pause_every: int = 0,
+                    pause: float = 1.0) -> StreamingQuery:
     """Start the stream; with ``available_now`` it processes what is there and stops."""
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     grid = reader.load(source)
-    run = completion_udf(fn, prompt, answer, attempts, delay, backoff, sleep, concurrency)
+    run = completion_udf(fn, prompt, answer, attempts, delay, backoff, sleep, concurrency, pause_every, pause)
     answered = finish_answers(grid.mapInPandas(run, answer_schema(grid.schema, answer)), answer, stop, keep_failed)
     writer = (answered.writeStream.format(fmt).outputMode("append")
               .option("path", sink).option("checkpointLocation", checkpoint))

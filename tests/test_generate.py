@@ -63,3 +63,18 @@ def test_complete_job_numbers_rows(spark):
         seqs = sorted(r.seq for r in out if r.grp == g)
         assert seqs == list(range(1, 7))
     assert {r.model_name for r in out} == {"m"}
+
+
+def test_throttle_pauses_every_n_calls():
+    import pandas as pd
+    slept = []
+    run = generate.completion_udf(lambda p: p + "!", sleep=slept.append, pause_every=10, pause=1.0,
+                                  concurrency=3)
+    batches = [pd.DataFrame({"prompt": [f"p{i}" for i in range(25)]}), pd.DataFrame({"prompt": ["a"] * 5})]
+    out = list(run(iter(batches)))
+    assert list(out[0]["answer"][:2]) == ["p0!", "p1!"] and len(out[1]) == 5
+    assert slept == [1.0, 1.0, 1.0]  # after calls 10, 20 and 30
+    slept.clear()
+    odd = [pd.DataFrame({"prompt": ["x"] * 7}) for _ in range(3)]  # batch sizes not aligned with 10
+    assert sum(len(b) for b in run(iter(odd))) == 21
+    assert slept == [1.0, 1.0]  # after calls 10 and 20
