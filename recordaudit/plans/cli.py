@@ -71,6 +71,22 @@ def build_parser() -> argparse.ArgumentParser:
     p = sub.add_parser("tokens", help="mean ± std of token columns per model")
     _common(p)
     p.add_argument("--columns", nargs="+", default=["English_a_tokens", "Chinese_a_tokens"])
+    p = sub.add_parser("generate", help="prompt grid x runs -> answers from a client, one folder per output")
+    p.add_argument("--prompts", required=True, help="table with template (and optional prompt_id)")
+    p.add_argument("--conditions", required=True, help="table with condition, background (and optional disease)")
+    p.add_argument("--locations", default=None, help="optional table with location")
+    p.add_argument("--table-format", default="csv")
+    p.add_argument("--client", required=True, help="module:function taking a prompt, returning text or None")
+    p.add_argument("--model", required=True)
+    p.add_argument("--language", default="English")
+    p.add_argument("--runs", type=int, default=100)
+    p.add_argument("--suffix", default=None)
+    p.add_argument("--stop", nargs="*", default=[])
+    p.add_argument("--partitions", type=int, default=None)
+    p.add_argument("--concurrency", type=int, default=1)
+    p.add_argument("--pause-every", type=int, default=0)
+    p.add_argument("--pause", type=float, default=1.0)
+    p.add_argument("--output", required=True)
     p = sub.add_parser("lengths", help="add character-length columns into a new dataset version")
     _common(p)
     p.add_argument("--version", required=True)
@@ -85,8 +101,36 @@ def _read_table(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     return reader.load(path)
 
 
+def _load_client(spec: str):
+    import importlib
+    module, _, name = spec.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+def generate_answers(spark: SparkSession, a: argparse.Namespace) -> str:
+    from ..operators import align, generate
+    prompts = _read_table(spark, a.prompts, a.table_format)
+    if "prompt_id" not in prompts.columns:
+        prompts = align.dense_position(prompts, ["template"], name="prompt_id")
+    conditions = _read_table(spark, a.conditions, a.table_format)
+    carry = ["disease"] if "disease" in conditions.columns else []
+    locations = _read_table(spark, a.locations, a.table_format) if a.locations else None
+    grid = generate.prompt_grid(prompts, conditions, locations=locations, runs=a.runs, suffix=a.suffix,
+                                carry=carry)
+    if not carry:
+        grid = grid.withColumn("disease", F.col("condition"))
+    keys = ["disease"] + (["location"] if locations is not None else [])
+    out = jobs.complete(grid, _load_client(a.client), constants={"model_name": a.model, "language": a.language},
+                        number_by=keys, stop=a.stop or None, partitions=a.partitions, concurrency=a.concurrency,
+                        pause_every=a.pause_every, pause=a.pause)
+    files.write_partitioned(out.drop("template"), a.output, ["model_name", *keys, "language"], fmt="parquet")
+    return a.output
+
+
 def run(spark: SparkSession, argv: list[str]) -> DataFrame | str:
     a = build_parser().parse_args(argv)
+    if a.job == "generate":
+        return generate_answers(spark, a)
     df = read_records(spark, a.input, a.format, a.glob, a.model)
     if a.job == "coverage":
         out = jobs.coverage_report(jobs.coverage_summary(df, a.model), total=a.total or None)

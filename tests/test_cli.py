@@ -1,12 +1,21 @@
 """The command-line jobs, end to end on files in a fresh temp folder."""
 
 import os
+import sys
 import tempfile
 
 import pandas as pd
+from pyspark import cloudpickle
 
 from recordaudit.plans import cli
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def shout(prompt):
+    """Stand-in client for the generate job."""
+    return None if "skip" in prompt else prompt.upper()
+
 
 def _records(root):
     rows = {
@@ -60,3 +69,18 @@ def test_cli_jobs(spark):
     lengths = cli.run(spark, ["lengths", "--input", src, "--output", out("len"), "--version", "v5.10",
                               "--columns", "English_a"])
     assert sorted(r.English_a_length for r in spark.read.parquet(lengths).collect()) == [2, 3, 3]
+
+
+def test_cli_generate(spark):
+    root = tempfile.mkdtemp(prefix="recordaudit-gen-")
+    pd.DataFrame({"template": ["About {{CONDITION}}", "skip {{CONDITION}}"]}).to_csv(os.path.join(root, "p.csv"), index=False)
+    pd.DataFrame({"condition": ["1型糖尿病", "2型糖尿病"], "background": ["{bg1}", "{bg2}"],
+                  "disease": ["Type 1 diabetes", "Type 2 diabetes"]}).to_csv(os.path.join(root, "c.csv"), index=False)
+    out = cli.run(spark, ["generate", "--prompts", os.path.join(root, "p.csv"), "--conditions", os.path.join(root, "c.csv"),
+                          "--client", f"{__name__}:shout", "--model", "m/7B", "--language", "Chinese", "--runs", "3",
+                          "--output", os.path.join(root, "answers")])
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 2 * 3  # the "skip" template fails for every run and is dropped
+    assert {r.disease for r in rows} == {"Type 1 diabetes", "Type 2 diabetes"}
+    assert sorted(r.seq for r in rows if r.disease == "Type 1 diabetes") == [1, 2, 3]
+    assert all(r.answer.startswith("ABOUT ") and r.language == "Chinese" for r in rows)
