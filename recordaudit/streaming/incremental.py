@@ -25,8 +25,13 @@ def complete_stream(spark: SparkSession, source: str, schema: T.StructType | str
                     stop: Iterable[str] | None = None, keep_failed: bool = False, attempts: int = 3,
                     delay: float = 2.0, backoff: float = 2.0, sleep: Callable[[float], None] = time.sleep,
                     concurrency: int = 1, available_now: bool = True, pause_every: int = 0,
-                    pause: float = 1.0) -> StreamingQuery:
-    """Start the stream; with ``available_now`` it processes what is there and stops."""
+                    pause: float = 1.0, partition_by: Iterable[str] = ()) -> StreamingQuery:
+    """Start the stream; with ``available_now`` it processes what is there and stops.
+
+    ``partition_by`` lays the sink out per key (model / disease / language ...).
+    Row numbering needs the finished set, so it is a batch step over the sink
+    (``align.number_rows``), not part of the stream.
+    """
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
@@ -35,5 +40,8 @@ def complete_stream(spark: SparkSession, source: str, schema: T.StructType | str
     answered = finish_answers(grid.mapInPandas(run, answer_schema(grid.schema, answer)), answer, stop, keep_failed)
     writer = (answered.writeStream.format(fmt).outputMode("append")
               .option("path", sink).option("checkpointLocation", checkpoint))
+    keys = list(partition_by)
+    if keys:
+        writer = writer.partitionBy(*keys)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

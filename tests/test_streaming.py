@@ -34,3 +34,16 @@ def test_restartable_stream(spark):
     q.awaitTermination()
     rows = spark.read.parquet(sink).collect()
     assert sorted(r.prompt_id for r in rows) == [i for i in range(15) if i != 9]
+
+
+def test_partitioned_stream_sink(spark):
+    root = tempfile.mkdtemp(prefix="recordaudit-stream-")
+    src, sink, ckpt = (os.path.join(root, d) for d in ("grid", "answers", "ckpt"))
+    os.makedirs(src)
+    pd.DataFrame({"prompt_id": range(6), "prompt": [f"p{i}" for i in range(6)],
+                  "disease": ["a", "b"] * 3}).to_parquet(os.path.join(src, "g.parquet"), index=False)
+    q = complete_stream(spark, src, "prompt_id long, prompt string, disease string", shout, sink, ckpt,
+                        sleep=lambda s: None, partition_by=["disease"])
+    q.awaitTermination()
+    assert sorted(d for d in os.listdir(sink) if d.startswith("disease=")) == ["disease=a", "disease=b"]
+    assert spark.read.parquet(sink).count() == 6
