@@ -28,7 +28,8 @@ def pivot_report(long: DataFrame, index: Sequence[str], columns: str, cell: str
         long = freeze(long)
     grouped = long.groupBy(*index)
     pivoted = grouped.pivot(columns, list(values)) if values is not None else grouped.pivot(columns)
-    return pivoted.agg(F.max(cell))
+    # rows in domain order (band / category index), like the reference's sorted report
+    return pivoted.agg(F.max(cell)).orderBy(*[F.col(f"`{c}`") for c in index])
 
 
 def unpivot_report(wide: DataFrame, index: Sequence[str], columns: Sequence[str] | None = None,
