@@ -13,6 +13,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import py_strip
 from ..operators import contingency, coverage
 from ..sources import files
 from . import jobs
@@ -23,7 +24,8 @@ def read_records(spark: SparkSession, path: str, fmt: str, glob: str | None, mod
     df = files.normalize_nulls(df)
     if model not in df.columns:
         df = df.withColumn(model, files.model_from_file(F.col(files.FILE_NAME)))
-    return df
+    # model keys are trimmed at ingest (a stored name may carry a trailing space)
+    return df.withColumn(model, py_strip(F.col(model)))
 
 
 def _common(p: argparse.ArgumentParser) -> None:
