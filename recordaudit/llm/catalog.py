@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, sharding, urlfilter, warc
+from . import langid, neardup, sharding, urlfilter, warc
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
     "op4_language_id": langid.op4_language_id,
     "op7_warc": warc.op7_warc,
+    "op8_near_duplicates": neardup.op8_near_duplicates,
     "op10_sharding": sharding.op10_sharding,
 }
 

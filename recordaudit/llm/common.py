@@ -142,3 +142,60 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
         hi = max(int(np.searchsorted(off, off[lo] + limit, "right")) - 1, lo + 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+
+
+# Separators among multi-byte characters: Latin-1 signs (C2 A0..BF), general
+# punctuation (E2 80..81 xx), CJK punctuation (E3 80 xx).
+_WORD = np.zeros(256, bool)
+_WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
+_WORD[128:] = True
+
+
+def word_mask(data: np.ndarray) -> np.ndarray:
+    """True at bytes of letters and digits (any script), False at white space, signs and punctuation."""
+    inside = _WORD[data]
+    n = len(data)
+    for lead, second, size in ((0xC2, (0xA0, 0xBF), 2), (0xE2, (0x80, 0x81), 3), (0xE3, (0x80, 0x80), 3)):
+        at = np.flatnonzero(data[:n - size + 1] == lead) if n >= size else np.zeros(0, np.int64)
+        at = at[(data[at + 1] >= second[0]) & (data[at + 1] <= second[1])]
+        for k in range(size):
+            inside[at + k] = False
+    return inside
+
+
+def words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word tokens of a (lower-cased) string column.
+
+    Returns (bytes, starts, ends, hashes, first): the words of row i are first[i]:first[i + 1]."""
+    data, off = string_bytes(col)
+    starts, ends = runs(word_mask(data), off)
+    return data, starts, ends, span_hashes(data, starts, ends), np.searchsorted(starts, off)
+
+
+def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes, first): all runs of ``size`` words per row; a shorter row that has
+    words gives one shingle of all of them.  Not deduplicated."""
+    count = np.diff(first)
+    out_count = np.where(count >= size, count - size + 1, (count > 0).astype(count.dtype))
+    out_first = np.concatenate([[0], np.cumsum(out_count)])
+    total = int(out_first[-1])
+    row = np.repeat(np.arange(len(count)), out_count)
+    start = first[:-1][row] + np.arange(total) - out_first[:-1][row]
+    length = np.minimum(count[row], size)
+    h = length.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    padded = np.concatenate([hashes, np.zeros(size, np.uint64)])
+    for j in range(size):
+        word = padded[start + j]
+        h = np.where(j < length, mix(h ^ word) * _ODD + np.uint64(j + 1), h)
+    return mix(h), out_first
+
+
+def distinct_per_row(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of every row, ascending."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((values, row))
+    v, r = values[order], row[order]
+    keep = np.ones(len(v), bool)
+    keep[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
+    v, r = v[keep], r[keep]
+    return v, np.searchsorted(r, np.arange(len(first)))
