@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, neardup, sharding, urlfilter, warc
+from . import decontam, langid, neardup, sharding, urlfilter, warc
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
+    "op2_decontamination": decontam.op2_decontamination,
     "op4_language_id": langid.op4_language_id,
     "op7_warc": warc.op7_warc,
     "op8_near_duplicates": neardup.op8_near_duplicates,
