@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, neardup, sharding, urlfilter, warc
+from . import decontam, langid, neardup, pieces, sharding, urlfilter, warc
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op7_warc": warc.op7_warc,
     "op8_near_duplicates": neardup.op8_near_duplicates,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_sharding": sharding.op10_sharding,
 }
 
