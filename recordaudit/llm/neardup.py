@@ -318,6 +318,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
     sizes = comp.join(nodes, "node").groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    sizes = small(materialize(sizes, "near-sizes"), 40)
     wanted = comp.join(sizes, "root").join(nodes, "node").select(
         "doc_id", "text_hash", "node", "texts", "root", blocks.alias("blocks"))
     wanted = materialize(wanted.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-wanted")
@@ -334,8 +335,10 @@ def join_documents(docs: DataFrame) -> DataFrame:
     state = nodes.join(links, "node", "left").join(final, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), "doc_id",
         (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).alias("links"))
-    classes = state.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    state = materialize(state.join(classes, "root").select("node", "links", "class_id"), "near-state")
+    classes = state.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("m"))
+    classes = small(materialize(classes.where("m > 1").drop("m"), "near-heads"), 32)  # classes of several nodes
+    state = state.join(classes, "root", "left").select("node", "links", F.coalesce("class_id", "doc_id").alias("class_id"))
+    state = materialize(state, "near-state")
     return sig.select("doc_id", "text_hash", "node").join(state, "node", "left").select(
         "doc_id", "text_hash", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.col("node").isNotNull().alias("has_words"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
