@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, neardup, pieces, sharding, urlfilter, warc
+from . import decontam, langid, neardup, pieces, secrets, sharding, urlfilter, warc
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
     "op2_decontamination": decontam.op2_decontamination,
     "op4_language_id": langid.op4_language_id,
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op7_warc": warc.op7_warc,
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_sentencepiece": pieces.op9_sentencepiece,
