@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, neardup, pieces, secrets, sharding, urlfilter, warc
+from . import decontam, fingerprint, langid, neardup, pieces, secrets, sharding, urlfilter, warc
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
     "op2_decontamination": decontam.op2_decontamination,
+    "op3_fingerprints": fingerprint.op3_fingerprints,
     "op4_language_id": langid.op4_language_id,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_warc": warc.op7_warc,
