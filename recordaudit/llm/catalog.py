@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, langid, neardup, pieces, secrets, sharding, urlfilter, warc
+from . import decontam, fingerprint, langid, neardup, pieces, pitman_yor, secrets, sharding, urlfilter, warc
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_fingerprints": fingerprint.op3_fingerprints,
     "op4_language_id": langid.op4_language_id,
+    "op5_language_model": pitman_yor.op5_language_model,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_warc": warc.op7_warc,
     "op8_near_duplicates": neardup.op8_near_duplicates,
