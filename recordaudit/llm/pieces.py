@@ -316,13 +316,17 @@ def encode_texts(vocab: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in full])])
     starts = np.unique(np.concatenate([word_cuts(vocab, cps), bounds[:-1][np.diff(bounds) > 0]]))
-    ends = np.append(starts[1:], len(cps))
+    out, total = span_ids(vocab, cps, starts, np.append(starts[1:], len(cps)))
+    return out, total[np.searchsorted(starts, bounds)]
+
+
+def span_ids(vocab: Vocabulary, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, first) of words; equal words are solved once."""
     _, sample, which = np.unique(span_hashes(cps, starts, ends), return_index=True, return_inverse=True)
     ids, first = solve_words(vocab, cps, starts[sample], ends[sample])
     count = np.diff(first)[which]
     total = np.concatenate([[0], np.cumsum(count)])
-    out = ids[np.repeat(first[:-1][which] - total[:-1], count) + np.arange(int(total[-1]))]
-    return out, total[np.searchsorted(starts, bounds)]
+    return ids[np.repeat(first[:-1][which] - total[:-1], count) + np.arange(int(total[-1]))], total
 
 
 def decode_ids(vocab: Vocabulary, ids) -> str:
@@ -424,30 +428,45 @@ def border_states(matrices: list[list[tuple[int, int]]]) -> list[int]:
     return out[::-1]
 
 
-def chunk_ids(vocab: Vocabulary, text: str, back: int, n: int, entry: int, exit: int) -> list[int]:
-    """Ids of the pieces that start in the chunk, between its border states."""
+def chunk_parts(vocab: Vocabulary, text: str, back: int, n: int, entry: int, exit: int) -> tuple[list, np.ndarray, np.ndarray, list]:
+    """Between its border states, the pieces that start in a chunk: ids up to the first word cut, the
+    code points and the cuts of the words in between, ids from the last cut on."""
     border = back + n
     start, before = back, None
+    none = np.zeros(0, np.int64)
     if entry != START:
         start = back + entry % 64
         piece = text[back - entry // 64:start]
         before = vocab.ids.get(piece, vocab.unknown)
     last_start = border - exit // 64
-    if start > last_start:
-        return []
     cps = code_points(text)
+    if start > last_start:
+        return [], cps, none, []
     last_piece = (last_start, vocab.ids.get(text[last_start:border + exit % 64], vocab.unknown))
     cuts = word_cuts(vocab, cps)
     cuts = cuts[(cuts >= start) & (cuts <= last_start) & (cuts > back)]
+
+    def ids(path):
+        return [y for s, i in path for y in _expand(vocab, i, int(cps[s]))]
+
     if not len(cuts):
-        path = trace(walk(vocab, text, start, before, last_start), start, last_start)
-        return [y for s, i in [*path, last_piece] for y in _expand(vocab, i, int(cps[s]))]
+        return ids([*trace(walk(vocab, text, start, before, last_start), start, last_start), last_piece]), cps, none, []
     a, b = int(cuts[0]), int(cuts[-1])
     head = trace(walk(vocab, text, start, before, a), start, a)
-    ids, _ = solve_words(vocab, cps, cuts[:-1], cuts[1:])
     tail = [*trace(walk(vocab, text, b, None, last_start), b, last_start), last_piece]
-    out = [y for s, i in head for y in _expand(vocab, i, int(cps[s]))] + ids.tolist()
-    return out + [y for s, i in tail for y in _expand(vocab, i, int(cps[s]))]
+    return ids(head), cps, cuts, ids(tail)
+
+
+def chunks_ids(vocab: Vocabulary, chunks: list[tuple]) -> list[list[int]]:
+    """Ids of many chunks (text, back, n, entry, exit): the words of all of them are solved together."""
+    parts = [chunk_parts(vocab, *c) for c in chunks]
+    shift = np.concatenate([[0], np.cumsum([len(p[1]) for p in parts])])
+    cps = np.concatenate([p[1] for p in parts])
+    starts = np.concatenate([p[2][:-1] + s for p, s in zip(parts, shift, strict=False)]).astype(np.int64)
+    ends = np.concatenate([p[2][1:] + s for p, s in zip(parts, shift, strict=False)]).astype(np.int64)
+    ids, first = span_ids(vocab, cps, starts, ends) if len(starts) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+    at = np.concatenate([[0], np.cumsum([max(len(p[2]) - 1, 0) for p in parts])])
+    return [[*p[0], *ids[first[at[k]]:first[at[k + 1]]].tolist(), *p[3]] for k, p in enumerate(parts)]
 
 
 def encode(docs: DataFrame, model: dict, columns: list[str], chunk: int = CHUNK) -> DataFrame:
@@ -503,8 +522,8 @@ def encode(docs: DataFrame, model: dict, columns: list[str], chunk: int = CHUNK)
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(sent.value)
         for big in batches:
-            for b in slices(big, "part", 1 << 20):
-                ids = [chunk_ids(vocab, *x) for x in zip(*[b.column(c).to_pylist() for c in ("part", "back", "n", "entry", "exit")], strict=True)]
+            for b in slices(big, "part", 8 << 20):
+                ids = chunks_ids(vocab, list(zip(*[b.column(c).to_pylist() for c in ("part", "back", "n", "entry", "exit")], strict=True)))
                 yield pa.RecordBatch.from_arrays([b.column("key"), b.column("c"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "c", "ids"])
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
