@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from collections.abc import Iterator, Sequence
@@ -34,6 +35,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def plain_names(stage):
+    """Stage decorator: columns beyond those of ``documents`` travel under neutral names, so they cannot
+    clash with what a stage adds; one that clashes with a new output column comes back as ``<name>_in``."""
+    @functools.wraps(stage)
+    def run(spark, docs, sf_dir, *args, **kw):
+        extra = {f"_extra_{i}": c for i, c in enumerate(docs.columns) if c not in DOCUMENT_COLUMNS}
+        safe = docs.toDF(*[c if c in DOCUMENT_COLUMNS else f"_extra_{i}" for i, c in enumerate(docs.columns)])
+        out = stage(spark, safe, sf_dir, *args, **kw)
+        new = {c for c in out.columns if c not in extra}
+        return out.toDF(*[c if c in new else extra[c] + ("_in" if extra[c] in new else "") for c in out.columns])
+
+    return run
+
+
 def inline_table(spark: SparkSession, rows: Sequence[dict], schema: str) -> DataFrame:
     """A small parameter table as a native plan (a JSON literal, no Python rows)."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(list(rows))), f"array<struct<{schema}>>")))
@@ -77,6 +95,8 @@ def string_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
+    if not len(col):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     if col.null_count:
         col = col.fill_null("")
     col = col.cast(pa.large_string())

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INV, _ODD, mix, powers, slices, table, words
+from .common import _INV, _ODD, mix, plain_names, powers, slices, table, words
 
 MIN_TILE = 4
 COVERAGE = 0.5
@@ -185,6 +185,7 @@ def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     return leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@plain_names
 def stage_decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a leaked benchmark item go."""
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, string_bytes, table
+from .common import plain_names, slices, string_bytes, table
 
 WINDOW = 512
 WIDTHS = (2, 3, 4)
@@ -224,6 +224,7 @@ def op4_language_id(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@plain_names
 def stage_language(spark, docs: DataFrame, sf_dir: str, min_score: float = 0.3) -> DataFrame:
     """Pipeline stage: documents without a recognised language go."""
     out = predict(docs, fit(docs), docs.columns)

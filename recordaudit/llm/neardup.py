@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_per_row, materialize, mix, shingles, slices, table, words
+from .common import distinct_per_row, materialize, mix, plain_names, shingles, slices, table, words
 
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
@@ -297,15 +297,19 @@ def node_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
                        F.lower("text").alias("_text"))
-    rows = rows.join(small(wanted, 80), ["doc_id", "text_hash"]).select(*extra, "_text")
+    rows = rows.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    rows = rows.join(small(wanted, 80), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))) \
+        .select(*extra, "_text")
     schema = wanted.select(*extra).schema.add("shingles", "binary")
     return rows.mapInArrow(run, schema)
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, class_id, class_rows, links of every row of ``docs`` (doc_id, text)."""
+    """doc_id, text_hash, class_id, class_text, has_words, links of every row of ``docs`` (doc_id, text).
+
+    (class_id, class_text) are doc_id and text hash of the class's representative."""
     sig = materialize(signatures(docs), "near-signatures")
-    texts = sig.where("node is not null").groupBy("node", "text_hash").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    texts = sig.where("node is not null").groupBy("node", "text_hash").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))  # min skips nulls
     nodes = texts.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep"),
                                       F.count(F.lit(1)).alias("texts"), F.min("n").alias("n"))
     nodes = materialize(nodes.select("node", "rep.doc_id", "rep.text_hash", "texts", "n"), "near-nodes")
@@ -333,39 +337,37 @@ def join_documents(docs: DataFrame) -> DataFrame:
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     final = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "near-classes")
     state = nodes.join(links, "node", "left").join(final, "node", "left").select(
-        "node", F.coalesce("root", "node").alias("root"), "doc_id",
+        "node", F.coalesce("root", "node").alias("root"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash").alias("rep"),
         (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).alias("links"))
-    classes = state.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("m"))
+    classes = state.groupBy("root").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("m"))
     classes = small(materialize(classes.where("m > 1").drop("m"), "near-heads"), 32)  # classes of several nodes
-    state = state.join(classes, "root", "left").select("node", "links", F.coalesce("class_id", "doc_id").alias("class_id"))
+    head = F.coalesce("head", "rep")
+    state = state.join(classes, "root", "left").select(
+        "node", "links", head["doc_id"].alias("class_id"), head["text_hash"].alias("class_text"))
     state = materialize(state, "near-state")
     return sig.select("doc_id", "text_hash", "node").join(state, "node", "left").select(
         "doc_id", "text_hash", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.col("node").isNotNull().alias("has_words"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+        F.coalesce("class_text", "text_hash").alias("class_text"), F.col("node").isNotNull().alias("has_words"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
 
 
+@plain_names
 def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the smallest doc_id stays (of rows that
-    repeat it, one); texts without words all stay."""
+    """Pipeline stage: of each class the representative stays (of rows that repeat it, one); texts
+    without words all stay."""
     joined = materialize(join_documents(docs), "near-joined")
-    text_hash = F.xxhash64("text")
-    gone = joined.where("has_words and not doc_id <=> class_id").select("doc_id", "text_hash").distinct()
-    kept = joined.where("has_words and doc_id <=> class_id")
-    twice = materialize(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("first")).where("n > 1"),
-                        "near-repeated")
-    gone = materialize(gone, "near-gone")
-    rows = docs.withColumn("_hash", text_hash)
-    g = small(gone, 40)
-    rows = rows.join(g.withColumnRenamed("text_hash", "_gone").withColumnRenamed("doc_id", "_gone_id"),
-                     F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.col("_hash") == F.col("_gone")), "left_anti")
-    t = twice.withColumnRenamed("doc_id", "_twice")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_twice"))
-    once = rows.join(t, on, "left_anti")
-    repeated = rows.join(t, on).where("_hash = first").select(*rows.columns).dropDuplicates(["doc_id", "_hash"])
+    head = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_text"))
+    gone = joined.where(F.col("has_words") & ~head).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
+    twice = joined.where(F.col("has_words") & head).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")) \
+        .agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    gone, twice = materialize(gone, "near-gone"), materialize(twice, "near-repeated")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
+    rows = docs.withColumn("_hash", F.xxhash64("text")).join(small(gone, 40), on, "left_anti")
     if twice.isEmpty():
-        return once.select(*docs.columns)
+        return rows.select(*docs.columns)
+    once = rows.join(small(twice, 40), on, "left_anti")
+    repeated = rows.join(small(twice, 40), on, "left_semi").dropDuplicates(["doc_id", "_hash"])
     return once.unionByName(repeated).select(*docs.columns)

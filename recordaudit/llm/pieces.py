@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import materialize, mix, slices, span_hashes, table
+from .common import materialize, mix, plain_names, slices, span_hashes, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -549,6 +549,7 @@ def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:
     return encode(docs, read_model(spark), ["doc_id"]).select("doc_id", "n_pieces", "ids", "round_trip")
 
 
+@plain_names
 def stage_pieces(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with their piece ids."""
     return encode(docs, read_model(spark), docs.columns)

@@ -28,7 +28,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, plain_names, table
 from .neardup import small
 
 MIN_LENGTH = 16
@@ -164,6 +164,7 @@ def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
                         F.sha2(F.encode("candidate", "UTF-8"), 256).alias("secret_sha256"), F.round("probability", 6).alias("probability"))
 
 
+@plain_names
 def stage_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every finding is masked in its text (and n_chars follows); all documents stay."""
     key = F.xxhash64("text")
