@@ -82,7 +82,9 @@ def clean_age_v2(c: Column | str, mask: bool = True) -> Column:
     )
     if not mask:
         return raw
-    return range_mask(raw).try_cast("int")
+    # the range mask as a lookup in AGE_MIN..AGE_MAX (null outside): it names the rules' result once,
+    # so the rules are not evaluated again
+    return F.get(F.sequence(F.lit(int(AGE_MIN)), F.lit(int(AGE_MAX))), (raw - F.lit(int(AGE_MIN))).try_cast("int"))
 
 
 def digits_only(c: Column | str) -> Column:

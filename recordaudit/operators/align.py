@@ -1,11 +1,10 @@
 """Positional and keyed alignment of tables, numbering, unions.
 
 Spark rows have no order, so a position is always derived from an explicit
-ordering key by :func:`dense_position`: a range-partitioned sort, then
-per-partition row counts turned into offsets.  The only derived state is one
-row per (partition, group) -- at most #groups + #partitions rows, size-checked
-before it is broadcast -- so no single-partition window ever holds the data,
-whatever the group sizes.
+ordering key by :func:`dense_position`: range buckets with literal bounds, row
+numbers within a bucket, and the buckets' counts turned into offsets.  The only
+derived state is one row per (bucket, group), so no single-partition window ever
+holds the data, whatever the group sizes, and nothing is written.
 Keyed alignment (the default for pairing) is a plain equi-join.
 """
 
@@ -16,44 +15,58 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from ..session import bounded_broadcast, freeze
+from pyspark.sql import types as T
 
 
 def _q(name: str) -> str:
     return f"`{name}`"
 
 
+def _range_bounds(keyed: DataFrame, keys: Sequence[str], parts: int, per_part: int = 20) -> list:
+    """At most ``parts - 1`` rows of ``keys`` that cut the table into parts of similar size: every
+    ``per_part``-th of a sample, the rows with the smallest hash of the tie-breaker."""
+    sample = keyed.select(*keys).orderBy(F.xxhash64("_tie", F.lit(17))).limit(parts * per_part)
+    rows = sample.orderBy(*keys).collect()  # parts * per_part rows at most
+    step = max(per_part, -(-len(rows) // parts))
+    return rows[step::step]
+
+
+def _bucket(row: Column, bounds: list, lo: int = 0) -> Column:
+    """Number of bounds at or below ``row``, by a balanced tree of comparisons (log2 of them per row)."""
+    if not bounds:
+        return F.lit(lo)
+    mid = len(bounds) // 2
+    return F.when(row < bounds[mid], _bucket(row, bounds[:mid], lo)).otherwise(_bucket(row, bounds[mid + 1:], lo + mid + 1))
+
+
 def dense_position(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (),
                    name: str = "pos", start: int = 1, num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 1-based (``start``) row number in ``order_by`` order,
     restarted for every ``partition_by`` group -- a distributed ``row_number``.
 
-    Rows are range-partitioned on ``partition_by + order_by`` and sorted inside
-    each partition; ``monotonically_increasing_id`` then counts rows inside a
-    partition and a small table of per-(partition, group) counts gives each
-    partition its offset.  Ties in ``order_by`` get distinct, arbitrary positions;
-    pass a total order for repeatable results.
+    The order is ``partition_by + order_by`` and then a hash of the whole row, so it is total
+    but for identical rows, and ties spread over tasks.  Range bounds are picked once from a
+    sample and written into the plan as literals: a row's bucket, the buckets' counts and the
+    row numbers within a bucket come out the same however often the plan is evaluated, without
+    a checkpoint.  The counts are one row per (bucket, group); only keys are counted.
     """
-    keys = list(partition_by) + list(order_by)
+    keys = [*partition_by, *order_by]
     parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *[F.col(_q(k)) for k in keys]) \
-        .sortWithinPartitions(*[F.col(_q(k)) for k in keys])
-    tagged = ranged.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
-    tagged = freeze(tagged)
-    groups = [F.col(_q(k)) for k in partition_by]
-    counts = tagged.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base"))
-    before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per (partition, group): at most #groups + #partitions rows; computed
-    # once (frozen) so the size probe and the join do not both re-aggregate the data
-    offsets = freeze(counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
-    t = tagged.alias("_t")
-    o = bounded_broadcast(offsets).alias("_o")
-    cond = [F.col("_t._pid") == F.col("_o._pid")] + [
-        F.col(f"_t.{_q(k)}").eqNullSafe(F.col(f"_o.{_q(k)}")) for k in partition_by]
-    joined = t.join(o, cond).select("_t.*", F.col("_o._off").alias("_off"), F.col("_o._base").alias("_base"))
-    pos = F.col("_off") + F.col("_mid") - F.col("_base") + F.lit(start)
-    return joined.withColumn(name, pos).drop("_pid", "_mid", "_off", "_base")
+    hashed = [F.col(_q(f.name)) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    keyed = df.withColumns({f"_k{i}": F.col(_q(k)) for i, k in enumerate(keys)} | {"_tie": F.xxhash64(*hashed)})
+    cols = [f"_k{i}" for i in range(len(keys))] + ["_tie"]
+    types = {f.name: f.dataType for f in keyed.schema.fields}
+    bounds = [F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in cols]) for r in _range_bounds(keyed, cols, parts)]
+    placed = keyed.withColumn("_bucket", _bucket(F.struct(*cols), bounds))
+    groups = cols[:len(partition_by)]
+    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_bucket", *groups).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(F.col("_bucket").alias("_ob"), *[F.col(g).alias(f"_o{g}") for g in groups],
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    numbered = placed.withColumn("_row", F.row_number().over(Window.partitionBy("_bucket", *groups).orderBy(*cols)))
+    cond = [F.col("_bucket") == F.col("_ob")] + [F.col(g).eqNullSafe(F.col(f"_o{g}")) for g in groups]
+    pos = F.col("_off") + F.col("_row") + F.lit(start - 1)
+    return numbered.join(offsets, cond).select(*[F.col(_q(c)) for c in df.columns if c != name], pos.alias(name))
 
 
 def number_rows(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (),
@@ -109,13 +122,16 @@ def _suffixed(df: DataFrame, shared: set[str], suffix: str, keys: Iterable[str])
 
 def pair(left: DataFrame, right: DataFrame, how: str = "key", on: Sequence[str] = (),
          order_by: Sequence[str] = (), right_order_by: Sequence[str] | None = None,
-         join: str = "inner", suffixes: tuple[str, str] = ("", "_zh"), position: str = "pos") -> DataFrame:
+         join: str = "inner", suffixes: tuple[str, str] = ("", "_zh"), position: str = "pos",
+         coalesce: Sequence[str] = ()) -> DataFrame:
     """Side-by-side pairing of two tables (e.g. English and Chinese answers).
 
     ``how='key'``: equi-join on ``on`` (stored keys; no positional drift when
     rows failed on one side).  ``how='position'``: join on the dense position in
     ``order_by`` -- ``join='inner'`` truncates to the shorter table, ``'full'``
-    pads with null.  Columns present on both sides get ``suffixes``.
+    pads with null.  Columns present on both sides get ``suffixes``, but for
+    those in ``coalesce`` (key-like columns such as the model): one column, the left
+    value where there is one, else the right.
     """
     jt = {"inner": "inner", "full": "full_outer", "left": "left"}[join]
     if how == "position":
@@ -133,8 +149,11 @@ def pair(left: DataFrame, right: DataFrame, how: str = "key", on: Sequence[str]
     cond = [F.col(_q(k)) == F.col(_q(f"_r_{k}")) for k in keys]
     out = la.join(ra, cond, jt)
     key_cols = [F.coalesce(F.col(_q(k)), F.col(_q(f"_r_{k}"))).alias(k) for k in keys]
-    return out.select(*key_cols, *[F.col(_q(c)) for c in la.columns if c not in keys],
-                      *[F.col(_q(c)) for c in ra.columns if not c.startswith("_r_")])
+    # rows that only the right side has: unsuffixed key-like columns take the right side's value
+    filled = {c: F.coalesce(F.col(_q(c)), F.col(_q(c + suffixes[1]))).alias(c) for c in coalesce if c in shared and not suffixes[0]}
+    return out.select(*key_cols, *[filled.get(c, F.col(_q(c))) for c in la.columns if c not in keys],
+                      *[F.col(_q(c)) for c in ra.columns if not c.startswith("_r_")
+                        and c.removesuffix(suffixes[1]) not in filled])
 
 
 def union_all_by_name(frames: Iterable[DataFrame]) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.age import age_present
 from ..functions.gender import gender_present
 from ..functions.text import fixed2, round_half_even, strip_admin_suffix
-from ..session import DEFAULT_BROADCAST_ROWS
 
 # The four coverage cases and the report's language pairs.
 BOTH, ONLY_AGE, ONLY_GENDER, NEITHER = (
@@ -121,23 +120,18 @@ def _name_set(gazetteer: DataFrame, column: str) -> DataFrame:
             .where(F.col(column).isNotNull()).distinct())
 
 
-def _flag(df: DataFrame, key: Column, names: DataFrame, flag: str, small: bool) -> DataFrame:
-    """Existence flag: left join to a distinct name set (no fan-out); broadcast when
-    the caller proved the set small, else left to AQE."""
-    keyed = df.withColumn("_key", key)
+def _flag(df: DataFrame, key: Column, names: DataFrame, flag: str) -> DataFrame:
+    """Existence flag: left join to a distinct name set (no fan-out); the planner's byte
+    threshold and AQE pick the join.  Rows without a key get a key of their own each, so
+    they do not meet in one task of a shuffle join."""
+    keyed = df.withColumn("_key", F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64(F.monotonically_increasing_id()).cast("string"))))
     right = names.select(F.col("_name").alias("_key"), F.lit(True).alias(flag))
-    right = F.broadcast(right) if small else right
     return keyed.join(right, "_key", "left").drop("_key") \
         .withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
-def _is_small(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def location_flags(df: DataFrame, gazetteer: DataFrame, home: DataFrame | Sequence[str] | None = None,
-                   places: Mapping[str, str] | None = None, levels: Mapping[str, str] | None = None,
-                   max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                   places: Mapping[str, str] | None = None, levels: Mapping[str, str] | None = None) -> DataFrame:
     """Row-level flags: cleaned province/city/district found in the gazetteer, and
     district found but not in the home list.
 
@@ -147,22 +141,20 @@ def location_flags(df: DataFrame, gazetteer: DataFrame, home: DataFrame | Sequen
     """
     places = dict(places or {"Province": "Province_Chinese", "City": "City_Chinese", "District": "District_Chinese"})
     levels = dict(levels or {"Province": "省", "City": "地级市", "District": "县区"})
-    # every distinct name set has at most as many rows as the gazetteer: one probe bounds all three
-    small = _is_small(gazetteer, max_rows)
     out = df
     for level in LOCATION_LEVELS:
         col = _col_or_null(df, places[level])
-        out = _flag(out, strip_admin_suffix(col), _name_set(gazetteer, levels[level]), f"_m_{level.lower()}", small)
+        out = _flag(out, strip_admin_suffix(col), _name_set(gazetteer, levels[level]), f"_m_{level.lower()}")
     district = _col_or_null(df, places["District"])
     out = out.withColumn("_district_clean", F.when(district.isNotNull(), strip_admin_suffix(district)))
     if home is None:
         in_home = F.lit(False)
     elif isinstance(home, DataFrame):
         home_names = home.select(strip_admin_suffix(F.col(home.columns[0])).alias("_name")).distinct()
-        out = _flag(out, F.col("_district_clean"), home_names, "_home", _is_small(home, max_rows))
+        out = _flag(out, F.col("_district_clean"), home_names, "_home")
         in_home = F.col("_home")
-    else:
-        in_home = F.col("_district_clean").isin(list(home))
+    else:  # both forms of the home list are cleaned like the districts
+        in_home = F.col("_district_clean").isin([strip_admin_suffix(F.lit(h)) for h in home])
     out = out.withColumn("_out_of_home", F.col("_district_clean").isNotNull() & ~in_home & F.col("_m_district"))
     return out.drop("_home") if "_home" in out.columns else out
 
@@ -170,29 +162,36 @@ def location_flags(df: DataFrame, gazetteer: DataFrame, home: DataFrame | Sequen
 def location_summary(df: DataFrame, gazetteer: DataFrame, home: DataFrame | Sequence[str] | None = None,
                      model: str = "model_name", label: str = "Chinese", address: str = "Address_Chinese",
                      places: Mapping[str, str] | None = None, levels: Mapping[str, str] | None = None,
-                     max_rows: int = DEFAULT_BROADCAST_ROWS, percentages: bool = True) -> DataFrame:
+                     percentages: bool = True) -> DataFrame:
     """Per model: rows, presence of address/province/city/district, gazetteer
-    matches per level, and districts outside the home list."""
+    matches per level, and districts outside the home list.
+
+    Rows are first counted per (model, places); the joins see each combination of places once."""
     places = dict(places or {"Province": "Province_Chinese", "City": "City_Chinese", "District": "District_Chinese"})
-    flagged = location_flags(df, gazetteer, home, places, levels, max_rows)
-    aggs = [F.count(F.lit(1)).alias("Total_Samples"),
-            F.count(_col_or_null(df, address)).alias(f"{label}_Address")]
-    aggs += [F.count(_col_or_null(df, places[lv])).alias(f"{label}_{lv}") for lv in LOCATION_LEVELS]
-    aggs += [F.count_if(F.col(f"_m_{lv.lower()}")).alias(f"Matched_{lv}") for lv in LOCATION_LEVELS]
-    aggs.append(F.count_if(F.col("_out_of_home")).alias("Out_Of_Home_Districts"))
-    out = flagged.groupBy(F.col(model).alias("Model")).agg(*aggs)
+    names = {lv: f"_p{i}" for i, lv in enumerate(LOCATION_LEVELS)}
+    counted = df.groupBy(F.col(model).alias("Model"), *[_col_or_null(df, places[lv]).alias(c) for lv, c in names.items()]) \
+        .agg(F.count(F.lit(1)).alias("_n"), F.count(_col_or_null(df, address)).alias("_a"))
+    flagged = location_flags(counted, gazetteer, home, names, levels)
+
+    def total(when: Column) -> Column:
+        return F.sum(F.when(when, F.col("_n")).otherwise(0))
+
+    aggs = [F.sum("_n").alias("Total_Samples"), F.sum("_a").alias(f"{label}_Address")]
+    aggs += [total(F.col(names[lv]).isNotNull()).alias(f"{label}_{lv}") for lv in LOCATION_LEVELS]
+    aggs += [total(F.col(f"_m_{lv.lower()}")).alias(f"Matched_{lv}") for lv in LOCATION_LEVELS]
+    aggs.append(total(F.col("_out_of_home")).alias("Out_Of_Home_Districts"))
+    out = flagged.groupBy("Model").agg(*aggs)
     return percentage_columns(out) if percentages else out
 
 
 def out_of_home_rows(df: DataFrame, gazetteer: DataFrame, home: DataFrame | Sequence[str] | None,
                      position: str, model: str | None = None, places: Mapping[str, str] | None = None,
-                     levels: Mapping[str, str] | None = None, index_base: int = 1,
-                     max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                     levels: Mapping[str, str] | None = None, index_base: int = 1) -> DataFrame:
     """Detail listing of rows whose district is known but outside the home list.
 
     ``position`` is a stored 0-based row position; ``Index`` = position + ``index_base``.
     """
-    flagged = location_flags(df, gazetteer, home, places, levels, max_rows)
+    flagged = location_flags(df, gazetteer, home, places, levels)
     cols = ([F.col(model).alias("Model")] if model else []) + [
         (F.col(position) + F.lit(index_base)).alias("Index"), F.col("_district_clean").alias("District")]
     return flagged.where(F.col("_out_of_home")).select(*cols)

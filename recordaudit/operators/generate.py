@@ -1,29 +1,30 @@
 """Prompt grids and batch completion.
 
-The grid is prompts x conditions (x locations) x runs.  Conditions and
-locations are parameter tables (a few to a few thousand rows): they are
-size-checked and inlined as literal arrays that each prompt row explodes, so
-the grid needs no join at all and scales with the prompt table.
-
-Completion calls a caller-supplied ``fn(prompt) -> str | None`` from
-``mapInPandas`` on Arrow batches; the number of partitions bounds the
-concurrency.  Answers of a remote model are not repeatable, so the output is
-checkpointed to the shared folder: later stages and retried tasks never call
-the model twice for the same row.
+The grid is prompts x conditions (x locations) x runs.  Conditions and locations
+are dealt to ``GRID_BLOCKS`` blocks by a hash, every prompt meets every block, and the
+grid is an equi-join on the block: no cap, no driver copy, and the rows of a block are
+one task's work only for the condition side.
+
+Completion calls a caller-supplied ``fn(prompt) -> str | None`` from ``mapInArrow``;
+the number of partitions bounds the concurrency.  Answers of a remote model are not
+repeatable, so they are written once, to a given path or to the shared folder, and
+read back: later stages never call the model again.
 """
 
 from __future__ import annotations
 
+import functools
 import time
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import assemble_prompt, cut_at_stop_tokens, fill_template, strip_braces
-from ..session import bounded_rows, freeze
+from ..session import checkpoint_dir
 
 # Placeholders of the two prompt styles.
 CONDITION_PLACEHOLDERS = ("[CONDITION]", "{{CONDITION}}")
@@ -31,11 +32,23 @@ LOCATION_PLACEHOLDER = "[LOCATION]"
 # Sampling options of the reference's chat requests (passed through to ``fn``).
 DEFAULT_SAMPLING = {"max_tokens": 512, "temperature": 0.9, "top_p": 0.7, "top_k": 50,
                     "frequency_penalty": 0.5, "n": 1}
-MAX_PARAMETER_ROWS = 10_000
+GRID_BLOCKS = 32
 
 
-def _literal_array(rows: list, names: list[str]) -> Column:
-    return F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for v, n in zip(r, names)]) for r in rows])
+def _times(grid: DataFrame, table: DataFrame) -> DataFrame:
+    """Every row of ``grid`` with every row of ``table``, as an equi-join on hashed blocks."""
+    blocked = table.withColumn("_block", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in table.columns]), F.lit(GRID_BLOCKS)))
+    return grid.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRID_BLOCKS - 1).cast("long")))) \
+        .join(blocked, "_block").drop("_block")
+
+
+def lookup_background(conditions: DataFrame, backgrounds: DataFrame, condition: str = "condition",
+                      background: str = "background") -> DataFrame:
+    """Attach the background of each condition by a join; a condition without one raises when it is read."""
+    b = backgrounds.select(F.col(condition).alias("_c"), F.col(background).alias(background)).dropDuplicates(["_c"])
+    joined = conditions.drop(background).join(b, F.col(condition) == F.col("_c"), "left")
+    missing = F.raise_error(F.concat(F.lit("no background for condition "), F.coalesce(F.col(condition), F.lit("NULL"))))
+    return joined.withColumn(background, F.coalesce(F.col(background), missing.cast("string"))).drop("_c")
 
 
 def prompt_grid(prompts: DataFrame, conditions: DataFrame, template: str = "template",
@@ -44,8 +57,7 @@ def prompt_grid(prompts: DataFrame, conditions: DataFrame, template: str = "temp
                 runs: int = 1, suffix: str | Column | None = None,
                 placeholders: Iterable[str] = CONDITION_PLACEHOLDERS,
                 location_placeholder: str = LOCATION_PLACEHOLDER,
-                line_sep: str = "\n", block_sep: str = "\n\n",
-                max_parameter_rows: int = MAX_PARAMETER_ROWS, carry: Iterable[str] = ()) -> DataFrame:
+                line_sep: str = "\n", block_sep: str = "\n\n", carry: Iterable[str] = ()) -> DataFrame:
     """Every prompt template x condition (x location) x run, with the final prompt text.
 
     ``carry`` passes further condition columns through (e.g. the English
@@ -54,11 +66,9 @@ def prompt_grid(prompts: DataFrame, conditions: DataFrame, template: str = "temp
     ``run`` (1..runs), ``prompt``.
     """
     cond_cols = [condition] + ([background] if background else []) + list(carry)
-    crow = bounded_rows(conditions.select(*cond_cols), max_parameter_rows, "conditions")
-    grid = prompts.select("*", F.inline(_literal_array(crow, cond_cols)))
+    grid = _times(prompts, conditions.select(*[F.col(c).cast("string").alias(c) for c in cond_cols]))
     if locations is not None:
-        lrow = bounded_rows(locations.select(location), max_parameter_rows, "locations")
-        grid = grid.select("*", F.inline(_literal_array(lrow, [location])))
+        grid = _times(grid, locations.select(F.col(location).cast("string").alias(location)))
     grid = grid.select("*", F.explode(F.sequence(F.lit(1), F.lit(int(runs)))).alias("run"))
     text = F.col(template)
     for ph in placeholders:
@@ -88,7 +98,8 @@ def completion_udf(fn: Callable[[str], str | None], prompt: str = "prompt", answ
                    attempts: int = 3, delay: float = 2.0, backoff: float = 2.0,
                    sleep: Callable[[float], None] = time.sleep, concurrency: int = 1,
                    pause_every: int = 0, pause: float = 1.0):
-    """The per-partition function for ``mapInPandas``: adds ``answer`` to each Arrow batch.
+    """The per-partition function for ``mapInArrow``: appends ``answer`` to each batch; the other
+    columns pass untouched.  A null prompt gets a null answer without a call.
 
     With ``concurrency > 1`` each task keeps that many calls in flight (the
     calls are I/O bound); the answers keep the row order of the batch.
@@ -96,7 +107,7 @@ def completion_udf(fn: Callable[[str], str | None], prompt: str = "prompt", answ
     ``pause`` seconds (the reference pauses 1 s every 10 calls).
     """
     def call(p):
-        return _call_with_retry(fn, p, attempts, delay, backoff, sleep)
+        return None if p is None else _call_with_retry(fn, p, attempts, delay, backoff, sleep)
 
     def run(batches):
         pool = None
@@ -106,9 +117,8 @@ def completion_udf(fn: Callable[[str], str | None], prompt: str = "prompt", answ
         step = pause_every if pause_every > 0 else None
         done = 0
         try:
-            for pdf in batches:
-                pdf = pdf.copy()
-                prompts = list(pdf[prompt])
+            for batch in batches:
+                prompts = batch.column(prompt).to_pylist()
                 answers, i = [], 0
                 while i < len(prompts):
                     # a chunk never crosses the next pause point, whatever the batch sizes
@@ -119,8 +129,8 @@ def completion_udf(fn: Callable[[str], str | None], prompt: str = "prompt", answ
                     i += len(chunk)
                     if step and done % step == 0:
                         sleep(pause)
-                pdf[answer] = pd.Series(answers, index=pdf.index, dtype="object")
-                yield pdf
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string())],
+                                                 names=[*batch.schema.names, answer])
         finally:
             if pool:
                 pool.shutdown()
@@ -142,23 +152,30 @@ def finish_answers(out: DataFrame, answer: str = "answer", stop: Iterable[str] |
     return out
 
 
-def batch_complete(grid: DataFrame, fn: Callable[[str], str | None], prompt: str = "prompt",
+def batch_complete(grid: DataFrame, fn: Callable[..., str | None], prompt: str = "prompt",
                    answer: str = "answer", attempts: int = 3, delay: float = 2.0, backoff: float = 2.0,
                    sleep: Callable[[float], None] = time.sleep, partitions: int | None = None,
-                   stop: Iterable[str] | None = None, keep_failed: bool = False,
-                   materialize: bool = True, concurrency: int = 1, pause_every: int = 0,
-                   pause: float = 1.0) -> DataFrame:
+                   stop: Iterable[str] | None = None, keep_failed: bool = False, output: str | None = None,
+                   concurrency: int = 1, pause_every: int = 0, pause: float = 1.0,
+                   sampling: Mapping[str, object] | None = None) -> DataFrame:
     """Call ``fn`` once per grid row; retries with back-off; null after the last
     failure (only that row is lost).  Failed rows are dropped unless
     ``keep_failed``; the answer is cut at the first ``stop`` token.
     ``partitions`` x ``concurrency`` bounds the calls in flight; ``pause_every``
-    / ``pause`` throttle each task."""
-    run = completion_udf(fn, prompt, answer, attempts, delay, backoff, sleep, concurrency, pause_every, pause)
+    / ``pause`` throttle each task.  ``sampling`` options are passed to ``fn`` as keywords.
+
+    The answers are written once, to ``output`` or to a new folder below the session's shared
+    folder, and the result reads them back; without either this raises."""
+    spark = grid.sparkSession
+    target = output or (f"{checkpoint_dir(spark)}/answers-{uuid.uuid4().hex}" if checkpoint_dir(spark) else None)
+    if target is None:
+        raise ValueError("answers cannot be repeated: give an output path or set spark.checkpoint.dir")
+    client = functools.partial(fn, **sampling) if sampling else fn
+    run = completion_udf(client, prompt, answer, attempts, delay, backoff, sleep, concurrency, pause_every, pause)
     src = grid.repartition(partitions) if partitions else grid
-    out = src.mapInPandas(run, answer_schema(grid.schema, answer))
-    if materialize:
-        out = freeze(out)
-    return finish_answers(out, answer, stop, keep_failed)
+    schema = answer_schema(grid.schema, answer)
+    src.mapInArrow(run, schema).write.parquet(target)
+    return finish_answers(spark.read.schema(schema).parquet(target), answer, stop, keep_failed)
 
 
 def stamp(df: DataFrame, constants: Mapping[str, object]) -> DataFrame:

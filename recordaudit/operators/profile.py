@@ -82,26 +82,21 @@ def binned_distribution(df: DataFrame, values: str | Mapping[str, Column | str],
     cols = dict(values) if multi else {values: values}
     keys = list(by)
     labels = band_labels(width, low, high, label_style)
-    # Band ids are projected once per row; the aggregate then only compares ints
-    # (evaluating the band expression inside every conditional count is ~10x slower).
-    proj = [F.col(k) for k in keys]
+    # Rows are counted per (group, column, band) -- partial aggregation, a few small rows per group
+    # and task -- and only the counted rows are spread over the full domain.
+    pairs = []
     for j, col in enumerate(cols.values()):
         x = _c(col).cast("double")
-        proj += [band_index(x, width, low, high).alias(f"_b{j}"), x.isNotNull().alias(f"_v{j}")]
-    src = _keys_not_null(df, keys).select(*proj)
-    aggs, items = [], []
-    for j, name in enumerate(cols):
-        total = F.count(F.lit(1)) if denominator == "all" else F.count_if(F.col(f"_v{j}"))
-        aggs.append(total.alias(f"_t{j}"))
-        for i, label in enumerate(labels):
-            aggs.append(F.count_if(F.col(f"_b{j}") == i).alias(f"_n{j}_{i}"))
-            fields = [F.lit(i).alias("band_idx"), F.lit(label).alias("band"),
-                      F.col(f"_n{j}_{i}").alias("n"), F.col(f"_t{j}").alias("_total")]
-            if multi:
-                fields.insert(0, F.lit(name).alias("column"))
-            items.append(F.struct(*fields))
-    agg = src.groupBy(*keys).agg(*aggs)
-    long = agg.select(*keys, F.inline(F.array(*items)))
+        pairs.append(F.struct(F.lit(j).alias("_col"), band_index(x, width, low, high).alias("_band"), x.isNotNull().alias("_num")))
+    src = _keys_not_null(df, keys).select(*[F.col(k) for k in keys], F.inline(F.array(*pairs)))
+    counted = src.groupBy(*keys, "_col", "_band", "_num").agg(F.count(F.lit(1)).alias("_n"))
+    total = F.sum("_n") if denominator == "all" else F.sum(F.when(F.col("_num"), F.col("_n")).otherwise(0))
+    per = counted.groupBy(*keys, "_col").agg(
+        total.alias("_total"), F.map_from_entries(F.collect_list(F.when(F.col("_band").isNotNull(), F.struct("_band", "_n")))).alias("_m"))
+    bands = F.array(*[F.struct(F.lit(i).alias("band_idx"), F.lit(label).alias("band")) for i, label in enumerate(labels)])
+    names = F.array(*[F.lit(n) for n in cols])
+    long = per.select(*keys, *([F.get(names, F.col("_col")).alias("column")] if multi else []), "_total", "_m", F.inline(bands)) \
+        .withColumn("n", F.coalesce(F.try_element_at("_m", F.col("band_idx")), F.lit(0)).cast("bigint"))
     pct = _pct(F.col("n"), F.col("_total"))
     head = keys + (["column"] if multi else [])
     return long.select(*head, "band_idx", "band", "n",
@@ -225,8 +220,9 @@ def cleaning_before_after(df: DataFrame, raw: str, cleaned: Column, by: Sequence
     out = []
     for stage, part in (("before", before), ("after", after)):
         if keys:
-            totals = part.groupBy(*keys).agg(F.sum("n").alias("_total"))
-            part = part.join(totals, keys)
+            totals = part.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(F.sum("n").alias("_total"))
+            cond = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]  # a null key is a group, too
+            part = part.join(totals, cond)
         else:
             part = part.withColumn("_total", part.select(F.sum("n")).scalar())
         out.append(part.select(*keys, F.lit(stage).alias("stage"), "value", F.col("n").cast("bigint").alias("n"),
@@ -234,9 +230,10 @@ def cleaning_before_after(df: DataFrame, raw: str, cleaned: Column, by: Sequence
     return out[0].unionByName(out[1])
 
 
-def cleaning_audit(df: DataFrame, raw: str, cleaned: Column, matched: Column | None = None) -> DataFrame:
-    """Each distinct non-null raw value with its cleaned value, count and rule hit."""
-    cols = [F.col(raw).alias("raw"), cleaned.alias("cleaned")]
+def cleaning_audit(df: DataFrame, raw: str, cleaned: Column, matched: Column | None = None,
+                   by: Sequence[str] = ()) -> DataFrame:
+    """Each distinct non-null raw value (per ``by`` keys) with its cleaned value, count and rule hit."""
+    cols = [*[F.col(k) for k in by], F.col(raw).alias("raw"), cleaned.alias("cleaned")]
     if matched is not None:
         cols.append(matched.alias("matched"))
     return df.where(F.col(raw).isNotNull()).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))

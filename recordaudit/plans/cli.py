@@ -19,8 +19,13 @@ from ..sources import files
 from . import jobs
 
 
-def read_records(spark: SparkSession, path: str, fmt: str, glob: str | None, model: str) -> DataFrame:
-    df = files.scan(spark, path, fmt=fmt, glob=glob, ignore_corrupt=True)
+def read_records(spark: SparkSession, path: str, fmt: str, glob: str | None, model: str,
+                 skip_corrupt: str | None = None) -> DataFrame:
+    """All record files; a corrupt file is an error, or with ``skip_corrupt`` is left out and
+    listed in the report written there."""
+    if skip_corrupt:
+        files.write_report(files.corrupt_files(spark, path, fmt, glob), skip_corrupt)
+    df = files.scan(spark, path, fmt=fmt, glob=glob, ignore_corrupt=bool(skip_corrupt))
     df = files.normalize_nulls(df)
     if model not in df.columns:
         df = df.withColumn(model, files.model_from_file(F.col(files.FILE_NAME)))
@@ -33,6 +38,7 @@ def _common(p: argparse.ArgumentParser) -> None:
     p.add_argument("--output", required=True)
     p.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     p.add_argument("--glob", default=None)
+    p.add_argument("--skip-corrupt", default=None, metavar="REPORT", help="leave corrupt files out and list them in REPORT")
     p.add_argument("--model", default="model_name")
     p.add_argument("--report-format", default="csv", choices=["csv", "parquet", "json"])
 
@@ -51,13 +57,13 @@ def build_parser() -> argparse.ArgumentParser:
     p = sub.add_parser("age-profile", help="banded age distribution per group")
     _common(p)
     p.add_argument("--columns", nargs="+", default=["Age", "Age_Chinese"])
-    p.add_argument("--group", default="disease")
+    p.add_argument("--group", nargs="+", default=["disease"], help="e.g. model_name disease, or file_name disease")
     p.add_argument("--labels", default="upper", choices=["upper", "lower"])
     p.add_argument("--wide", action="store_true")
     p = sub.add_parser("gender-profile", help="Female/Male/Unknown distribution per group")
     _common(p)
     p.add_argument("--columns", nargs="+", default=["Sex", "Sex_Chinese"])
-    p.add_argument("--group", default="disease")
+    p.add_argument("--group", nargs="+", default=["disease"], help="e.g. model_name disease, or file_name disease")
     p.add_argument("--wide", action="store_true")
     p = sub.add_parser("clean", help="clean age and gender columns into a new dataset version")
     _common(p)
@@ -70,6 +76,20 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--real-format", default="csv")
     p.add_argument("--label", default="gender")
     p.add_argument("--group", default="disease")
+    p.add_argument("--from-reports", action="store_true", help="--input holds the models' wide reports, not records")
+    p.add_argument("--alias", nargs="*", default=None, metavar="GROUP=TEXT,TEXT", help="substring rules; default: the built-in ones")
+    p.add_argument("--alpha", type=float, default=0.05)
+    p = sub.add_parser("audit", help="before/after table or audit of a gender column per keys")
+    _common(p)
+    p.add_argument("--column", default="Sex_Chinese")
+    p.add_argument("--by", nargs="*", default=[])
+    p.add_argument("--report", default="audit", choices=["audit", "before-after"])
+    p = sub.add_parser("out-of-home", help="rows whose district is known but outside the home list")
+    _common(p)
+    p.add_argument("--gazetteer", required=True)
+    p.add_argument("--gazetteer-format", default="csv")
+    p.add_argument("--home", nargs="*", default=[])
+    p.add_argument("--position", required=True, help="column with the 0-based row position")
     p = sub.add_parser("tokens", help="mean ± std of token columns per model")
     _common(p)
     p.add_argument("--columns", nargs="+", default=["English_a_tokens", "Chinese_a_tokens"])
@@ -84,6 +104,7 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--runs", type=int, default=100)
     p.add_argument("--suffix", default=None)
     p.add_argument("--stop", nargs="*", default=[])
+    p.add_argument("--sampling", nargs="*", default=None, metavar="KEY=VALUE", help="pass the sampling options (and changes to them) to the client")
     p.add_argument("--partitions", type=int, default=None)
     p.add_argument("--concurrency", type=int, default=1)
     p.add_argument("--pause-every", type=int, default=0)
@@ -109,6 +130,22 @@ def _load_client(spec: str):
     return getattr(importlib.import_module(module), name)
 
 
+def _sampling(pairs: list[str] | None) -> dict | None:
+    import json
+
+    if pairs is None:
+        return None
+    from ..operators.generate import DEFAULT_SAMPLING
+
+    return DEFAULT_SAMPLING | {k: json.loads(v) for k, _, v in (x.partition("=") for x in pairs)}
+
+
+def _aliases(pairs: list[str] | None) -> dict:
+    if pairs is None:
+        return contingency.DEFAULT_ALIAS_RULES
+    return {k: v.lower().split(",") for k, _, v in (x.partition("=") for x in pairs)}
+
+
 def generate_answers(spark: SparkSession, a: argparse.Namespace) -> str:
     from ..operators import align, generate
     prompts = _read_table(spark, a.prompts, a.table_format)
@@ -124,7 +161,8 @@ def generate_answers(spark: SparkSession, a: argparse.Namespace) -> str:
     keys = ["disease"] + (["location"] if locations is not None else [])
     out = jobs.complete(grid, _load_client(a.client), constants={"model_name": a.model, "language": a.language},
                         number_by=keys, stop=a.stop or None, partitions=a.partitions, concurrency=a.concurrency,
-                        pause_every=a.pause_every, pause=a.pause)
+                        pause_every=a.pause_every, pause=a.pause, sampling=_sampling(a.sampling),
+                        output=f"{a.output.rstrip('/')}-answers")
     files.write_partitioned(out.drop("template"), a.output, ["model_name", *keys, "language"], fmt="parquet")
     return a.output
 
@@ -133,7 +171,10 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame | str:
     a = build_parser().parse_args(argv)
     if a.job == "generate":
         return generate_answers(spark, a)
-    df = read_records(spark, a.input, a.format, a.glob, a.model)
+    if a.job == "chi-square" and a.from_reports:
+        df = files.scan(spark, a.input, fmt=a.format, glob=a.glob)
+    else:
+        df = read_records(spark, a.input, a.format, a.glob, a.model, a.skip_corrupt)
     if a.job == "coverage":
         out = jobs.coverage_report(jobs.coverage_summary(df, a.model), total=a.total or None)
     elif a.job == "location":
@@ -148,9 +189,23 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame | str:
         return files.write_version(cleaned.drop(files.FILE_NAME), a.output, a.version)
     elif a.job == "chi-square":
         real = contingency.real_from_report(_read_table(spark, a.real, a.real_format), label=a.label, group=a.group)
-        out = contingency.gender_chi_square(jobs.clean_genders(df), real, model=a.model, group=a.group)
-        files.write_partitioned(out, a.output, ["language", a.group], fmt=a.report_format)
+        rules = _aliases(a.alias)
+        if a.from_reports:
+            out = contingency.chi_square_from_reports(df, real, a.group, a.label, alias_rules=rules, alpha=a.alpha, expected=True)
+        else:
+            out = contingency.gender_chi_square(jobs.clean_genders(df), real, model=a.model, group=a.group, real_group=a.group,
+                                                alias_rules=rules, alpha=a.alpha, expected=True)
+        if out.isEmpty():
+            raise ValueError("no counts to test: check --group, --label and --alias")
+        files.write_report(out, f"{a.output.rstrip('/')}/combined", fmt=a.report_format)
+        files.write_partitioned(out, f"{a.output.rstrip('/')}/split", ["model", "language", a.group], fmt=a.report_format)
         return a.output
+    elif a.job == "audit":
+        reports = jobs.gender_cleaning_reports(df, a.column, by=a.by)
+        out = reports[1 if a.report == "audit" else 0]
+    elif a.job == "out-of-home":
+        gaz = _read_table(spark, a.gazetteer, a.gazetteer_format)
+        out = coverage.out_of_home_rows(df, gaz, a.home or None, a.position, model=a.model)
     elif a.job == "tokens":
         out = contingency.token_summary(df, a.columns, a.model)
     else:  # lengths

@@ -1,7 +1,8 @@
 """Composite jobs: the end-to-end audits a user runs, built from the operators.
 
-Each job is one lazy plan over one DataFrame of all models / files; nothing
-loops over files or groups on the driver.
+Each job is a plan over one DataFrame of all models / files; nothing loops over files or
+groups on the driver.  Some jobs run small Spark jobs while the plan is built: range
+bounds for numbering, pivot values, and the written answers of a completion.
 """
 
 from __future__ import annotations
@@ -46,28 +47,36 @@ def location_report(df: DataFrame, gazetteer: DataFrame, home, model: str = "mod
 
 
 # C4 / C5 -------------------------------------------------------------------
-def age_profile(df: DataFrame, columns: Sequence[str] = ("Age", "Age_Chinese"), group: str = "disease",
+def _keys(group: str | Sequence[str]) -> list[str]:
+    return [group] if isinstance(group, str) else list(group)
+
+
+def age_profile(df: DataFrame, columns: Sequence[str] = ("Age", "Age_Chinese"), group: str | Sequence[str] = "disease",
                 coerce: bool = True, label_style: str = "upper", denominator: str = "all",
                 wide: bool = False) -> DataFrame:
-    """Banded age distribution per group for each age column (one aggregate)."""
+    """Banded age distribution per group for each age column (one aggregate).
+
+    ``group``: one key or several, e.g. ``["model_name", "disease"]`` or ``["file_name", "disease"]``
+    for a table per model or file; the wide form spreads the last key over columns."""
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     values = {c: (numeric_coerce(F.col(c)) if coerce and c in text else F.col(c)) for c in columns}
-    long = profile.binned_distribution(df, values, by=[group], label_style=label_style, denominator=denominator)
+    long = profile.binned_distribution(df, values, by=_keys(group), label_style=label_style, denominator=denominator)
     if not wide:
         return long
-    return reshape.pivot_report(long, ["column", "band_idx", "band"], group)
+    return reshape.pivot_report(long, [*_keys(group)[:-1], "column", "band_idx", "band"], _keys(group)[-1])
 
 
-def gender_profile(df: DataFrame, columns: Sequence[str] = ("Sex", "Sex_Chinese"), group: str = "disease",
+def gender_profile(df: DataFrame, columns: Sequence[str] = ("Sex", "Sex_Chinese"), group: str | Sequence[str] = "disease",
                    domain: Sequence[str] = tuple(profile.GENDER_DOMAIN), wide: bool = False) -> DataFrame:
-    """Female/Male/Unknown distribution per group for each gender column."""
+    """Female/Male/Unknown distribution per group (one key or several) for each gender column."""
     items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("_value"))
                       for c in columns])
-    long_in = df.select(F.col(group), F.inline(items))
-    long = profile.category_distribution(long_in, "_value", by=["column", group], domain=domain)
+    keys = _keys(group)
+    long_in = df.select(*[F.col(k) for k in keys], F.inline(items))
+    long = profile.category_distribution(long_in, "_value", by=["column", *keys], domain=domain)
     if not wide:
         return long
-    return reshape.pivot_report(long, ["column", "category_idx", "category"], group)
+    return reshape.pivot_report(long, [*keys[:-1], "column", "category_idx", "category"], keys[-1])
 
 
 # C6 / C7 / C8 --------------------------------------------------------------
@@ -89,19 +98,17 @@ def clean_ages_legacy(df: DataFrame, zh: str = "Age_Chinese", en: str = "Age") -
     return df.withColumns(cols)
 
 
-def age_cleaning_report(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return profile.valid_ratio(after, [c for c in columns if c in after.columns])
-
-
 def clean_genders(df: DataFrame, columns: Sequence[str] = ("Sex", "Sex_Chinese"), rules: str = "merged") -> DataFrame:
     present = [c for c in columns if c in df.columns]
     return df.withColumns({c: clean_gender(F.col(f"`{c}`"), rules) for c in present})
 
 
-def gender_cleaning_reports(df: DataFrame, column: str, rules: str = "merged") -> tuple[DataFrame, DataFrame]:
+def gender_cleaning_reports(df: DataFrame, column: str, rules: str = "merged",
+                            by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Before/after table and audit of a gender column, per ``by`` keys (model, file ...)."""
     cleaned = clean_gender(F.col(column), rules)
-    return (profile.cleaning_before_after(df, column, cleaned),
-            profile.cleaning_audit(df, column, cleaned, gender_rule_matched(F.col(column), rules)))
+    return (profile.cleaning_before_after(df, column, cleaned, by=by),
+            profile.cleaning_audit(df, column, cleaned, gender_rule_matched(F.col(column), rules), by=by))
 
 
 # C10 -----------------------------------------------------------------------
@@ -135,7 +142,7 @@ def pair_languages(en: DataFrame, zh: DataFrame, how: str = "key",
                    columns_order: Sequence[str] = tuple(PAIRED_ORDER)) -> DataFrame:
     """Bilingual table: keyed (default) or positional pairing, 0-based ``index``,
     then the fixed column order restricted to the columns available."""
-    paired = align.pair(en, zh, how=how, on=on, order_by=order_by, join=join, position="_pos")
+    paired = align.pair(en, zh, how=how, on=on, order_by=order_by, join=join, position="_pos", coalesce=("model_name", "disease"))
     if how == "position":
         paired = paired.withColumn("index", F.col("_pos") - 1).drop("_pos")
     else:

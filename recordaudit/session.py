@@ -11,11 +11,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest side we broadcast after proving its row count (a few hundred bytes per
-# row at most for name sets and offset tables, i.e. well under 1 GB).
-DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "recordaudit") -> SparkSession:
@@ -65,27 +60,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def freeze(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint when the session has a shared folder.
 
-    Without one the plan is returned unchanged; callers only use this on
-    deterministic plans, so recomputation after a lost executor gives the same rows.
+    Without one the plan is returned unchanged.  Only counted tables and reports go
+    through here (their rows do not depend on how often they are evaluated).
     """
     if checkpoint_dir(df.sparkSession):
         return df.checkpoint(eager=True)
     return df
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after proving the side has at most ``max_rows`` rows.
-
-    The probe reads at most ``max_rows + 1`` rows.  Beyond the bound the side is
-    returned unhinted and AQE picks a shuffle join (with skew splitting).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list:
-    """Collect a small parameter table (conditions, locations) after a size check."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{what} has more than {max_rows} rows; it is a parameter table, not data")
-    return rows

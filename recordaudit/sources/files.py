@@ -9,9 +9,13 @@ read: every cleaning step writes a new ``version=`` directory.
 
 from __future__ import annotations
 
+import csv
+import functools
+import gzip
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,37 +25,138 @@ from ..functions.text import null_tokens
 FILE_NAME = "file_name"
 
 
-def scan(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet",
-         schema: T.StructType | str | None = None, glob: str | None = None, recursive: bool = False,
-         ignore_corrupt: bool = False, options: Mapping[str, str] | None = None,
-         keys: Mapping[str, Column] | None = None) -> DataFrame:
-    """Read every file of ``path`` (optionally filtered by ``glob``) into one
-    frame with a ``file_name`` column and derived ``keys`` (expressions over
-    ``file_name``).  ``ignore_corrupt`` skips unreadable files and continues."""
-    reader = spark.read.format(fmt)
-    if schema is not None:
-        reader = reader.schema(schema)
+def list_files(spark: SparkSession, path: str | Sequence[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
+    """``path, length`` of every file (a listing; contents are not read)."""
+    reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    if ignore_corrupt:
-        reader = reader.option("ignoreCorruptFiles", "true")
-    if fmt == "csv":
-        reader = reader.option("header", "true")
-    for k, v in (options or {}).items():
-        reader = reader.option(k, v)
-    df = reader.load(path if isinstance(path, str) else list(path))
-    df = df.withColumn(FILE_NAME, F.col("_metadata.file_name"))
-    return df.withColumns(dict(keys)) if keys else df
+    return reader.load(path if isinstance(path, str) else list(path)).select("path", "length")
+
+
+def corrupt_files(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet", glob: str | None = None,
+                  recursive: bool = False) -> DataFrame:
+    """``path, reason`` of every file that cannot be read to its end (full paths).
+
+    Tasks read the files whole (one at a time, up to 2 GB each): parquet files by their row
+    groups, text formats through gzip where the name says so, down to their last byte."""
+    reader = spark.read.format("binaryFile")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+
+    def reason(name: str, raw: bytes) -> str | None:
+        try:
+            if fmt == "parquet":
+                import pyarrow.parquet as pq
+
+                f = pq.ParquetFile(pa.BufferReader(raw))
+                for g in range(f.num_row_groups):
+                    f.read_row_group(g)
+            else:
+                (gzip.decompress(raw) if name.endswith(".gz") else raw).decode("utf-8")
+        except Exception as e:
+            return f"{type(e).__name__}: {e}"[:300]
+        return None
+
+    def check(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (r,) = batch.slice(k, 1).to_pylist()
+                why = reason(r["path"], r["content"])
+                if why is not None:
+                    yield pa.RecordBatch.from_pylist([{"path": r["path"], "reason": why}], pa.schema([("path", pa.string()), ("reason", pa.string())]))
+
+    return reader.load(path if isinstance(path, str) else list(path)).select("path", "content") \
+        .mapInArrow(check, "path string, reason string")
+
+
+def _first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a (possibly compressed) text file, through Hadoop's file systems."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(conf).open(p)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+    try:
+        source = codec.createInputStream(stream) if codec is not None else stream
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return (line or "").removeprefix("\ufeff")
+
+
+def _by_header(spark: SparkSession, paths: Iterable[str], fmt: str) -> dict[tuple[str, ...], list[str]]:
+    """The files per list of columns: CSV headers, else the schemas of the files' footers or records."""
+    out: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:
+        if fmt == "csv":
+            names = tuple(next(csv.reader([_first_line(spark, p)]), []))
+        else:
+            names = tuple(spark.read.format(fmt).load(p).columns)
+        out.setdefault(names, []).append(p)
+    return out
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition when a scan yields fewer splits than the cluster can run
-    (few files with one row group each); a no-op on large inputs.  Spark sorts rows
-    before a round-robin repartition, so a retried task sees the same rows."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+def scan(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet",
+         schema: T.StructType | str | None = None, glob: str | None = None, recursive: bool = False,
+         ignore_corrupt: bool = False, options: Mapping[str, str] | None = None,
+         keys: Mapping[str, Column] | None = None, required: Iterable[str] = (), on_missing: str = "raise") -> DataFrame:
+    """Read every file of ``path`` (optionally filtered by ``glob``) into one frame with a
+    ``file_name`` column and derived ``keys`` (expressions over ``file_name``).
+
+    Files with different columns are united by name: CSV files by their own header each,
+    parquet files by their merged schemas; a column that a file lacks is null there.  A
+    corrupt file is an error; with ``ignore_corrupt`` whole bad files are left out
+    (:func:`corrupt_files` lists them, to be written as a report).  ``required`` columns are
+    checked per file: ``on_missing='raise'``, or ``'skip'`` to leave such files out."""
+    need = list(required)
+    if ignore_corrupt or fmt == "csv" and schema is None or need:
+        paths = [r["path"] for r in list_files(spark, path, glob, recursive).collect()]  # one short string per file
+        if ignore_corrupt:
+            bad = {r["path"] for r in corrupt_files(spark, path, fmt, glob, recursive).select("path").collect()}
+            paths = [p for p in paths if p not in bad]
+        if not paths:
+            raise ValueError(f"no readable file in {path}")
+    else:
+        paths = None
+
+    def read(some: str | Sequence[str], names: tuple[str, ...] | None = None) -> DataFrame:
+        reader = spark.read.format(fmt)
+        if schema is not None:
+            reader = reader.schema(schema)
+        elif names is not None:
+            reader = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+        if fmt == "csv":
+            reader = reader.option("header", "true").option("enforceSchema", "true" if names is not None else "false")
+        if fmt == "parquet":
+            reader = reader.option("mergeSchema", "true")
+        if paths is None and glob:
+            reader = reader.option("pathGlobFilter", glob)
+        if paths is None and recursive:
+            reader = reader.option("recursiveFileLookup", "true")
+        for k, v in (options or {}).items():
+            reader = reader.option(k, v)
+        df = reader.load(some if isinstance(some, str) else list(some))
+        return df.withColumn(FILE_NAME, F.col("_metadata.file_name"))
+
+    if need or fmt == "csv" and schema is None:
+        groups = _by_header(spark, paths, fmt)
+        lacking = {p: sorted(set(need) - set(names)) for names, some in groups.items() for p in some if set(need) - set(names)}
+        if lacking and on_missing == "raise":
+            raise ValueError(f"missing required columns: {lacking}")
+        groups = {names: some for names, some in groups.items() if not set(need) - set(names)}
+        if not groups:
+            raise ValueError(f"no file of {path} has the columns {need}")
+        if fmt == "csv" and schema is None:
+            parts = [read(some, names) for names, some in groups.items()]
+            df = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        else:
+            df = read([p for some in groups.values() for p in some])
+    else:
+        df = read(paths if paths is not None else path)
+    return df.withColumns(dict(keys)) if keys else df
 
 
 def model_from_file(file_name: Column, suffix_pattern: str = r"(_v[0-9.]+)?\.[A-Za-z]+$") -> Column:
@@ -87,14 +192,13 @@ def rewrite_version(name: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return out
 
 
-def skipped_files(spark: SparkSession, path: str, read: DataFrame, glob: str | None = None) -> DataFrame:
-    """Files listed under ``path`` that produced no rows in ``read`` (unreadable or empty)."""
-    reader = spark.read.format("binaryFile")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    listed = reader.load(path).select(F.element_at(F.split(F.col("path"), "/"), -1).alias(FILE_NAME))
-    seen = read.select(FILE_NAME).distinct()
-    return listed.join(seen, FILE_NAME, "left_anti")
+def skipped_files(spark: SparkSession, path: str, read: DataFrame, glob: str | None = None, recursive: bool = False) -> DataFrame:
+    """Files listed under ``path`` that produced no rows in ``read`` (unreadable or empty), by name.
+    ``read`` with a ``file_path`` column is compared by full path instead."""
+    listed = list_files(spark, path, glob, recursive).select(
+        F.col("path").alias("file_path"), F.element_at(F.split(F.col("path"), "/"), -1).alias(FILE_NAME))
+    by = "file_path" if "file_path" in read.columns else FILE_NAME
+    return listed.join(read.select(by).distinct(), by, "left_anti").select(FILE_NAME, *(["file_path"] if by == "file_path" else []))
 
 
 def require_columns(df: DataFrame, required: Iterable[str], optional: Iterable[str] = (),
@@ -158,21 +262,18 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
 
 
 def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str], fmt: str = "parquet",
-                      mode: str = "overwrite", files_per_key: int | None = None) -> None:
+                      mode: str = "overwrite", rows_per_file: int = 1_000_000) -> None:
     """One output directory per key combination (model / group / language ...).
 
-    Default: no shuffle -- each task sorts its rows by the keys and writes one
-    file per key it holds, so a key holding a third of all rows is written by
-    every task instead of one.  ``files_per_key`` instead hash-repartitions on
-    the keys plus a deterministic salt in ``[0, files_per_key)`` (fewer, larger
-    files; a hot key still spreads over ``files_per_key`` tasks).
+    Rows are dealt by the keys and a salt; a key gets one salt per ``rows_per_file`` of its
+    counted rows, so a hot key spreads over tasks and a cold key is one file.
     """
     keys = [F.col(f"`{k}`") for k in partition_by]
-    if files_per_key:
-        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_key))
-        out = df.repartition(*keys, salt)
-    else:
-        out = df.sortWithinPartitions(*keys)
+    counts = df.groupBy(*[k.alias(f"_w{i}") for i, k in enumerate(keys)]).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    cond = [k.eqNullSafe(F.col(f"_w{i}")) for i, k in enumerate(keys)]
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
+    salted = df.join(counts, cond).withColumn("_salt", F.pmod(row, F.col("_files")))
+    out = salted.repartition(*keys, "_salt").select(*[F.col(f"`{c}`") for c in df.columns]).sortWithinPartitions(*keys)
     w = out.write.mode(mode).partitionBy(*partition_by)
     if fmt == "csv":
         w = w.option("header", "true")
@@ -184,6 +285,34 @@ def _local(path: str) -> str:
     return re.sub(r"^file:/+", "/", path)
 
 
+def reads_below(df: DataFrame, target: str) -> bool:
+    """Whether the plan's scans read ``target`` or something in it (whole path segments; the
+    scans' root paths, not their files)."""
+    roots: list[str] = []
+
+    def walk(node) -> None:
+        if node.getClass().getSimpleName() == "LogicalRelation" and hasattr(node.relation(), "location"):
+            paths = node.relation().location().rootPaths()
+            roots.extend(paths.apply(i).toString() for i in range(paths.size()))
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().analyzed())
+    want = _local(target).rstrip("/").split("/")
+    parts = [_local(r).rstrip("/").split("/") for r in roots]
+    return any(p[:len(want)] == want or want[:len(p)] == p for p in parts)
+
+
+def current_version(spark: SparkSession, base: str) -> str | None:
+    """The version that ``base`` points to (the last one written), or None."""
+    try:
+        row = spark.read.text(f"{base.rstrip('/')}/_current").first()
+    except Exception:
+        return None
+    return row["value"] if row else None
+
+
 def write_version(df: DataFrame, base: str, version: str, partition_by: Sequence[str] = (),
                   fmt: str = "parquet") -> str:
     """Write a cleaning step's output as ``base/version=<version>``.
@@ -192,10 +321,12 @@ def write_version(df: DataFrame, base: str, version: str, partition_by: Sequence
     content of the target is replaced, so rerunning a failed job is idempotent.
     """
     target = f"{base.rstrip('/')}/version={version}"
-    if any(_local(p).startswith(_local(target)) for p in df.inputFiles()):
+    if reads_below(df, target):
         raise ValueError("refusing to overwrite the version being read; write a new version")
     if partition_by:
         write_partitioned(df, target, partition_by, fmt, mode="overwrite")
     else:
         df.write.mode("overwrite").format(fmt).save(target)
+    # the pointer is written last: a failed job leaves the old version current
+    df.sparkSession.range(1).select(F.lit(version).alias("value")).coalesce(1).write.mode("overwrite").text(f"{base.rstrip('/')}/_current")
     return target

@@ -37,7 +37,7 @@ def complete_stream(spark: SparkSession, source: str, schema: T.StructType | str
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     grid = reader.load(source)
     run = completion_udf(fn, prompt, answer, attempts, delay, backoff, sleep, concurrency, pause_every, pause)
-    answered = finish_answers(grid.mapInPandas(run, answer_schema(grid.schema, answer)), answer, stop, keep_failed)
+    answered = finish_answers(grid.mapInArrow(run, answer_schema(grid.schema, answer)), answer, stop, keep_failed)
     writer = (answered.writeStream.format(fmt).outputMode("append")
               .option("path", sink).option("checkpointLocation", checkpoint))
     keys = list(partition_by)

@@ -61,7 +61,12 @@ def test_cli_jobs(spark):
     real = pd.DataFrame({"gender": ["Female", "Male"], "flu": ["12 (40.0%)", "18 (60.0%)"], "cold": [5, 5]})
     real.to_csv(out("real.csv"), index=False)
     cli.run(spark, ["chi-square", "--input", src, "--output", out("chi"), "--real", out("real.csv")])
-    assert sorted(os.listdir(out("chi")))[-2:] == ["language=Chinese", "language=English"]
+    assert sorted(os.listdir(out("chi"))) == ["combined", "split"]
+    chi = spark.read.option("header", "true").csv(out("chi") + "/combined")
+    assert {(r.model, r.disease, r.language) for r in chi.collect()} == {
+        (m, d, lang) for m in ("qwen-7B", "yi-14B") for d in ("flu", "cold") for lang in ("English", "Chinese")}
+    per_model = cli.run(spark, ["age-profile", "--input", src, "--output", out("age2"), "--group", "model_name", "disease"])
+    assert {(r.model_name, r.disease) for r in per_model.collect()} == {("qwen-7B", "flu"), ("qwen-7B", "cold"), ("yi-14B", "flu")}
 
     tok = cli.run(spark, ["tokens", "--input", src, "--output", out("tok"), "--columns", "English_a_tokens"])
     assert {r.model_name: r.english_a_tokens for r in tok.collect()} == {"qwen-7B": "11.00 ± 1.41", "yi-14B": "3.00 ± nan"}

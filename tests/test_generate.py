@@ -2,6 +2,8 @@
 
 import sys
 
+import pytest
+
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -22,14 +24,22 @@ def test_grid_shape_and_text(spark):
     assert r2.prompt.startswith("Case cold\nbg cold")
 
 
-def test_parameter_tables_are_bounded(spark):
-    prompts = spark.createDataFrame([(1, "x")], "prompt_id int, template string")
-    conds = spark.range(50).select(F.col("id").cast("string").alias("condition"))
-    try:
-        generate.prompt_grid(prompts, conds, background=None, max_parameter_rows=10)
-    except ValueError:
-        return
-    raise AssertionError("expected a size check failure")
+def test_grid_has_no_cap_and_plans_fast(spark):
+    import time
+    prompts = spark.createDataFrame([(1, "x [CONDITION]"), (2, "y [CONDITION]")], "prompt_id int, template string")
+    conds = spark.range(20_000).select(F.col("id").cast("string").alias("condition"))
+    t0 = time.perf_counter()
+    grid = generate.prompt_grid(prompts, conds, background=None)
+    assert time.perf_counter() - t0 < 5
+    assert grid.count() == 40_000 and grid.select("prompt").distinct().count() == 40_000
+
+
+def test_background_lookup_raises_on_a_missing_condition(spark):
+    conds = spark.createDataFrame([("flu",), ("cold",)], "condition string")
+    known = spark.createDataFrame([("flu", "bg")], "condition string, background string")
+    assert generate.lookup_background(conds.where("condition = 'flu'"), known).first().background == "bg"
+    with pytest.raises(Exception, match="no background for condition cold"):
+        generate.lookup_background(conds, known).collect()
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the injected client travels by value
@@ -66,15 +76,36 @@ def test_complete_job_numbers_rows(spark):
 
 
 def test_throttle_pauses_every_n_calls():
-    import pandas as pd
+    import pyarrow as pa
     slept = []
     run = generate.completion_udf(lambda p: p + "!", sleep=slept.append, pause_every=10, pause=1.0,
                                   concurrency=3)
-    batches = [pd.DataFrame({"prompt": [f"p{i}" for i in range(25)]}), pd.DataFrame({"prompt": ["a"] * 5})]
+    batches = [pa.RecordBatch.from_pydict({"prompt": [f"p{i}" for i in range(25)]}), pa.RecordBatch.from_pydict({"prompt": ["a"] * 5})]
     out = list(run(iter(batches)))
-    assert list(out[0]["answer"][:2]) == ["p0!", "p1!"] and len(out[1]) == 5
+    assert out[0].column("answer").to_pylist()[:2] == ["p0!", "p1!"] and out[1].num_rows == 5
     assert slept == [1.0, 1.0, 1.0]  # after calls 10, 20 and 30
     slept.clear()
-    odd = [pd.DataFrame({"prompt": ["x"] * 7}) for _ in range(3)]  # batch sizes not aligned with 10
-    assert sum(len(b) for b in run(iter(odd))) == 21
+    odd = [pa.RecordBatch.from_pydict({"prompt": ["x"] * 7}) for _ in range(3)]  # batch sizes not aligned with 10
+    assert sum(b.num_rows for b in run(iter(odd))) == 21
     assert slept == [1.0, 1.0]  # after calls 10 and 20
+
+
+def logged(prompt, folder=None):
+    import os
+    import uuid
+    open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+    return prompt + "!"
+
+
+def test_each_prompt_is_asked_once_and_keys_stay_exact(spark, tmp_path, monkeypatch):
+    big = 9007199254740993
+    grid = spark.createDataFrame([(big, "a"), (None, "b"), (3, None)], "k bigint, prompt string")
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    out = generate.batch_complete(grid, logged, output=str(tmp_path / "out"), keep_failed=True, sampling={"folder": str(calls)})
+    for _ in range(2):  # evaluated twice, asked once; a null prompt is not asked
+        assert {(r.k, r.prompt, r.answer) for r in out.collect()} == {(big, "a", "a!"), (None, "b", "b!"), (3, None, None)}
+    assert len(list(calls.iterdir())) == 2
+    monkeypatch.setattr(generate, "checkpoint_dir", lambda s: None)
+    with pytest.raises(ValueError, match="output path"):
+        generate.batch_complete(grid, logged)

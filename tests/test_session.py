@@ -1,18 +1,38 @@
 """Checkpoint-folder handling: the library reads the session's folder and never sets one."""
 
+from pyspark.sql import functions as F
+
 import recordaudit.session as S
 from recordaudit.operators import align
-from recordaudit.plans import fixtures as X
-
-from .conftest import SF_SMALL
 
 
-def test_without_checkpoint_folder_results_are_unchanged(spark, monkeypatch):
-    li = X.table(spark, SF_SMALL, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    with_ckpt = sorted(tuple(r) for r in align.number_rows(li, ["l_orderkey", "l_linenumber"], ["l_returnflag"]).collect())
+def test_positions_are_dense_without_a_folder_at_a_size_where_bounds_are_sampled(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(S, "checkpoint_dir", lambda session: None)
-    without = sorted(tuple(r) for r in align.number_rows(li, ["l_orderkey", "l_linenumber"], ["l_returnflag"]).collect())
-    assert with_ckpt == without
+    n = 2_000_000
+    df = spark.range(n).select(F.xxhash64("id").alias("k"))
+    align.dense_position(df, ["k"]).write.parquet(str(tmp_path / "pos"))
+    out = spark.read.parquet(str(tmp_path / "pos"))
+    got = out.agg(F.count("*"), F.count_distinct("pos"), F.min("pos"), F.max("pos")).first()
+    assert tuple(got) == (n, n, 1, n)
+    # in order: the key at the next position is never smaller
+    nxt = out.select((F.col("pos") - 1).alias("pos"), F.col("k").alias("next"))
+    assert out.join(nxt, "pos").where("next < k").count() == 0
+
+
+def test_positions_restart_per_group_and_ties_are_repeatable(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.lit("same").alias("k"), "id")
+    once = {r.id: r.pos for r in align.dense_position(df, ["k"], ["g"]).collect()}
+    again = {r.id: r.pos for r in align.dense_position(df.repartition(7), ["k"], ["g"]).collect()}
+    assert once == again
+    for g in range(3):
+        assert sorted(p for i, p in once.items() if i % 3 == g) == list(range(1, len(range(g, 5000, 3)) + 1))
+
+
+def test_null_and_empty_ordering_keys(spark):
+    df = spark.createDataFrame([(None, 1), ("a", 2), (None, 3), ("b", None)], "k string, v int")
+    got = {(r.k, r.v): r.pos for r in align.dense_position(df, ["k", "v"]).collect()}
+    assert got[("a", 2)] == 3 and got[("b", None)] == 4 and {got[(None, 1)], got[(None, 3)]} == {1, 2}
+    assert align.dense_position(df.limit(0), ["k"]).count() == 0
 
 
 def test_freeze_uses_the_session_folder(spark):
@@ -20,16 +40,3 @@ def test_freeze_uses_the_session_folder(spark):
     assert folder  # the test session names one (set only because it was unset, or from spark-defaults)
     frozen = S.freeze(spark.range(5))
     assert frozen.count() == 5
-
-
-def test_bounded_helpers(spark):
-    df = spark.range(10)
-    assert S.bounded_broadcast(df, max_rows=100) is not df  # hinted
-    assert S.bounded_broadcast(df, max_rows=5) is df        # too big: left to the planner
-    assert len(S.bounded_rows(df, 10, "x")) == 10
-    try:
-        S.bounded_rows(df, 9, "x")
-    except ValueError:
-        pass
-    else:
-        raise AssertionError("expected the size check to refuse")

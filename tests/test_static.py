@@ -4,7 +4,7 @@ import pathlib
 import re
 
 ROOT = pathlib.Path(__file__).resolve().parents[1] / "recordaudit"
-SOURCES = {p.relative_to(ROOT).as_posix(): p.read_text() for p in ROOT.rglob("*.py")}
+SOURCES = {p.relative_to(ROOT).as_posix(): p.read_text() for p in ROOT.rglob("*.py") if "llm" not in p.relative_to(ROOT).parts}
 
 
 def _hits(pattern):
@@ -29,6 +29,10 @@ def test_checkpoint_folder_is_only_set_by_the_local_session():
 
 
 def test_collects_are_bounded():
-    # the only collect() in the library reads a parameter table after limit(max_rows + 1)
-    assert _hits(r"\.collect\(\)") == ["session.py"]
-    assert "df.limit(max_rows + 1).collect()" in SOURCES["session.py"]
+    # a sample for range bounds, and one short string per input file
+    assert _hits(r"\.collect\(\)") == ["operators/align.py", "sources/files.py"]
+    assert "limit(parts * per_part)" in SOURCES["operators/align.py"]
+
+
+def test_nothing_else_imports_the_training_data_package():
+    assert _hits(r"recordaudit\.llm|from \.+llm|import llm") == []
