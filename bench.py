@@ -1,4 +1,4 @@
-"""Benchmark: every registered query at $BENCH_SF_DIR on local[$BENCH_CPUS].
+"""Benchmark: every registered query of the reference's operators at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each plan is executed in full through the ``noop`` sink (no rows are pulled
 to the driver).  One warm-up pass, then a timed pass; prints one JSON line.
@@ -16,7 +16,7 @@ sys.path.insert(0, ROOT)
 
 from recordaudit.session import local_session  # noqa: E402
 
-import __spark_entry__ as entry  # noqa: E402
+from recordaudit.plans import catalog  # noqa: E402
 
 
 def run_once(spark, fn, sf_dir: str) -> float:
@@ -30,7 +30,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = sys.argv[1:]
     spark = local_session(cores=cpus, shuffle_partitions=max(cpus, 8), app="recordaudit-bench")
-    qs = {k: v for k, v in entry.queries().items() if not only or k in only}
+    qs = {k: v for k, v in catalog.QUERIES.items() if not only or k in only}
     for fn in qs.values():  # warm-up: JIT, file listing cache, Python workers
         run_once(spark, fn, sf_dir)
     times = {name: round(run_once(spark, fn, sf_dir), 3) for name, fn in qs.items()}

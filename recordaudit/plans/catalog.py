@@ -601,12 +601,21 @@ DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "
                  "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-@register("scan_with_file_keys", " union all ".join(
-    f"select '{t}.parquet' as file_name, '{t}' as table_name, count(*) as n from {t}" for t in DRIVER_TABLES))
+def _scan_sql() -> str:
+    has = {"text": ["documents", "benchmark", "conversations"], "doc_id": ["documents", "labels"], "o_orderkey": ["orders"],
+           "html": ["pages"], "n_name": ["nation"]}
+    parts = [f"select '{t}.parquet' as file_name, '{t}' as table_name, count(*) as n, "
+             + ", ".join(f"count({c}) as n_{c}" if t in ts else f"cast(0 as bigint) as n_{c}" for c, ts in has.items())
+             + f" from {t}" for t in DRIVER_TABLES]
+    return " union all ".join(parts)
+
+
+@register("scan_with_file_keys", _scan_sql())
 def scan_with_file_keys(spark, d):
-    df = files.scan(spark, d, schema="_probe string", glob="*.parquet",
-                    keys={"table_name": F.regexp_extract(F.col("file_name"), r"^(.*)\.parquet$", 1)})
-    return df.groupBy("file_name", "table_name").agg(F.count(F.lit(1)).alias("n"))
+    """Files of different schemas in one frame: columns of several tables are read and counted per file."""
+    df = files.scan(spark, d, glob="*.parquet", keys={"table_name": files.model_from_file(F.col("file_name"))})
+    return df.groupBy("file_name", "table_name").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n_{c}") for c in ("text", "doc_id", "o_orderkey", "html", "n_name")])
 
 
 @register("null_tokens", f"{REC} select rid, {O.null_tokens('addr_raw')} as address from records")
@@ -779,3 +788,83 @@ def chi_square_alias_rules(spark, d):
 
 
 FLAGSHIP = "coverage_ratios"
+
+
+# --- keys from names, per-model profiles, the full chi-square frame -----------------
+NAME_SQL = "source || '/' || lang || '-7.5B_sex_' || case when doc_id % 3 = 0 then 'Chinese' else 'en' end || '_v3.0.xlsx'"
+
+
+@register("name_keys", f"""
+  with n as (select doc_id, {NAME_SQL} as name from documents)
+  select doc_id, regexp_replace(name, '(_v[0-9.]+)?\\.[A-Za-z]+$', '') as model, split_part(name, '_sex_', 1) as before,
+    case when lower(name) like '%chinese%' then 'Chinese' else 'English' end as language,
+    replace(name, '_v3.0', '_v3.2') as next_name, lower(name) like '%_sex\\_e%' escape '\\' as is_english_report,
+    7.5::double as size, replace(replace(name, '/', '_'), ':', '_') as safe, 'm' as stamped
+  from n""")
+def name_keys(spark, d):
+    """Model, language, version, size and path-safe name from dataset names, and a stamped constant."""
+    from ..functions.text import param_size, safe_name
+    name = F.concat("source", F.lit("/"), "lang", F.lit("-7.5B_sex_"),
+                    F.when(F.col("doc_id") % 3 == 0, "Chinese").otherwise("en"), F.lit("_v3.0.xlsx"))
+    n = T(spark, d, "documents").select("doc_id", name.alias("name"))
+    c = F.col("name")
+    out = n.select("doc_id", files.model_from_file(c).alias("model"), files.model_before(c, "_sex_").alias("before"),
+                   files.language_from_file(c).alias("language"), files.rewrite_version(c, [("_v3\\.0", "_v3.2")]).alias("next_name"),
+                   files.name_matches(c, ["_SEX_e"]).alias("is_english_report"), param_size(c).alias("size"), safe_name(c).alias("safe"))
+    return generate.stamp(out, {"stamped": "m"})
+
+
+@register("age_profile_by_model", f"""{REC},
+  v as (select model_name, disease, {O.age_v2('age_raw')} as a_en, {O.age_v2('age_zh_raw')} as a_zh from records)
+  select * from (
+    select model_name, disease, 'Age' as "column", * exclude (model_name, disease)
+    from {O.banded('(select model_name, disease, a_en from v)', ['model_name', 'disease'], 'a_en')}
+    union all
+    select model_name, disease, 'Age_Chinese' as "column", * exclude (model_name, disease)
+    from {O.banded('(select model_name, disease, a_zh from v)', ['model_name', 'disease'], 'a_zh')})""")
+def age_profile_by_model(spark, d):
+    rec = X.records(spark, d).withColumnsRenamed({"age_raw": "Age", "age_zh_raw": "Age_Chinese"})
+    return jobs.age_profile(jobs.clean_ages(rec), ["Age", "Age_Chinese"], ["model_name", "disease"])
+
+
+@register("gender_profile_by_model", f"""{REC},
+  g as (select model_name, disease, {O.gender_merged('sex_zh_raw')} as v from records where model_name is not null and disease is not null),
+  t as (select model_name, disease, count(*) as _total from g group by all),
+  c as (select model_name, disease, v, count(*) as n from g group by all),
+  dom(category_idx, category) as (values (0, 'Female'), (1, 'Male'), (2, 'Unknown'))
+  select 'Sex_Chinese' as "column", t.model_name, t.disease, cast(dom.category_idx as integer) as category_idx, dom.category,
+    cast(coalesce(c.n, 0) as bigint) as n, {O.r2(PCT('coalesce(c.n, 0)', 't._total'))} as pct,
+    {O.cell('coalesce(c.n, 0)', PCT('coalesce(c.n, 0)', 't._total'))} as cell
+  from t cross join dom left join c on c.model_name = t.model_name and c.disease = t.disease and c.v = dom.category""")
+def gender_profile_by_model(spark, d):
+    rec = X.records(spark, d).withColumnRenamed("sex_zh_raw", "Sex_Chinese")
+    return jobs.gender_profile(jobs.clean_genders(rec, ["Sex_Chinese"]), ["Sex_Chinese"], ["model_name", "disease"])
+
+
+@register("cleaning_audit_by_model", f"""{REC}
+  select model_name, sex_zh_raw as raw, {O.gender_merged('sex_zh_raw')} as cleaned, count(*) as n
+  from records where sex_zh_raw is not null group by all""")
+def cleaning_audit_by_model(spark, d):
+    return jobs.gender_cleaning_reports(X.records(spark, d), "sex_zh_raw", by=["model_name"])[1].drop("matched")
+
+
+@register("chi_square_full_frame", f"""{REC}, {X.SQL_REAL}, {SQL_COUNTS},
+  r as (select * from reals where disease <> '5-LOW' union all select 'EXTRA', 10, 0),
+  f as (select * from (select distinct model, language from cnt) cross join r)
+  select coalesce(c.model, f.model) as model, coalesce(c.language, f.language) as language, coalesce(c.disease, f.disease) as disease,
+    coalesce(c.female, 0) as female, coalesce(c.male, 0) as male, cast(f.female as bigint) as real_female, cast(f.male as bigint) as real_male,
+    case when f.female is null then 'missing' when f.disease = 'EXTRA' or c.female + c.male = 0 then 'degenerate' else 'ok' end as status
+  from f full join cnt c on c.model is not distinct from f.model and c.language = f.language and c.disease = f.disease""")
+def chi_square_full_frame(spark, d):
+    """A group without real counts, and a real group that no model produced."""
+    real = X.real(spark, d).where("disease <> '5-LOW'").unionByName(
+        spark.range(1).selectExpr("'EXTRA' as disease", "10L as female", "0L as male"))
+    out = contingency.gender_chi_square(X.records(spark, d), real, columns=_clean_sex(), with_p=False)
+    return out.select("model", "language", "disease", "female", "male", "real_female", "real_male", "status")
+
+
+@register("value_audit_distinct", f"""{REC}
+  select distinct 'age_raw' as "column", age_raw as value from records union all
+  select distinct 'sex_raw', sex_raw from records""")
+def value_audit_distinct(spark, d):
+    return jobs.value_audit(X.records(spark, d), ["age_raw", "sex_raw"])["distinct"]
