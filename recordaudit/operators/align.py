@@ -104,8 +104,8 @@ def copy_column_skip(source: DataFrame, targets: DataFrame, column: str, target_
     row count equals the source's; other target groups are skipped."""
     n_src = source.select(F.count(F.lit(1))).scalar()
     sizes = targets.groupBy(target_key).agg(F.count(F.lit(1)).alias("_n"))
-    eligible = sizes.where(F.col("_n") == n_src).select(target_key)
-    kept = targets.join(eligible, target_key, "left_semi")
+    eligible = sizes.where(F.col("_n") == n_src).agg(F.collect_set(target_key)).scalar()  # names of target groups
+    kept = targets.where(F.array_contains(eligible, F.col(_q(target_key))))
     s = dense_position(source.select(*[F.col(_q(c)) for c in dict.fromkeys([*source_order, column])]),
                        source_order, name="_pos").select("_pos", F.col(_q(column)).alias("_copy"))
     t = dense_position(kept, target_order, partition_by=[target_key], name="_pos")

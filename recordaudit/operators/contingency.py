@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import CHI2_1_CRITICAL_05, chi2_pvalue_dof1, chi_square_2x2, is_degenerate
 from ..functions.text import cell_count, fixed2, label_by_substring, param_size, round_half_even, sci4
 
+REAL_BLOCKS = 8
 DEFAULT_GENDER_COLUMNS = {"English": "Sex", "Chinese": "Sex_Chinese"}
 
 
@@ -62,9 +63,9 @@ def attach_real(counts: DataFrame, real: DataFrame, group: str = "disease", real
             .withColumn("_rg", F.coalesce(F.col("_ag"), F.col(group))).drop("_alias", "_ag")
     else:
         c = c.withColumn("_rg", F.col(group))
-    # reports of a few rows: the full frame is real groups x (model, language)
-    heads = c.select("model", "language").distinct().withColumn("_one", F.lit(1))
-    frame = heads.join(r.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # every (model, language) meets every real group, as an equi-join on hashed blocks
+    heads = c.select("model", "language").distinct().withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(REAL_BLOCKS - 1))))
+    frame = heads.join(r.withColumn("_block", F.pmod(F.hash("_rg"), F.lit(REAL_BLOCKS))), "_block").drop("_block")
     keys = ["model", "language", "_rg"]
     values = [x for x in c.columns if x not in (*keys, group)]
     out = frame.withColumnRenamed("_rg", "_fg").alias("f").join(
