@@ -56,7 +56,7 @@ def _seeds(n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
     return base[:n], base[n:] | np.uint64(1)
 
 
-def minhash(values: np.ndarray, first: np.ndarray, n: int, salt: int, chunk: int = 2048) -> np.ndarray:
+def minhash(values: np.ndarray, first: np.ndarray, n: int, salt: int, chunk: int = 1024) -> np.ndarray:
     """rows x n MinHash values (64 bits) of non-empty rows of shingle hashes."""
     xor, mul = _seeds(n, salt)
     rows = len(first) - 1
@@ -64,8 +64,8 @@ def minhash(values: np.ndarray, first: np.ndarray, n: int, salt: int, chunk: int
     lo = 0
     while lo < rows:
         hi = max(int(np.searchsorted(first, first[lo] + chunk, "right")) - 1, lo + 1)
-        for a in range(int(first[lo]), int(first[hi]), 8 * chunk):  # a long row in several pieces
-            b = min(a + 8 * chunk, int(first[hi]))
+        for a in range(int(first[lo]), int(first[hi]), 4 * chunk):  # a long row in several pieces
+            b = min(a + 4 * chunk, int(first[hi]))
             cuts = first[lo:hi] - a if hi - lo > 1 else np.zeros(1, np.int64)
             v = values[a:b][None, :] ^ xor[:, None]
             v *= mul[:, None]

@@ -481,7 +481,7 @@ def encode(docs: DataFrame, model: dict, columns: list[str], chunk: int = CHUNK)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(sent.value)
         for big in batches:
-            for batch in slices(big, "_text", 8 << 20):
+            for batch in slices(big, "_text", 4 << 20):
                 texts = batch.column("_text").to_pylist()
                 ids, first = encode_texts(vocab, texts)
                 flat = ids.tolist()
