@@ -14,8 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import CHI2_1_CRITICAL_05, chi2_pvalue_dof1, chi_square_2x2, is_degenerate
-from ..functions.text import cell_count, fixed2, label_by_substring, param_size, round_half_even, sci4
+from ..functions.stats import CHI2_1_CRITICAL_05, chi2_pvalue_dof1, chi_square_2x2, is_degenerate, significant
+from ..functions.text import cell_count, fixed2, label_by_substring, param_size, sci4
 
 REAL_BLOCKS = 8
 DEFAULT_GENDER_COLUMNS = {"English": "Sex", "Chinese": "Sex_Chinese"}
@@ -105,7 +105,7 @@ def chi_square_table(table: DataFrame, a: str = "real_female", b: str = "real_ma
     if alpha != 0.05:
         if not with_p:
             raise ValueError("a level other than 0.05 needs the p-value")
-        out = out.withColumn("significant", F.col("p_value") < F.lit(alpha))
+        out = out.withColumn("significant", significant(F.col("p_value"), alpha))
     if expected:
         n = (A + B + C + D).cast("double")
         out = out.withColumns({f"expected_{x}": F.try_divide(row * col, n) for x, row, col in (
@@ -202,12 +202,3 @@ def token_summary(df: DataFrame, columns: Sequence[str], model: str = "model_nam
     if sort_by_size:
         out = out.orderBy(F.desc(param_size(F.col(model))), F.col(model))
     return out
-
-
-def mean_std(df: DataFrame, columns: Sequence[str], by: Sequence[str], digits: int = 2) -> DataFrame:
-    """Numeric mean and sample std per group (rounded half-even)."""
-    aggs = []
-    for c in columns:
-        aggs += [round_half_even(F.avg(c), digits).alias(f"{c}_mean"),
-                 round_half_even(F.stddev_samp(c), digits).alias(f"{c}_std")]
-    return df.groupBy(*by).agg(*aggs)
