@@ -253,3 +253,32 @@ def test_pipeline_run(spark, tmp_path):
     assert len(ids) == len(set(ids)) and not set(ids) & (leaked | near | und)
     assert set(ids) == {r.doc_id for r in docs.collect()} - leaked - near - und
     assert out.where("text rlike 'AKIA[0-9A-Z]{16}'").count() == 0
+
+
+def test_seating_draws_equal_many_single_moves():
+    rng = np.random.default_rng(3)
+
+    def drawn(n, fresh, many):
+        return pitman_yor.draw_tables(np.full(many, n), lambda i, t: fresh + 0 * t, lambda i, t: t * np.log(fresh), 0.75, rng).mean()
+
+    for n, fresh in ((60, 8.0), (12, 2.0)):
+        who, seen = np.arange(100), []
+        seats = pitman_yor.Seats(np.full(100, n), np.full(100, 5))
+        for k in range(30 * n):  # every customer of every dish 30 times, the first ten as burn-in
+            seats.leave(who, rng)
+            seats.enter(who, np.full(100, fresh), 0.75, rng)
+            if k >= 10 * n:
+                seen.append(seats.t.mean())
+        assert drawn(n, fresh, 4000) == pytest.approx(np.mean(seen), rel=0.05)
+    for n, fresh in ((3000, 20.0), (10**6, 500.0)):  # many customers: 1 + Poisson(fresh / d) tables
+        assert drawn(n, fresh, 100) == pytest.approx(1 + fresh / 0.75, rel=0.05)
+
+
+def test_a_round_leaves_the_start():
+    n = np.array([200, 200, 5])
+    bucket = pitman_yor.Bucket(pitman_yor.pack_pairs(np.array([5, 5, 9], np.uint64), np.array([1, 2, 1], np.uint16), n))
+    totals = {"N": 10**6, "V": 1000, "customers": np.full(pitman_yor.CONTEXTS, 1000), "tables": np.full(pitman_yor.CONTEXTS, 400),
+              "root_customers": 4 * 10**5, "root_tables": 2000}
+    state = (np.array([150, 150, 5], np.int32).tobytes(), np.array([2, 1], np.int32).tobytes())
+    tables, _ = bucket.sample(state, totals, np.random.default_rng(0))
+    assert tables[:2].max() < 20 and tables.min() >= 1
