@@ -3,7 +3,8 @@ operations and Spark ML only.
 
 1. Candidates: runs of at least ``MIN_LENGTH`` characters of ``[A-Za-z0-9+/_=.-]`` that
    are not plain words, found by one anchored pattern per text; with start, and the
-   text to the left and right.
+   text to the left and right.  A run is cut after ``NAME=`` and around a known format
+   inside it, and its closing full stops are left out, so the value stands alone.
 2. Features: length, character transitions (between classes of characters, and between
    vowels and consonants among letters), shares of digits and capitals, variety,
    dictionary coverage, path signs, neighbouring key words, assignment and quotes.  The
@@ -42,7 +43,9 @@ FEATURES = ["length", "switches", "alternation", "digits", "capitals", "variety"
 #: Formats with a fixed prefix.
 KNOWN = (r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^sk-[A-Za-z0-9_\-]{20,}$|^xox[abprs]-[A-Za-z0-9\-]{10,}$"
          r"|^AIza[A-Za-z0-9_\-]{35}$|^eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-.]{16,}$")
-KEY_WORD = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api_?key|access_?key|private_?key|auth|bearer|credential|key)[\"' ]*\s*[:=]?\s*[\"']?$"
+#: The same inside a run, bounded by signs.
+KNOWN_INSIDE = r"(?<![A-Za-z0-9])(" + KNOWN.replace("^", "").replace("$", "") + r")(?![A-Za-z0-9])"
+KEY_WORD = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api_?key|access_?key|private_?key|auth|bearer|credential|key)(_[A-Za-z0-9]+)*[\"' ]*\s*[:=]?\s*[\"']?$"
 ASSIGNED = r"[:=]\s*[\"']?$"
 #: No secret: numbers and dates, addresses, plain or hyphenated words, UUIDs, placeholders.
 HARMLESS = (r"^[0-9.\-+/]+$|^[A-Za-z0-9_.\-]+\.(com|org|net|html?|php|pdf|jpg|png)$|^[A-Za-z]+([.\-_/=+][A-Za-z]*)*$"
@@ -54,22 +57,31 @@ def candidates(docs: DataFrame, columns: list[str]) -> DataFrame:
     found = F.regexp_extract_all("_text", F.lit(rf"\G(?s:.*?)(?<!{CHARS}){CHARS}{{{MIN_LENGTH},}}"), F.lit(0))
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_text")) \
         .where(F.col("_text").rlike(rf"{CHARS}{{{MIN_LENGTH}}}")).withColumn("_parts", found)
-    # every part ends with a candidate; the parts follow each other from the text's start
-    ends = F.transform(F.sequence(F.lit(1), F.size("_parts")),
-                       lambda i: F.struct(F.element_at("_parts", i).alias("part"), i.alias("i")))
-    sized = F.aggregate(
-        "_parts", F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("ends")),
-        lambda acc, p: F.struct((acc["end"] + F.char_length(p)).alias("end"),
-                                F.concat(acc["ends"], F.array(acc["end"] + F.char_length(p))).alias("ends")))
-    rows = rows.where(F.size("_parts") > 0).withColumn("_ends", sized["ends"]) \
-        .select(*columns, "_text", F.explode(F.arrays_zip(F.transform(ends, lambda e: e["part"]).alias("part"), F.col("_ends").alias("end"))).alias("p"))
-    rows = rows.withColumn("candidate", F.regexp_extract("p.part", rf"{CHARS}+$", 0)) \
-        .withColumn("start", (F.col("p.end") - F.char_length("candidate")).cast("long"))
+    # every part ends with a run; the parts follow each other from the text's start
+    rows = rows.where(F.size("_parts") > 0).select(*columns, "_text", F.explode(with_ends("_parts")).alias("p"))
+    rows = rows.withColumn("_run", F.regexp_extract("p.part", rf"{CHARS}+$", 0)) \
+        .withColumn("_at", F.col("p.end") - F.char_length("_run"))
+    # cut after names and around known formats; the pieces follow each other, too
+    cut = F.regexp_replace(F.regexp_replace("_run", KNOWN_INSIDE, "\0$1\0"), r"(=+)(?=\x00?[.]*[^=.\x00])", "\0$1\0")
+    rows = rows.withColumn("_pieces", F.split(cut, r"\x00")) \
+        .select(*columns, "_text", "_at", F.explode(with_ends("_pieces")).alias("p"))
+    rows = rows.withColumn("candidate", F.regexp_replace("p.part", "[.]+$", "")).where(F.char_length("candidate") >= MIN_LENGTH) \
+        .withColumn("start", (F.col("_at") + F.col("p.end") - F.char_length("p.part")).cast("long"))
+    rows = rows.withColumn("_end", F.col("start").cast("int") + F.char_length("candidate"))
     lo = F.greatest(F.col("start") - CONTEXT, F.lit(0)).cast("int")
     return rows.where(~F.col("candidate").rlike(r"^[A-Za-z]?[a-z]+[.\-]*$")).select(
         *columns, "candidate", "start",
         F.substring("_text", lo + 1, F.col("start").cast("int") - lo).alias("before"),
-        F.substring("_text", F.col("p.end") + 1, F.lit(CONTEXT)).alias("after"))
+        F.substring("_text", F.col("_end") + 1, F.lit(CONTEXT)).alias("after"))
+
+
+def with_ends(parts: str) -> Column:
+    """(part, end) of strings that follow each other."""
+    ends = F.aggregate(
+        parts, F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("ends")),
+        lambda acc, p: F.struct((acc["end"] + F.char_length(p)).alias("end"),
+                                F.concat(acc["ends"], F.array(acc["end"] + F.char_length(p))).alias("ends")))["ends"]
+    return F.arrays_zip(F.col(parts).alias("part"), ends.alias("end"))
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
