@@ -5,6 +5,9 @@ operations and Spark ML only.
    are not plain words, found by one anchored pattern per text; with start, and the
    text to the left and right.  A run is cut after ``NAME=`` and around a known format
    inside it, and its closing full stops are left out, so the value stands alone.
+   Besides, whatever stands directly after a key word with assignment or quotes is a
+   candidate, of any length and with any signs (in quotes also with blanks); runs within
+   it are not reported apart.
 2. Features: length, character transitions (between classes of characters, and between
    vowels and consonants among letters), shares of digits and capitals, variety,
    dictionary coverage, path signs, neighbouring key words, assignment and quotes.  The
@@ -19,7 +22,9 @@ operations and Spark ML only.
 
 Defined cases: null and empty texts have no candidates; offsets count code points from
 0; repeated rows are each reported; a secret that occurs twice in a text is two findings.
-The secret itself is returned as its SHA-256, the redaction replaces every occurrence.
+The secret itself is returned as its SHA-256.  The redaction replaces findings where they
+are, and every other occurrence of those with at least ``MIN_LENGTH`` characters (a short
+one may be part of a common word).
 """
 
 from __future__ import annotations
@@ -45,7 +50,12 @@ KNOWN = (r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^sk-[A-Za-z0-9
          r"|^AIza[A-Za-z0-9_\-]{35}$|^eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-.]{16,}$")
 #: The same inside a run, bounded by signs.
 KNOWN_INSIDE = r"(?<![A-Za-z0-9])(" + KNOWN.replace("^", "").replace("$", "") + r")(?![A-Za-z0-9])"
-KEY_WORD = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api_?key|access_?key|private_?key|auth|bearer|credential|key)(_[A-Za-z0-9]+)*[\"' ]*\s*[:=]?\s*[\"']?$"
+KEY_NAME = r"(?=[tspakbc])(?:token|secret|passw(?:or)?d|passwd|pwd|passphrase|api_?key|access_?key|private_?key|auth|bearer|credential|key)(?:_[A-Za-z0-9]+)*"
+KEY_WORD = rf"(?i){KEY_NAME}[\"' ]*\s*[:=]?\s*[\"']?$"
+#: A value (group 1) directly after a key word: quoted, or assigned and up to a blank, quote or separator ("&" after "=" only).
+NAMED = (rf"(?i:{KEY_NAME})(?:[\"']?[ \t]{{0,8}}[:=][ \t]{{0,8}}[\"']?|[ \t]{{1,8}}[\"'])"
+         r"((?<=\")[^\"\r\n]+(?=\")|(?<=')[^'\r\n]+(?=')|(?<=:[ \t]{0,8}[\"']?)[^\s\"'=,;<>()\[\]{}][^\s\"',;<>()\[\]{}]*"
+         r"|[^\s\"'=,;&<>()\[\]{}][^\s\"',;&<>()\[\]{}]*)")
 ASSIGNED = r"[:=]\s*[\"']?$"
 #: No secret: numbers and dates, addresses, plain or hyphenated words, UUIDs, placeholders.
 HARMLESS = (r"^[0-9.\-+/]+$|^[A-Za-z0-9_.\-]+\.(com|org|net|html?|php|pdf|jpg|png)$|^[A-Za-z]+([.\-_/=+][A-Za-z]*)*$"
@@ -54,22 +64,37 @@ HARMLESS = (r"^[0-9.\-+/]+$|^[A-Za-z0-9_.\-]+\.(com|org|net|html?|php|pdf|jpg|pn
 
 def candidates(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` plus candidate, start, before, after: one row per candidate."""
+    # values after key words: the text is cut at key names first (a cheap pattern), every part begins with one
+    texts = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_text")) \
+        .withColumn("_has", F.regexp_count("_text", F.lit(NAMED)) > 0) \
+        .where(F.col("_has") | F.col("_text").rlike(rf"{CHARS}{{{MIN_LENGTH}}}"))
+    texts = materialize(texts, "secret-texts")
+    empty = F.array().cast("array<string>")
+    named = lambda group: F.when(F.col("_has"), F.regexp_extract_all("_text", F.lit(rf"\G(?s:.*?){NAMED}"), F.lit(group))).otherwise(empty)
+    texts = texts.withColumn("_parts", named(0)).withColumn("_values", named(1)) \
+        .withColumn("_named", F.zip_with(with_ends("_parts"), "_values", lambda p, v: F.struct(
+            (p["end"] - F.char_length(v)).alias("start"), F.regexp_replace(v, "[.]+$", "").alias("candidate"))))
+    texts = texts.withColumn("_named", F.filter("_named", lambda v: v["candidate"] != ""))
     found = F.regexp_extract_all("_text", F.lit(rf"\G(?s:.*?)(?<!{CHARS}){CHARS}{{{MIN_LENGTH},}}"), F.lit(0))
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_text")) \
-        .where(F.col("_text").rlike(rf"{CHARS}{{{MIN_LENGTH}}}")).withColumn("_parts", found)
+    rows = texts.withColumn("_parts", found)
     # every part ends with a run; the parts follow each other from the text's start
-    rows = rows.where(F.size("_parts") > 0).select(*columns, "_text", F.explode(with_ends("_parts")).alias("p"))
+    rows = rows.where(F.size("_parts") > 0).select(*columns, "_text", "_named", F.explode(with_ends("_parts")).alias("p"))
     rows = rows.withColumn("_run", F.regexp_extract("p.part", rf"{CHARS}+$", 0)) \
         .withColumn("_at", F.col("p.end") - F.char_length("_run"))
     # cut after names and around known formats; the pieces follow each other, too
     cut = F.regexp_replace(F.regexp_replace("_run", KNOWN_INSIDE, "\0$1\0"), r"(=+)(?=\x00?[.]*[^=.\x00])", "\0$1\0")
     rows = rows.withColumn("_pieces", F.split(cut, r"\x00")) \
-        .select(*columns, "_text", "_at", F.explode(with_ends("_pieces")).alias("p"))
+        .select(*columns, "_text", "_named", "_at", F.explode(with_ends("_pieces")).alias("p"))
     rows = rows.withColumn("candidate", F.regexp_replace("p.part", "[.]+$", "")).where(F.char_length("candidate") >= MIN_LENGTH) \
         .withColumn("start", (F.col("_at") + F.col("p.end") - F.char_length("p.part")).cast("long"))
+    inside = F.exists("_named", lambda v: (v["start"] <= F.col("start")) & (F.col("start") < v["start"] + F.char_length(v["candidate"])))
+    rows = rows.where(~F.col("candidate").rlike(r"^[A-Za-z]?[a-z]+[.\-]*$") & ~inside)
+    values = texts.where("_has").select(*columns, "_text", F.explode("_named").alias("v")) \
+        .select(*columns, "_text", "v.candidate", F.col("v.start").cast("long").alias("start"))
+    rows = rows.select(*columns, "_text", "candidate", "start").unionAll(values)
     rows = rows.withColumn("_end", F.col("start").cast("int") + F.char_length("candidate"))
     lo = F.greatest(F.col("start") - CONTEXT, F.lit(0)).cast("int")
-    return rows.where(~F.col("candidate").rlike(r"^[A-Za-z]?[a-z]+[.\-]*$")).select(
+    return rows.select(
         *columns, "candidate", "start",
         F.substring("_text", lo + 1, F.col("start").cast("int") - lo).alias("before"),
         F.substring("_text", F.col("_end") + 1, F.lit(CONTEXT)).alias("after"))
@@ -97,8 +122,8 @@ def share(pattern: str) -> Column:
 
 def features(found: DataFrame, words: list[str]) -> DataFrame:
     size = F.char_length("candidate")
-    kinds = F.translate("candidate", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-",
-                        "U" * 26 + "l" * 26 + "d" * 10 + "s" * 6)
+    kinds = F.translate(F.regexp_replace("candidate", "[^A-Za-z0-9]", "-"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-",
+                        "U" * 26 + "l" * 26 + "d" * 10 + "s")
     switch = F.regexp_count(kinds, F.lit("(?=Ul|Ud|Us|lU|ld|ls|dU|dl|ds|sU|sl|sd)"))
     vowels = F.translate(F.lower("candidate"), "aeiouybcdfghjklmnpqrstvwxz", "v" * 6 + "c" * 20)
     alternate = F.regexp_count(vowels, F.lit("(?=vc|cv)"))
@@ -120,7 +145,8 @@ def format_label() -> Column:
     """1 or 0 where a format decides, else null."""
     named = F.col("before").rlike(KEY_WORD) & F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']") \
         & F.col("candidate").rlike(r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_=\-]{20,}$")
-    return F.when(F.col("candidate").rlike(HARMLESS), 0.0).when(F.col("candidate").rlike(KNOWN) | named, 1.0)
+    phrase = F.col("before").rlike(KEY_WORD) & F.col("candidate").rlike(f"^[A-Za-z]{{{MIN_LENGTH},}}$")  # the forest judges it
+    return F.when(F.col("candidate").rlike(HARMLESS) & ~phrase, 0.0).when(F.col("candidate").rlike(KNOWN) | named, 1.0)
 
 
 def examples(spark) -> DataFrame:
@@ -132,8 +158,26 @@ def examples(spark) -> DataFrame:
     secret = F.when(F.col("id") % 2 == 0, F.substring("h", 1, 40)).otherwise(F.substring(F.base64(F.unhex("h")), 1, 32))
     plain = F.when(F.col("id") % 2 == 0, F.translate(F.substring("h", 1, 16), "abcdef", "012345")) \
         .otherwise(F.concat(F.translate(F.substring("h", 1, 18), "0123456789", "aeioutnrsl"), F.lit(".html")))
-    return n.select(F.when(F.col("f.y") == 1, secret).otherwise(plain).alias("candidate"), F.col("f.b").alias("before"),
+    long = n.select(F.when(F.col("f.y") == 1, secret).otherwise(plain).alias("candidate"), F.col("f.b").alias("before"),
                     F.col("f.a").alias("after"), F.col("f.y").cast("double").alias("label"))
+    return long.unionAll(short_examples(spark))
+
+
+def short_examples(spark) -> DataFrame:
+    """Values after a key word: passwords of 8 to 15 characters with signs and long passphrases; plain words and numbers."""
+    frames = [{"b": b, "a": a} for b, a in (("password = \"", "\""), ("pwd: ", " "), ("secret='", "'"), ("key=", "&"))]
+    n = spark.range(40).select("id", F.sha2(F.concat(F.lit("s"), F.col("id").cast("string")), 256).alias("h"),
+                               F.explode(F.from_json(F.lit(json.dumps(frames)), "array<struct<b string, a string>>")).alias("f"))
+    size = (F.col("id") % 8).cast("int")
+    letters = F.translate("h", "0123456789abcdef", "aeioutnrslaeiodm")
+    password = F.concat(F.upper(F.substring(letters, 1, 1)), F.substr(letters, F.lit(2), size + 3), F.substring("h", 20, 3),
+                        F.element_at(F.array(*[F.lit(c) for c in "!#$%@*?^"]), size + 1), (F.col("id") % 10).cast("string"))
+    phrase = F.substr(letters, F.lit(1), size + 16)
+    word = F.substr(letters, F.lit(30), size + 2)
+    number = F.substr(F.translate("h", "abcdef", "012345"), F.lit(1), size % 4 + 1)
+    kinds = F.array(*[F.struct(c.alias("c"), F.lit(y).alias("y")) for c, y in ((password, 1.0), (phrase, 1.0), (word, 0.0), (number, 0.0))])
+    return n.select(F.explode(kinds).alias("k"), "f").select(F.col("k.c").alias("candidate"), F.col("f.b").alias("before"),
+                                                             F.col("f.a").alias("after"), F.col("k.y").alias("label"))
 
 
 def fit(found: DataFrame, words: list[str], labelled: DataFrame | None = None, trees: int = 24, depth: int = 6):
@@ -176,16 +220,23 @@ def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
                         F.sha2(F.encode("candidate", "UTF-8"), 256).alias("secret_sha256"), F.round("probability", 6).alias("probability"))
 
 
+def hide(text: Column, span: Column) -> Column:
+    """``text`` with one finding masked; spans come last first, so the offsets of the others hold."""
+    return F.concat(F.substr(text, F.lit(1), span["at"]), F.lit(MASK), F.substr(text, span["at"] + span["size"] + 1))
+
+
 @plain_names
 def stage_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every finding is masked in its text (and n_chars follows); all documents stay."""
     key = F.xxhash64("text")
     found = scan(docs.withColumn("_key", key), ["doc_id", "_key"])
-    masks = found.groupBy("doc_id", "_key").agg(F.sort_array(F.collect_set("candidate"), asc=False).alias("_secrets"))
+    spans = F.sort_array(F.collect_set(F.struct(F.col("start").cast("int").alias("at"), F.char_length("candidate").alias("size"))), asc=False)
+    everywhere = F.when(F.char_length("candidate") >= MIN_LENGTH, F.col("candidate"))
+    masks = found.groupBy("doc_id", "_key").agg(F.sort_array(F.collect_set(everywhere), asc=False).alias("_secrets"), spans.alias("_spans"))
     masks = materialize(masks, "secret-masks").withColumnsRenamed({"doc_id": "_id", "_key": "_k"})
     rows = docs.withColumn("_key", key).join(small(masks, 200), (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     text = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(
-        F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK))))
+        F.aggregate("_secrets", F.aggregate("_spans", F.col("text"), hide), lambda t, s: F.replace(t, s, F.lit(MASK))))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))

@@ -294,3 +294,18 @@ def test_secret_values_stand_apart_from_names_and_full_stops(spark, frame):
     assert found == set(want)
     out = {r.doc_id: r.text for r in secrets.stage_secrets(spark, docs, None).collect()}
     assert out[0] == f"AWS_ACCESS_KEY_ID={secrets.MASK} x" and out[3] == f"The key is {secrets.MASK}."
+
+
+def test_short_and_wide_values_after_key_words_are_judged(spark, frame):
+    texts = ['password = "hunter2Abc!" and hunter2Abc', "PWD: Tr0ub4dor&3 it", 'passphrase: "correcthorsebatterystaple"', "secret='p@ss W0rd#17'",
+             "the key: it is late", '{"api_key": "aB3$xY9!kQ"}', "token = \"9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c\""]
+    docs = frame(list(enumerate(texts)))
+    rows = {(r.doc_id, r.start, r.candidate) for r in secrets.candidates(docs, ["doc_id"]).collect()}
+    assert rows == {(0, 12, "hunter2Abc!"), (1, 5, "Tr0ub4dor&3"), (2, 13, "correcthorsebatterystaple"), (3, 8, "p@ss W0rd#17"), (4, 9, "it"),
+                    (5, 13, "aB3$xY9!kQ"), (6, 9, texts[6][9:-1])}
+    common_words = secrets.dictionary(frame([(0, "the key it is late and token secret password")]))
+    pool = secrets.candidates(docs, ["doc_id"])
+    judged = secrets.judge(pool, common_words, secrets.fit(pool, common_words)).where("probability >= 0.5").collect()
+    assert {r.doc_id for r in judged} == {0, 1, 2, 3, 5, 6}
+    out = {r.doc_id: r.text for r in secrets.stage_secrets(spark, docs, None).collect()}
+    assert out[0] == f'password = "{secrets.MASK}" and hunter2Abc' and out[4] == texts[4]
