@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, langid, neardup, pieces, pitman_yor, secrets, sharding, urlfilter, warc
+from . import decontam, fingerprint, langid, neardup, pieces, pitman_yor, secrets, sharding, simhash, urlfilter, warc
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_sharding": sharding.op10_sharding,
+    "op11_simhash": simhash.op11_simhash,
 }
 
 ORACLES = {
