@@ -46,8 +46,8 @@ RADIUS = 4
 SEED = 42
 SHARD = 4096  # fingerprints that a shard holds on average at most
 BLOCK, MOST_BLOCKS, LARGEST_BLOCK = 1024, 64, 1 << 18  # a hot shard is cut into blocks
-FLUSH = 1 << 18  # rows searched together
-PAIRS = 1 << 21  # (query, node) pairs of a search at most, per chunk of queries
+FLUSH = 1 << 16  # rows searched together
+PAIRS = 1 << 18  # (query, node) pairs of a search at most, per chunk of queries
 PIECE = 1 << 15  # shingles hashed at once
 HEAVY = 1000  # a key with more than this part of all rows is heavy; there are no more heavy keys than this
 
@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in slices(big, "_text", 4 << 20):
+            for batch in slices(big, "_text", 1 << 20):
                 fp = fingerprint_rows(batch.column("_text")).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
