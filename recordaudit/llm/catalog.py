@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, langid, lexical, neardup, pieces, pitman_yor, secrets, sharding, simhash, urlfilter, warc
+from . import crosstok, decontam, fingerprint, langid, lexical, neardup, pieces, pitman_yor, secrets, sharding, simhash, urlfilter, warc
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_sharding": sharding.op10_sharding,
     "op11_simhash": simhash.op11_simhash,
+    "op12_cross_tokenizer": crosstok.op12_cross_tokenizer,
     "op13_lexical_search": lexical.op13_lexical_search,
 }
 
