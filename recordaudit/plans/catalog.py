@@ -7,6 +7,7 @@ same result (every registered query has one).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import age as A
 from ..functions import gender as G
 from ..functions.text import null_tokens, text_length
-from ..operators import align, contingency, coverage, generate, profile, reshape
+from ..operators import align, contingency, coverage, generate, ledger, profile, reshape
+from ..session import checkpoint_dir
 from ..sources import files
 from . import fixtures as X
 from . import jobs
@@ -596,6 +598,28 @@ def batch_complete(spark, d):
     return out.drop("prompt")
 
 
+def first_session(prompt: str) -> str | None:
+    """A client of which every call on a prompt of odd length fails."""
+    return None if len(prompt) % 2 else "1 " + prompt[::-1]
+
+
+def second_session(prompt: str) -> str | None:
+    return None if len(prompt) % 7 == 0 else "2 " + prompt[::-1]
+
+
+@register("batch_complete_resumed", f"""with {_GRID_SQL}
+  select prompt_id, condition, location, run,
+    split_part(case when length(prompt) % 2 = 0 then '1 ' else '2 ' end || reverse(prompt), '.', 1) as answer
+  from grid where length(prompt) % 2 = 0 or length(prompt) % 7 <> 0""")
+def batch_complete_resumed(spark, d):
+    """Two sessions on one ledger: the second asks only what the first did not answer."""
+    grid = _grid(spark, d).select("prompt_id", "condition", "location", "run", "prompt")
+    path = f"{checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    for client in (first_session, second_session):
+        out = ledger.complete_with_ledger(grid, client, path, attempts=1, sleep=lambda s: None, stop=["."], calls_per_task=2000)
+    return out.drop("prompt")
+
+
 # --- sources ----------------------------------------------------------------
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
                  "embeddings", "pages", "benchmark", "labels", "conversations"]

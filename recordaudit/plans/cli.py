@@ -108,6 +108,7 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--partitions", type=int, default=None)
     p.add_argument("--concurrency", type=int, default=1)
     p.add_argument("--pause-every", type=int, default=0)
+    p.add_argument("--ledger", help="folder of answered requests: a rerun asks only the others")
     p.add_argument("--pause", type=float, default=1.0)
     p.add_argument("--output", required=True)
     p = sub.add_parser("lengths", help="add character-length columns into a new dataset version")
@@ -159,10 +160,12 @@ def generate_answers(spark: SparkSession, a: argparse.Namespace) -> str:
     if not carry:
         grid = grid.withColumn("disease", F.col("condition"))
     keys = ["disease"] + (["location"] if locations is not None else [])
-    out = jobs.complete(grid, _load_client(a.client), constants={"model_name": a.model, "language": a.language},
-                        number_by=keys, stop=a.stop or None, partitions=a.partitions, concurrency=a.concurrency,
-                        pause_every=a.pause_every, pause=a.pause, sampling=_sampling(a.sampling),
-                        output=f"{a.output.rstrip('/')}-answers")
+    # with a ledger a rerun asks only what is not answered yet; the model's name is part of a request there
+    where = {"resume": a.ledger, "keys": ["run", "prompt_id", "model_name", *keys]} if a.ledger else \
+        {"partitions": a.partitions, "output": f"{a.output.rstrip('/')}-answers"}
+    out = jobs.complete(generate.stamp(grid, {"model_name": a.model, "language": a.language}), _load_client(a.client),
+                        number_by=keys, stop=a.stop or None, concurrency=a.concurrency, pause_every=a.pause_every,
+                        pause=a.pause, sampling=_sampling(a.sampling), **where)
     files.write_partitioned(out.drop("template"), a.output, ["model_name", *keys, "language"], fmt="parquet")
     return a.output
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.age import clean_age_v1, clean_age_v2, digits_only, first_number, numeric_coerce, range_mask, to_int
 from ..functions.gender import clean_gender, gender_rule_matched
 from ..functions.text import text_length
-from ..operators import align, contingency, coverage, generate, profile, reshape
+from ..operators import align, contingency, coverage, generate, ledger, profile, reshape
 
 
 # C1 / C2 -------------------------------------------------------------------
@@ -125,9 +125,15 @@ def token_report(df: DataFrame, columns: Sequence[str] = ("English_a_tokens", "C
 # C13 / C14 -----------------------------------------------------------------
 def complete(grid: DataFrame, fn, constants: Mapping[str, object] | None = None,
              number_by: Sequence[str] = (), number_order: Sequence[str] = ("prompt_id", "run"),
-             number_name: str = "seq", **kw) -> DataFrame:
-    """Batch completion, constant columns, then 1-based numbering per output group."""
-    out = generate.batch_complete(grid, fn, **kw)
+             number_name: str = "seq", resume: str | None = None, keys: Sequence[str] = ("run",), **kw) -> DataFrame:
+    """Batch completion, constant columns, then 1-based numbering per output group.
+
+    With ``resume`` (a ledger folder) requests that the ledger holds are not asked again; ``keys`` make
+    requests with one prompt different."""
+    if resume is not None:
+        out = ledger.complete_with_ledger(grid, fn, resume, keys=keys, **kw)
+    else:
+        out = generate.batch_complete(grid, fn, **kw)
     if constants:
         out = generate.stamp(out, constants)
     return align.number_rows(out, list(number_order), list(number_by), name=number_name)
