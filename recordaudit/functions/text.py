@@ -143,8 +143,27 @@ def _python_float_text(x: Column, formatted: Column) -> Column:
 
 
 def fixed2(x: Column) -> Column:
-    """Text with 2 decimals after half-even rounding (``f'{x:.2f}'``)."""
-    return _python_float_text(x, F.format_string("%.2f", round_half_even(x, 2)))
+    """Text with 2 decimals of the exact binary value (``f'{x:.2f}'``): 0.015, which is stored a little
+    below, is ``0.01``; only values that lie exactly in the middle (0.125) go to the even neighbour.
+
+    The fraction times 100 is rounded to a double; its rounding error, exact by splitting the fraction
+    into halves whose products need no rounding, decides where the product says "one half"."""
+    d = x.cast("double")
+    size = F.abs(d)
+    whole = F.floor(size)  # a long: exact below 2**62
+    part = size - whole.cast("double")
+    shifted = part * 134217729.0  # 2**27 + 1
+    high = shifted - (shifted - part)
+    product = part * 100.0
+    error = (high * 100.0 - product) + (part - high) * 100.0
+    down = F.floor(product)
+    rest = product - down.cast("double")
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0.0) | ((error == 0.0) & (down % 2 == 1))))
+    cents = down + up.cast("long")  # 0 to 100
+    sign = F.when(d.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    text = F.concat(sign, (whole + F.when(cents == 100, 1).otherwise(0)).cast("string"), F.lit("."),
+                    F.lpad((cents % 100).cast("string"), 2, "0"))
+    return _python_float_text(x, F.when(size < float(1 << 62), text).otherwise(F.format_string("%.2f", d)))
 
 
 def sci4(x: Column) -> Column:

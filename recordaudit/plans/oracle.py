@@ -50,7 +50,8 @@ def cell(n: str, p: str) -> str:
 
 
 def fixed2(x: str) -> str:
-    return f"printf('%.2f', {r2(x)})"
+    """Two decimals of the exact binary value (C formatting)."""
+    return f"printf('%.2f', {x})"
 
 
 # --- ages -------------------------------------------------------------------

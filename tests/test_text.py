@@ -52,3 +52,15 @@ def test_formats(spark):
     row = spark.range(1).select(X.fixed2(F.lit(0.125)).alias("a"), X.sci4(F.lit(1.8397e-19)).alias("b")).first()
     assert row.a == "0.12"
     assert row.b == "1.8397e-19"
+
+
+def test_fixed2_formats_the_exact_binary_value(spark):
+    import random
+    rng = random.Random(4)
+    values = [n / 3000 for n in range(3001)] + [sum(rng.randint(0, 900) for _ in range(n)) / n for n in range(1, 1001)]
+    values += [x / 8 for x in range(-40, 41)] + [x / 1000 for x in range(-2000, 2001)] + [100 * n / 3000 for n in range(0, 3001, 7)]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-6, 17) for _ in range(4000)]
+    values += [0.0, -0.0, -0.001, 0.995, 0.994999, 1.005, 2.675, 1e15 + 0.125, 4503599627370497.5, 2.0 ** 60, 5e-324]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", X.fixed2(F.col("x")).alias("o"))
+    wrong = [(r.x, r.o, f"{r.x:.2f}") for r in df.collect() if r.o != f"{r.x:.2f}"]
+    assert not wrong, wrong[:5]
