@@ -1,7 +1,7 @@
 """Positional and keyed alignment of tables, numbering, unions.
 
 Spark rows have no order, so a position is always derived from an explicit
-ordering key by :func:`dense_position`: range buckets with literal bounds, row
+ordering key by :func:`dense_position`: range buckets, found by binary search in a table of bounds, row
 numbers within a bucket, and the buckets' counts turned into offsets.  The only
 derived state is one row per (bucket, group), so no single-partition window ever
 holds the data, whatever the group sizes, and nothing is written.
@@ -22,21 +22,30 @@ def _q(name: str) -> str:
     return f"`{name}`"
 
 
-def _range_bounds(keyed: DataFrame, keys: Sequence[str], parts: int, per_part: int = 20) -> list:
-    """At most ``parts - 1`` rows of ``keys`` that cut the table into parts of similar size: every
-    ``per_part``-th of a sample, the rows with the smallest hash of the tie-breaker."""
-    sample = keyed.select(*keys).orderBy(F.xxhash64("_tie", F.lit(17))).limit(parts * per_part)
-    rows = sample.orderBy(*keys).collect()  # parts * per_part rows at most
-    step = max(per_part, -(-len(rows) // parts))
-    return rows[step::step]
+def _range_bounds(keyed: DataFrame, keys: Sequence[str], parts: int, per_part: int = 20) -> DataFrame:
+    """One row, one sorted array ``bounds`` of at most ``parts - 1`` rows of ``keys`` that cut the table
+    into parts of similar size.
 
+    They are every ``size / parts``-th of the distinct rows whose hash of the tie-breaker falls into the
+    share of the hash range that holds about ``parts * per_part`` rows, so they depend on the rows
+    alone; repeated rows count once.  Picked once and kept as a local relation."""
+    total = keyed.agg(F.count(F.lit(1)).alias("n")).scalar()
+    share = (F.xxhash64("_tie", F.lit(17)).cast("double") / float(2 ** 64) + 0.5) * total
+    sample = keyed.select(*keys).where(share < parts * per_part).distinct()
+    found = sample.agg(F.sort_array(F.collect_list(F.struct(*keys))).alias("found"))
+    cut = F.transform(F.sequence(F.lit(1), F.lit(max(parts - 1, 1))), lambda i: F.get("found", (i * F.size("found") / parts).cast("int")))
+    thin = found.select(F.slice(cut, 1, F.when(F.size("found") > 0, parts - 1).otherwise(0)).alias("bounds"))
+    return keyed.sparkSession.createDataFrame(thin.toArrow(), thin.schema)
 
-def _bucket(row: Column, bounds: list, lo: int = 0) -> Column:
-    """Number of bounds at or below ``row``, by a balanced tree of comparisons (log2 of them per row)."""
-    if not bounds:
-        return F.lit(lo)
-    mid = len(bounds) // 2
-    return F.when(row < bounds[mid], _bucket(row, bounds[:mid], lo)).otherwise(_bucket(row, bounds[mid + 1:], lo + mid + 1))
+
+def _bucket(placed: DataFrame, row: Column, bounds: DataFrame, parts: int) -> DataFrame:
+    """``_bucket``: the number of bounds at or below ``row``, by a binary search of one projection per
+    halving; the plan grows with the logarithm of ``parts``."""
+    placed = placed.withColumn("_bucket", F.lit(0))
+    for k in reversed(range(max(parts - 1, 0).bit_length())):
+        at = F.get(bounds.scalar(), F.col("_bucket") + F.lit((1 << k) - 1))  # null beyond the last bound
+        placed = placed.withColumn("_bucket", F.col("_bucket") + F.when(at <= row, 1 << k).otherwise(0))
+    return placed
 
 
 def dense_position(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (),
@@ -45,19 +54,18 @@ def dense_position(df: DataFrame, order_by: Sequence[str], partition_by: Sequenc
     restarted for every ``partition_by`` group -- a distributed ``row_number``.
 
     The order is ``partition_by + order_by`` and then a hash of the whole row, so it is total
-    but for identical rows, and ties spread over tasks.  Range bounds are picked once from a
-    sample and written into the plan as literals: a row's bucket, the buckets' counts and the
-    row numbers within a bucket come out the same however often the plan is evaluated, without
-    a checkpoint.  The counts are one row per (bucket, group); only keys are counted.
+    but for identical rows, and ties spread over tasks.  A distributed prefix sum: range bounds are
+    picked once from a sample, a row's bucket is found in their sorted table by binary search, row numbers
+    run within a bucket, and the buckets' counts (one row per bucket and group) give the offsets.
+    The bounds are a table of their own, so plan and build time do not grow with them, and the rows
+    come out the same however often the plan is evaluated, without a checkpoint.
     """
     keys = [*partition_by, *order_by]
     parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashed = [F.col(_q(f.name)) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     keyed = df.withColumns({f"_k{i}": F.col(_q(k)) for i, k in enumerate(keys)} | {"_tie": F.xxhash64(*hashed)})
     cols = [f"_k{i}" for i in range(len(keys))] + ["_tie"]
-    types = {f.name: f.dataType for f in keyed.schema.fields}
-    bounds = [F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in cols]) for r in _range_bounds(keyed, cols, parts)]
-    placed = keyed.withColumn("_bucket", _bucket(F.struct(*cols), bounds))
+    placed = _bucket(keyed, F.struct(*cols), _range_bounds(keyed, cols, parts), parts)
     groups = cols[:len(partition_by)]
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("_bucket", *groups).agg(F.count(F.lit(1)).alias("_n"))

@@ -31,6 +31,31 @@ def test_grouped_numbering(spark, parts):
         assert [s for *_, s in rows] == list(range(1, len(rows) + 1))
 
 
+def test_plan_and_build_time_do_not_grow_with_the_parts(spark):
+    import time
+    df = spark.range(20_000).select((F.col("id") * 7919 % 10_007).alias("a"), F.col("id").cast("string").alias("b"))
+    size = {}
+    for parts in (64, 3000):
+        t0 = time.perf_counter()
+        out = align.dense_position(df, ["a", "b"], num_partitions=parts)
+        size[parts] = len(out._jdf.queryExecution().analyzed().toString())
+        rows = sorted((r.pos, r.a, r.b) for r in out.collect())
+        assert time.perf_counter() - t0 < 10
+        assert [r[0] for r in rows] == list(range(1, 20_001)) and [r[1:] for r in rows] == sorted(r[1:] for r in rows)
+    assert size[3000] < 3 * size[64]
+
+
+def test_buckets_are_of_similar_size_and_ties_spread(spark):
+    df = spark.range(30_000).select(F.lit("same").alias("k"), "id")
+    cols = ["_k0", "_tie"]
+    keyed = df.withColumns({"_k0": F.col("k"), "_tie": F.xxhash64("k", "id")})
+    placed = align._bucket(keyed, F.struct(*cols), align._range_bounds(keyed, cols, 50), 50)
+    sizes = [r["count"] for r in placed.groupBy("_bucket").count().collect()]
+    assert len(sizes) == 50 and max(sizes) < 3 * 30_000 / 50
+    repeated = spark.range(5000).select((F.col("id") % 3).alias("k"))  # identical rows share a bucket
+    assert sorted(r.pos for r in align.dense_position(repeated, ["k"], num_partitions=9).collect()) == list(range(1, 5001))
+
+
 def test_null_group_keys_are_numbered(spark):
     df = spark.createDataFrame([(None, 2), (None, 1), ("a", 5)], "g string, k int")
     out = sorted((r.g or "", r.k, r.pos) for r in align.dense_position(df, ["k"], ["g"]).collect())

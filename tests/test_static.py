@@ -29,9 +29,10 @@ def test_checkpoint_folder_is_only_set_by_the_local_session():
 
 
 def test_collects_are_bounded():
-    # a sample for range bounds, and one short string per input file
-    assert _hits(r"\.collect\(\)") == ["operators/align.py", "sources/files.py"]
-    assert "limit(parts * per_part)" in SOURCES["operators/align.py"]
+    # one short string per input file, and one row of range bounds
+    assert _hits(r"\.collect\(\)") == ["sources/files.py"]
+    assert _hits(r"\.toArrow\(") == ["operators/align.py"]
+    assert SOURCES["operators/align.py"].count("toArrow(") == 1 and "thin.toArrow()" in SOURCES["operators/align.py"]
 
 
 def test_nothing_else_imports_the_training_data_package():
