@@ -28,7 +28,7 @@ Strings of special tokens inside texts are plain text.  An empty table gives an
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Iterator
 
@@ -49,6 +49,8 @@ HELD = 1 << 20  # distinct pairs of a task's partial counts before they are give
 HEAD = 1 << 19  # pairs that are sent to the tasks at most
 SHIFT = 20  # a pair is (A id << SHIFT) + B id
 
+# Fixed value: how byte-level vocabularies of this kind cut texts into words.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\w) (?=\w)")
 DOC_SCHEMA = ("kind int, row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, "
               "groups_sha256 string, pairs array<bigint>, times array<bigint>")
@@ -74,21 +76,27 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Tokenizers:
-    """Both tokenizers with the bytes of their tokens."""
+    """Both tokenizers with the bytes of their tokens.
+
+    A's vocabulary file is a list of byte-level merges in order of their ids, so its ids are the ranks
+    that tiktoken merges by; special tokens are left out, their strings are plain text."""
 
     def __init__(self, models: tuple[str, bytes]):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread per task
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_str(models[0])
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=models[1])
+        import tiktoken
+
+        model = json.loads(models[0])
+        special = {t["content"] for t in model["added_tokens"]}
+        merged = [model["model"]["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["model"]["merges"]]
+        pre = model["pre_tokenizer"]
+        if merged != sorted(merged) or pre["type"] != "ByteLevel" or not pre["use_regex"] or pre["add_prefix_space"] or model["normalizer"]:
+            raise ValueError("only byte-level vocabularies with merges in order of their ids are supported")
         alphabet = byte_alphabet()
-        width = self.a.get_vocab_size()
-        entries = [self.a.id_to_token(k) or "" for k in range(width)]
-        self.a_bytes = pa.array([bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t in entries],
-                                pa.large_binary())
+        entries = {i: bytes(alphabet[c] for c in t) for t, i in model["model"]["vocab"].items() if t not in special}
+        width = max(entries, default=-1) + 1
+        self.a = tiktoken.Encoding("a", pat_str=BYTE_PATTERN, mergeable_ranks={t: i for i, t in entries.items()}, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=models[1])
+        self.a_bytes = pa.array([entries.get(k, b"") for k in range(width)], pa.large_binary())
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = pa.array([bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode()
                                  for k, p in enumerate(pieces)], pa.large_binary())
@@ -97,6 +105,9 @@ class Tokenizers:
         #: ids in decimal with what may follow them in a list of groups
         self.printed = pa.array([f"{k}{end}".encode() for end in (",", "|", ";", "") for k in range(self.width)], pa.large_binary())
 
+    def a_ids(self, parts: list[str]) -> list[np.ndarray]:
+        return [self.a.encode_to_numpy(" " + p, disallowed_special=()) for p in parts]
+
     def parts(self, text: str) -> list[str]:
         """``text`` cut into parts that are encoded alone: each follows a single space that it leaves out."""
         out, at = [], 0
@@ -116,11 +127,13 @@ class Tokenizers:
 class _Side:
     """The flattened tokens of one tokenizer over all parts."""
 
-    def __init__(self, ids: list[list[int]], known: pa.Array):
-        lists = pa.array(ids, pa.list_(pa.int32()))
+    def __init__(self, ids: list, known: pa.Array):
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        flat = np.concatenate([np.asarray(x, np.int32) for x in ids])
+        lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))
         self.ids, self.part = pc.list_flatten(lists), pc.list_parent_indices(lists).cast(pa.int64())
-        count = pc.list_value_length(lists).to_numpy()
-        self.first = np.concatenate([[0], np.cumsum(count)])
+        count = np.diff(cuts)
+        self.first = cuts.astype(np.int64)
         text = known.take(self.ids)
         sums = np.concatenate([[0], pc.cumulative_sum(pc.binary_length(text)).to_numpy()]) if len(text) else np.zeros(1, np.int64)
         self.edge = sums[self.first]  # first byte of every part
@@ -134,7 +147,7 @@ class _Side:
 
 def align_parts(t: Tokenizers, parts: list[str]) -> tuple[np.ndarray, np.ndarray, list[memoryview], pa.Table]:
     """ok, (n_a, n_b, n_groups, n_links) and the printed groups of every part; (part, pair) of every link."""
-    a = _Side([e.ids for e in t.a.encode_batch([" " + p for p in parts], add_special_tokens=False)], t.a_bytes)
+    a = _Side(t.a_ids(parts), t.a_bytes)
     b = _Side(t.b.encode(parts, num_threads=1), t.b_bytes)
     ok = np.array([a.same(k, want) and b.same(k, want) for k, want in enumerate((" " + p).encode() for p in parts)], bool)
     tables = []
@@ -161,9 +174,10 @@ def _printed(t: Tokenizers, a: _Side, b: _Side, ok: np.ndarray, shared: pa.Table
     n_a, n_b = len(a.ids), len(b.ids)
     keep_a, keep_b = np.repeat(ok, np.diff(a.first)), np.repeat(ok, np.diff(b.first))
     ia, ib = np.flatnonzero(keep_a), np.flatnonzero(keep_b)
-    ga, gb = np.searchsorted(last_a, ia, "left"), np.searchsorted(last_b, ib, "left")
-    end_a = np.searchsorted(ia, last_a) + 1  # kept tokens up to the end of each group
-    end_b = np.searchsorted(ib, last_b) + 1
+    ends_a, ends_b = np.zeros(n_a, np.int64), np.zeros(n_b, np.int64)
+    ends_a[last_a] = ends_b[last_b] = 1
+    ga, gb = (np.cumsum(ends_a) - ends_a)[ia], (np.cumsum(ends_b) - ends_b)[ib]  # the group of every kept token
+    end_a, end_b = np.cumsum(keep_a)[last_a], np.cumsum(keep_b)[last_b]  # kept tokens up to the end of each group
     code_a, code_b = np.zeros(n_a, np.int64), np.zeros(n_b, np.int64)
     code_a[last_a] = 1
     code_b[last_b] = 2

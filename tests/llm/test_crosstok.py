@@ -20,7 +20,12 @@ def models(spark):
 
 @pytest.fixture(scope="module")
 def tokenizers(models):
-    return crosstok.Tokenizers(models)
+    from tokenizers import Tokenizer
+
+    t = crosstok.Tokenizers(models)
+    t.single = Tokenizer.from_str(models[0])  # the vocabulary file's own library
+    t.single.encode_special_tokens = True
+    return t
 
 
 def brute(t, texts):
@@ -29,7 +34,7 @@ def brute(t, texts):
     for text in texts:
         links, groups = [], []
         if text:
-            a = t.a.encode(" " + text, add_special_tokens=False).ids
+            a = t.single.encode(" " + text, add_special_tokens=False).ids
             b = t.b.encode(text)
             sides = []
             for ids, known in ((a, t.a_bytes), (b, t.b_bytes)):
@@ -61,6 +66,15 @@ def brute(t, texts):
     return out
 
 
+def test_ids_equal_the_library_of_the_vocabulary_file(tokenizers):
+    texts = [f" a{c}b1{c}2 {c}{c} !{c}?  {c} '{c}{c}s\n{c}\t " for c in map(chr, [*range(0x3500), *range(0x3500, 0x110000, 61)])
+             if not 0xD800 <= ord(c) < 0xE000]
+    texts += ["x" * 5000, "ab" * 3000, " " * 4000, "\n " * 900, "<|endoftext|> </s>", "I'll they'RE 've"]
+    want = tokenizers.single.encode_batch([" " + t for t in texts], add_special_tokens=False)
+    for t, mine, e in zip(texts, tokenizers.a_ids(texts), want, strict=True):
+        assert mine.tolist() == e.ids, t
+
+
 ODD = [None, "", " ", "a", "Hello  world, <|endoftext|> </s> <0x41>", "日本語 text 😀 naïve", "▁ under", "tab\tand\nlines \n x",
        "Hello  world, <|endoftext|> </s> <0x41>", "\x00nul", "don't 123 4567 ---- ....", "é" * 30, "a b c"]
 
