@@ -18,7 +18,7 @@ from ..functions import gender as G
 from ..functions.text import null_tokens, text_length
 from ..operators import align, contingency, coverage, generate, ledger, profile, reshape
 from ..session import checkpoint_dir
-from ..sources import files
+from ..sources import catalogue, files
 from . import fixtures as X
 from . import jobs
 from . import oracle as O
@@ -642,6 +642,42 @@ def scan_with_file_keys(spark, d):
         F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n_{c}") for c in ("text", "doc_id", "o_orderkey", "html", "n_name")])
 
 
+# Spark's names of the types that the tables' columns have, from DuckDB's
+_TYPE_SQL = """replace(replace(replace(replace(replace(replace(lower(t), 'varchar', 'string'), 'integer', 'int'),
+  'timestamp', 'timestamp_ntz'), 'float[]', 'array<float>'), 'double[]', 'array<double>'), 'real', 'float')"""
+
+
+def _described(table: str) -> str:
+    return (f"select '{table}.parquet' as file_name, column_name as c, {_TYPE_SQL.replace('lower(t)', 'lower(column_type)')} as t, "
+            f"row_number() over () as i from (describe select * from {table})")
+
+
+_DESCRIBED = " union all ".join(_described(t) for t in DRIVER_TABLES)
+_COUNTED = " union all ".join(f"select '{t}.parquet' as file_name, count(*) as n from {t}" for t in DRIVER_TABLES)
+
+
+@register("file_catalogue", f"""
+  select file_name, n as n_rows, string_agg(c || ':' || t, ',' order by i) as columns
+  from ({_DESCRIBED}) join ({_COUNTED}) using (file_name) group by file_name, n""")
+def file_catalogue(spark, d):
+    """Rows, columns and types of every table file, from the footers."""
+    cat = catalogue.catalogue(spark, d, glob="*.parquet")
+    shown = F.array_join(F.transform("columns", lambda c: F.concat(c["name"], F.lit(":"), c["type"])), ",")
+    return cat.select(F.substring_index("path", "/", -1).alias("file_name"), F.col("rows").alias("n_rows"), shown.alias("columns"))
+
+
+@register("schema_union", f"""
+  select c as "column", string_agg(distinct t, ',' order by t) as types, count(*) as files,
+    case when count(distinct t) = 1 then min(t)
+         when bool_and(t in ('tinyint', 'smallint', 'int', 'bigint')) then 'bigint'
+         when bool_and(t in ('tinyint', 'smallint', 'int', 'double')) then 'double' end as type
+  from ({_DESCRIBED}) group by c""")
+def schema_union(spark, d):
+    """The union of all tables' schemas: per column its types, files and the type that holds them."""
+    union = catalogue.schema_union(catalogue.catalogue(spark, d, glob="*.parquet"))
+    return union.select("column", F.array_join("types", ",").alias("types"), "files", "type")
+
+
 @register("null_tokens", f"{REC} select rid, {O.null_tokens('addr_raw')} as address from records")
 def null_tokens_q(spark, d):
     return X.records(spark, d).select("rid", null_tokens(F.col("addr_raw")).alias("address"))

@@ -1,5 +1,5 @@
-"""Scans (file keys, schema guard, null tokens) and sinks (reports, partitions, versions)."""
+"""Scans (file keys, schema guard, null tokens), the file catalogue, and sinks (reports, partitions, versions)."""
 
-from . import files
+from . import catalogue, files
 
-__all__ = ["files"]
+__all__ = ["catalogue", "files"]

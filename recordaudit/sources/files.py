@@ -21,18 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import null_tokens
+from . import catalogue
 
 FILE_NAME = "file_name"
 
 
 def list_files(spark: SparkSession, path: str | Sequence[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
     """``path, length`` of every file (a listing; contents are not read)."""
-    reader = spark.read.format("binaryFile")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(path if isinstance(path, str) else list(path)).select("path", "length")
+    return catalogue.listing(spark, path, glob, recursive).select("path", "length")
 
 
 def corrupt_files(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet", glob: str | None = None,
@@ -87,9 +83,21 @@ def _first_line(spark: SparkSession, path: str) -> str:
     return (line or "").removeprefix("\ufeff")
 
 
-def _by_header(spark: SparkSession, paths: Iterable[str], fmt: str) -> dict[tuple[str, ...], list[str]]:
-    """The files per list of columns: CSV headers, else the schemas of the files' footers or records."""
-    out: dict[tuple[str, ...], list[str]] = {}
+def _by_header(spark: SparkSession, path: str | Sequence[str], paths: Sequence[str], fmt: str, glob: str | None,
+               recursive: bool) -> dict[tuple[str, ...], list[str]]:
+    """The files per list of columns, from the catalogue that tasks build.
+
+    Only for formats without a catalogue, and for stores that only Spark can open, does the driver read
+    the headers itself."""
+    wanted = set(paths)
+    if fmt in ("parquet", "csv", "json") and all(catalogue.tasks_can_open(p) for p in paths[:1]):
+        cat = catalogue.catalogue(spark, path, fmt, glob, recursive)
+        out = {tuple(r["names"]): [p for p in r["paths"] if p in wanted] for r in catalogue.headers(cat).collect()}
+        rest = wanted - {p for some in out.values() for p in some}
+        if rest:
+            raise ValueError(f"{len(rest)} files without a readable header, such as {sorted(rest)[:5]}")
+        return {names: some for names, some in out.items() if some}
+    out = {}
     for p in paths:
         if fmt == "csv":
             names = tuple(next(csv.reader([_first_line(spark, p)]), []))
@@ -142,7 +150,7 @@ def scan(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet",
         return df.withColumn(FILE_NAME, F.col("_metadata.file_name"))
 
     if need or fmt == "csv" and schema is None:
-        groups = _by_header(spark, paths, fmt)
+        groups = _by_header(spark, path, paths, fmt, glob, recursive)
         lacking = {p: sorted(set(need) - set(names)) for names, some in groups.items() for p in some if set(need) - set(names)}
         if lacking and on_missing == "raise":
             raise ValueError(f"missing required columns: {lacking}")
