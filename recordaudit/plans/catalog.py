@@ -657,13 +657,13 @@ _COUNTED = " union all ".join(f"select '{t}.parquet' as file_name, count(*) as n
 
 
 @register("file_catalogue", f"""
-  select file_name, n as n_rows, string_agg(c || ':' || t, ',' order by i) as columns
+  select file_name, n as n_rows, string_agg(c, ',' order by i) as columns, string_agg(t, ',' order by i) as types
   from ({_DESCRIBED}) join ({_COUNTED}) using (file_name) group by file_name, n""")
 def file_catalogue(spark, d):
     """Rows, columns and types of every table file, from the footers."""
     cat = catalogue.catalogue(spark, d, glob="*.parquet")
-    shown = F.array_join(F.transform("columns", lambda c: F.concat(c["name"], F.lit(":"), c["type"])), ",")
-    return cat.select(F.substring_index("path", "/", -1).alias("file_name"), F.col("rows").alias("n_rows"), shown.alias("columns"))
+    return cat.select(F.substring_index("path", "/", -1).alias("file_name"), F.col("rows").alias("n_rows"),
+                      F.array_join("columns.name", ",").alias("columns"), F.array_join("columns.type", ",").alias("types"))
 
 
 @register("schema_union", f"""

@@ -147,14 +147,13 @@ def unreadable(cat: DataFrame) -> DataFrame:
 def lacking(cat: DataFrame, required: Iterable[str]) -> DataFrame:
     """path, missing: the readable files that do not have all ``required`` columns."""
     need = F.array(*[F.lit(c) for c in required]).cast("array<string>")
-    missing = F.array_sort(F.array_except(need, F.transform("columns", lambda c: c["name"])))
+    missing = F.array_sort(F.array_except(need, F.col("columns.name")))
     return cat.where("error is null").select("path", missing.alias("missing")).where(F.size("missing") > 0)
 
 
 def headers(cat: DataFrame) -> DataFrame:
     """names, files, paths: the readable files per list of column names."""
-    names = F.transform("columns", lambda c: c["name"])
-    return cat.where("error is null").groupBy(names.alias("names")).agg(F.count(F.lit(1)).alias("files"), F.sort_array(F.collect_list("path")).alias("paths"))
+    return cat.where("error is null").groupBy(F.col("columns.name").alias("names")).agg(F.count(F.lit(1)).alias("files"), F.sort_array(F.collect_list("path")).alias("paths"))
 
 
 def _holds(types: Column) -> Column:
