@@ -9,13 +9,14 @@ there is one such path, so a word is solved from left to right with one piece pe
 place, all words of a batch at once.
 
 No piece spans a place before a run of U+2581 signs that follows another character
-(checked on the vocabulary), so the words between such places are solved once per
-batch each.  Giant documents (over ``CHUNK`` characters) are cut into chunks that are
+(checked on the vocabulary), so the words between such places are solved once each
+while a worker remembers them (``SOLVED_BYTES``).  Giant documents (over ``CHUNK`` characters) are cut into chunks that are
 dealt over the cluster.  A chunk yields its transfer matrix from the states at its left
 border to those at its right border (state: the piece that meets or spans the border);
-of the matrix only the zeros are kept, as pairs of states.  The matrices of a document
-are combined under (max, +), which is associative, and once the border states are known
-every chunk is backtraced in its own task.  Copies of a giant text are encoded once.
+of the matrix only the zeros are kept, as pairs of states.  The matrices of ``SPAN`` chunks
+are combined under (max, +), which is associative, in a task each; the products give
+the states between the spans, then every span those between its chunks, and every chunk
+is backtraced in its own task.  Copies of a giant text are encoded once.
 
 Defined cases: null and empty texts have no pieces (and decode to the empty text); text
 that holds U+2581 itself decodes to a space there, as in the library, and shows
@@ -39,7 +40,9 @@ from .common import materialize, mix, plain_names, slices, span_hashes, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = 32_768  # characters of a chunk of a giant document
+SPAN = 256  # chunks whose matrices one task combines
 ROWS_BY_WIDTH = 200_000  # characters of words that are solved at a time
+SOLVED_BYTES = 32 << 20  # pieces of words that a worker remembers
 NEVER = 1 << 40
 START = -1  # the state before the first piece
 
@@ -122,6 +125,31 @@ def merge_tables(pieces: list[tuple[str, float, int]]) -> dict:
             "merged": np.array(merged, np.int32)[by]}
 
 
+class Solved:
+    """The pieces of words that were solved before, by the words' hashes; starts anew beyond SOLVED_BYTES."""
+
+    def __init__(self):
+        self.h, self.first, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def find(self, vocab: Vocabulary, h: np.ndarray, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where the words of the (sorted, distinct) hashes ``h`` are; those not known yet are solved."""
+        if self.h.nbytes + self.first.nbytes + self.ids.nbytes > SOLVED_BYTES:
+            self.__init__()
+        new = np.ones(len(h), bool)
+        if len(self.h):
+            new = self.h[np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)] != h
+        if new.any():
+            ids, first = solve_words(vocab, cps, starts[new], ends[new])
+            every = np.concatenate([self.h, h[new]])
+            count = np.concatenate([np.diff(self.first), np.diff(first)])
+            begin = np.concatenate([self.first[:-1], first[:-1] + len(self.ids)])
+            order = np.argsort(every, kind="stable")
+            count, begin, flat = count[order], begin[order], np.concatenate([self.ids, ids])
+            self.h, self.first = every[order], np.concatenate([[0], np.cumsum(count)])
+            self.ids = flat[np.repeat(begin - self.first[:-1], count) + np.arange(int(self.first[-1]))]
+        return np.searchsorted(self.h, h)
+
+
 class Vocabulary:
     """Lookup tables of a model."""
 
@@ -158,6 +186,7 @@ class Vocabulary:
         self.pair_filter = np.zeros(1 << 24, bool)
         self.pair_filter[(mix(self.pairs.astype(np.uint64)) >> np.uint64(40)).astype(np.int64)] = True
         self.known: dict[int, bool] = {}
+        self.solved = Solved()
 
     def matches(self, cps: np.ndarray) -> list[np.ndarray]:
         """For lengths 1, 2, ...: rows x starts of piece ids, -1 where none (length 1: unknown)."""
@@ -315,18 +344,32 @@ def encode_texts(vocab: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray
     if not len(cps):
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in full])])
-    starts = np.unique(np.concatenate([word_cuts(vocab, cps), bounds[:-1][np.diff(bounds) > 0]]))
+    begins = np.zeros(len(cps), bool)
+    begins[word_cuts(vocab, cps)] = True
+    begins[bounds[:-1][np.diff(bounds) > 0]] = True
+    starts = np.flatnonzero(begins)
     out, total = span_ids(vocab, cps, starts, np.append(starts[1:], len(cps)))
     return out, total[np.searchsorted(starts, bounds)]
 
 
 def span_ids(vocab: Vocabulary, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, first) of words; equal words are solved once."""
-    _, sample, which = np.unique(span_hashes(cps, starts, ends), return_index=True, return_inverse=True)
-    ids, first = solve_words(vocab, cps, starts[sample], ends[sample])
-    count = np.diff(first)[which]
+    """(ids, first) of words; equal words are solved once in a worker (while they are remembered)."""
+    h, sample, which = np.unique(span_hashes(cps, starts, ends), return_index=True, return_inverse=True)
+    at = vocab.solved.find(vocab, h, cps, starts[sample], ends[sample])[which]
+    ids, first = vocab.solved.ids, vocab.solved.first
+    count = first[at + 1] - first[at]
     total = np.concatenate([[0], np.cumsum(count)])
-    return ids[np.repeat(first[:-1][which] - total[:-1], count) + np.arange(int(total[-1]))], total
+    return ids[np.repeat(first[at] - total[:-1], count) + np.arange(int(total[-1]))], total
+
+
+_loaded: list[tuple[dict, Vocabulary]] = []
+
+
+def vocabulary(model: dict) -> Vocabulary:
+    """The model's tables, built once in a worker (the last model that it used)."""
+    if not _loaded or _loaded[0][0] is not model:
+        _loaded[:] = [(model, Vocabulary(model))]
+    return _loaded[0][1]
 
 
 def decode_ids(vocab: Vocabulary, ids) -> str:
@@ -414,12 +457,20 @@ def combine(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
     return list({(x, z) for x, y in a for z in rows.get(y, ())})
 
 
-def border_states(matrices: list[list[tuple[int, int]]]) -> list[int]:
-    """The states at all borders of the path of score 0 through the chunks."""
-    prefix = [[(START, START)]]
+def product(matrices: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """The (max, +) product of matrices in a row, pair by pair (it is associative)."""
+    while len(matrices) > 1:
+        odd = matrices[len(matrices) & ~1:]
+        matrices = [combine(a, b) for a, b in zip(matrices[::2], matrices[1::2], strict=False)] + odd
+    return matrices[0]
+
+
+def border_states(matrices: list[list[tuple[int, int]]], entry: int = START, exit: int | None = None) -> list[int]:
+    """The states at all borders of the path of score 0 from ``entry`` through the chunks (to ``exit``)."""
+    prefix = [[(entry, entry)]]
     for m in matrices:
         prefix.append(combine(prefix[-1], m))
-    (state,) = {y for _, y in prefix[-1]}
+    (state,) = {y for _, y in prefix[-1]} if exit is None else {exit}
     out = [state]
     for before, m in zip(prefix[-2::-1], matrices[::-1], strict=True):
         reached = {y for _, y in before}
@@ -479,7 +530,7 @@ def encode(docs: DataFrame, model: dict, columns: list[str], chunk: int = CHUNK)
     schema = docs.select(*columns).schema.add("ids", ArrayType(IntegerType())).add("n_pieces", "long").add("round_trip", "boolean")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Vocabulary(sent.value)
+        vocab = vocabulary(sent.value)
         for big in batches:
             for batch in slices(big, "_text", 4 << 20):
                 texts = batch.column("_text").to_pylist()
@@ -493,20 +544,27 @@ def encode(docs: DataFrame, model: dict, columns: list[str], chunk: int = CHUNK)
 
     plain = rows.where(~giant).mapInArrow(whole, schema)
 
-    # giant texts: chunks -> matrices -> border states -> chunks backtraced
+    # giant texts: chunks -> matrices -> products of SPAN chunks -> border states -> chunks backtraced
     key = F.sha2(F.encode("_text", "UTF-8"), 256)
     prefix = SPACE if model["prefix"] else ""
-    texts = rows.where(giant).select(key.alias("key"), F.concat(F.lit(prefix), F.translate("_text", " ", SPACE)).alias("t"))
-    last = ((F.char_length("t") - 1) / chunk).cast("int")
-    chunks = texts.select("key", "t", F.char_length("t").alias("len"), F.explode(F.sequence(F.lit(0), last)).alias("c")) \
-        .withColumn("back", F.when(F.col("c") > 0, size).otherwise(0)) \
-        .select("key", "c", "back", F.least(F.lit(chunk), F.col("len") - F.col("c") * chunk).cast("int").alias("n"),
-                (F.col("c") * chunk + chunk >= F.col("len")).alias("last"),
-                F.substring("t", F.col("c") * chunk + 1 - F.col("back"), F.lit(chunk + size) + F.col("back")).alias("part"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "c", "back", "n", "last", "part"]
+        for big in batches:
+            for k, text in zip(*[c.to_pylist() for c in big.columns], strict=True):
+                t = prefix + text.replace(" ", SPACE)
+                for lo in range(0, len(t), 64 * chunk):
+                    rows = [(k, x // chunk, size if x else 0, min(chunk, len(t) - x), x + chunk >= len(t), t[max(x - size, 0):x + chunk + size])
+                            for x in range(lo, min(lo + 64 * chunk, len(t)), chunk)]
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], chunk_type)
+
+    chunk_type = pa.schema([("key", pa.string()), ("c", pa.int32()), ("back", pa.int32()), ("n", pa.int32()), ("last", pa.bool_()), ("part", pa.string())])
+    chunks = rows.where(giant).select(key.alias("key"), "_text") \
+        .mapInArrow(cut, "key string, c int, back int, n int, last boolean, part string")
     chunks = materialize(chunks.dropDuplicates(["key", "c"]), "piece-chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Vocabulary(sent.value)
+        vocab = vocabulary(sent.value)
         for big in batches:
             for b in slices(big, "part", 1 << 20):
                 zeros = [chunk_matrix(vocab, *x) for x in zip(*[b.column(c).to_pylist() for c in ("part", "back", "n", "last")], strict=True)]
@@ -514,20 +572,32 @@ def encode(docs: DataFrame, model: dict, columns: list[str], chunk: int = CHUNK)
                     [b.column("key"), b.column("c"), pa.array([[x for pair in z for x in pair] for z in zeros], pa.list_(pa.int32()))],
                     names=["key", "c", "m"])
 
+    def zeros(column) -> list[list[tuple[int, int]]]:
+        return [list(zip(m[::2], m[1::2], strict=True)) for m in column.to_pylist()]
+
+    def spans(t: pa.Table) -> pa.Table:
+        whole = product(zeros(t.sort_by("c").column("m")))
+        return pa.table({"key": t.column("key")[:1], "b": t.column("b")[:1], "m": pa.array([[x for pair in whole for x in pair]], pa.list_(pa.int32()))})
+
+    def span_borders(t: pa.Table) -> pa.Table:
+        t = t.sort_by("b")
+        s = border_states(zeros(t.column("m")))
+        return pa.table({"key": t.column("key"), "b": t.column("b"), "from": pa.array(s[:-1], pa.int32()), "to": pa.array(s[1:], pa.int32())})
+
     def borders(t: pa.Table) -> pa.Table:
         t = t.sort_by("c")
-        s = border_states([list(zip(m[::2], m[1::2], strict=True)) for m in t.column("m").to_pylist()])
+        s = border_states(zeros(t.column("m")), t.column("from")[0].as_py(), t.column("to")[0].as_py())
         return pa.table({"key": t.column("key"), "c": t.column("c"), "entry": pa.array(s[:-1], pa.int32()), "exit": pa.array(s[1:], pa.int32())})
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Vocabulary(sent.value)
+        vocab = vocabulary(sent.value)
         for big in batches:
             for b in slices(big, "part", 8 << 20):
                 ids = chunks_ids(vocab, list(zip(*[b.column(c).to_pylist() for c in ("part", "back", "n", "entry", "exit")], strict=True)))
                 yield pa.RecordBatch.from_arrays([b.column("key"), b.column("c"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "c", "ids"])
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Vocabulary(sent.value)
+        vocab = vocabulary(sent.value)
         for big in batches:
             for b in slices(big, "_text", 2 << 20):
                 ids = b.column("ids").to_pylist()
@@ -536,8 +606,11 @@ def encode(docs: DataFrame, model: dict, columns: list[str], chunk: int = CHUNK)
                     [*[b.column(c) for c in columns], b.column("ids"), pa.array([len(i) for i in ids], pa.int64()), pa.array(same)],
                     names=[*columns, "ids", "n_pieces", "round_trip"])
 
-    steps = chunks.mapInArrow(matrices, "key string, c int, m array<int>").groupBy("key") \
-        .applyInArrow(borders, "key string, c int, entry int, exit int")
+    solved = chunks.mapInArrow(matrices, "key string, c int, m array<int>").withColumn("b", F.expr(f"c div {SPAN}"))
+    solved = materialize(solved, "piece-matrices")
+    outer = solved.groupBy("key", "b").applyInArrow(spans, "key string, b bigint, m array<int>").groupBy("key") \
+        .applyInArrow(span_borders, "key string, b bigint, from int, to int")
+    steps = solved.join(outer, ["key", "b"]).groupBy("key", "b").applyInArrow(borders, "key string, c int, entry int, exit int")
     coded = chunks.join(steps, ["key", "c"]).mapInArrow(paths, "key string, c int, ids array<int>")
     whole_ids = coded.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("c", "ids"))), lambda x: x["ids"])).alias("ids"))
     big_rows = rows.where(giant).withColumn("key", key).join(whole_ids, "key").select(*columns, "_text", "ids")

@@ -226,13 +226,14 @@ def test_sharding_odd_rows(spark, frame):
     assert sharding.shard_documents(frame([])).count() == 0
 
 
-def test_pieces_odd_texts_and_chunk_sizes(spark, frame):
+def test_pieces_odd_texts_and_chunk_sizes(spark, frame, monkeypatch):
     spm = pytest.importorskip("sentencepiece")
     sp = spm.SentencePieceProcessor(model_file=pieces.MODEL)
     texts = ["", None, "a", "  two  spaces ", "日本語テキスト 😀 x", "\n\t tab", "a" * 900, "ab" * 700 + " " + "xyz" * 400, "no" + " " * 70 + "x",
              "é" * 300 + " ü", LONG[:3000]]
     docs = frame(list(enumerate(texts)))
     model = pieces.read_model(spark)
+    monkeypatch.setattr(pieces, "SPAN", 3)
     for chunk in (40, 333, pieces.CHUNK):
         got = {r.doc_id: r for r in pieces.encode(docs, model, ["doc_id"], chunk=chunk).collect()}
         for i, t in enumerate(texts):
@@ -240,6 +241,43 @@ def test_pieces_odd_texts_and_chunk_sizes(spark, frame):
             assert got[i].round_trip and got[i].n_pieces == len(got[i].ids)
 
 
+def test_remembered_words_give_the_same_ids(spark, monkeypatch):
+    spm = pytest.importorskip("sentencepiece")
+    sp = spm.SentencePieceProcessor(model_file=pieces.MODEL)
+    model = pieces.read_model(spark)
+    vocab = pieces.vocabulary(model)
+    assert pieces.vocabulary(model) is vocab
+    batches = [[f"word{k % 7} and w{k} naïve 日本 {k}" for k in range(lo, lo + 40)] for lo in (0, 20, 500, 0)]
+    for limit in (1 << 25, 200):  # the second starts anew for every batch
+        monkeypatch.setattr(pieces, "SOLVED_BYTES", limit)
+        for texts in batches:
+            ids, first = pieces.encode_texts(vocab, texts)
+            assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == sp.encode(texts)
+
+
+def test_products_of_matrices_are_associative():
+    rng = np.random.default_rng(2)
+    ms = [sorted({(int(a), int(b)) for a, b in rng.integers(0, 4, (7, 2))}) for _ in range(7)]
+    left = ms[0]
+    for m in ms[1:]:
+        left = pieces.combine(left, m)
+    assert sorted(pieces.product(ms)) == sorted(left) and pieces.product(ms[:1]) == ms[0]
+
+
+def test_cutting_a_giant_text_takes_time_in_proportion(spark, frame):
+    import time
+
+    model = pieces.read_model(spark)
+    took = []
+    for n in (400_000, 800_000):
+        t0 = time.perf_counter()
+        text = ("abc def ghi " * (n // 12))[:n]
+        (r,) = pieces.encode(frame([(1, text)]), model, ["doc_id"]).select("n_pieces", "round_trip").collect()
+        took.append(time.perf_counter() - t0)
+        assert r.round_trip and r.n_pieces > n // 12
+    assert took[1] < 3 * took[0] + 3
+
+
 def test_pipeline_run(spark, tmp_path):
     from ..conftest import SF_SMALL
 
