@@ -133,6 +133,26 @@ def test_language_model_sums_to_one(spark, frame):
     assert (r.n_tokens, r.n_known, r.train_tokens, r.score) == (3, 0, 0, 0.0)
 
 
+def test_table_counts_pack_and_unpack():
+    for t in ([], [1], [254, 255, 1, 10**9, 3], [255] * 9):
+        t = np.array(t, np.int64)
+        assert np.array_equal(pitman_yor.unpack_tables(pitman_yor.pack_tables(t), len(t)), t)
+
+
+def test_scores_do_not_depend_on_the_blocks(spark, frame, monkeypatch):
+    docs = frame([(i, f"a b w{i % 5} c a w{i % 3} {'x ' * (i % 4)}") for i in range(60)]).coalesce(1)
+    counts, samples = pitman_yor.train(docs, 3)
+
+    def scores():
+        return {r.doc_id: r for r in pitman_yor.score_documents(docs, counts, samples, 3).collect()}
+
+    want = scores()
+    monkeypatch.setattr(pitman_yor, "BLOCK_ROWS", 7)
+    for i, r in scores().items():
+        assert (r.n_tokens, r.n_known) == (want[i].n_tokens, want[i].n_known)
+        assert r.score == pytest.approx(want[i].score) and r.base_score == pytest.approx(want[i].base_score)
+
+
 def test_seats_keep_their_customers():
     rng = np.random.default_rng(1)
     n = np.array([1, 5, 40, 300])
