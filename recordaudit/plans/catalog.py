@@ -18,7 +18,7 @@ from ..functions import gender as G
 from ..functions.text import null_tokens, text_length
 from ..operators import align, contingency, coverage, generate, ledger, profile, reshape
 from ..session import checkpoint_dir
-from ..sources import catalogue, files
+from ..sources import catalogue, files, rescue
 from . import fixtures as X
 from . import jobs
 from . import oracle as O
@@ -678,6 +678,23 @@ def schema_union(spark, d):
     return union.select("column", F.array_join("types", ",").alias("types"), "files", "type")
 
 
+_LINE_SQL = """'{"id":' || cast(c_custkey as varchar(20)) || ',"segment":"' || c_mktsegment || '","nation":' ||
+  case when c_custkey % 10 = 7 then '"x"}' when c_custkey % 10 = 3 then cast(c_nationkey as varchar(20))
+       else cast(c_nationkey as varchar(20)) || '}' end"""
+
+
+@register("record_rescue", f"""
+  select c_custkey as id, c_mktsegment as segment, c_nationkey as nation, cast(null as varchar) as record, cast(null as varchar) as reason
+  from customer where c_custkey % 10 not in (3, 7)
+  union all select null, null, null, {_LINE_SQL}, 'does not fit the schema' from customer where c_custkey % 10 in (3, 7)""")
+def record_rescue(spark, d):
+    """JSON lines of which some are cut off or of a wrong type: sound records and quarantine together."""
+    base = f"{checkpoint_dir(spark)}/rescue-{uuid.uuid4().hex}"
+    T(spark, d, "customer").select(F.expr(_LINE_SQL).alias("value")).write.text(f"{base}/lines")
+    good = rescue.rescue(spark, f"{base}/lines", f"{base}/store", "json", "id bigint, segment string, nation int")
+    return good.drop(files.FILE_NAME).unionByName(rescue.quarantined(spark, f"{base}/store").select("record", "reason"), allowMissingColumns=True)
+
+
 @register("null_tokens", f"{REC} select rid, {O.null_tokens('addr_raw')} as address from records")
 def null_tokens_q(spark, d):
     return X.records(spark, d).select("rid", null_tokens(F.col("addr_raw")).alias("address"))

@@ -15,17 +15,20 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 from ..operators import contingency, coverage
-from ..sources import files
+from ..sources import files, rescue
 from . import jobs
 
 
 def read_records(spark: SparkSession, path: str, fmt: str, glob: str | None, model: str,
-                 skip_corrupt: str | None = None) -> DataFrame:
+                 skip_corrupt: str | None = None, quarantine: str | None = None) -> DataFrame:
     """All record files; a corrupt file is an error, or with ``skip_corrupt`` is left out and
-    listed in the report written there."""
+    listed in the report written there, or with ``quarantine`` loses its damaged records only, which go there."""
     if skip_corrupt:
         files.write_report(files.corrupt_files(spark, path, fmt, glob), skip_corrupt)
-    df = files.scan(spark, path, fmt=fmt, glob=glob, ignore_corrupt=bool(skip_corrupt))
+    if quarantine:
+        df = rescue.rescue(spark, path, quarantine, fmt, glob=glob)
+    else:
+        df = files.scan(spark, path, fmt=fmt, glob=glob, ignore_corrupt=bool(skip_corrupt))
     df = files.normalize_nulls(df)
     if model not in df.columns:
         df = df.withColumn(model, files.model_from_file(F.col(files.FILE_NAME)))
@@ -39,6 +42,7 @@ def _common(p: argparse.ArgumentParser) -> None:
     p.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     p.add_argument("--glob", default=None)
     p.add_argument("--skip-corrupt", default=None, metavar="REPORT", help="leave corrupt files out and list them in REPORT")
+    p.add_argument("--quarantine", default=None, metavar="FOLDER", help="keep what can be read; damaged records go to FOLDER")
     p.add_argument("--model", default="model_name")
     p.add_argument("--report-format", default="csv", choices=["csv", "parquet", "json"])
 
@@ -177,7 +181,7 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame | str:
     if a.job == "chi-square" and a.from_reports:
         df = files.scan(spark, a.input, fmt=a.format, glob=a.glob)
     else:
-        df = read_records(spark, a.input, a.format, a.glob, a.model, a.skip_corrupt)
+        df = read_records(spark, a.input, a.format, a.glob, a.model, a.skip_corrupt, a.quarantine)
     if a.job == "coverage":
         out = jobs.coverage_report(jobs.coverage_summary(df, a.model), total=a.total or None)
     elif a.job == "location":

@@ -1,5 +1,5 @@
-"""Scans (file keys, schema guard, null tokens), the file catalogue, and sinks (reports, partitions, versions)."""
+"""Scans (file keys, schema guard, null tokens), the file catalogue, record rescue, and sinks (reports, partitions, versions)."""
 
-from . import catalogue, files
+from . import catalogue, files, rescue
 
-__all__ = ["catalogue", "files"]
+__all__ = ["catalogue", "files", "rescue"]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCHEMA = "path string, length bigint, columns array<struct<name: string, type: string>>, rows bigint, error string"
+SCHEMA = "path string, length bigint, columns array<struct<name: string, type: string>>, rows bigint, header string, error string"
 # Types that hold every value of the ones before them.
 WIDENING = (("tinyint", "smallint", "int", "bigint"), ("float", "double"), ("tinyint", "smallint", "int", "double"), ("date", "timestamp_ntz"))
 FILES_PER_TASK = 256
@@ -94,7 +94,7 @@ def _parquet(path: str) -> tuple[list[dict], int]:
 
 def catalogue(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet", glob: str | None = None,
               recursive: bool = False, delimiter: str = ",", quote: str = '"') -> DataFrame:
-    """One row per file: path, length, columns, rows (parquet only), error."""
+    """One row per file: path, length, columns, rows (parquet only), header (the line, CSV only), error."""
     files = listing(spark, path, glob, recursive).select("path", "length")
     if fmt == "json":
         return _json_catalogue(spark, files, path, glob, recursive)
@@ -102,12 +102,13 @@ def catalogue(spark: SparkSession, path: str | Sequence[str], fmt: str = "parque
         raise ValueError(f"no catalogue for {fmt}")
 
     def look(name: str, length: int) -> dict:
-        out = {"path": name, "length": length, "columns": None, "rows": None, "error": None}
+        out = {"path": name, "length": length, "columns": None, "rows": None, "header": None, "error": None}
         try:
             if fmt == "parquet":
                 out["columns"], out["rows"] = _parquet(name)
             else:
-                names = next(csv.reader([first_line(name)], delimiter=delimiter, quotechar=quote), [])
+                out["header"] = first_line(name)
+                names = next(csv.reader([out["header"]], delimiter=delimiter, quotechar=quote), [])
                 out["columns"] = [{"name": n, "type": "string"} for n in names]
         except Exception as e:  # the file's own fault, reported with its name
             out["error"] = f"{type(e).__name__}: {e}"[:300]
@@ -115,7 +116,7 @@ def catalogue(spark: SparkSession, path: str | Sequence[str], fmt: str = "parque
 
     arrow = pa.schema([("path", pa.string()), ("length", pa.int64()),
                        ("columns", pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())]))),
-                       ("rows", pa.int64()), ("error", pa.string())])
+                       ("rows", pa.int64()), ("header", pa.string()), ("error", pa.string())])
 
     def run(batches):
         for batch in batches:
@@ -136,7 +137,8 @@ def _json_catalogue(spark: SparkSession, files: DataFrame, path, glob: str | Non
         .agg(F.sort_array(F.collect_list(F.struct("name", F.lit("string").alias("type")))).alias("columns"))
     plain = F.regexp_replace("path", "^file:/+", "/") == F.regexp_replace("_path", "^file:/+", "/")
     return files.join(named, plain, "left").select("path", "length", F.coalesce("columns", F.array().cast(named.schema["columns"].dataType)).alias("columns"),
-                                                   F.lit(None).cast("long").alias("rows"), F.lit(None).cast("string").alias("error"))
+                                                   F.lit(None).cast("long").alias("rows"), F.lit(None).cast("string").alias("header"),
+                                                   F.lit(None).cast("string").alias("error"))
 
 
 def unreadable(cat: DataFrame) -> DataFrame:
@@ -152,8 +154,8 @@ def lacking(cat: DataFrame, required: Iterable[str]) -> DataFrame:
 
 
 def headers(cat: DataFrame) -> DataFrame:
-    """names, files, paths: the readable files per list of column names."""
-    return cat.where("error is null").groupBy(F.col("columns.name").alias("names")).agg(F.count(F.lit(1)).alias("files"), F.sort_array(F.collect_list("path")).alias("paths"))
+    """names, header, files, paths: the readable files per list of column names."""
+    return cat.where("error is null").groupBy(F.col("columns.name").alias("names"), "header").agg(F.count(F.lit(1)).alias("files"), F.sort_array(F.collect_list("path")).alias("paths"))
 
 
 def _holds(types: Column) -> Column:

@@ -92,7 +92,9 @@ def _by_header(spark: SparkSession, path: str | Sequence[str], paths: Sequence[s
     wanted = set(paths)
     if fmt in ("parquet", "csv", "json") and all(catalogue.tasks_can_open(p) for p in paths[:1]):
         cat = catalogue.catalogue(spark, path, fmt, glob, recursive)
-        out = {tuple(r["names"]): [p for p in r["paths"] if p in wanted] for r in catalogue.headers(cat).collect()}
+        out: dict[tuple[str, ...], list[str]] = {}
+        for r in catalogue.headers(cat).collect():
+            out.setdefault(tuple(r["names"]), []).extend(p for p in r["paths"] if p in wanted)
         rest = wanted - {p for some in out.values() for p in some}
         if rest:
             raise ValueError(f"{len(rest)} files without a readable header, such as {sorted(rest)[:5]}")

@@ -49,14 +49,14 @@ def test_the_union_does_not_depend_on_the_order(spark):
               [("d", "int")], [("d", "double")]]
     want = None
     for order in itertools.islice(itertools.permutations(files_), 0, 720, 240):
-        rows = [(f"p{k}", 1, [tuple(c) for c in f], 0, None) for k, f in enumerate(order)]
+        rows = [(f"p{k}", 1, [tuple(c) for c in f], 0, None, None) for k, f in enumerate(order)]
         cat = spark.createDataFrame(rows, catalogue.SCHEMA)
         got = sorted((r.column, r.type, r.files, r.place) for r in catalogue.schema_union(cat).collect())
         want = want or got
         assert got == want
     assert [(c, t, n) for c, t, n, _ in want] == [("a", "bigint", 3), ("b", "string", 2), ("c", "timestamp_ntz", 2), ("d", "double", 2)]
     assert catalogue.union_schema(cat).fieldNames() == ["a", "b", "c", "d"] or set(catalogue.union_schema(cat).fieldNames()) == set("abcd")
-    clash = spark.createDataFrame([("p", 1, [("a", "string")], 0, None), ("q", 1, [("a", "int")], 0, None)], catalogue.SCHEMA)
+    clash = spark.createDataFrame([("p", 1, [("a", "string")], 0, None, None), ("q", 1, [("a", "int")], 0, None, None)], catalogue.SCHEMA)
     with pytest.raises(ValueError, match="'a'"):
         catalogue.union_schema(clash)
     assert catalogue.union_schema(clash.limit(0)).fieldNames() == []
