@@ -18,7 +18,7 @@ from ..functions import gender as G
 from ..functions.text import null_tokens, text_length
 from ..operators import align, contingency, coverage, generate, ledger, profile, reshape
 from ..session import checkpoint_dir
-from ..sources import catalogue, files, rescue
+from ..sources import catalogue, files, rescue, versions
 from . import fixtures as X
 from . import jobs
 from . import oracle as O
@@ -695,6 +695,23 @@ def record_rescue(spark, d):
     return good.drop(files.FILE_NAME).unionByName(rescue.quarantined(spark, f"{base}/store").select("record", "reason"), allowMissingColumns=True)
 
 
+@register("versioned_dataset", """
+  select n_nationkey, n_name || '!' as name, n_regionkey, 'v2' as version, cast(2 as integer) as entries, true as second_writer_lost from nation""")
+def versioned_dataset(spark, d):
+    """Two versions of a table; a second writer of the latter that began earlier loses and changes nothing."""
+    base = f"{checkpoint_dir(spark)}/versions-{uuid.uuid4().hex}"
+    files.write_version(T(spark, d, "nation"), base, "v1")
+    slow = versions.begin(spark, base)
+    files.write_version(versions.read(spark, base, "v1").select("n_nationkey", F.concat("n_name", F.lit("!")).alias("name"), "n_regionkey"), base, "v2")
+    lost = False
+    try:
+        versions.commit(spark, slow, "v2", lambda folder: T(spark, d, "nation").limit(1).write.parquet(folder))
+    except versions.VersionConflict:
+        lost = True
+    return versions.read(spark, base).withColumns({"version": F.lit(versions.current(spark, base).version),
+                                                   "entries": F.lit(len(versions.log(spark, base))), "second_writer_lost": F.lit(lost)})
+
+
 @register("null_tokens", f"{REC} select rid, {O.null_tokens('addr_raw')} as address from records")
 def null_tokens_q(spark, d):
     return X.records(spark, d).select("rid", null_tokens(F.col("addr_raw")).alias("address"))

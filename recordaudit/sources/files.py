@@ -4,7 +4,7 @@ One DataFrame over all files of a dataset, with the file name kept as a
 column (``_metadata.file_name``) and model / language / version keys derived
 from it as expressions -- instead of one table per file.  Schemas are
 declared; messy columns are strings.  Sinks never overwrite the path being
-read: every cleaning step writes a new ``version=`` directory.
+read: every cleaning step commits a new version (``versions``).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import null_tokens
-from . import catalogue
+from . import catalogue, versions
 
 FILE_NAME = "file_name"
 
@@ -315,8 +315,11 @@ def reads_below(df: DataFrame, target: str) -> bool:
 
 
 def current_version(spark: SparkSession, base: str) -> str | None:
-    """The version that ``base`` points to (the last one written), or None."""
-    try:
+    """The version that the log of ``base`` ends with, or None."""
+    entry = versions.current(spark, base)
+    if entry is not None:
+        return entry.version
+    try:  # datasets written before there was a log
         row = spark.read.text(f"{base.rstrip('/')}/_current").first()
     except Exception:
         return None
@@ -325,18 +328,21 @@ def current_version(spark: SparkSession, base: str) -> str | None:
 
 def write_version(df: DataFrame, base: str, version: str, partition_by: Sequence[str] = (),
                   fmt: str = "parquet") -> str:
-    """Write a cleaning step's output as ``base/version=<version>``.
+    """Write a cleaning step's output as a version of ``base`` and commit it to the log; its path.
 
-    Refuses to write into a version the plan itself reads; any other existing
-    content of the target is replaced, so rerunning a failed job is idempotent.
-    """
-    target = f"{base.rstrip('/')}/version={version}"
-    if reads_below(df, target):
+    Refuses to replace a version the plan itself reads.  The data appear whole or not at all: a
+    failed job leaves the old version current, rerunning it is idempotent, and of two writers of
+    one version the slower gets a ``versions.VersionConflict``."""
+    spark = df.sparkSession
+    begun = versions.begin(spark, base)
+    held = {f"version={version}"} | {e.path for e in versions.log(spark, base) if e.version == version}
+    if any(reads_below(df, f"{begun.base}/{p}") for p in held):
         raise ValueError("refusing to overwrite the version being read; write a new version")
-    if partition_by:
-        write_partitioned(df, target, partition_by, fmt, mode="overwrite")
-    else:
-        df.write.mode("overwrite").format(fmt).save(target)
-    # the pointer is written last: a failed job leaves the old version current
-    df.sparkSession.range(1).select(F.lit(version).alias("value")).coalesce(1).write.mode("overwrite").text(f"{base.rstrip('/')}/_current")
-    return target
+
+    def write(folder: str) -> None:
+        if partition_by:
+            write_partitioned(df, folder, partition_by, fmt)
+        else:
+            df.write.format(fmt).save(folder)
+
+    return f"{begun.base}/{versions.commit(spark, begun, version, write).path}"
