@@ -81,7 +81,6 @@ def binned_distribution(df: DataFrame, values: str | Mapping[str, Column | str],
     multi = not isinstance(values, str)
     cols = dict(values) if multi else {values: values}
     keys = list(by)
-    labels = band_labels(width, low, high, label_style)
     # Rows are counted per (group, column, band) -- partial aggregation, a few small rows per group
     # and task -- and only the counted rows are spread over the full domain.
     pairs = []
@@ -90,16 +89,24 @@ def binned_distribution(df: DataFrame, values: str | Mapping[str, Column | str],
         pairs.append(F.struct(F.lit(j).alias("_col"), band_index(x, width, low, high).alias("_band"), x.isNotNull().alias("_num")))
     src = _keys_not_null(df, keys).select(*[F.col(k) for k in keys], F.inline(F.array(*pairs)))
     counted = src.groupBy(*keys, "_col", "_band", "_num").agg(F.count(F.lit(1)).alias("_n"))
-    total = F.sum("_n") if denominator == "all" else F.sum(F.when(F.col("_num"), F.col("_n")).otherwise(0))
+    return band_report(counted, keys, list(cols) if multi else None, band_labels(width, low, high, label_style), denominator)
+
+
+def band_report(counted: DataFrame, keys: Sequence[str], names: Sequence[str] | None, labels: Sequence[str],
+                denominator: str = "all") -> DataFrame:
+    """The report of :func:`binned_distribution` from counts ``keys..., _col, _band, _num, _n``, which may
+    come in parts: counts of one group, column and band are added up."""
+    counted = counted.groupBy(*keys, "_col", "_band").agg(
+        F.sum("_n").alias("_n"), F.sum(F.when(F.col("_num"), F.col("_n")).otherwise(0)).alias("_nums"))
+    total = F.sum("_n") if denominator == "all" else F.sum("_nums")
     per = counted.groupBy(*keys, "_col").agg(
         total.alias("_total"), F.map_from_entries(F.collect_list(F.when(F.col("_band").isNotNull(), F.struct("_band", "_n")))).alias("_m"))
     bands = F.array(*[F.struct(F.lit(i).alias("band_idx"), F.lit(label).alias("band")) for i, label in enumerate(labels)])
-    names = F.array(*[F.lit(n) for n in cols])
-    long = per.select(*keys, *([F.get(names, F.col("_col")).alias("column")] if multi else []), "_total", "_m", F.inline(bands)) \
+    shown = [F.get(F.array(*[F.lit(n) for n in names]), F.col("_col")).alias("column")] if names else []
+    long = per.select(*keys, *shown, "_total", "_m", F.inline(bands)) \
         .withColumn("n", F.coalesce(F.try_element_at("_m", F.col("band_idx")), F.lit(0)).cast("bigint"))
     pct = _pct(F.col("n"), F.col("_total"))
-    head = keys + (["column"] if multi else [])
-    return long.select(*head, "band_idx", "band", "n",
+    return long.select(*keys, *(["column"] if names else []), "band_idx", "band", "n",
                        round_half_even(pct, 2).alias("pct"), count_pct_cell(F.col("n"), pct).alias("cell"))
 
 
@@ -113,13 +120,14 @@ def category_distribution(df: DataFrame, value: Column | str, by: Sequence[str]
     keys = list(by)
     src = _keys_not_null(df, keys).select(*[F.col(k) for k in keys], _c(value).alias("_v"))
     v = F.col("_v")
-    aggs = [F.count(F.lit(1)).alias("_total")]
-    items = []
-    for i, d in enumerate(domain):
-        aggs.append(F.count_if(v == F.lit(d)).alias(f"_n{i}"))
-        items.append(F.struct(F.lit(i).alias("category_idx"), F.lit(d).alias("category"),
-                              F.col(f"_n{i}").alias("n")))
-    long = src.groupBy(*keys).agg(*aggs).select(*keys, "_total", F.inline(F.array(*items)))
+    aggs = [F.count(F.lit(1)).alias("_total"), *[F.count_if(v == F.lit(d)).alias(f"_n{i}") for i, d in enumerate(domain)]]
+    return category_report(src.groupBy(*keys).agg(*aggs), keys, domain)
+
+
+def category_report(counted: DataFrame, keys: Sequence[str], domain: Sequence[str]) -> DataFrame:
+    """The report of :func:`category_distribution` from one row per group: ``_total`` and ``_n0, _n1, ...``."""
+    items = [F.struct(F.lit(i).alias("category_idx"), F.lit(d).alias("category"), F.col(f"_n{i}").alias("n")) for i, d in enumerate(domain)]
+    long = counted.select(*keys, "_total", F.inline(F.array(*items)))
     pct = _pct(F.col("n"), F.col("_total"))
     return long.select(*keys, "category_idx", "category", "n",
                        round_half_even(pct, 2).alias("pct"), count_pct_cell(F.col("n"), pct).alias("cell"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import age as A
 from ..functions import gender as G
 from ..functions.text import null_tokens, text_length
-from ..operators import align, contingency, coverage, generate, ledger, profile, reshape
+from ..operators import align, contingency, coverage, generate, ledger, profile, reshape, states
 from ..session import checkpoint_dir
 from ..sources import catalogue, files, rescue, versions
 from . import fixtures as X
@@ -695,6 +695,20 @@ def record_rescue(spark, d):
     return good.drop(files.FILE_NAME).unionByName(rescue.quarantined(spark, f"{base}/store").select("record", "reason"), allowMissingColumns=True)
 
 
+@register("profile_states", "select *, '2,1,0' as files_read from " + O.banded("lineitem", ["l_linestatus"], "l_quantity"))
+def profile_states(spark, d):
+    """The banded profile of three files from stored counts: two files, then a third is added, then nothing is new."""
+    base = f"{checkpoint_dir(spark)}/states-{uuid.uuid4().hex}"
+    spec = states.Profile("quantity", "band", ["l_linestatus"], {"l_quantity": "l_quantity"})
+    read = []
+    for flags in (["A", "R"], ["N"], []):
+        for f in flags:
+            part = T(spark, d, "lineitem").where(F.col("l_returnflag") == f)
+            part.coalesce(1).write.mode("append").parquet(f"{base}/files")
+        read.append(states.update(spark, f"{base}/store", f"{base}/files", [spec]))
+    return states.report(spark, f"{base}/store", f"{base}/files", spec).drop("column").withColumn("files_read", F.lit(",".join(map(str, read))))
+
+
 @register("versioned_dataset", """
   select n_nationkey, n_name || '!' as name, n_regionkey, 'v2' as version, cast(2 as integer) as entries, true as second_writer_lost from nation""")
 def versioned_dataset(spark, d):

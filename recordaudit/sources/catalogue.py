@@ -42,6 +42,16 @@ def listing(spark: SparkSession, path: str | Sequence[str], glob: str | None = N
     return reader.load(path if isinstance(path, str) else list(path)).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
+def decoded(uri: Column) -> Column:
+    """The path as listings show it, of a ``_metadata.file_path`` (which is percent-encoded)."""
+    return F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
+def plain(path: Column) -> Column:
+    """A path without the spellings of the local scheme's slashes."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def opened(path: str):
     """(file system, path in it) for tasks; raises where only Spark knows the scheme."""
     from urllib.parse import quote
@@ -132,11 +142,10 @@ def _json_catalogue(spark: SparkSession, files: DataFrame, path, glob: str | Non
         reader = reader.option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    lines = reader.text(path if isinstance(path, str) else list(path)).select(F.col("_metadata.file_path").alias("_path"), F.json_object_keys("value").alias("keys"))
+    lines = reader.text(path if isinstance(path, str) else list(path)).select(decoded(F.col("_metadata.file_path")).alias("_path"), F.json_object_keys("value").alias("keys"))
     named = lines.select("_path", F.explode("keys").alias("name")).distinct().groupBy("_path") \
         .agg(F.sort_array(F.collect_list(F.struct("name", F.lit("string").alias("type")))).alias("columns"))
-    plain = F.regexp_replace("path", "^file:/+", "/") == F.regexp_replace("_path", "^file:/+", "/")
-    return files.join(named, plain, "left").select("path", "length", F.coalesce("columns", F.array().cast(named.schema["columns"].dataType)).alias("columns"),
+    return files.join(named, plain(F.col("path")) == plain(F.col("_path")), "left").select("path", "length", F.coalesce("columns", F.array().cast(named.schema["columns"].dataType)).alias("columns"),
                                                    F.lit(None).cast("long").alias("rows"), F.lit(None).cast("string").alias("header"),
                                                    F.lit(None).cast("string").alias("error"))
 

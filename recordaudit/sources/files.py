@@ -112,15 +112,16 @@ def _by_header(spark: SparkSession, path: str | Sequence[str], paths: Sequence[s
 def scan(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet",
          schema: T.StructType | str | None = None, glob: str | None = None, recursive: bool = False,
          ignore_corrupt: bool = False, options: Mapping[str, str] | None = None,
-         keys: Mapping[str, Column] | None = None, required: Iterable[str] = (), on_missing: str = "raise") -> DataFrame:
+         keys: Mapping[str, Column] | None = None, required: Iterable[str] = (), on_missing: str = "raise",
+         with_path: bool = False) -> DataFrame:
     """Read every file of ``path`` (optionally filtered by ``glob``) into one frame with a
     ``file_name`` column and derived ``keys`` (expressions over ``file_name``).
 
     Files with different columns are united by name: CSV files by their own header each,
     parquet files by their merged schemas; a column that a file lacks is null there.  A
     corrupt file is an error; with ``ignore_corrupt`` whole bad files are left out
-    (:func:`corrupt_files` lists them, to be written as a report).  ``required`` columns are
-    checked per file: ``on_missing='raise'``, or ``'skip'`` to leave such files out."""
+    (:func:`corrupt_files` lists them, to be written as a report).  ``with_path`` adds the full
+    path as ``file_path``.  ``required`` columns are checked per file: ``on_missing='raise'``, or ``'skip'`` to leave such files out."""
     need = list(required)
     if ignore_corrupt or fmt == "csv" and schema is None or need:
         paths = [r["path"] for r in list_files(spark, path, glob, recursive).collect()]  # one short string per file
@@ -149,7 +150,8 @@ def scan(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet",
         for k, v in (options or {}).items():
             reader = reader.option(k, v)
         df = reader.load(some if isinstance(some, str) else list(some))
-        return df.withColumn(FILE_NAME, F.col("_metadata.file_name"))
+        named = {FILE_NAME: F.col("_metadata.file_name")} | ({"file_path": F.col("_metadata.file_path")} if with_path else {})
+        return df.withColumns(named)
 
     if need or fmt == "csv" and schema is None:
         groups = _by_header(spark, path, paths, fmt, glob, recursive)

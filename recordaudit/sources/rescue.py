@@ -80,7 +80,7 @@ def rescue_text(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv"
 
     def lines(paths: str | list[str], listed: bool) -> DataFrame:
         raw = reader("text", listed).load(paths).select(
-            F.rtrim(F.ltrim("value", F.lit("\ufeff")), F.lit("\r")).alias("line"), F.col("_metadata.file_name").alias(FILE_NAME), F.col("_metadata.file_path").alias("path"))
+            F.rtrim(F.ltrim("value", F.lit("\ufeff")), F.lit("\r")).alias("line"), F.col("_metadata.file_name").alias(FILE_NAME), catalogue.decoded(F.col("_metadata.file_path")).alias("path"))
         return raw.where(F.trim("line") != "")
 
     def parsed(rows: DataFrame, fields: list[T.StructField], parse) -> DataFrame:

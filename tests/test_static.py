@@ -30,7 +30,7 @@ def test_checkpoint_folder_is_only_set_by_the_local_session():
 
 def test_collects_are_bounded():
     # one short string per input file, one row per column name, and one row of range bounds
-    assert _hits(r"\.collect\(\)") == ["sources/catalogue.py", "sources/files.py", "sources/rescue.py"]
+    assert _hits(r"\.collect\(\)") == ["operators/states.py", "sources/catalogue.py", "sources/files.py", "sources/rescue.py"]
     assert _hits(r"\.toArrow\(") == ["operators/align.py"]
     assert SOURCES["operators/align.py"].count("toArrow(") == 1 and "thin.toArrow()" in SOURCES["operators/align.py"]
 
