@@ -139,6 +139,13 @@ def test_table_counts_pack_and_unpack():
         assert np.array_equal(pitman_yor.unpack_tables(pitman_yor.pack_tables(t), len(t)), t)
 
 
+def test_integers_pack_into_the_bytes_they_need():
+    for x in ([], [0], [0, 255], [256, 1, 2**40 + 3], [2**62, 0]):
+        x = np.array(x, np.int64)
+        assert np.array_equal(pitman_yor.unpack_ints(pitman_yor.pack_ints(x)), x)
+    assert len(pitman_yor.pack_ints(np.arange(200))) == 201
+
+
 def test_scores_do_not_depend_on_the_blocks(spark, frame, monkeypatch):
     docs = frame([(i, f"a b w{i % 5} c a w{i % 3} {'x ' * (i % 4)}") for i in range(60)]).coalesce(1)
     counts, samples = pitman_yor.train(docs, 3)
@@ -147,7 +154,8 @@ def test_scores_do_not_depend_on_the_blocks(spark, frame, monkeypatch):
         return {r.doc_id: r for r in pitman_yor.score_documents(docs, counts, samples, 3).collect()}
 
     want = scores()
-    monkeypatch.setattr(pitman_yor, "BLOCK_ROWS", 7)
+    cut = pitman_yor.slices
+    monkeypatch.setattr(pitman_yor, "slices", lambda batch, column, limit: cut(batch, column, 90))
     for i, r in scores().items():
         assert (r.n_tokens, r.n_known) == (want[i].n_tokens, want[i].n_known)
         assert r.score == pytest.approx(want[i].score) and r.base_score == pytest.approx(want[i].base_score)
