@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import CHI2_1_CRITICAL_05, chi2_pvalue_dof1, chi_square_2x2, is_degenerate, significant
 from ..functions.text import cell_count, fixed2, label_by_substring, param_size, sci4
+from .aliases import label_by_aliases
 
 REAL_BLOCKS = 8
 DEFAULT_GENDER_COLUMNS = {"English": "Sex", "Chinese": "Sex_Chinese"}
@@ -44,9 +45,10 @@ def gender_counts(df: DataFrame, model: str = "model_name", group: str = "diseas
 
 def attach_real(counts: DataFrame, real: DataFrame, group: str = "disease", real_group: str = "disease",
                 aliases: DataFrame | None = None, real_female: str = "female", real_male: str = "male",
-                alias_rules: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+                alias_rules: Mapping[str, Sequence[str]] | None = None, alias_contains: bool = False) -> DataFrame:
     """Real-world counts beside the model's, optionally through an alias table
-    (``aliases``: columns ``alias``, ``<real_group>``; e.g. 'Type 1 diabetes' -> 'T1DM')
+    (``aliases``: columns ``alias``, ``<real_group>``; e.g. 'Type 1 diabetes' -> 'T1DM'; with
+    ``alias_contains`` an alias need only occur in the group's name, see ``aliases.label_by_aliases``)
     or substring rules (``{'T1DM': ['type 1', 't1dm']}``).
 
     The frame is every real group x (model, language) plus the model's groups without a
@@ -57,6 +59,9 @@ def attach_real(counts: DataFrame, real: DataFrame, group: str = "disease", real
     c = counts
     if alias_rules:
         c = c.withColumn("_rg", label_by_substring(F.col(group), dict(alias_rules)))
+    elif aliases is not None and alias_contains:
+        order = "order" if "order" in aliases.columns else None
+        c = label_by_aliases(c, group, aliases, label=real_group, order=order, name="_rg").withColumn("_rg", F.coalesce("_rg", F.col(group)))
     elif aliases is not None:
         a = aliases.select(F.col("alias").alias("_alias"), F.col(real_group).alias("_ag"))
         c = c.join(a, c[group] == a["_alias"], "left") \

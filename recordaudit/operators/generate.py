@@ -1,9 +1,8 @@
 """Prompt grids and batch completion.
 
-The grid is prompts x conditions (x locations) x runs.  Conditions and locations
-are dealt to ``GRID_BLOCKS`` blocks by a hash, every prompt meets every block, and the
-grid is an equi-join on the block: no cap, no driver copy, and the rows of a block are
-one task's work only for the condition side.
+The grid is prompts x conditions (x locations) x runs.  Both sides are dealt to blocks by
+a hash, and a pair of blocks is one cell of an equi-join: as many cells as the product
+needs at ``GRID_CELL`` rows each, no cap, no driver copy.
 
 Completion calls a caller-supplied ``fn(prompt) -> str | None`` from ``mapInArrow``;
 the number of partitions bounds the concurrency.  Answers of a remote model are not
@@ -32,14 +31,30 @@ LOCATION_PLACEHOLDER = "[LOCATION]"
 # Sampling options of the reference's chat requests (passed through to ``fn``).
 DEFAULT_SAMPLING = {"max_tokens": 512, "temperature": 0.9, "top_p": 0.7, "top_k": 50,
                     "frequency_penalty": 0.5, "n": 1}
-GRID_BLOCKS = 32
+GRID_CELL = 200_000  # rows that a pair of blocks of the grid makes
 
 
-def _times(grid: DataFrame, table: DataFrame) -> DataFrame:
-    """Every row of ``grid`` with every row of ``table``, as an equi-join on hashed blocks."""
-    blocked = table.withColumn("_block", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in table.columns]), F.lit(GRID_BLOCKS)))
-    return grid.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRID_BLOCKS - 1).cast("long")))) \
-        .join(blocked, "_block").drop("_block")
+def cells(left: int, right: int, rows: int = GRID_CELL) -> tuple[int, int]:
+    """(blocks of the left rows, blocks of the right rows) so that a pair of blocks makes about ``rows`` rows
+    and the copies (left x right blocks + right x left blocks) are fewest."""
+    want = max(1, -(-left * right // rows))
+    by_right = min(max(round((want * right / max(left, 1)) ** 0.5), 1), max(right, 1), want)
+    return min(-(-want // by_right), max(left, 1)), by_right
+
+
+def _times(grid: DataFrame, table: DataFrame, n_grid: int, n_table: int) -> DataFrame:
+    """Every row of ``grid`` with every row of ``table``: an equi-join on the cells of a block matrix that is
+    sized from both inputs, so the tasks grow with the product."""
+    a, b = cells(n_grid, n_table)
+
+    def dealt(df: DataFrame, blocks: int, others: int, own: str, other: str) -> DataFrame:
+        row = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields])
+        return df.withColumn(own, F.pmod(row, F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    left, right = dealt(grid, a, b, "_i", "_j"), dealt(table, b, a, "_j", "_i")
+    if a * b > int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        left, right = left.repartition(a * b, "_i", "_j"), right.repartition(a * b, "_i", "_j")
+    return left.join(right, ["_i", "_j"]).drop("_i", "_j")
 
 
 def lookup_background(conditions: DataFrame, backgrounds: DataFrame, condition: str = "condition",
@@ -63,12 +78,13 @@ def prompt_grid(prompts: DataFrame, conditions: DataFrame, template: str = "temp
     ``carry`` passes further condition columns through (e.g. the English
     disease name stored on Chinese rows as the shared key).
     Output: prompt columns, ``condition``, [``background``], [carried], [``location``],
-    ``run`` (1..runs), ``prompt``.
+    ``run`` (1..runs), ``prompt``.  The inputs are counted when the plan is built.
     """
     cond_cols = [condition] + ([background] if background else []) + list(carry)
-    grid = _times(prompts, conditions.select(*[F.col(c).cast("string").alias(c) for c in cond_cols]))
+    n, n_conditions = prompts.count(), conditions.count()
+    grid = _times(prompts, conditions.select(*[F.col(c).cast("string").alias(c) for c in cond_cols]), n, n_conditions)
     if locations is not None:
-        grid = _times(grid, locations.select(F.col(location).cast("string").alias(location)))
+        grid = _times(grid, locations.select(F.col(location).cast("string").alias(location)), n * n_conditions, locations.count())
     grid = grid.select("*", F.explode(F.sequence(F.lit(1), F.lit(int(runs)))).alias("run"))
     text = F.col(template)
     for ph in placeholders:

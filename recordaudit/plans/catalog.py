@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import age as A
 from ..functions import gender as G
 from ..functions.text import null_tokens, text_length
-from ..operators import align, contingency, coverage, generate, ledger, profile, reshape, states
+from ..operators import aliases, align, contingency, coverage, generate, ledger, profile, reshape, states
 from ..session import checkpoint_dir
 from ..sources import catalogue, files, rescue, versions
 from . import fixtures as X
@@ -695,6 +695,23 @@ def record_rescue(spark, d):
     return good.drop(files.FILE_NAME).unionByName(rescue.quarantined(spark, f"{base}/store").select("record", "reason"), allowMissingColumns=True)
 
 
+@register("alias_labels", """with al as (
+    select alias, min(label) as label from (
+      select split_part(p_name, ' ', 1) as alias, 'quality' as label from part union all select split_part(p_name, ' ', 2), 'thing' from part
+      union all select upper(p_type), 'type' from part) where alias <> '' group by alias),
+  hit as (select n.p_name, l.label || ':' || lower(l.alias) as label,
+      row_number() over (partition by n.p_name order by length(l.alias) desc, lower(l.alias), l.label) as place
+    from (select distinct p_name from part) n join al l on contains(lower(n.p_name), lower(l.alias)))
+  select p.p_partkey, p.p_name, h.label from part p left join hit h on h.p_name = p.p_name and h.place = 1""")
+def alias_labels(spark, d):
+    """Part names labelled by the longest alias in them; the aliases are the words and types of all parts."""
+    part = T(spark, d, "part")
+    words = F.array(*[F.struct(F.split_part("p_name", F.lit(" "), F.lit(k)).alias("alias"), F.lit(what).alias("kind")) for k, what in ((1, "quality"), (2, "thing"))],
+                    F.struct(F.upper("p_type").alias("alias"), F.lit("type").alias("kind")))
+    table = part.select(F.inline(words)).select("alias", F.concat("kind", F.lit(":"), F.lower("alias")).alias("label"))
+    return aliases.label_by_aliases(part.select("p_partkey", "p_name"), "p_name", table)
+
+
 @register("profile_states", "select *, '2,1,0' as files_read from " + O.banded("lineitem", ["l_linestatus"], "l_quantity"))
 def profile_states(spark, d):
     """The banded profile of three files from stored counts: two files, then a third is added, then nothing is new."""

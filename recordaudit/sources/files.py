@@ -275,18 +275,15 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
 
 def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str], fmt: str = "parquet",
                       mode: str = "overwrite", rows_per_file: int = 1_000_000) -> None:
-    """One output directory per key combination (model / group / language ...).
+    """One output directory per key combination (model / group / language ...), in one pass over the plan.
 
-    Rows are dealt by the keys and a salt; a key gets one salt per ``rows_per_file`` of its
-    counted rows, so a hot key spreads over tasks and a cold key is one file.
+    Rows are rebalanced by the keys: at run time Spark gives a key's rows to one task, splits the
+    tasks that grow beyond the advisory partition size and joins small ones, so a hot key spreads
+    and a cold key is one file.  No file has more than ``rows_per_file`` rows.
     """
-    keys = [F.col(f"`{k}`") for k in partition_by]
-    counts = df.groupBy(*[k.alias(f"_w{i}") for i, k in enumerate(keys)]).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
-    cond = [k.eqNullSafe(F.col(f"_w{i}")) for i, k in enumerate(keys)]
-    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
-    salted = df.join(counts, cond).withColumn("_salt", F.pmod(row, F.col("_files")))
-    out = salted.repartition(*keys, "_salt").select(*[F.col(f"`{c}`") for c in df.columns]).sortWithinPartitions(*keys)
-    w = out.write.mode(mode).partitionBy(*partition_by)
+    keys = ", ".join(f"`{k.replace('`', '``')}`" for k in partition_by)
+    out = df.sparkSession.sql(f"SELECT /*+ REBALANCE({keys}) */ * FROM {{df}}", df=df)
+    w = out.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy(*partition_by)
     if fmt == "csv":
         w = w.option("header", "true")
     w.format(fmt).save(path)
