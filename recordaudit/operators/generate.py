@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import assemble_prompt, cut_at_stop_tokens, fill_template, strip_braces
 from ..session import checkpoint_dir
+from .throttle import CallBudget
 
 # Placeholders of the two prompt styles.
 CONDITION_PLACEHOLDERS = ("[CONDITION]", "{{CONDITION}}")
@@ -113,17 +114,23 @@ def _call_with_retry(fn: Callable[[str], str | None], prompt, attempts: int, del
 def completion_udf(fn: Callable[[str], str | None], prompt: str = "prompt", answer: str = "answer",
                    attempts: int = 3, delay: float = 2.0, backoff: float = 2.0,
                    sleep: Callable[[float], None] = time.sleep, concurrency: int = 1,
-                   pause_every: int = 0, pause: float = 1.0):
+                   pause_every: int = 0, pause: float = 1.0, budget: CallBudget | None = None):
     """The per-partition function for ``mapInArrow``: appends ``answer`` to each batch; the other
     columns pass untouched.  A null prompt gets a null answer without a call.
 
     With ``concurrency > 1`` each task keeps that many calls in flight (the
     calls are I/O bound); the answers keep the row order of the batch.
     ``pause_every`` > 0 throttles each task: after that many prompts it sleeps
-    ``pause`` seconds (the reference pauses 1 s every 10 calls).
+    ``pause`` seconds (the reference pauses 1 s every 10 calls).  ``budget`` bounds the calls of all
+    tasks together; every attempt counts.
     """
+    def ask(p):
+        if budget is not None:
+            budget.take()
+        return fn(p)
+
     def call(p):
-        return None if p is None else _call_with_retry(fn, p, attempts, delay, backoff, sleep)
+        return None if p is None else _call_with_retry(ask, p, attempts, delay, backoff, sleep)
 
     def run(batches):
         pool = None
@@ -173,12 +180,12 @@ def batch_complete(grid: DataFrame, fn: Callable[..., str | None], prompt: str =
                    sleep: Callable[[float], None] = time.sleep, partitions: int | None = None,
                    stop: Iterable[str] | None = None, keep_failed: bool = False, output: str | None = None,
                    concurrency: int = 1, pause_every: int = 0, pause: float = 1.0,
-                   sampling: Mapping[str, object] | None = None) -> DataFrame:
+                   sampling: Mapping[str, object] | None = None, budget: CallBudget | None = None) -> DataFrame:
     """Call ``fn`` once per grid row; retries with back-off; null after the last
     failure (only that row is lost).  Failed rows are dropped unless
     ``keep_failed``; the answer is cut at the first ``stop`` token.
     ``partitions`` x ``concurrency`` bounds the calls in flight; ``pause_every``
-    / ``pause`` throttle each task.  ``sampling`` options are passed to ``fn`` as keywords.
+    / ``pause`` throttle each task, ``budget`` all tasks together.  ``sampling`` options are passed to ``fn`` as keywords.
 
     The answers are written once, to ``output`` or to a new folder below the session's shared
     folder, and the result reads them back; without either this raises."""
@@ -187,7 +194,7 @@ def batch_complete(grid: DataFrame, fn: Callable[..., str | None], prompt: str =
     if target is None:
         raise ValueError("answers cannot be repeated: give an output path or set spark.checkpoint.dir")
     client = functools.partial(fn, **sampling) if sampling else fn
-    run = completion_udf(client, prompt, answer, attempts, delay, backoff, sleep, concurrency, pause_every, pause)
+    run = completion_udf(client, prompt, answer, attempts, delay, backoff, sleep, concurrency, pause_every, pause, budget)
     src = grid.repartition(partitions) if partitions else grid
     schema = answer_schema(grid.schema, answer)
     src.mapInArrow(run, schema).write.parquet(target)

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .generate import answer_schema, completion_udf, finish_answers
+from .throttle import CallBudget
 
 LEDGER_SCHEMA = "digest string, answer string, started bigint"
 CALLS_PER_TASK = 100
@@ -87,7 +88,8 @@ def complete_with_ledger(grid: DataFrame, fn: Callable[..., str | None], ledger:
                          keys: Iterable[str] = ("run",), answer: str = "answer", attempts: int = 3, delay: float = 2.0,
                          backoff: float = 2.0, sleep: Callable[[float], None] = time.sleep, stop: Iterable[str] | None = None,
                          keep_failed: bool = False, concurrency: int = 1, pause_every: int = 0, pause: float = 1.0,
-                         sampling: Mapping[str, object] | None = None, calls_per_task: int = CALLS_PER_TASK) -> DataFrame:
+                         sampling: Mapping[str, object] | None = None, calls_per_task: int = CALLS_PER_TASK,
+                         budget: CallBudget | None = None) -> DataFrame:
     """:func:`generate.batch_complete` that never asks a recorded request again.
 
     ``keys`` are the grid columns that make requests with one prompt different.  The result is the
@@ -99,7 +101,7 @@ def complete_with_ledger(grid: DataFrame, fn: Callable[..., str | None], ledger:
     waiting = pending.count()
     if waiting:
         client = functools.partial(fn, **sampling) if sampling else fn
-        run = completion_udf(client, "prompt", "answer", attempts, delay, backoff, sleep, concurrency, pause_every, pause)
+        run = completion_udf(client, "prompt", "answer", attempts, delay, backoff, sleep, concurrency, pause_every, pause, budget)
         dealt = pending.repartition(-(-waiting // calls_per_task), "digest")
         _record(dealt.mapInArrow(run, answer_schema(dealt.schema)).where("answer is not null"), ledger)
     known = read_ledger(spark, ledger).select(F.col("digest").alias("_digest"), F.col("answer").alias(answer))

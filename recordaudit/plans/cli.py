@@ -112,6 +112,8 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--partitions", type=int, default=None)
     p.add_argument("--concurrency", type=int, default=1)
     p.add_argument("--pause-every", type=int, default=0)
+    p.add_argument("--calls-per-second", type=int, help="bound on the calls of all tasks together (needs --budget)")
+    p.add_argument("--budget", metavar="FOLDER", help="folder that all tasks mount, for the leases of --calls-per-second")
     p.add_argument("--ledger", help="folder of answered requests: a rerun asks only the others")
     p.add_argument("--pause", type=float, default=1.0)
     p.add_argument("--output", required=True)
@@ -152,7 +154,7 @@ def _aliases(pairs: list[str] | None) -> dict:
 
 
 def generate_answers(spark: SparkSession, a: argparse.Namespace) -> str:
-    from ..operators import align, generate
+    from ..operators import align, generate, throttle
     prompts = _read_table(spark, a.prompts, a.table_format)
     if "prompt_id" not in prompts.columns:
         prompts = align.dense_position(prompts, ["template"], name="prompt_id")
@@ -164,12 +166,17 @@ def generate_answers(spark: SparkSession, a: argparse.Namespace) -> str:
     if not carry:
         grid = grid.withColumn("disease", F.col("condition"))
     keys = ["disease"] + (["location"] if locations is not None else [])
+    budget = None
+    if a.calls_per_second:
+        if not a.budget:
+            raise ValueError("--calls-per-second needs --budget")
+        budget = throttle.CallBudget(a.budget, a.calls_per_second)
     # with a ledger a rerun asks only what is not answered yet; the model's name is part of a request there
     where = {"resume": a.ledger, "keys": ["run", "prompt_id", "model_name", *keys]} if a.ledger else \
         {"partitions": a.partitions, "output": f"{a.output.rstrip('/')}-answers"}
     out = jobs.complete(generate.stamp(grid, {"model_name": a.model, "language": a.language}), _load_client(a.client),
                         number_by=keys, stop=a.stop or None, concurrency=a.concurrency, pause_every=a.pause_every,
-                        pause=a.pause, sampling=_sampling(a.sampling), **where)
+                        pause=a.pause, sampling=_sampling(a.sampling), budget=budget, **where)
     files.write_partitioned(out.drop("template"), a.output, ["model_name", *keys, "language"], fmt="parquet")
     return a.output
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.generate import answer_schema, completion_udf, finish_answers
+from ..operators.throttle import CallBudget
 
 
 def complete_stream(spark: SparkSession, source: str, schema: T.StructType | str, fn: Callable[[str], str | None],
@@ -25,7 +26,7 @@ def complete_stream(spark: SparkSession, source: str, schema: T.StructType | str
                     stop: Iterable[str] | None = None, keep_failed: bool = False, attempts: int = 3,
                     delay: float = 2.0, backoff: float = 2.0, sleep: Callable[[float], None] = time.sleep,
                     concurrency: int = 1, available_now: bool = True, pause_every: int = 0,
-                    pause: float = 1.0, partition_by: Iterable[str] = ()) -> StreamingQuery:
+                    pause: float = 1.0, partition_by: Iterable[str] = (), budget: CallBudget | None = None) -> StreamingQuery:
     """Start the stream; with ``available_now`` it processes what is there and stops.
 
     ``partition_by`` lays the sink out per key (model / disease / language ...).
@@ -36,7 +37,7 @@ def complete_stream(spark: SparkSession, source: str, schema: T.StructType | str
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     grid = reader.load(source)
-    run = completion_udf(fn, prompt, answer, attempts, delay, backoff, sleep, concurrency, pause_every, pause)
+    run = completion_udf(fn, prompt, answer, attempts, delay, backoff, sleep, concurrency, pause_every, pause, budget)
     answered = finish_answers(grid.mapInArrow(run, answer_schema(grid.schema, answer)), answer, stop, keep_failed)
     writer = (answered.writeStream.format(fmt).outputMode("append")
               .option("path", sink).option("checkpointLocation", checkpoint))
