@@ -68,6 +68,63 @@ def test_tiling_catches_reordered_passages_and_verifies_words():
     assert found == {0: (0, 10, 2)}
 
 
+def brute_tiles(doc, item, least=4):
+    """Greedy string tiling by looking at all pairs of places again for every tile."""
+    used_i, used_j, out = set(), set(), []
+    while True:
+        best = None
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                m = 0
+                while i + m < len(doc) and j + m < len(item) and doc[i + m] == item[j + m] and i + m not in used_i and j + m not in used_j:
+                    m += 1
+                if m >= least and (best is None or m > best[2]):
+                    best = (i, j, m)
+        if best is None:
+            return out
+        out.append(best)
+        used_i.update(range(best[0], best[0] + best[2]))
+        used_j.update(range(best[1], best[1] + best[2]))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_both_tilings_equal_brute_force(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    vocabulary = rng.integers(1, 2**63, 2 + seed).astype(np.uint64)
+    doc, item = (vocabulary[rng.integers(0, len(vocabulary), n)] for n in (60, 45))
+    if seed % 3 == 0:
+        doc, item = np.tile(vocabulary[:4], 20), np.tile(vocabulary[:4], 9)
+    want = brute_tiles(doc.tolist(), item.tolist())
+    assert sorted(decontam.long_tiling(doc, item)) == sorted(want)
+    for per_word in (0, 10**9):
+        monkeypatch.setattr(decontam, "HITS_PER_WORD", per_word)
+        assert sorted(decontam.common_tiles(doc, item)) == sorted(want)
+
+
+def test_repeated_phrases_stay_in_linear_memory():
+    import tracemalloc
+
+    phrase = "again and again this "
+    peaks = []
+    for n in (2000, 8000):
+        block = decontam.Block([1], [phrase * (n // 4)])
+        tracemalloc.start()
+        (found,) = block.leaks(pa.array([phrase * (n // 2)]))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found[2] == 1.0
+    assert peaks[1] < 8 * peaks[0]
+
+
+def test_rows_are_taken_in_bounded_groups(monkeypatch):
+    items = [f"a{i} b{i} c{i} d{i} e{i}" for i in range(30)]
+    texts = [" x ".join(items[k:k + 5]) for k in range(20)] + [None, items[3] * 2]
+    block = decontam.Block(list(range(30)), items)
+    want = list(block.leaks(pa.array(texts)))
+    monkeypatch.setattr(decontam, "SEED_HITS", 3)
+    assert list(block.leaks(pa.array(texts))) == want and len(want) >= 100
+
+
 def test_decontamination_in_blocks(spark, frame, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_TOKENS", 10)
     items = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(12)], "item_id long, text string")
