@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -57,6 +57,29 @@ def inline_table(spark: SparkSession, rows: Sequence[dict], schema: str) -> Data
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(list(rows))), f"array<struct<{schema}>>")))
 
 
+def smallest_by_hash(rows: DataFrame, group: str, h: Column, n: int, order: Sequence[str]) -> DataFrame:
+    """The ``n`` rows of every value of ``group`` (a few values) with the smallest hash, ties by ``order``.
+
+    The groups are counted first, and only rows below a share of the hash range that holds about 4 n
+    rows of their group are ranked, so what meets in one task does not grow with the input; where
+    repeated hashes leave fewer than ``n``, the share grows."""
+    rows = rows.withColumn("_hash", h)
+    sizes = {r[group]: r["n"] for r in rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
+    factor = 4
+    while sizes:
+        share = F.lit(1.0)
+        for value, size in sizes.items():
+            share = F.when(F.col(group) == F.lit(value), F.lit(min(factor * n / size, 1.0))).otherwise(share)
+        below = rows.where(F.col("_hash").cast("double") / 2.0 ** 64 + 0.5 <= share)
+        got = {r[group]: r["n"] for r in below.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if factor * n >= max(sizes.values()) or all(got.get(v, 0) >= min(n, size) for v, size in sizes.items()):
+            rows = below
+            break
+        factor *= 8
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("_hash", *order))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank", "_hash")
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a shared-folder URI, on any node."""
     from pyarrow import fs

@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_names, slices, string_bytes, table
+from .common import plain_names, slices, smallest_by_hash, string_bytes, table
 
 WINDOW = 512
 WIDTHS = (2, 3, 4)
@@ -167,8 +167,7 @@ def training_windows(docs: DataFrame, per_lang: int = 700) -> list:
     piece = F.substring("text", (F.pmod(h, F.greatest(size - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW))
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")) \
         .select("lang", h.alias("h"), piece.alias("piece")).where(F.col("piece").rlike(r"\p{L}"))
-    w = Window.partitionBy("lang").orderBy("h", "piece")
-    top = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang)
+    top = smallest_by_hash(rows, "lang", F.col("h"), per_lang, ["piece"])
     return sorted((r["lang"], r["h"], r["piece"]) for r in top.collect())  # languages x per_lang rows
 
 

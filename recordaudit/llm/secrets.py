@@ -31,10 +31,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, plain_names, table
+from .common import materialize, plain_names, smallest_by_hash, table
 from .neardup import small
 
 MIN_LENGTH = 16
@@ -63,50 +63,74 @@ HARMLESS = (r"^[0-9.\-+/]+$|^[A-Za-z0-9_.\-]+\.(com|org|net|html?|php|pdf|jpg|pn
 
 
 def candidates(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` plus candidate, start, before, after: one row per candidate."""
+    """``columns`` plus candidate, start, before, after: one row per candidate.
+
+    Patterns cut a text into parts that follow each other and end with a run or a value, so offsets are
+    running sums and contexts come from the neighbouring parts: the work grows with the text, however
+    many candidates it has."""
     # values after key words: the text is cut at key names first (a cheap pattern), every part begins with one
     texts = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_text")) \
         .withColumn("_has", F.regexp_count("_text", F.lit(NAMED)) > 0) \
-        .where(F.col("_has") | F.col("_text").rlike(rf"{CHARS}{{{MIN_LENGTH}}}"))
-    texts = materialize(texts, "secret-texts")
-    empty = F.array().cast("array<string>")
-    named = lambda group: F.when(F.col("_has"), F.regexp_extract_all("_text", F.lit(rf"\G(?s:.*?){NAMED}"), F.lit(group))).otherwise(empty)
-    texts = texts.withColumn("_parts", named(0)).withColumn("_values", named(1)) \
-        .withColumn("_named", F.zip_with(with_ends("_parts"), "_values", lambda p, v: F.struct(
-            (p["end"] - F.char_length(v)).alias("start"), F.regexp_replace(v, "[.]+$", "").alias("candidate"))))
-    texts = texts.withColumn("_named", F.filter("_named", lambda v: v["candidate"] != ""))
-    found = F.regexp_extract_all("_text", F.lit(rf"\G(?s:.*?)(?<!{CHARS}){CHARS}{{{MIN_LENGTH},}}"), F.lit(0))
-    rows = texts.withColumn("_parts", found)
-    # every part ends with a run; the parts follow each other from the text's start
-    rows = rows.where(F.size("_parts") > 0).select(*columns, "_text", "_named", F.explode(with_ends("_parts")).alias("p"))
-    rows = rows.withColumn("_run", F.regexp_extract("p.part", rf"{CHARS}+$", 0)) \
-        .withColumn("_at", F.col("p.end") - F.char_length("_run"))
+        .where(F.col("_has") | F.col("_text").rlike(rf"{CHARS}{{{MIN_LENGTH}}}")).withColumn("_row", F.monotonically_increasing_id())
+    texts = materialize(texts, "secret-texts")  # the row numbers are written with the rows
+    keep = [*columns, "_row", "_has"]
+
+    found = texts.withColumn("_parts", F.regexp_extract_all("_text", F.lit(rf"\G(?s:.*?)(?<!{CHARS}){CHARS}{{{MIN_LENGTH},}}"), F.lit(0)))
+    rows = parts_of(found.where(F.size("_parts") > 0), keep, 3).withColumn("_run", F.regexp_extract("part", rf"{CHARS}+$", 0))
+    gap = F.substr("part", F.lit(1), F.char_length("part") - F.char_length("_run"))
+    rows = rows.select(*keep, "_run", (F.col("end") - F.char_length("_run")).alias("_at"), "right", F.right(F.concat("left", gap), F.lit(CONTEXT)).alias("left"))
     # cut after names and around known formats; the pieces follow each other, too
     cut = F.regexp_replace(F.regexp_replace("_run", KNOWN_INSIDE, "\0$1\0"), r"(=+)(?=\x00?[.]*[^=.\x00])", "\0$1\0")
-    rows = rows.withColumn("_pieces", F.split(cut, r"\x00")) \
-        .select(*columns, "_text", "_named", "_at", F.explode(with_ends("_pieces")).alias("p"))
-    rows = rows.withColumn("candidate", F.regexp_replace("p.part", "[.]+$", "")).where(F.char_length("candidate") >= MIN_LENGTH) \
-        .withColumn("start", (F.col("_at") + F.col("p.end") - F.char_length("p.part")).cast("long"))
-    inside = F.exists("_named", lambda v: (v["start"] <= F.col("start")) & (F.col("start") < v["start"] + F.char_length(v["candidate"])))
-    rows = rows.where(~F.col("candidate").rlike(r"^[A-Za-z]?[a-z]+[.\-]*$") & ~inside)
-    values = texts.where("_has").select(*columns, "_text", F.explode("_named").alias("v")) \
-        .select(*columns, "_text", "v.candidate", F.col("v.start").cast("long").alias("start"))
-    rows = rows.select(*columns, "_text", "candidate", "start").unionAll(values)
-    rows = rows.withColumn("_end", F.col("start").cast("int") + F.char_length("candidate"))
-    lo = F.greatest(F.col("start") - CONTEXT, F.lit(0)).cast("int")
-    return rows.select(
-        *columns, "candidate", "start",
-        F.substring("_text", lo + 1, F.col("start").cast("int") - lo).alias("before"),
-        F.substring("_text", F.col("_end") + 1, F.lit(CONTEXT)).alias("after"))
-
-
-def with_ends(parts: str) -> Column:
-    """(part, end) of strings that follow each other."""
-    ends = F.aggregate(
-        parts, F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("ends")),
-        lambda acc, p: F.struct((acc["end"] + F.char_length(p)).alias("end"),
-                                F.concat(acc["ends"], F.array(acc["end"] + F.char_length(p))).alias("ends")))["ends"]
-    return F.arrays_zip(F.col(parts).alias("part"), ends.alias("end"))
+    rows = rows.withColumn("_parts", F.split(cut, r"\x00")).withColumnsRenamed({"left": "_left", "right": "_right"}).withColumn("_text", F.col("_run"))
+    rows = parts_of(rows, [*keep, "_at", "_left", "_right"], CONTEXT)
+    rows = rows.withColumn("candidate", F.regexp_replace("part", "[.]+$", "")).where(F.char_length("candidate") >= MIN_LENGTH) \
+        .where(~F.col("candidate").rlike(r"^[A-Za-z]?[a-z]+[.\-]*$")) \
+        .select(*keep, "candidate", (F.col("_at") + F.col("end") - F.char_length("part")).cast("long").alias("start"),
+                F.right(F.concat("_left", "left"), F.lit(CONTEXT)).alias("before"),
+                F.left(F.concat(F.regexp_extract("part", "[.]+$", 0), "right", "_right"), F.lit(CONTEXT)).alias("after"))
+
+    named = texts.where("_has")
+    named = named.withColumn("_parts", F.regexp_extract_all("_text", F.lit(rf"\G(?s:.*?){NAMED}"), F.lit(0))) \
+        .withColumn("_values", F.regexp_extract_all("_text", F.lit(rf"\G(?s:.*?){NAMED}"), F.lit(1)))
+    values = parts_of(named, [*keep, "_values"], 12).withColumn("_value", F.get("_values", F.col("place")))
+    values = values.withColumn("candidate", F.regexp_replace("_value", "[.]+$", "")).where("candidate <> ''").select(
+        *keep, "candidate", (F.col("end") - F.char_length("_value")).cast("long").alias("start"),
+        F.right(F.concat("left", F.substr("part", F.lit(1), F.char_length("part") - F.char_length("_value"))), F.lit(CONTEXT)).alias("before"),
+        F.left(F.concat(F.regexp_extract("_value", "[.]+$", 0), "right"), F.lit(CONTEXT)).alias("after"))
+
+    # runs that begin within a value are not reported apart: per text, the furthest end of the values so far
+    both = rows.where("_has").withColumn("_is", F.lit(False)).unionByName(values.withColumn("_is", F.lit(True)))
+    so_far = Window.partitionBy("_row").orderBy("start", F.col("_is").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.max(F.when(F.col("_is"), F.col("start") + F.char_length("candidate"))).over(so_far)
+    both = both.withColumn("_far", ends).where(F.col("_is") | F.col("_far").isNull() | (F.col("_far") <= F.col("start")))
+    out = [*columns, "candidate", "start", "before", "after"]
+    return rows.where("not _has").select(*out).unionByName(both.select(*out))
+
+
+def parts_of(rows: DataFrame, keep: list[str], reach: int) -> DataFrame:
+    """``keep`` plus place, part, end, left, right: the ``_parts`` of ``_text``, which follow each other from its
+    start; left and right are CONTEXT characters (all, where there are fewer) around a part, taken from the
+    ``reach`` parts on either side and the rest of the text."""
+    step = 256  # running sums in two levels: an array never grows element by element beyond this
+    rows = rows.withColumn("_sizes", F.transform("_parts", lambda p: F.char_length(p)))
+    rows = rows.withColumn("_blocks", F.sequence(F.lit(0), F.greatest(F.floor((F.size("_sizes") - 1) / step), F.lit(0)).cast("int")))
+    block = lambda b: F.slice("_sizes", b * step + 1, F.lit(step))
+    grow = lambda acc, n: F.struct((acc["end"] + n).alias("end"), F.concat(acc["ends"], F.array(acc["end"] + n)).alias("ends"))
+    none = F.array().cast("array<int>")
+    rows = rows.withColumn("_sums", F.transform("_blocks", lambda b: F.aggregate(block(b), F.lit(0), lambda x, n: x + n)))
+    rows = rows.withColumn("_heads", F.aggregate("_sums", F.struct(F.lit(0).alias("end"), none.alias("ends")), grow)["ends"])
+    rows = rows.withColumn("_ends", F.flatten(F.transform("_blocks", lambda b: F.aggregate(
+        block(b), F.struct((F.get("_heads", b) - F.get("_sums", b)).alias("end"), none.alias("ends")), grow)["ends"])))
+    rest = F.substr("_text", F.coalesce(F.element_at("_ends", -1), F.lit(0)) + 1)
+    rows = rows.withColumn("_all", F.concat("_parts", F.array(F.left(rest, F.lit(CONTEXT)))))
+
+    def around(p: Column, i: Column) -> Column:
+        left = F.transform(F.slice("_all", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))), lambda x: F.right(x, F.lit(CONTEXT)))
+        right = F.transform(F.slice("_all", i + 2, F.lit(reach)), lambda x: F.left(x, F.lit(CONTEXT)))
+        return F.struct(i.alias("place"), p.alias("part"), F.get("_ends", i).alias("end"),
+                        F.right(F.array_join(left, ""), F.lit(CONTEXT)).alias("left"), F.left(F.array_join(right, ""), F.lit(CONTEXT)).alias("right"))
+
+    return rows.select(*keep, F.inline(F.transform("_parts", around)))
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
@@ -187,9 +211,8 @@ def fit(found: DataFrame, words: list[str], labelled: DataFrame | None = None, t
 
     if labelled is None:
         known = found.withColumn("label", format_label()).where("label is not null").select("candidate", "before", "after", "label")
-        h = F.xxhash64("candidate", "before", "after")
-        parts = [known.where(F.col("label") == y).orderBy(h).limit(SAMPLE) for y in (0.0, 1.0)]
-        labelled = examples(found.sparkSession).unionByName(parts[0]).unionByName(parts[1])
+        picked = smallest_by_hash(known, "label", F.xxhash64("candidate", "before", "after"), SAMPLE, ["candidate", "before", "after"])
+        labelled = examples(found.sparkSession).unionByName(picked)
     rows = materialize(features(labelled, words).select("label", *FEATURES), "secret-sample")
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.orderBy("label", *FEATURES).coalesce(1))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, labelCol="label", featuresCol="features")
@@ -220,9 +243,18 @@ def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
                         F.sha2(F.encode("candidate", "UTF-8"), 256).alias("secret_sha256"), F.round("probability", 6).alias("probability"))
 
 
-def hide(text: Column, span: Column) -> Column:
-    """``text`` with one finding masked; spans come last first, so the offsets of the others hold."""
-    return F.concat(F.substr(text, F.lit(1), span["at"]), F.lit(MASK), F.substr(text, span["at"] + span["size"] + 1))
+def hidden(text: str, spans: str, width: int = 4096) -> Column:
+    """``text`` with the (at, size) ``spans`` (last first) masked: pieces of ``width`` characters, each rebuilt for
+    the spans in it only; the mask stands where a span begins."""
+
+    def masked(piece: Column, i: Column) -> Column:
+        base = i * width
+        here = F.filter(spans, lambda x: (x["at"] < base + width) & (x["at"] + x["size"] > base))
+        return F.aggregate(here, piece, lambda t, x: F.concat(
+            F.substr(t, F.lit(1), F.greatest(x["at"] - base, F.lit(0))), F.when(x["at"] >= base, F.lit(MASK)).otherwise(F.lit("")),
+            F.substr(t, F.greatest(x["at"] + x["size"] - base, F.lit(0)) + 1)))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0)), masked), "")
 
 
 @plain_names
@@ -236,7 +268,7 @@ def stage_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     masks = materialize(masks, "secret-masks").withColumnsRenamed({"doc_id": "_id", "_key": "_k"})
     rows = docs.withColumn("_key", key).join(small(masks, 200), (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     text = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(
-        F.aggregate("_secrets", F.aggregate("_spans", F.col("text"), hide), lambda t, s: F.replace(t, s, F.lit(MASK))))
+        F.aggregate("_secrets", hidden("text", "_spans"), lambda t, s: F.replace(t, s, F.lit(MASK))))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))

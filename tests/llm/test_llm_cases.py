@@ -363,6 +363,46 @@ def test_cutting_a_giant_text_takes_time_in_proportion(spark, frame):
     assert took[1] < 3 * took[0] + 3
 
 
+def test_candidates_of_long_texts_take_time_in_proportion(spark, frame):
+    import time
+
+    took = []
+    for n in (4000, 16_000):
+        text = "".join(f"{i * 7919**5 % 16**24:024x} " for i in range(n)) + 'token = "a b c" tail'
+        t0 = time.perf_counter()
+        rows = secrets.candidates(frame([(1, text)]), ["doc_id"]).collect()
+        took.append(time.perf_counter() - t0)
+        assert len(rows) == n + 1
+        for r in rows[:: n // 50]:
+            assert text[r.start:r.start + len(r.candidate)] == r.candidate
+            assert r.before == text[max(r.start - 40, 0):r.start] and r.after == text[r.start + len(r.candidate):][:40]
+    assert took[1] < 4 * took[0] + 4
+
+
+def test_findings_over_the_pieces_of_a_long_text_are_masked(spark):
+    text = "0123456789" * 1000
+    spans = [(0, 2), (5, 3), (4090, 10), (8190, 5), (9995, 5)]
+    df = spark.createDataFrame([(text, [{"at": a, "size": n} for a, n in reversed(spans)])], "t string, s array<struct<at: int, size: int>>")
+    want = text
+    for a, n in reversed(spans):
+        want = want[:a] + secrets.MASK + want[a + n:]
+    for width in (7, 4096, 1 << 20):
+        assert df.select(secrets.hidden("t", "s", width)).first()[0] == want
+
+
+def test_the_smallest_rows_by_hash(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(5000).select(F.when(F.col("id") < 20, "few").when(F.col("id") < 2000, "many").otherwise("same").alias("g"), "id")
+    h = F.when(F.col("g") == "same", F.lit(2**62)).otherwise(F.xxhash64("id"))
+    got = common.smallest_by_hash(df, "g", h, 50, ["id"])
+    rows = sorted((r.g, r.id) for r in got.collect())
+    every = sorted((r.g, r.h, r.id) for r in df.withColumn("h", h).collect())
+    want = sorted((g, i) for k in ("few", "many", "same") for g, _, i in [x for x in every if x[0] == k][:50])
+    assert rows == want and got.columns == ["g", "id"]
+    assert common.smallest_by_hash(df.limit(0), "g", h, 50, ["id"]).count() == 0
+
+
 def test_pipeline_run(spark, tmp_path):
     from ..conftest import SF_SMALL
 
