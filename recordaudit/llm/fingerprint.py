@@ -97,8 +97,9 @@ def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
 def with_next(rows: DataFrame, value: str, name: str, order: list[str], heads: DataFrame) -> DataFrame:
     """Add ``name``: ``value`` of the next row in (block, order), from ``heads`` (_block, _head) at a block's end."""
     w = Window.partitionBy("_block").orderBy(*order)
+    # the window's partitioning serves the join; the planner broadcasts the heads only below its own size bound
     return rows.withColumn("_lead", F.lead(F.struct(F.col(value).alias("v"))).over(w)) \
-        .join(F.broadcast(heads), "_block", "left") \
+        .join(heads, "_block", "left") \
         .withColumn(name, F.when(F.col("_lead").isNull(), F.col("_head")).otherwise(F.col("_lead.v"))).drop("_lead", "_head")
 
 
