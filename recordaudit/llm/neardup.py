@@ -48,6 +48,7 @@ STEP, STEPS = 32, 4  # MinHash values per round, rounds
 TOLERANCE = 1e-9
 BLOCK = 1024  # nodes
 BLOCK_SHINGLES = 2_000_000
+HEAVY = 1000  # a key with more than this part of all rows is heavy; there are fewer heavy keys than this
 SMALL_BYTES = 48 << 20  # proven size up to which a lookup table is broadcast
 
 
@@ -123,6 +124,17 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= SMALL_BYTES else df
 
 
+def with_lookup(rows: DataFrame, look: DataFrame, key: str, value: str, total: int) -> DataFrame:
+    """``rows`` left joined to ``look`` (key, value, weight); weight: how many rows have the key, of ``total``.
+
+    Keys with more than a HEAVY-th of the rows (fewer than HEAVY of them) are broadcast; the others, none
+    of which is hot, are joined by a shuffle."""
+    heavy = F.col("weight") * HEAVY > F.lit(total)
+    first = rows.join(F.broadcast(look.where(heavy).select(key, F.col(value).alias("_heavy"), F.lit(True).alias("_is"))), key, "left")
+    light = first.where("_is is null").drop("_heavy", "_is").join(look.where(~heavy).select(key, value), key, "left")
+    return first.where("_is").drop("_is").withColumnRenamed("_heavy", value).unionByName(light)
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root): root is the smallest node of the component, for every node of an edge.
 
@@ -133,13 +145,14 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(e.join(least, "a").select("a", F.col("m").alias("b"))).where("a > b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("weight")).select("a", F.least("a", "m").alias("m"), "weight")
+        total = 2 * e.count()
+        large = with_lookup(both.where("b > a"), least, "a", "m", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.unionByName(with_lookup(e, least, "a", "m", total).select("a", F.col("m").alias("b"))).where("a > b").distinct()
         large = materialize(large, name)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        e = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
-                                          F.col("m").alias("b")).where("a > b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("weight"))
+        e = with_lookup(large, least, "a", "m", large.count()).select(
+            F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         e = materialize(e, name)
         state = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.count_distinct("a")).first()
         if state == seen and state[0] == state[2]:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, runs, slices, string_bytes, table
-from .neardup import components, small
+from .neardup import components, small, with_lookup
 
 SHINGLE = 4
 RADIUS = 4
@@ -49,7 +49,6 @@ BLOCK, MOST_BLOCKS, LARGEST_BLOCK = 1024, 64, 1 << 18  # a hot shard is cut into
 FLUSH = 1 << 16  # rows searched together
 PAIRS = 1 << 18  # (query, node) pairs of a search at most, per chunk of queries
 PIECE = 1 << 15  # shingles hashed at once
-HEAVY = 1000  # a key with more than this part of all rows is heavy; there are no more heavy keys than this
 
 
 # ---------------------------------------------------------------------------
@@ -275,18 +274,6 @@ def shard_edges(groups: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def with_lookup(rows: DataFrame, look: DataFrame, key: str, value: str) -> DataFrame:
-    """``rows`` left joined to ``look`` (key, value, weight); weight: how many rows have the key.
-
-    Keys with more than a HEAVY-th of the weight (at most HEAVY of them) are broadcast; the others, none
-    of which is hot, are joined by a shuffle."""
-    total = look.agg(F.sum("weight")).first()[0] or 0
-    heavy = F.col("weight") * HEAVY > F.lit(total)
-    first = rows.join(F.broadcast(look.where(heavy).select(key, F.col(value).alias("_heavy"), F.lit(True).alias("_is"))), key, "left")
-    light = first.where("_is is null").drop("_heavy", "_is").join(look.where(~heavy).select(key, value), key, "left")
-    return first.where("_is").drop("_is").withColumnRenamed("_heavy", value).unionByName(light)
-
-
 def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -297,11 +284,11 @@ def link_documents(docs: DataFrame) -> DataFrame:
     member = components(edges, "simhash-components").join(nodes.withColumnRenamed("fp", "node"), "node")
     member = materialize(member, "simhash-members")
     least = materialize(member.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("weight")), "simhash-least")
-    linked_fps = with_lookup(member.select("node", "root", "n"), least, "root", "component_id")
+    linked_fps = with_lookup(member.select("node", "root", "n"), least, "root", "component_id", member.count())
     alone = nodes.where("n > 1").join(member.select(F.col("node").alias("fp")), "fp", "left_anti")
     look = linked_fps.select(F.col("node").alias("fp"), "component_id", F.col("n").alias("weight")) \
         .unionByName(alone.select("fp", F.col("least").alias("component_id"), F.col("n").alias("weight")))
-    out = with_lookup(sig, materialize(look, "simhash-lookup"), "fp", "component_id")
+    out = with_lookup(sig, materialize(look, "simhash-lookup"), "fp", "component_id", sig.count())
     return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
