@@ -1,9 +1,8 @@
 """Session and plan helpers shared by every operator.
 
-Library code never creates machine-local folders: the checkpoint folder is
-whatever the cluster names in ``spark.checkpoint.dir``.  Only
-:func:`local_session` (tests, bench) sets a scratch folder, and only when the
-setting is missing.
+On a cluster the checkpoint folder is whatever ``spark.checkpoint.dir`` names, and
+a job that needs one raises without it.  Only a local session (tests, bench) gets a
+scratch folder, and only when the setting is missing.
 """
 
 from __future__ import annotations
@@ -49,10 +48,14 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Tests only: fall back to a fresh scratch folder when the session names none."""
+    """The shared folder; a local session (tests, bench) that names none gets a fresh scratch folder.
+
+    On a cluster a folder of one machine is of no use to the others, so there this raises."""
     current = checkpoint_dir(spark)
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="recordaudit-ckpt-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -40,3 +40,15 @@ def test_freeze_uses_the_session_folder(spark):
     assert folder  # the test session names one (set only because it was unset, or from spark-defaults)
     frozen = S.freeze(spark.range(5))
     assert frozen.count() == 5
+
+
+def test_a_cluster_must_name_its_folder(spark, monkeypatch):
+    import pytest
+
+    class Cluster:
+        sparkContext = type("Context", (), {"master": "yarn", "getCheckpointDir": lambda self: None})()
+        conf = type("Conf", (), {"get": lambda self, key, default=None: default})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        S.ensure_checkpoint_dir(Cluster())
+    assert S.ensure_checkpoint_dir(spark) == S.checkpoint_dir(spark)
