@@ -31,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, inline_table, new_folder, table
+from .common import filesystem, inline_table, new_folder, string_bytes, table
 
 SEED = 42
 HEAD = "<8sqq"  # magic, rules, bytes of strings
@@ -70,23 +71,25 @@ def build_index(rules: DataFrame, folder: str, shard_rules: int = 4_000_000) ->
     shards = max(1, -(-keyed.count() // shard_rules))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]  # one shard
-        if not rows:
+        parts = [b for b in batches if b.num_rows]  # one shard
+        if not parts:
             return
-        strings = [(r["host"] + r["path"]).encode() for r in rows]
-        keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
+        t = pa.Table.from_batches(parts)
+        host, rest = (t[c].combine_chunks().cast(pa.large_string()) for c in ("host", "path"))
+        keys = t["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys, kind="stable")
-        ends = np.cumsum([0] + [len(strings[i]) for i in order], dtype=np.int64)
+        strings, ends = string_bytes(pc.binary_join_element_wise(host, rest, pa.scalar("", pa.large_string())).take(pa.array(order)))
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         name = f"{uuid.uuid4().hex}.keys"
         with fs.open_output_stream(f"{root}/{name}") as out:
-            out.write(struct.pack(HEAD, MAGIC, len(rows), int(ends[-1])))
+            out.write(struct.pack(HEAD, MAGIC, t.num_rows, int(ends[-1])))
             out.write(keys[order].tobytes())
-            out.write(ends.tobytes())
-            out.write(np.array([rows[i]["block"] for i in order], np.uint8).tobytes())
-            out.write(b"".join(strings[i] for i in order))
-        shapes = sorted({(r["host"].count(".") + 1, len(r["path"])) for r in rows})
+            out.write(ends.astype(np.int64).tobytes())
+            out.write(t["block"].to_numpy()[order].astype(np.uint8).tobytes())
+            out.write(strings.tobytes())
+        depth, size = pc.add(pc.count_substring(host, "."), 1), pc.utf8_length(rest)
+        shapes = np.unique(np.stack([depth.to_numpy(), size.to_numpy()], axis=1), axis=0).tolist()
         yield pa.RecordBatch.from_pylist(
             [{"file": name, "lo": str(int(keys.min())), "hi": str(int(keys.max())),
               "depths": [d for d, _ in shapes], "lengths": [n for _, n in shapes]}],
@@ -107,7 +110,8 @@ class Shard:
     def __init__(self, folder: str, name: str):
         fs, root = filesystem(folder)
         path = f"{root}/{name}"
-        if fs.type_name == "local":
+        self.mapped = fs.type_name == "local"
+        if self.mapped:
             raw = np.memmap(path, np.uint8, "r")
         else:
             with fs.open_input_file(path) as f:
@@ -139,6 +143,16 @@ def judge(urls: DataFrame, manifest: list[dict], folder: str) -> DataFrame:
     ranges = [(m["file"], int(m["lo"]), int(m["hi"])) for m in manifest]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mapped: dict[str, Shard] = {}  # a memory map costs no memory of its own; elsewhere one shard is read at a time
+
+        def shard(file: str) -> Shard:
+            if file not in mapped:
+                opened = Shard(folder, file)
+                if not opened.mapped:
+                    return opened
+                mapped[file] = opened
+            return mapped[file]
+
         for big in batches:
             for start in range(0, big.num_rows, 2000):
                 batch = big.slice(start, 2000)
@@ -159,7 +173,7 @@ def judge(urls: DataFrame, manifest: list[dict], folder: str) -> DataFrame:
                     if not len(inside):
                         continue
                     order = inside[np.argsort(keys[inside], kind="stable")]
-                    for j, block in Shard(folder, file).probe(keys[order], [strings[i] for i in order]).items():
+                    for j, block in shard(file).probe(keys[order], [strings[i] for i in order]).items():
                         i = int(order[j])
                         row, size, host_size = owner[i]
                         best[row] = max(best.get(row, (-1, -1, "", False)), (size, host_size, strings[i].decode(), block))
