@@ -243,7 +243,7 @@ def leaked_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block = Block(*sent.value)
             for big in batches:
-                for batch in slices(big, "_text", 2 << 20):
+                for batch in slices(big, "_text", 1 << 20):
                     found = list(block.leaks(batch.column("_text")))
                     if found:
                         row, item, *rest = (list(x) for x in zip(*found, strict=True))
@@ -267,7 +267,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block = Block(*sent.value)
             for big in batches:
-                for batch in slices(big, "_lower", 2 << 20):
+                for batch in slices(big, "_lower", 1 << 20):
                     keep = np.ones(batch.num_rows, bool)
                     keep[[x[0] for x in block.leaks(batch.column("_lower"))]] = False
                     yield batch.filter(pa.array(keep)).select(columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_names, slices, smallest_by_hash, string_bytes, table
+from .common import plain_names, slices, string_bytes, table
 
 WINDOW = 512
 WIDTHS = (2, 3, 4)
@@ -161,14 +161,30 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
 
 
 def training_windows(docs: DataFrame, per_lang: int = 700) -> list:
-    """At most ``per_lang`` (lang, piece) rows per language, the smallest by a hash of doc_id."""
-    h = F.xxhash64(F.col("doc_id"), F.lit(11))
+    """At most ``per_lang`` different (lang, hash, piece) rows per language, those of the smallest hashes of id and text.
+
+    Languages are counted first; only rows below a share of the hash range that holds about
+    4 ``per_lang`` rows of their language are looked at, more where too few of them have letters, so what
+    is gathered does not grow with the input and most texts are only hashed."""
+    h = F.xxhash64("doc_id", "text", F.lit(11))
     size = F.char_length("text")
-    piece = F.substring("text", (F.pmod(h, F.greatest(size - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW))
-    rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")) \
-        .select("lang", h.alias("h"), piece.alias("piece")).where(F.col("piece").rlike(r"\p{L}"))
-    top = smallest_by_hash(rows, "lang", F.col("h"), per_lang, ["piece"])
-    return sorted((r["lang"], r["h"], r["piece"]) for r in top.collect())  # languages x per_lang rows
+    piece = F.substring("text", (F.pmod(F.col("h"), F.greatest(size - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW))
+    base = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    sizes = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    factor, kept = 4, {}
+    while sizes:
+        share = F.lit(1.0)
+        for lang, n in sizes.items():
+            share = F.when(F.col("lang") == F.lit(lang), F.lit(min(factor * per_lang / n, 1.0))).otherwise(share)
+        below = base.select("lang", "text", h.alias("h")).where(F.col("h").cast("double") / 2.0 ** 64 + 0.5 <= share)
+        rows = below.where(F.col("text").rlike(r"\p{L}")).select("lang", "h", piece.alias("piece")).where(F.col("piece").rlike(r"\p{L}"))
+        kept = {lang: [] for lang in sizes}
+        for r in rows.distinct().collect():  # factor x per_lang x languages rows, more or less
+            kept[r["lang"]].append((r["lang"], r["h"], r["piece"]))
+        if all(len(kept[lang]) >= per_lang or factor * per_lang >= n for lang, n in sizes.items()):
+            break
+        factor *= 8
+    return sorted(x for rows in kept.values() for x in sorted(rows)[:per_lang])
 
 
 def fit(docs: DataFrame, per_lang: int = 700) -> tuple[list[str], dict[str, np.ndarray] | None]:
