@@ -27,6 +27,7 @@ repeated rows are each encoded.
 from __future__ import annotations
 
 import struct
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,7 +76,7 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
-def read_model(spark, path: str = MODEL) -> dict:
+def read_model(spark, path: str = MODEL) -> Model:
     """Pieces of a model file (read through Spark) with the merge tables that are derived from them once."""
     raw = bytes(spark.read.format("binaryFile").load(path if "://" in path else f"file://{path}").first()["content"])
     pieces, norm, kind = [], {3: 1, 4: 1, 5: 1}, 1
@@ -89,7 +90,7 @@ def read_model(spark, path: str = MODEL) -> dict:
             norm |= dict(_fields(value))
     if kind != 2 or norm.get(2) or norm[4] or not norm[5]:
         raise ValueError("only BPE models without a character map that keep all white space are supported")
-    return {"pieces": pieces, "prefix": bool(norm[3])} | merge_tables(pieces)
+    return Model({"pieces": pieces, "prefix": bool(norm[3])} | merge_tables(pieces))
 
 
 def merge_tables(pieces: list[tuple[str, float, int]]) -> dict:
@@ -362,13 +363,18 @@ def span_ids(vocab: Vocabulary, cps: np.ndarray, starts: np.ndarray, ends: np.nd
     return ids[np.repeat(first[at] - total[:-1], count) + np.arange(int(total[-1]))], total
 
 
-_loaded: list[tuple[dict, Vocabulary]] = []
+class Model(dict):
+    """A model as it is sent to the workers (a class of its own, so that its end can be noticed)."""
 
 
-def vocabulary(model: dict) -> Vocabulary:
-    """The model's tables, built once in a worker (the last model that it used)."""
-    if not _loaded or _loaded[0][0] is not model:
-        _loaded[:] = [(model, Vocabulary(model))]
+_loaded: list[tuple[weakref.ref, Vocabulary]] = []
+
+
+def vocabulary(model: Model) -> Vocabulary:
+    """The model's tables, built once in a worker for as long as it holds the model: a worker that goes on
+    with tasks that do not use it drops both."""
+    if not _loaded or _loaded[0][0]() is not model:
+        _loaded[:] = [(weakref.ref(model, lambda _: _loaded.clear()), Vocabulary(model))]
     return _loaded[0][1]
 
 

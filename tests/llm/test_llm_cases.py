@@ -338,6 +338,8 @@ def test_remembered_words_give_the_same_ids(spark, monkeypatch):
         for texts in batches:
             ids, first = pieces.encode_texts(vocab, texts)
             assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == sp.encode(texts)
+    del model
+    assert not pieces._loaded  # the tables go with the model
 
 
 def test_products_of_matrices_are_associative():
