@@ -27,6 +27,7 @@ repeated rows are each encoded.
 from __future__ import annotations
 
 import struct
+import threading
 import weakref
 from collections.abc import Iterator
 
@@ -43,7 +44,8 @@ SPACE = "▁"
 CHUNK = 32_768  # characters of a chunk of a giant document
 SPAN = 256  # chunks whose matrices one task combines
 ROWS_BY_WIDTH = 200_000  # characters of words that are solved at a time
-SOLVED_BYTES = 32 << 20  # pieces of words that a worker remembers
+SOLVED_BYTES = 24 << 20  # pieces of words that a worker remembers
+IDLE = 4.0  # seconds
 NEVER = 1 << 40
 START = -1  # the state before the first piece
 
@@ -368,14 +370,21 @@ class Model(dict):
 
 
 _loaded: list[tuple[weakref.ref, Vocabulary]] = []
+_idle: list[threading.Timer] = []
 
 
 def vocabulary(model: Model) -> Vocabulary:
-    """The model's tables, built once in a worker for as long as it holds the model: a worker that goes on
-    with tasks that do not use it drops both."""
+    """The model's tables, built once in a worker for tasks that follow each other: they go with the model, and
+    when no task asked for them for IDLE seconds (a running task keeps its own)."""
+    for timer in _idle:
+        timer.cancel()
     if not _loaded or _loaded[0][0]() is not model:
         _loaded[:] = [(weakref.ref(model, lambda _: _loaded.clear()), Vocabulary(model))]
-    return _loaded[0][1]
+    vocab = _loaded[0][1]
+    _idle[:] = [threading.Timer(IDLE, _loaded.clear)]
+    _idle[0].daemon = True
+    _idle[0].start()
+    return vocab
 
 
 def decode_ids(vocab: Vocabulary, ids) -> str:
@@ -598,7 +607,7 @@ def encode(docs: DataFrame, model: dict, columns: list[str], chunk: int = CHUNK)
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(sent.value)
         for big in batches:
-            for b in slices(big, "part", 8 << 20):
+            for b in slices(big, "part", 4 << 20):
                 ids = chunks_ids(vocab, list(zip(*[b.column(c).to_pylist() for c in ("part", "back", "n", "entry", "exit")], strict=True)))
                 yield pa.RecordBatch.from_arrays([b.column("key"), b.column("c"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "c", "ids"])
 

@@ -340,6 +340,11 @@ def test_remembered_words_give_the_same_ids(spark, monkeypatch):
             assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == sp.encode(texts)
     del model
     assert not pieces._loaded  # the tables go with the model
+    monkeypatch.setattr(pieces, "IDLE", 0.05)
+    model = pieces.read_model(spark)
+    pieces.vocabulary(model)
+    pieces._idle[0].join()
+    assert not pieces._loaded  # or when nobody asked for them
 
 
 def test_products_of_matrices_are_associative():
