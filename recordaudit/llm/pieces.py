@@ -10,7 +10,7 @@ place, all words of a batch at once.
 
 No piece spans a place before a run of U+2581 signs that follows another character
 (checked on the vocabulary), so the words between such places are solved once each
-while a worker remembers them (``SOLVED_BYTES``).  Giant documents (over ``CHUNK`` characters) are cut into chunks that are
+while a task remembers them (``SOLVED_BYTES``).  Giant documents (over ``CHUNK`` characters) are cut into chunks that are
 dealt over the cluster.  A chunk yields its transfer matrix from the states at its left
 border to those at its right border (state: the piece that meets or spans the border);
 of the matrix only the zeros are kept, as pairs of states.  The matrices of ``SPAN`` chunks
@@ -27,8 +27,6 @@ repeated rows are each encoded.
 from __future__ import annotations
 
 import struct
-import threading
-import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +42,7 @@ SPACE = "▁"
 CHUNK = 32_768  # characters of a chunk of a giant document
 SPAN = 256  # chunks whose matrices one task combines
 ROWS_BY_WIDTH = 200_000  # characters of words that are solved at a time
-SOLVED_BYTES = 24 << 20  # pieces of words that a worker remembers
-IDLE = 4.0  # seconds
+SOLVED_BYTES = 24 << 20  # pieces of words that a task remembers
 NEVER = 1 << 40
 START = -1  # the state before the first piece
 
@@ -78,7 +75,7 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
-def read_model(spark, path: str = MODEL) -> Model:
+def read_model(spark, path: str = MODEL) -> dict:
     """Pieces of a model file (read through Spark) with the merge tables that are derived from them once."""
     raw = bytes(spark.read.format("binaryFile").load(path if "://" in path else f"file://{path}").first()["content"])
     pieces, norm, kind = [], {3: 1, 4: 1, 5: 1}, 1
@@ -92,7 +89,7 @@ def read_model(spark, path: str = MODEL) -> Model:
             norm |= dict(_fields(value))
     if kind != 2 or norm.get(2) or norm[4] or not norm[5]:
         raise ValueError("only BPE models without a character map that keep all white space are supported")
-    return Model({"pieces": pieces, "prefix": bool(norm[3])} | merge_tables(pieces))
+    return {"pieces": pieces, "prefix": bool(norm[3])} | merge_tables(pieces)
 
 
 def merge_tables(pieces: list[tuple[str, float, int]]) -> dict:
@@ -356,7 +353,7 @@ def encode_texts(vocab: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray
 
 
 def span_ids(vocab: Vocabulary, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, first) of words; equal words are solved once in a worker (while they are remembered)."""
+    """(ids, first) of words; equal words are solved once in a task (while they are remembered)."""
     h, sample, which = np.unique(span_hashes(cps, starts, ends), return_index=True, return_inverse=True)
     at = vocab.solved.find(vocab, h, cps, starts[sample], ends[sample])[which]
     ids, first = vocab.solved.ids, vocab.solved.first
@@ -365,28 +362,6 @@ def span_ids(vocab: Vocabulary, cps: np.ndarray, starts: np.ndarray, ends: np.nd
     return ids[np.repeat(first[at] - total[:-1], count) + np.arange(int(total[-1]))], total
 
 
-class Model(dict):
-    """A model as it is sent to the workers (a class of its own, so that its end can be noticed)."""
-
-
-_loaded: list[tuple[weakref.ref, Vocabulary]] = []
-_idle: list[threading.Timer] = []
-
-
-def vocabulary(model: Model) -> Vocabulary:
-    """The model's tables, built once in a worker for tasks that follow each other: they go with the model, and
-    when no task asked for them for IDLE seconds (a running task keeps its own)."""
-    for timer in _idle:
-        timer.cancel()
-    if not _loaded or _loaded[0][0]() is not model:
-        _loaded[:] = [(weakref.ref(model, lambda _: _loaded.clear()), Vocabulary(model))]
-    vocab = _loaded[0][1]
-    _idle[:] = [threading.Timer(IDLE, _loaded.clear)]
-    _idle[0].daemon = True
-    _idle[0].start()
-    return vocab
-
-
 def decode_ids(vocab: Vocabulary, ids) -> str:
     text = b"".join([vocab.raw[i] for i in ids]).decode("utf-8", "replace")
     return text[1:] if vocab.prefix and text.startswith(" ") else text
@@ -545,7 +520,7 @@ def encode(docs: DataFrame, model: dict, columns: list[str], chunk: int = CHUNK)
     schema = docs.select(*columns).schema.add("ids", ArrayType(IntegerType())).add("n_pieces", "long").add("round_trip", "boolean")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(sent.value)
+        vocab = Vocabulary(sent.value)
         for big in batches:
             for batch in slices(big, "_text", 4 << 20):
                 texts = batch.column("_text").to_pylist()
@@ -579,7 +554,7 @@ def encode(docs: DataFrame, model: dict, columns: list[str], chunk: int = CHUNK)
     chunks = materialize(chunks.dropDuplicates(["key", "c"]), "piece-chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(sent.value)
+        vocab = Vocabulary(sent.value)
         for big in batches:
             for b in slices(big, "part", 1 << 20):
                 zeros = [chunk_matrix(vocab, *x) for x in zip(*[b.column(c).to_pylist() for c in ("part", "back", "n", "last")], strict=True)]
@@ -605,14 +580,14 @@ def encode(docs: DataFrame, model: dict, columns: list[str], chunk: int = CHUNK)
         return pa.table({"key": t.column("key"), "c": t.column("c"), "entry": pa.array(s[:-1], pa.int32()), "exit": pa.array(s[1:], pa.int32())})
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(sent.value)
+        vocab = Vocabulary(sent.value)
         for big in batches:
             for b in slices(big, "part", 4 << 20):
                 ids = chunks_ids(vocab, list(zip(*[b.column(c).to_pylist() for c in ("part", "back", "n", "entry", "exit")], strict=True)))
                 yield pa.RecordBatch.from_arrays([b.column("key"), b.column("c"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "c", "ids"])
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(sent.value)
+        vocab = Vocabulary(sent.value)
         for big in batches:
             for b in slices(big, "_text", 2 << 20):
                 ids = b.column("ids").to_pylist()

@@ -330,21 +330,13 @@ def test_remembered_words_give_the_same_ids(spark, monkeypatch):
     spm = pytest.importorskip("sentencepiece")
     sp = spm.SentencePieceProcessor(model_file=pieces.MODEL)
     model = pieces.read_model(spark)
-    vocab = pieces.vocabulary(model)
-    assert pieces.vocabulary(model) is vocab
+    vocab = pieces.Vocabulary(model)
     batches = [[f"word{k % 7} and w{k} naïve 日本 {k}" for k in range(lo, lo + 40)] for lo in (0, 20, 500, 0)]
     for limit in (1 << 25, 200):  # the second starts anew for every batch
         monkeypatch.setattr(pieces, "SOLVED_BYTES", limit)
         for texts in batches:
             ids, first = pieces.encode_texts(vocab, texts)
             assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == sp.encode(texts)
-    del model
-    assert not pieces._loaded  # the tables go with the model
-    monkeypatch.setattr(pieces, "IDLE", 0.05)
-    model = pieces.read_model(spark)
-    pieces.vocabulary(model)
-    pieces._idle[0].join()
-    assert not pieces._loaded  # or when nobody asked for them
 
 
 def test_products_of_matrices_are_associative():
