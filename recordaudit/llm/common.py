@@ -36,13 +36,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ARROW_ROWS = 2000  # rows of whole documents in an Arrow batch of a stage (Spark's own default is 10,000)
 
 
 def plain_names(stage):
     """Stage decorator: columns beyond those of ``documents`` travel under neutral names, so they cannot
-    clash with what a stage adds; one that clashes with a new output column comes back as ``<name>_in``."""
+    clash with what a stage adds; one that clashes with a new output column comes back as ``<name>_in``.
+
+    The session's Arrow batches are held to ARROW_ROWS rows: every batch carries whole documents and exists
+    several times between the JVM and the workers."""
     @functools.wraps(stage)
     def run(spark, docs, sf_dir, *args, **kw):
+        batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(batch)) <= ARROW_ROWS:
+            spark.conf.set(batch, str(ARROW_ROWS))
         extra = {f"_extra_{i}": c for i, c in enumerate(docs.columns) if c not in DOCUMENT_COLUMNS}
         safe = docs.toDF(*[c if c in DOCUMENT_COLUMNS else f"_extra_{i}" for i, c in enumerate(docs.columns)])
         out = stage(spark, safe, sf_dir, *args, **kw)
