@@ -16,7 +16,7 @@ import re
 from collections.abc import Iterable, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,12 +37,6 @@ def corrupt_files(spark: SparkSession, path: str | Sequence[str], fmt: str = "pa
 
     Tasks read the files whole (one at a time, up to 2 GB each): parquet files by their row
     groups, text formats through gzip where the name says so, down to their last byte."""
-    reader = spark.read.format("binaryFile")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-
     def reason(name: str, raw: bytes) -> str | None:
         try:
             if fmt == "parquet":
@@ -65,7 +59,7 @@ def corrupt_files(spark: SparkSession, path: str | Sequence[str], fmt: str = "pa
                 if why is not None:
                     yield pa.RecordBatch.from_pylist([{"path": r["path"], "reason": why}], pa.schema([("path", pa.string()), ("reason", pa.string())]))
 
-    return reader.load(path if isinstance(path, str) else list(path)).select("path", "content") \
+    return catalogue.loaded(lambda: spark.read.format("binaryFile"), spark, path, glob, recursive, lambda df: df.select("path", "content")) \
         .mapInArrow(check, "path string, reason string")
 
 
@@ -117,7 +111,8 @@ def scan(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet",
     """Read every file of ``path`` (optionally filtered by ``glob``) into one frame with a
     ``file_name`` column and derived ``keys`` (expressions over ``file_name``).
 
-    Files with different columns are united by name: CSV files by their own header each,
+    A folder right below ``path`` that ``glob`` names is a table in part files: its rows carry the
+    folder's name as ``file_name``.  Files with different columns are united by name: CSV files by their own header each,
     parquet files by their merged schemas; a column that a file lacks is null there.  A
     corrupt file is an error; with ``ignore_corrupt`` whole bad files are left out
     (:func:`corrupt_files` lists them, to be written as a report).  ``with_path`` adds the full
@@ -133,7 +128,9 @@ def scan(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet",
     else:
         paths = None
 
-    def read(some: str | Sequence[str], names: tuple[str, ...] | None = None) -> DataFrame:
+    folders = [f for some in catalogue.table_folders(spark, path, glob, recursive)[1:] for f in some]
+
+    def reader(names: tuple[str, ...] | None = None) -> DataFrameReader:
         reader = spark.read.format(fmt)
         if schema is not None:
             reader = reader.schema(schema)
@@ -143,15 +140,19 @@ def scan(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet",
             reader = reader.option("header", "true").option("enforceSchema", "true" if names is not None else "false")
         if fmt == "parquet":
             reader = reader.option("mergeSchema", "true")
-        if paths is None and glob:
-            reader = reader.option("pathGlobFilter", glob)
-        if paths is None and recursive:
-            reader = reader.option("recursiveFileLookup", "true")
         for k, v in (options or {}).items():
             reader = reader.option(k, v)
-        df = reader.load(some if isinstance(some, str) else list(some))
-        named = {FILE_NAME: F.col("_metadata.file_name")} | ({"file_path": F.col("_metadata.file_path")} if with_path else {})
-        return df.withColumns(named)
+        return reader
+
+    def named(df: DataFrame) -> DataFrame:
+        name = F.col("_metadata.file_name")
+        if folders:
+            held = catalogue.holder(catalogue.decoded(F.col("_metadata.file_path")), folders)
+            name = F.coalesce(F.substring_index(held, "/", -1), name)
+        return df.withColumns({FILE_NAME: name} | ({"file_path": F.col("_metadata.file_path")} if with_path else {}))
+
+    def read(some: Sequence[str], names: tuple[str, ...] | None = None) -> DataFrame:
+        return named(reader(names).load(list(some)))
 
     if need or fmt == "csv" and schema is None:
         groups = _by_header(spark, path, paths, fmt, glob, recursive)
@@ -167,7 +168,7 @@ def scan(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet",
         else:
             df = read([p for some in groups.values() for p in some])
     else:
-        df = read(paths if paths is not None else path)
+        df = read(paths) if paths is not None else catalogue.loaded(reader, spark, path, glob, recursive, named)
     return df.withColumns(dict(keys)) if keys else df
 
 
@@ -207,10 +208,12 @@ def rewrite_version(name: Column, rules: Sequence[tuple[str, str]]) -> Column:
 def skipped_files(spark: SparkSession, path: str, read: DataFrame, glob: str | None = None, recursive: bool = False) -> DataFrame:
     """Files listed under ``path`` that produced no rows in ``read`` (unreadable or empty), by name.
     ``read`` with a ``file_path`` column is compared by full path instead."""
+    folders = [f for some in catalogue.table_folders(spark, path, glob, recursive)[1:] for f in some]
     listed = list_files(spark, path, glob, recursive).select(
-        F.col("path").alias("file_path"), F.element_at(F.split(F.col("path"), "/"), -1).alias(FILE_NAME))
+        F.col("path").alias("file_path"), catalogue.entry_name(F.col("path"), folders).alias(FILE_NAME))
     by = "file_path" if "file_path" in read.columns else FILE_NAME
-    return listed.join(read.select(by).distinct(), by, "left_anti").select(FILE_NAME, *(["file_path"] if by == "file_path" else []))
+    out = listed.join(read.select(by).distinct(), by, "left_anti").select(FILE_NAME, *(["file_path"] if by == "file_path" else []))
+    return out.distinct() if folders and by == FILE_NAME else out  # a table in part files is one entry
 
 
 def require_columns(df: DataFrame, required: Iterable[str], optional: Iterable[str] = (),

@@ -73,15 +73,16 @@ def rescue_text(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv"
         schema = T._parse_datatype_string(schema)
     rules = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _DAMAGED} | dict(options or {})
 
-    def reader(fmt: str, listed: bool):
-        r = spark.read.format(fmt).option("ignoreCorruptFiles", "true")
-        r = r.option("pathGlobFilter", glob) if glob and not listed else r
-        return r.option("recursiveFileLookup", "true") if recursive and not listed else r
+    folders = [f for some in catalogue.table_folders(spark, path, glob, recursive)[1:] for f in some]
 
-    def lines(paths: str | list[str], listed: bool) -> DataFrame:
-        raw = reader("text", listed).load(paths).select(
-            F.rtrim(F.ltrim("value", F.lit("\ufeff")), F.lit("\r")).alias("line"), F.col("_metadata.file_name").alias(FILE_NAME), catalogue.decoded(F.col("_metadata.file_path")).alias("path"))
-        return raw.where(F.trim("line") != "")
+    def reader(fmt: str):
+        return spark.read.format(fmt).option("ignoreCorruptFiles", "true")
+
+    def lines(raw: DataFrame) -> DataFrame:
+        where = catalogue.decoded(F.col("_metadata.file_path"))
+        name = F.coalesce(F.substring_index(catalogue.holder(where, folders), "/", -1), F.col("_metadata.file_name")) if folders else F.col("_metadata.file_name")
+        return raw.select(F.rtrim(F.ltrim("value", F.lit("\ufeff")), F.lit("\r")).alias("line"), name.alias(FILE_NAME), where.alias("path")) \
+            .where(F.trim("line") != "")
 
     def parsed(rows: DataFrame, fields: list[T.StructField], parse) -> DataFrame:
         whole = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in [*fields, T.StructField(_DAMAGED, T.StringType())])
@@ -90,8 +91,8 @@ def rescue_text(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv"
         return rows.select("*", *[F.col("_row").getField(f.name).alias(f.name) for f in fields])
 
     if fmt == "json":
-        fields = (schema or reader("json", False).option("mode", "DROPMALFORMED").load(path if isinstance(path, str) else list(path)).schema).fields
-        rows = parsed(lines(path if isinstance(path, str) else list(path), False), list(fields), F.from_json)
+        fields = (schema or catalogue.loaded(lambda: reader("json").option("mode", "DROPMALFORMED"), spark, path, glob, recursive).schema).fields
+        rows = parsed(catalogue.loaded(lambda: reader("text"), spark, path, glob, recursive, lines), list(fields), F.from_json)
     else:
         sep = rules.get("sep", rules.get("delimiter", ","))
         cat = catalogue.catalogue(spark, path, fmt, glob, recursive, sep, rules.get("quote", '"'))
@@ -101,7 +102,7 @@ def rescue_text(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv"
         for g in groups:
             names = [n if n not in g["names"][:k] else f"{n}_{k}" for k, n in enumerate(g["names"])]  # a repeated name counts on
             own = [types.get(n, T.StructField(n, T.StringType())) for n in names]
-            part = parsed(lines(list(g["paths"]), True).where(F.col("line") != g["header"]), own, F.from_csv)
+            part = parsed(lines(reader("text").load(list(g["paths"]))).where(F.col("line") != g["header"]), own, F.from_csv)
             rows = rows.withColumn("_row", F.col(f"_row.{_DAMAGED}")).unionByName(
                 part.withColumn("_row", F.col(f"_row.{_DAMAGED}")), allowMissingColumns=True).withColumn("_row", F.struct(F.col("_row").alias(_DAMAGED)))
         fields = [T.StructField(c, T.StringType()) for c in rows.columns if c not in ("line", FILE_NAME, "path", "_text", "_row")]
@@ -153,7 +154,9 @@ def rescue_parquet(spark: SparkSession, path: str | Sequence[str], store: str, g
     cat = catalogue.catalogue(spark, path, "parquet", glob, recursive).join(by_file.where("sound > 0").select("path"), "path", "left_semi")
     schema = catalogue.union_schema(cat)
     scan = spark.read.schema(schema).parquet(*whole) if whole else spark.createDataFrame([], schema)
-    scan = scan.withColumn(FILE_NAME, F.col("_metadata.file_name") if whole else F.lit(None).cast("string"))
+    folders = [f for some in catalogue.table_folders(spark, path, glob, recursive)[1:] for f in some]
+    held = F.substring_index(catalogue.holder(catalogue.decoded(F.col("_metadata.file_path")), folders), "/", -1)
+    scan = scan.withColumn(FILE_NAME, F.coalesce(held, F.col("_metadata.file_name")) if whole else F.lit(None).cast("string"))
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema, prefers_large_types=False)
@@ -162,15 +165,16 @@ def rescue_parquet(spark: SparkSession, path: str | Sequence[str], store: str, g
         import pyarrow.parquet as pq
 
         for batch in batches:
-            for name, place in zip(batch.column("path").to_pylist(), batch.column("place").to_pylist(), strict=True):
+            for name, place, entry in zip(*[batch.column(c).to_pylist() for c in ("path", "place", FILE_NAME)], strict=True):
                 system, where = catalogue.opened(name)
                 with system.open_input_file(where) as f:
                     t = pq.ParquetFile(f).read_row_group(place, use_threads=False)
                 cols = [t[x.name].cast(x.type) if x.name in t.column_names else pa.nulls(t.num_rows, x.type) for x in arrow]
-                file = pa.array([name.rsplit("/", 1)[1]] * t.num_rows, pa.string())
+                file = pa.array([entry] * t.num_rows, pa.string())
                 yield from pa.table([*cols, file], names=[*arrow.names, FILE_NAME]).to_batches()
 
-    sound = states.where("reason is null").join(hurt, "path", "left_semi").select("path", "place")
+    sound = states.where("reason is null").join(hurt, "path", "left_semi") \
+        .select("path", "place", catalogue.entry_name(F.col("path"), folders).alias(FILE_NAME))
     rest = sound.repartition("path", "place").mapInArrow(read, T.StructType([*schema.fields, T.StructField(FILE_NAME, T.StringType())]))
     return Rescued(scan.unionByName(rest), bad)
 
