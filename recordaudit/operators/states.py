@@ -4,7 +4,8 @@ Banded, categorical and coverage profiles are sums of counts, so the counts of a
 change while the file does not.  :func:`update` lists the dataset, reads only the files that the store
 does not know (by path, length and modification time), and adds their counts; :func:`merged`
 adds up the counts of the files that the dataset holds now.  Files that changed or went away
-drop out because their old identity is no longer listed.
+drop out because their old identity is no longer listed.  A table in part files (a folder that ``glob`` names)
+is kept up to date part by part and counts as one file.
 
 The store is a folder of sessions, one per update, each written by one Spark job that appears whole
 (its ``_SUCCESS`` counts) and holds the counts and one row per file that was read, so files
@@ -111,16 +112,19 @@ def _listed(spark: SparkSession, path: str | Sequence[str], glob: str | None, re
 
 def update(spark: SparkSession, store: str, path: str | Sequence[str], profiles: Sequence[Profile], fmt: str = "parquet",
            glob: str | None = None, recursive: bool = False, prepare: Callable[[DataFrame], DataFrame] | None = None) -> int:
-    """Add the counts of files that are new or changed; how many files were read.
+    """Add the counts of files that are new or changed; how many files were read (a folder of part files is one).
 
     ``prepare`` maps the scanned records (with ``file_name`` and ``file_path``) to those that are counted."""
     known = _stored(spark, store).where(F.col("profile") == _FILE).select("path", "length", "modified", "definition").distinct()
     wanted = hashlib.sha256("".join(sorted(p.name + p.definition() for p in profiles)).encode()).hexdigest()[:16]
     fresh = _listed(spark, path, glob, recursive).join(known.where(F.col("definition") == wanted), ["path", "length", "modified"], "left_anti")
-    paths = [r["path"] for r in fresh.select("path").collect()]  # one short string per file to read
+    flat, keyed = catalogue.table_folders(spark, path, glob, recursive)[1:]
+    entry = F.coalesce(catalogue.holder(F.col("path"), [*flat, *keyed]), F.col("path"))
+    found = fresh.select("path", entry.alias("entry")).collect()  # two short strings per file to read
+    paths = [r["path"] for r in found]
     if not paths:
         return 0
-    records = files.scan(spark, paths, fmt, with_path=True)
+    records = files.scan(spark, paths, fmt, with_path=True, tables=(flat, keyed))
     records = prepare(records) if prepare else records
     counts = None
     for p in profiles:
@@ -132,7 +136,7 @@ def update(spark: SparkSession, store: str, path: str | Sequence[str], profiles:
                          F.array().cast("array<string>").alias("keys"), F.lit(0).alias("part"), F.lit(0).alias("slot"), F.lit(False).alias("numeric"),
                          F.lit(0).cast("long").alias("n"))
     rows.unionByName(marks).write.parquet(f"{store.rstrip('/')}/session-{time.time_ns():020d}-{uuid.uuid4().hex}")
-    return len(paths)
+    return len({r["entry"] for r in found})
 
 
 def merged(spark: SparkSession, store: str, path: str | Sequence[str], p: Profile, glob: str | None = None, recursive: bool = False) -> DataFrame:

@@ -107,7 +107,7 @@ def scan(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet",
          schema: T.StructType | str | None = None, glob: str | None = None, recursive: bool = False,
          ignore_corrupt: bool = False, options: Mapping[str, str] | None = None,
          keys: Mapping[str, Column] | None = None, required: Iterable[str] = (), on_missing: str = "raise",
-         with_path: bool = False) -> DataFrame:
+         with_path: bool = False, tables: tuple[Sequence[str], Sequence[str]] | None = None) -> DataFrame:
     """Read every file of ``path`` (optionally filtered by ``glob``) into one frame with a
     ``file_name`` column and derived ``keys`` (expressions over ``file_name``).
 
@@ -116,7 +116,8 @@ def scan(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet",
     parquet files by their merged schemas; a column that a file lacks is null there.  A
     corrupt file is an error; with ``ignore_corrupt`` whole bad files are left out
     (:func:`corrupt_files` lists them, to be written as a report).  ``with_path`` adds the full
-    path as ``file_path``.  ``required`` columns are checked per file: ``on_missing='raise'``, or ``'skip'`` to leave such files out."""
+    path as ``file_path``.  Where ``path`` is a list of files, ``tables`` names the folders that they may lie in
+    (those without and with ``key=value`` folders).  ``required`` columns are checked per file: ``on_missing='raise'``, or ``'skip'`` to leave such files out."""
     need = list(required)
     if ignore_corrupt or fmt == "csv" and schema is None or need:
         paths = [r["path"] for r in list_files(spark, path, glob, recursive).collect()]  # one short string per file
@@ -128,7 +129,8 @@ def scan(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet",
     else:
         paths = None
 
-    folders = [f for some in catalogue.table_folders(spark, path, glob, recursive)[1:] for f in some]
+    flat, keyed = tables or catalogue.table_folders(spark, path, glob, recursive)[1:]
+    folders = [*flat, *keyed]
 
     def reader(names: tuple[str, ...] | None = None) -> DataFrameReader:
         reader = spark.read.format(fmt)
@@ -152,7 +154,11 @@ def scan(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet",
         return df.withColumns({FILE_NAME: name} | ({"file_path": F.col("_metadata.file_path")} if with_path else {}))
 
     def read(some: Sequence[str], names: tuple[str, ...] | None = None) -> DataFrame:
-        return named(reader(names).load(list(some)))
+        below = {k: [p for p in some if p.startswith(f"{k}/")] for k in keyed}
+        rest = sorted(set(some).difference(*below.values()))
+        parts = [named(reader(names).load(rest))] if rest else []
+        parts += [named(reader(names).option("basePath", k).load(own)) for k, own in below.items() if own]  # with its keys
+        return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     if need or fmt == "csv" and schema is None:
         groups = _by_header(spark, path, paths, fmt, glob, recursive)
@@ -168,7 +174,7 @@ def scan(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet",
         else:
             df = read([p for some in groups.values() for p in some])
     else:
-        df = read(paths) if paths is not None else catalogue.loaded(reader, spark, path, glob, recursive, named)
+        df = read(paths) if paths is not None else read(path) if tables else catalogue.loaded(reader, spark, path, glob, recursive, named)
     return df.withColumns(dict(keys)) if keys else df
 
 

@@ -4,6 +4,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from recordaudit.operators import states
+from recordaudit.plans import catalog
 from recordaudit.sources import catalogue, files, rescue
 
 
@@ -45,3 +47,33 @@ def test_rescue_names_the_folder(spark, tmp_path):
     spark.range(20).repartition(3).write.parquet(str(tmp_path / "t.parquet"))
     good = rescue.rescue(spark, str(tmp_path), str(tmp_path / "store2"), glob="*.parquet")
     assert good.groupBy("file_name").count().collect() == [("t.parquet", 20)]
+
+
+def test_states_take_a_folder_as_one_file(spark, mixed, tmp_path):
+    store, seen = str(tmp_path / "store"), []
+    p = states.Profile("k", "band", ["k"], {"d": "d"})
+
+    def run():
+        return states.update(spark, store, mixed, [p], glob="*_v1.parquet", prepare=lambda df: seen.append(df.columns) or df)
+
+    assert run() == 3 and run() == 0 and {"file_name", "k", "d"} <= set(seen[0])
+    got = states.report(spark, store, mixed, p, glob="*_v1.parquet").where("n > 0").select("k", "n").collect()
+    assert sorted(map(tuple, got)) == [("0", 3), ("1", 3)]
+    spark.range(7, 9).select(F.col("id").alias("d"), (F.col("id") % 2).cast("int").alias("k")).write.partitionBy("k").mode("append").parquet(f"{mixed}/keyed_v1.parquet")
+    assert run() == 1 and states.report(spark, store, mixed, p, glob="*_v1.parquet").agg(F.sum("n")).collect() == [(8,)]
+
+
+def test_profile_states_writes_no_table_in_one_task(spark, tmp_path, monkeypatch):
+    line = spark.range(400).select(F.element_at(F.array(*map(F.lit, "ARN")), (F.col("id") % 3 + 1).cast("int")).alias("l_returnflag"),
+                                   F.lit("O").alias("l_linestatus"), (F.col("id") % 50 + 1).cast("double").alias("l_quantity"))
+    line.repartition(4).write.parquet(str(tmp_path / "lineitem.parquet"))
+    parts, update = [], states.update
+
+    def watched(spark, store, path, *args, **kw):
+        parts.append(sorted(r.path.rsplit("/", 2)[1] for r in catalogue.listing(spark, path, recursive=True).collect()))
+        return update(spark, store, path, *args, **kw)
+
+    monkeypatch.setattr(catalog.states, "update", watched)
+    rows = catalog.profile_states(spark, str(tmp_path)).collect()
+    assert sum(r.n for r in rows) == 400 and {r.files_read for r in rows} == {"2,1,0"}
+    assert min(parts[-1].count(f"flag-{f}.parquet") for f in "ARN") > 1
