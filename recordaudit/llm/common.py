@@ -59,6 +59,22 @@ def plain_names(stage):
     return run
 
 
+@functools.lru_cache(1)
+def _malloc_trim():
+    """glibc's malloc_trim, None where the C library has none."""
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim_memory() -> None:
+    """Gives freed memory of this worker back to the machine, which the executor's other processes share."""
+    pa.default_memory_pool().release_unused()
+    trim = _malloc_trim()
+    if trim is not None:
+        trim(0)
+
+
 def inline_table(spark: SparkSession, rows: Sequence[dict], schema: str) -> DataFrame:
     """A small parameter table as a native plan (a JSON literal, no Python rows)."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(list(rows))), f"array<struct<{schema}>>")))

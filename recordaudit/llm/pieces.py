@@ -31,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import materialize, mix, plain_names, slices, span_hashes, table
+from .common import materialize, mix, plain_names, slices, span_hashes, table, trim_memory
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -43,6 +44,7 @@ CHUNK = 32_768  # characters of a chunk of a giant document
 SPAN = 256  # chunks whose matrices one task combines
 ROWS_BY_WIDTH = 200_000  # characters of words that are solved at a time
 SOLVED_BYTES = 24 << 20  # pieces of words that a task remembers
+SLICE = 2 << 20  # bytes of texts that are encoded at a time
 NEVER = 1 << 40
 START = -1  # the state before the first piece
 
@@ -126,27 +128,28 @@ def merge_tables(pieces: list[tuple[str, float, int]]) -> dict:
 
 
 class Solved:
-    """The pieces of words that were solved before, by the words' hashes; starts anew beyond SOLVED_BYTES."""
+    """The pieces of words that were solved before, by the words' hashes; starts anew beyond SOLVED_BYTES.
+
+    The pieces lie in the order they were solved in, those of word k are ids[begin[k]:begin[k] + count[k]]."""
 
     def __init__(self):
-        self.h, self.first, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.h, self.begin = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.count, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def find(self, vocab: Vocabulary, h: np.ndarray, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Where the words of the (sorted, distinct) hashes ``h`` are; those not known yet are solved."""
-        if self.h.nbytes + self.first.nbytes + self.ids.nbytes > SOLVED_BYTES:
+        if self.h.nbytes + self.begin.nbytes + self.count.nbytes + self.ids.nbytes > SOLVED_BYTES:
             self.__init__()
         new = np.ones(len(h), bool)
         if len(self.h):
             new = self.h[np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)] != h
         if new.any():
             ids, first = solve_words(vocab, cps, starts[new], ends[new])
-            every = np.concatenate([self.h, h[new]])
-            count = np.concatenate([np.diff(self.first), np.diff(first)])
-            begin = np.concatenate([self.first[:-1], first[:-1] + len(self.ids)])
-            order = np.argsort(every, kind="stable")
-            count, begin, flat = count[order], begin[order], np.concatenate([self.ids, ids])
-            self.h, self.first = every[order], np.concatenate([[0], np.cumsum(count)])
-            self.ids = flat[np.repeat(begin - self.first[:-1], count) + np.arange(int(self.first[-1]))]
+            at = np.searchsorted(self.h, h[new])
+            self.h = np.insert(self.h, at, h[new])
+            self.begin = np.insert(self.begin, at, first[:-1] + len(self.ids))
+            self.count = np.insert(self.count, at, np.diff(first))
+            self.ids = np.concatenate([self.ids, ids])
         return np.searchsorted(self.h, h)
 
 
@@ -356,10 +359,9 @@ def span_ids(vocab: Vocabulary, cps: np.ndarray, starts: np.ndarray, ends: np.nd
     """(ids, first) of words; equal words are solved once in a task (while they are remembered)."""
     h, sample, which = np.unique(span_hashes(cps, starts, ends), return_index=True, return_inverse=True)
     at = vocab.solved.find(vocab, h, cps, starts[sample], ends[sample])[which]
-    ids, first = vocab.solved.ids, vocab.solved.first
-    count = first[at + 1] - first[at]
-    total = np.concatenate([[0], np.cumsum(count)])
-    return ids[np.repeat(first[at] - total[:-1], count) + np.arange(int(total[-1]))], total
+    begin, count = vocab.solved.begin[at], vocab.solved.count[at]
+    total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+    return vocab.solved.ids[np.repeat(begin - total[:-1], count) + np.arange(int(total[-1]))], total
 
 
 def decode_ids(vocab: Vocabulary, ids) -> str:
@@ -522,15 +524,19 @@ def encode(docs: DataFrame, model: dict, columns: list[str], chunk: int = CHUNK)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(sent.value)
         for big in batches:
-            for batch in slices(big, "_text", 4 << 20):
-                texts = batch.column("_text").to_pylist()
-                ids, first = encode_texts(vocab, texts)
-                flat = ids.tolist()
-                same = [decode_ids(vocab, flat[first[k]:first[k + 1]]) == (t or "") for k, t in enumerate(texts)]
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in columns],
-                     pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32())),
-                     pa.array(np.diff(first)), pa.array(same)], names=[*columns, "ids", "n_pieces", "round_trip"])
+            for batch in slices(big, "_text", SLICE):
+                yield whole_slice(vocab, batch)
+                trim_memory()
+
+    def whole_slice(vocab: Vocabulary, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """A slice's rows; what it takes besides them is free again when they are handed on."""
+        texts = batch.column("_text").to_pylist()
+        ids, first = encode_texts(vocab, texts)
+        same = [decode_ids(vocab, ids[first[k]:first[k + 1]].tolist()) == (t or "") for k, t in enumerate(texts)]
+        return pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in columns],
+             pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32())),
+             pa.array(np.diff(first)), pa.array(same)], names=[*columns, "ids", "n_pieces", "round_trip"])
 
     plain = rows.where(~giant).mapInArrow(whole, schema)
 
@@ -561,6 +567,7 @@ def encode(docs: DataFrame, model: dict, columns: list[str], chunk: int = CHUNK)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("key"), b.column("c"), pa.array([[x for pair in z for x in pair] for z in zeros], pa.list_(pa.int32()))],
                     names=["key", "c", "m"])
+                trim_memory()
 
     def zeros(column) -> list[list[tuple[int, int]]]:
         return [list(zip(m[::2], m[1::2], strict=True)) for m in column.to_pylist()]
@@ -582,19 +589,21 @@ def encode(docs: DataFrame, model: dict, columns: list[str], chunk: int = CHUNK)
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(sent.value)
         for big in batches:
-            for b in slices(big, "part", 4 << 20):
+            for b in slices(big, "part", SLICE):
                 ids = chunks_ids(vocab, list(zip(*[b.column(c).to_pylist() for c in ("part", "back", "n", "entry", "exit")], strict=True)))
                 yield pa.RecordBatch.from_arrays([b.column("key"), b.column("c"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "c", "ids"])
+                del ids
+                trim_memory()
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(sent.value)
         for big in batches:
-            for b in slices(big, "_text", 2 << 20):
-                ids = b.column("ids").to_pylist()
-                same = [decode_ids(vocab, i) == t for i, t in zip(ids, b.column("_text").to_pylist(), strict=True)]
+            for b in slices(big, "_text", SLICE):
+                same = [decode_ids(vocab, i.as_py()) == t.as_py() for i, t in zip(b.column("ids"), b.column("_text"), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*[b.column(c) for c in columns], b.column("ids"), pa.array([len(i) for i in ids], pa.int64()), pa.array(same)],
+                    [*[b.column(c) for c in columns], b.column("ids"), pc.list_value_length(b.column("ids")).cast(pa.int64()), pa.array(same)],
                     names=[*columns, "ids", "n_pieces", "round_trip"])
+                trim_memory()
 
     solved = chunks.mapInArrow(matrices, "key string, c int, m array<int>").withColumn("b", F.expr(f"c div {SPAN}"))
     solved = materialize(solved, "piece-matrices")

@@ -471,3 +471,22 @@ def test_short_and_wide_values_after_key_words_are_judged(spark, frame):
     assert {r.doc_id for r in judged} == {0, 1, 2, 3, 5, 6}
     out = {r.doc_id: r.text for r in secrets.stage_secrets(spark, docs, None).collect()}
     assert out[0] == f'password = "{secrets.MASK}" and hunter2Abc' and out[4] == texts[4]
+
+
+def test_new_words_do_not_copy_the_remembered_pieces_many_times(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(pieces, "solve_words", lambda vocab, cps, starts, ends: (
+        np.repeat(starts, 4).astype(np.int32), np.arange(len(starts) + 1) * 4))
+    solved = pieces.Solved()
+    h = np.arange(0, 400_000, 2, dtype=np.uint64)
+    solved.find(None, h, None, h.astype(np.int64), h.astype(np.int64))
+    size = sum(x.nbytes for x in vars(solved).values())
+    some = np.array([7, 8, 400_001], np.uint64)
+    tracemalloc.start()
+    at = solved.find(None, some, None, some.astype(np.int64), some.astype(np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * size
+    for word, k in zip(some, at, strict=True):
+        assert solved.ids[solved.begin[k]:solved.begin[k] + solved.count[k]].tolist() == [int(word)] * 4
