@@ -121,14 +121,18 @@ def unpack_pairs(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def pack_tables(t: np.ndarray) -> bytes:
-    """Counts of one byte each; larger ones follow as 64-bit integers in order."""
+    """Counts of one byte each; larger ones follow as 64-bit integers in order.  The bytes between bring the length to
+    4 k + 1, so a plain array of 32-bit counts cannot be taken for it."""
     big = t >= 255
-    return np.where(big, 255, t).astype(np.uint8).tobytes() + t[big].astype(np.int64).tobytes()
+    return np.where(big, 255, t).astype(np.uint8).tobytes() + bytes((1 - len(t)) % 4) + t[big].astype(np.int64).tobytes()
 
 
 def unpack_tables(raw: bytes, n: int) -> np.ndarray:
+    """Packed counts, or a plain array of 32-bit ones."""
+    if len(raw) % 4 == 0:
+        return np.frombuffer(raw, np.int32, n).astype(np.int64)
     t = np.frombuffer(raw, np.uint8, n).astype(np.int64)
-    t[t == 255] = np.frombuffer(raw, np.int64, offset=n)
+    t[t == 255] = np.frombuffer(raw, np.int64, offset=n + (1 - n) % 4)
     return t
 
 
