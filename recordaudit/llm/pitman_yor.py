@@ -1,32 +1,37 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Words are dishes.  A context restaurant holds the words that follow a context; the
-context is the class (a hash into ``CONTEXTS`` classes) of the previous word, so every
-context is covered and the restaurants' totals have a fixed size.  All context
-restaurants share one parent, the restaurant of single words, whose base is uniform
+Words are dishes.  A context restaurant holds the words that follow a context, and every
+previous word (and the start of a text) is a context with a restaurant of its own.  All
+context restaurants share one parent, the restaurant of single words, whose base is uniform
 over the V + 1 word types (one stands for all unknown words).  A word's probability
 under a seating is
 
     P(w | u) = (n_uw - d t_uw) / (h + n_u) + (h + d t_u) / (h + n_u) * P(w)
 
 with customers n, tables t, discount d and strength h; P(w) is the same formula in the
-parent, whose customers are the tables of its children.
+parent, whose customers are the tables of its children.  A context without customers gives P(w).
 
-Training: tasks count (word, context class) in their documents and deal the counts by
-the word's hash to buckets, one packed row per task and bucket, so a frequent word costs
-at most ``CONTEXTS`` numbers per task.  Seating is sampled by Gibbs with the customers'
+Training: tasks count (word, context) in their documents and deal the counts by the word's
+hash to buckets, one packed row per task and bucket.  Words that hold at least 1/``FREQUENT``
+of a sample's tokens are spread over all buckets by their contexts; that decides where their
+dishes lie, not what is counted.  Seating is sampled by Gibbs with the customers'
 places summed out: a dish's table count, given all others', has probability in proportion
 to S(n, t) (the weight of all seatings of its n customers at t tables) times the weights of
 t new tables in its context and of t customers of its word in the parent.  A round draws
 every dish's count anew from that law, however many customers it has, a word's dishes one
-after another; then the parent's.  Between rounds only the restaurants' totals are exchanged
-(a sum per context class); within a round other dishes' totals are held fixed.  The
-predictive probabilities of the last ``SAMPLES`` rounds are averaged.
-
-Scoring: words with at least 1/``FREQUENT`` of all training tokens (so at most FREQUENT
-words) are scored where the text is read, from a table of FREQUENT x CONTEXTS
-probabilities; all other tokens go to their word's bucket, packed per block of documents,
-and the sums return to the block.  So no key holds more than 1/FREQUENT of what is dealt.
+after another; then the parent's.  Between rounds only the restaurants' totals are exchanged:
+every bucket sends the tables of its contexts to the contexts' own buckets, which add them up
+and answer (``exchange``); within a round other dishes' totals are held fixed.  A dish of one
+customer has one table, so after the first exchange only contexts with larger dishes take part.
+The predictive probabilities of the last ``SAMPLES`` rounds are averaged.
+
+Scoring: a last exchange gives each bucket the totals of all its contexts.  Contexts with at
+least 1/``CONTEXTS`` of all training tokens are known to every task.  Words with at least
+1/``FREQUENT`` of them are scored after such contexts where the text is read, from a table of at
+most FREQUENT x CONTEXTS probabilities; all other tokens go to their word's bucket, packed per
+block of documents, and the sums return to the block.  A token whose context is not in its
+word's bucket (so the word never followed it) takes the word's parent probabilities along to
+the context's bucket.
 
 Defined cases: null and empty texts have one token, the end; a null doc_id counts as the
 empty string for the fold; repeated rows are each scored; without training tokens every
@@ -36,19 +41,22 @@ token gets the base 1.  Words are compared by 64-bit hashes.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, runs, slices, span_hashes, string_bytes, table
+from .common import ARROW_ROWS, materialize, mix, new_folder, runs, slices, span_hashes, string_bytes, table, trim_memory
 from .langid import FOLD, held_out
 
-CONTEXTS = 4096
+CONTEXTS = 4096  # contexts that every task knows are those with 1/CONTEXTS of all training tokens
 FREQUENT = 1024
+SPREAD_PART, SPREAD_LEAST = 32, 1000  # one document of so many is looked at for words to spread, which occur so often there
 ROUNDS, SAMPLES = 4, 2
 BLOCKS = 32  # parts of a word's dishes that are drawn one after another
 EXACT, TERMS, NODES, ROOT_NODES = 1024, 100, 65, 1 << 16
@@ -56,8 +64,9 @@ CELLS = 1 << 18  # size of the drawing arrays
 DISCOUNT, STRENGTH = 0.75, 1.0  # context restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 1.0
 END = np.uint64(0x6A09E667F3BCC909)
-BEGIN_CLASS = 0
-FLUSH_PAIRS = 2_000_000
+BEGIN = np.uint64(0xBB67AE8584CAA73B)  # the context of a text's first token
+FLUSH_PAIRS = 1_000_000
+FLUSH_BYTES = 2 << 20
 BASE_ALPHA = 0.1
 UNITS = 1e9  # part sums of log10 probabilities travel as integers of this many units
 
@@ -66,7 +75,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, context classes, first): the tokens of row i, the end included, are first[i]:first[i + 1]."""
+    """(word hashes, contexts, first): a context is the hash of the previous word; the tokens of row i, the end included, are first[i]:first[i + 1]."""
     data, off = string_bytes(col)
     starts, ends = runs(~_SPACE[data], off)
     h = span_hashes(FOLD[data], starts, ends)
@@ -76,48 +85,77 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     is_end = np.zeros(len(word), bool)
     is_end[first[1:] - 1] = True
     word[~is_end] = h
-    context = np.zeros(len(word), np.uint16)
-    context[1:] = classes(word[:-1])
-    context[first[:-1]] = BEGIN_CLASS
+    context = np.empty_like(word)
+    context[1:] = word[:-1]
+    context[first[:-1]] = BEGIN
     return word, context, first
 
 
-def classes(word: np.ndarray) -> np.ndarray:
-    return (mix(word ^ np.uint64(0x5DEECE66D)) % np.uint64(CONTEXTS)).astype(np.uint16)
-
-
 def bucket_of(word: np.ndarray, buckets: int) -> np.ndarray:
     return (word >> np.uint64(33)).astype(np.int64) % buckets
 
 
+def dish_bucket(word: np.ndarray, context: np.ndarray, spread: np.ndarray, buckets: int) -> np.ndarray:
+    """The word's bucket; one by word and context for words in ``spread``."""
+    out = bucket_of(word, buckets)
+    often = np.flatnonzero(member(word, spread) >= 0)
+    out[often] = bucket_of(mix(context[often] ^ mix(word[often])), buckets)
+    return out
+
+
+def context_bucket(context: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of hashes, so contexts in order are in order of their buckets, too."""
+    return (((context >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def member(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Place of each x in ascending ``values``, -1 where it is not there."""
+    out = np.full(len(x), -1)
+    if not len(values):
+        return out
+    maybe = np.zeros(1 << 20, bool)
+    maybe[(values >> np.uint64(44)).astype(np.int64)] = True
+    hit = np.flatnonzero(maybe[(x >> np.uint64(44)).astype(np.int64)])
+    k = np.minimum(np.searchsorted(values, x[hit]), len(values) - 1)
+    out[hit] = np.where(values[k] == x[hit], k, -1)
+    return out
+
+
 def count_pairs(word: np.ndarray, context: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (word, context) in order, with their summed counts."""
-    order = np.lexsort((context, word))
-    w, u = word[order], context[order]
-    new = np.ones(len(w), bool)
-    new[1:] = (w[1:] != w[:-1]) | (u[1:] != u[:-1])
-    at = np.flatnonzero(new)
+    w, wi = np.unique(word, return_inverse=True)
+    u, ui = np.unique(context, return_inverse=True)
+    code = wi * max(len(u), 1) + ui
     if n is None:
-        total = np.diff(np.append(at, len(w)))
+        code, total = np.unique(code, return_counts=True)
     else:
-        total = np.add.reduceat(n[order], at) if len(at) else np.zeros(0, np.int64)
-    return w[at], u[at], total.astype(np.int64)
+        code, at = np.unique(code, return_inverse=True)
+        total = add_up(at, n, len(code))
+    return w[code // max(len(u), 1)], u[code % max(len(u), 1)], total.astype(np.int64)
+
+
+def add_up(at: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """Sums of whole numbers (below 2**53) by place."""
+    return np.rint(np.bincount(at, n, size)).astype(np.int64)
 
 
 def pack_pairs(w: np.ndarray, u: np.ndarray, n: np.ndarray) -> list[bytes]:
     """Words once with their number of contexts; counts of one byte, larger ones in a list of their own."""
     at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
-    per = np.diff(np.append(at, len(w))).astype(np.uint16)
+    per = np.diff(np.append(at, len(w)))
     big = n >= 255
-    return [w[at].tobytes(), per.tobytes(), u.astype(np.uint16).tobytes(), np.where(big, 255, n).astype(np.uint8).tobytes(),
+    return [w[at].tobytes(), pack_ints(per), u.astype(np.uint64).tobytes(), np.where(big, 255, n).astype(np.uint8).tobytes(),
             n[big].astype(np.int64).tobytes()]
 
 
 def unpack_pairs(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    w, per, u, n, big = (np.frombuffer(p, t) for p, t in zip(parts, (np.uint64, np.uint16, np.uint16, np.uint8, np.int64), strict=True))
-    n = n.astype(np.int64)
-    n[n == 255] = big
-    return np.repeat(w, per), u, n
+    return np.repeat(np.frombuffer(parts[0], np.uint64), unpack_ints(parts[1])), np.frombuffer(parts[2], np.uint64), unpack_counts(parts)
+
+
+def unpack_counts(parts: list[bytes]) -> np.ndarray:
+    n = np.frombuffer(parts[3], np.uint8).astype(np.int64)
+    n[n == 255] = np.frombuffer(parts[4], np.int64)
+    return n
 
 
 def pack_tables(t: np.ndarray) -> bytes:
@@ -149,6 +187,13 @@ def unpack_ints(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.int64)
 
 
+def pack_dishes(w: np.ndarray, u: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """As ``pack_pairs``, with the places of the contexts in a list of all contexts, which comes last."""
+    contexts, at = np.unique(u, return_inverse=True)
+    words, per, _, few, many = pack_pairs(w, u, n)
+    return [words, per, pack_ints(at), few, many, contexts.tobytes()]
+
+
 BLOBS = ["x1", "x2", "x3", "x4", "x5", "x6"]
 ROW_SCHEMA = "bucket int, kind int, block bigint, " + ", ".join(f"{b} binary" for b in BLOBS)
 
@@ -169,8 +214,73 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
     return itertools.groupby(rows, lambda r: r[key])
 
 
-def count_corpus(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, x1..x5): the packed (word, context, count) of all training documents, one row per bucket."""
+@contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """Within, Spark removes a query's shuffle files as soon as its result has been written, and Arrow batches hold at
+    most ARROW_ROWS rows, as they carry whole documents."""
+    tidy, batch = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = {k: spark.conf.get(k) for k in (tidy, batch)}
+    spark.conf.set(tidy, "true")
+    if not 0 < int(before[batch]) <= ARROW_ROWS:
+        spark.conf.set(batch, str(ARROW_ROWS))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """``df`` written into the shared folder as a table bucketed by ``bucket``: joins of such tables do not shuffle."""
+    spark = df.sparkSession
+    entry = f"lm_{uuid.uuid4().hex}"
+    with tidy_shuffles(spark):
+        df.write.format("parquet").bucketBy(buckets, "bucket").option("path", new_folder(spark, name)).saveAsTable(entry)
+    out = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")  # the catalog's entry; the files are the query's
+    return out
+
+
+def per_row(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``run(row)`` gives the rows for every row, one at a time."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                (r,) = b.slice(k, 1).to_pylist()
+                out = run(r)
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, pa.schema(arrow))
+                del r, out
+                trim_memory()
+
+    arrow = [(f.split()[0], _ARROW[f.split()[1]]) for f in schema.split(", ")]
+    return rows.mapInArrow(each, schema)
+
+
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+
+
+def spread_words(docs: DataFrame) -> np.ndarray:
+    """Words with at least 1/FREQUENT of a sample's tokens.  They only decide how dishes are dealt, so the sample bears on
+    no result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in slices(big, "text", 2 << 20):
+                w, n = np.unique(tokens(batch.column("text"))[0], return_counts=True)
+                many = n * 4 * FREQUENT >= n.sum()
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(w[many].view(np.int64), 0)), pa.array(np.append(n[many], n.sum())),
+                                                  pa.array(np.append(np.zeros(int(many.sum()), bool), True))], names=["w", "n", "whole"])
+
+    some = docs.where(~held_out(F.col("doc_id"), 10, 0) & (F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD_PART)) == 0)).select("text")
+    sums = some.mapInArrow(run, "w bigint, n bigint, whole boolean").groupBy("w", "whole").agg(F.sum("n").alias("n"))
+    with tidy_shuffles(docs.sparkSession):
+        rows = sums.orderBy(F.desc("whole"), F.desc("n"), "w").limit(1 + FREQUENT).collect()
+    return np.sort(np.array([r["w"] for r in rows[1:] if r["n"] >= max(rows[0]["n"] / FREQUENT, SPREAD_LEAST)], np.int64).view(np.uint64))
+
+
+def count_corpus(docs: DataFrame, buckets: int, spread: np.ndarray) -> DataFrame:
+    """(bucket, x1..x6): the packed (word, context, count) of all training documents, one row per bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -178,7 +288,7 @@ def count_corpus(docs: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             w, u, n = count_pairs(*[np.concatenate(x) for x in zip(*held, strict=True)])
-            b = bucket_of(w, buckets)
+            b = dish_bucket(w, u, spread, buckets)
             order = np.argsort(b, kind="stable")
             w, u, n, b = w[order], u[order], n[order], b[order]
             cut = np.searchsorted(b, np.arange(buckets + 1))
@@ -194,17 +304,20 @@ def count_corpus(docs: DataFrame, buckets: int) -> DataFrame:
                 if size >= FLUSH_PAIRS:  # bounded memory: what has been counted goes out
                     yield flush()
                     size = 0
+                    trim_memory()
         if held:
             yield flush()
+            trim_memory()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _groups(batches, "bucket"):
             parts = [unpack_pairs([r[b] for b in BLOBS[:5]]) for r in rows]
-            yield _rows([(bucket, 0, 0, *pack_pairs(*count_pairs(*[np.concatenate(x) for x in zip(*parts, strict=True)])))])
+            yield _rows([(bucket, 0, 0, *pack_dishes(*count_pairs(*[np.concatenate(x) for x in zip(*parts, strict=True)])))])
+            trim_memory()
 
     train = docs.where(~held_out(F.col("doc_id"), 10, 0)).select("text")
     dealt = train.mapInArrow(count, ROW_SCHEMA).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return materialize(dealt.mapInArrow(merge, ROW_SCHEMA), "lm-counts")
+    return bucketed(dealt.mapInArrow(merge, ROW_SCHEMA).select("bucket", *BLOBS), "lm-counts", buckets)
 
 
 class Seats:
@@ -295,7 +408,7 @@ def log_stirling(n: int, t: np.ndarray, d: float) -> np.ndarray:
     if far.any():
         tt = t[far]
         lo, hi = np.full(len(tt), -80.0), np.zeros(len(tt))
-        for _ in range(60):  # the tilt 1 - y whose mean is n / t
+        for _ in range(44):  # the tilt 1 - y whose mean is n / t, to 5e-12
             mid = (lo + hi) / 2
             y = np.exp(mid)
             more = d * (1 - y) * y ** (d - 1) / (1 - y ** d) > n / tt
@@ -392,12 +505,12 @@ class Root:
 
 def expected_tables(n: np.ndarray, fresh: np.ndarray, discount: float) -> np.ndarray:
     """A start for the sampler: the tables that customers would open one after another, on average."""
-    t = np.ones(len(n))
-    done = np.ones(len(n))
-    while (done < n).any():
-        block = np.minimum(np.maximum(done // 2, 1), n - done)
-        t += block * fresh / (fresh + done - discount * t)
-        done += block
+    t, done, some = np.ones(len(n)), np.ones(len(n)), np.flatnonzero(n > 1)
+    while len(some):
+        block = np.minimum(np.maximum(done[some] // 2, 1), n[some] - done[some])
+        t[some] += block * fresh[some] / (fresh[some] + done[some] - discount * t[some])
+        done[some] += block
+        some = some[done[some] < n[some]]
     return np.clip(np.rint(t), 1, n)
 
 
@@ -405,33 +518,60 @@ class Bucket:
     """The dishes of one bucket: counts, seating, and the parent's seating of its words."""
 
     def __init__(self, parts: list[bytes]):
-        w, self.u, self.n = unpack_pairs(parts)
-        self.first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        self.words = w[self.first]
-        self.word = np.repeat(np.arange(len(self.words)), np.diff(np.append(self.first, len(w))))
-        self.count = np.add.reduceat(self.n, self.first)
+        if len(parts) == 5:
+            parts = pack_dishes(*unpack_pairs(parts))
+        self.words, per = np.frombuffer(parts[0], np.uint64), unpack_ints(parts[1])
+        self.n, self.u, self.contexts = unpack_counts(parts), unpack_ints(parts[2]), np.frombuffer(parts[5], np.uint64)
+        self.first = np.cumsum(per) - per
+        self.word = np.repeat(np.arange(len(per)), per)
+        self.count = np.add.reduceat(self.n, self.first) if len(per) else self.n
+
+    def tables(self, t: np.ndarray) -> np.ndarray:
+        """Tables of each context in this bucket."""
+        return add_up(self.u, t, len(self.contexts))
+
+    def open(self) -> np.ndarray:
+        """Whether a context has a dish whose tables can change."""
+        out = np.zeros(len(self.contexts), bool)
+        out[self.u[self.n > 1]] = True
+        return out
 
     def sample(self, state: tuple[bytes, bytes] | None, totals: dict, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """One round: (tables of each dish, parent tables of each word)."""
+        """One round: (tables of each dish, parent tables of each word).  ``totals["tables"]`` are those of ``contexts``.
+        The customers that a spread word has in the parent from other buckets are held fixed; its parent tables are 0 here."""
+        spread, tokens_of, seated = totals.get("spread", NO_SPREAD)
+        often = member(self.words, spread)
+        apart = often >= 0
         base = 1.0 / (totals["V"] + 1)
         opening = STRENGTH + DISCOUNT * totals["tables"][self.u]
         root_open = (ROOT_STRENGTH + ROOT_DISCOUNT * totals["root_tables"]) * base
         norm = ROOT_STRENGTH + totals["root_customers"]
         if state is None:
-            p = (self.count + root_open) / norm
-            t = np.where(self.n > 1, expected_tables(self.n, opening * p[self.word], DISCOUNT), 1).astype(np.int64)
+            count = self.count.copy()
+            count[apart] = tokens_of[often[apart]]
+            p = (count + root_open) / norm
+            t = np.ones(len(self.n), np.int64)
+            some = np.flatnonzero(self.n > 1)
+            t[some] = expected_tables(self.n[some], opening[some] * p[self.word[some]], DISCOUNT)
         else:
             t = unpack_tables(state[0], len(self.n))
         z = Root(root_open)
         c = np.add.reduceat(t, self.first)
+        if apart.any():
+            k = often[apart]
+            others = c[apart] * tokens_of[k] // self.count[apart] if seated is None else seated[k]
+            c[apart] = np.maximum(others, c[apart])
         # a word's dishes in random order, one after another; those of a word with more than BLOCKS in BLOCKS parts
-        order = np.lexsort((rng.random(len(t)), self.word))
-        turn, dishes = np.empty(len(t), np.int64), np.diff(np.append(self.first, len(t)))[self.word]
-        turn[order] = np.arange(len(t)) - self.first[self.word]
-        turn = np.where(dishes > BLOCKS, turn * BLOCKS // dishes, turn)
         many = np.flatnonzero(self.n > 1)
-        many = many[np.argsort(turn[many], kind="stable")]
-        cut = np.searchsorted(turn[many], np.arange(BLOCKS + 1))
+        many = many[rng.permutation(len(many))]
+        many = many[np.argsort(self.word[many], kind="stable")]
+        dishes = np.bincount(self.word[many], minlength=len(c))
+        turn = np.arange(len(many)) - (np.cumsum(dishes) - dishes)[self.word[many]]
+        dishes = dishes[self.word[many]]
+        turn = np.where(dishes > BLOCKS, turn * BLOCKS // np.maximum(dishes, 1), turn)
+        order = np.argsort(turn, kind="stable")
+        many, turn = many[order], turn[order]
+        cut = np.searchsorted(turn, np.arange(BLOCKS + 1))
         for x, y in zip(cut, cut[1:], strict=False):
             who = many[x:y]
             others = STRENGTH / DISCOUNT + np.maximum(totals["tables"][self.u[who]] - t[who], 0)
@@ -447,207 +587,398 @@ class Bucket:
             new = draw_tables(self.n[who], step, weight, DISCOUNT, rng)
             np.add.at(c, self.word[who], new - t[who])
             t[who] = new
-        return t, draw_tables(c, lambda i, k: root_open, lambda i, k: k * np.log(root_open), ROOT_DISCOUNT, rng)
+        t0 = draw_parent(np.where(apart, 1, c), totals, rng)
+        return t, np.where(apart, 0, t0)
 
 
-def corpus_totals(counts: DataFrame) -> dict:
-    """N, V and the customers of every context class; frequent words need N, too."""
+NO_SPREAD = (np.zeros(0, np.uint64), np.zeros(0, np.int64), None)  # (words, their tokens, their customers in the parent)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, per = 0, np.zeros(CONTEXTS, np.int64)
-        for b in batches:
-            for r in b.to_pylist():
-                w, u, n = unpack_pairs([r[x] for x in BLOBS[:5]])
-                v += len(np.unique(w))
-                np.add.at(per, u, n)
-        yield pa.RecordBatch.from_arrays([pa.array([*range(CONTEXTS), -1], pa.int32()), pa.array([*per, v], pa.int64())], names=["u", "n"])
 
-    rows = counts.select(*BLOBS).mapInArrow(add, "u int, n bigint").groupBy("u").agg(F.sum("n").alias("n")).collect()  # one per class
-    got = {r["u"]: r["n"] for r in rows}
-    customers = np.array([got.get(k, 0) for k in range(CONTEXTS)], np.int64)
-    return {"N": int(customers.sum()), "V": int(got.get(-1, 0)), "customers": customers}
+def draw_parent(c: np.ndarray, totals: dict, rng: np.random.Generator) -> np.ndarray:
+    root_open = (ROOT_STRENGTH + ROOT_DISCOUNT * totals["root_tables"]) / (totals["V"] + 1)
+    return draw_tables(c, lambda i, k: root_open, lambda i, k: k * np.log(root_open), ROOT_DISCOUNT, rng)
 
 
-def sample_round(counts: DataFrame, state: DataFrame | None, totals: dict, number: int) -> DataFrame:
-    """(bucket, t, t0): the seating after one more round in every bucket."""
-    rows = counts.select("bucket", *BLOBS[:5])
-    rows = rows.join(state, "bucket") if state is not None else rows.withColumns({"t": F.lit(None).cast("binary"), "t0": F.lit(None).cast("binary")})
+def sums(rows: DataFrame, run, spread: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """``run(row)`` gives two numbers and one for each spread word; their sums over all rows."""
+    size = len(spread) + 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size, np.int64)
         for b in batches:
             for k in range(b.num_rows):
                 (r,) = b.slice(k, 1).to_pylist()
-                rng = np.random.default_rng([number, r["bucket"]])
-                t, t0 = Bucket([r[x] for x in BLOBS[:5]]).sample((r["t"], r["t0"]) if r["t"] is not None else None, totals, rng)
-                yield pa.RecordBatch.from_pylist([{"bucket": r["bucket"], "t": pack_tables(t), "t0": pack_tables(t0)}],
-                                                 pa.schema([("bucket", pa.int32()), ("t", pa.binary()), ("t0", pa.binary())]))
+                x, y, each = run(r)
+                out += np.concatenate([[x, y], each])
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(out)], names=["k", "n"])
 
-    return materialize(rows.mapInArrow(run, "bucket int, t binary, t0 binary"), "lm-seating")
+    got = {r["k"]: r["n"] for r in rows.mapInArrow(add, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()}  # FREQUENT + 2 at most
+    out = np.array([got.get(k, 0) for k in range(size)], np.int64)
+    return int(out[0]), int(out[1]), out[2:]
 
 
-def seat_totals(counts: DataFrame, state: DataFrame) -> dict:
-    """Tables of every context class, customers and tables of the parent."""
+def corpus_totals(counts: DataFrame, spread: np.ndarray) -> dict:
+    """N, V and the tokens of spread words."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        per = np.zeros(CONTEXTS + 1, np.int64)
-        for b in batches:
-            for r in b.to_pylist():
-                np.add.at(per, np.frombuffer(r["x3"], np.uint16), unpack_tables(r["t"], len(r["x3"]) // 2))
-                per[CONTEXTS] += int(unpack_tables(r["t0"], len(r["x1"]) // 8).sum())
-        yield pa.RecordBatch.from_arrays([pa.array(range(CONTEXTS + 1), pa.int32()), pa.array(per)], names=["u", "n"])
+    def run(r: dict) -> tuple[int, int, np.ndarray]:
+        n, per = unpack_counts([r[x] for x in BLOBS]), unpack_ints(r["x2"])
+        often = member(np.frombuffer(r["x1"], np.uint64), spread)
+        each = np.zeros(len(spread), np.int64)
+        each[often[often >= 0]] = np.add.reduceat(n, np.cumsum(per) - per)[often >= 0]
+        return int(n.sum()), int((often < 0).sum()), each
 
-    rows = counts.select("bucket", "x1", "x3").join(state, "bucket").mapInArrow(add, "u int, n bigint").groupBy("u").agg(F.sum("n").alias("n")).collect()
-    per = np.zeros(CONTEXTS + 1, np.int64)
-    for r in rows:
-        per[r["u"]] = r["n"]
-    return {"tables": per[:CONTEXTS], "root_customers": int(per[:CONTEXTS].sum()), "root_tables": int(per[CONTEXTS])}
+    n, v, each = sums(counts.select("bucket", *[F.lit(None).alias(x) if x in ("x3", "x6") else x for x in BLOBS]), run, spread)
+    return {"N": n, "V": v + int((each > 0).sum()), "spread": (spread, each, None)}
+
+
+ENTRY_SCHEMA = "home int, bucket int, answered int, size int, h binary, v0 binary, v1 binary, v2 binary"
+VALUES = ["v0", "v1", "v2"]
+
+
+def entries(bucket: int, contexts: np.ndarray, values: list[np.ndarray], answered: np.ndarray, buckets: int) -> list[dict]:
+    """What a bucket sends to the buckets of its contexts (ascending): their hashes and values."""
+    cut = np.searchsorted(context_bucket(contexts, buckets), np.arange(buckets + 1))
+    out = []
+    for home in np.flatnonzero(np.diff(cut)).tolist():
+        x, y = cut[home], cut[home + 1]
+        for flag in (0, 1):
+            at = x + np.flatnonzero(answered[x:y] == flag)
+            if len(at):
+                out.append({"home": home, "bucket": bucket, "answered": flag, "size": len(at), "h": contexts[at].tobytes(),
+                            **{v: pack_tables(n[at]) for v, n in zip(VALUES, values, strict=False)}})
+    return out
+
+
+def exchange(sent: DataFrame, buckets: int, width: int, hashes: bool, whole: bool) -> DataFrame:
+    """Adds the values of every context up over the buckets.  Rows with ``answered`` come back with the sums in place of
+    the values, and ``whole`` adds a row of bucket -1 with all contexts of a home."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for home, rows in _groups(batches, "home"):
+            rows = list(rows)
+            h, at = np.unique(np.concatenate([np.frombuffer(r["h"], np.uint64) for r in rows]), return_inverse=True)
+            total = [add_up(at, np.concatenate([unpack_tables(r[v], r["size"]) for r in rows]), len(h)) for v in VALUES[:width]]
+            out, x = [], 0
+            for r in rows:
+                here = at[x:x + r["size"]]
+                x += r["size"]
+                if r["answered"]:
+                    out.append({"home": home, "bucket": r["bucket"], "answered": 1, "size": r["size"], "h": r["h"] if hashes else None,
+                                **{v: pack_tables(n[here]) for v, n in zip(VALUES, total, strict=False)}})
+            if whole:
+                out.append({"home": home, "bucket": -1, "answered": 0, "size": len(h), "h": h.tobytes(),
+                            **{v: pack_tables(n) for v, n in zip(VALUES, total, strict=False)}})
+            yield pa.RecordBatch.from_pylist(out, schema)
+            del rows, h, at, total, out
+            trim_memory()
+
+    schema = pa.schema([(f.split()[0], _ARROW[f.split()[1]]) for f in ENTRY_SCHEMA.split(", ")])
+    return sent.repartition(buckets, "home").sortWithinPartitions("home").mapInArrow(answer, ENTRY_SCHEMA)
+
+
+def gather(answers: DataFrame, buckets: int, name: str, width: int, hashes: bool = False) -> DataFrame:
+    """(bucket, h, v0, v1, v2): the answers of a bucket in order of its contexts."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _groups(batches, "bucket"):
+            rows = list(rows)
+            row = {v: pack_tables(np.concatenate([unpack_tables(r[v], r["size"]) for r in rows])) for v in VALUES[:width]}
+            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "h": b"".join(r["h"] for r in rows) if hashes else None, **row}],
+                                             pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("h", *VALUES)]]))
+
+    dealt = answers.repartition(buckets, "bucket").sortWithinPartitions("bucket", "home")
+    out = dealt.mapInArrow(join, "bucket int, h binary, v0 binary, v1 binary, v2 binary")
+    return bucketed(out.select("bucket", *(["h"] if hashes else []), *VALUES[:width]), name, buckets)
+
+
+def first_totals(counts: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, h, v0, v1): the contexts of a bucket whose tables can change, with their customers and how many of their
+    dishes have one customer."""
+
+    def run(r: dict) -> list[dict]:
+        b = Bucket([r[x] for x in BLOBS])
+        return entries(r["bucket"], b.contexts, [b.tables(b.n), b.tables(b.n == 1)], b.open(), buckets)
+
+    return gather(exchange(per_row(counts, run, ENTRY_SCHEMA), buckets, 2, True, False), buckets, "lm-first", 2, True)
+
+
+def sample_round(counts: DataFrame, state: DataFrame | None, fixed: DataFrame, moved: DataFrame | None, totals: dict, number: int,
+                 buckets: int) -> DataFrame:
+    """(bucket, t, t0, sums): the seating after one more round in every bucket, and the tables of its contexts."""
+    none = F.lit(None).cast("binary")
+    rows = counts.join(fixed.select("bucket", F.col("v0").alias("customers"), F.col("v1").alias("single")), "bucket", "left")
+    if state is None:
+        rows = rows.withColumns({"t": none, "t0": none, "moved": none})
+    else:
+        rows = rows.join(state.select("bucket", "t", "t0"), "bucket").join(moved.select("bucket", F.col("v0").alias("moved")), "bucket", "left")
+
+    def run(r: dict) -> list[dict]:
+        rng = np.random.default_rng([number, r["bucket"]])
+        b = Bucket([r[x] for x in BLOBS])
+        open_ = b.open()
+        tables = np.zeros(len(b.contexts))
+        if open_.any():
+            size = int(open_.sum())
+            # before the first seating: one table for every second customer
+            tables[open_] = unpack_tables(r["customers"], size) / 2 if r["t"] is None else \
+                unpack_tables(r["single"], size) + unpack_tables(r["moved"], size)
+        t, t0 = b.sample((r["t"], r["t0"]) if r["t"] is not None else None, totals | {"tables": tables}, rng)
+        return [{"bucket": r["bucket"], "t": pack_tables(t), "t0": pack_tables(t0), "sums": pack_tables(b.tables(np.where(b.n > 1, t, 0))[open_])}]
+
+    return bucketed(per_row(rows, run, "bucket int, t binary, t0 binary, sums binary"), "lm-seating", buckets)
+
+
+def move_totals(state: DataFrame, fixed: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, v0): for the contexts of ``fixed`` the tables of dishes with several customers."""
+
+    def run(r: dict) -> list[dict]:
+        h = np.frombuffer(r["h"], np.uint64)
+        return entries(r["bucket"], h, [unpack_tables(r["sums"], len(h))], np.ones(len(h), bool), buckets)
+
+    rows = state.select("bucket", "sums").join(fixed.select("bucket", "h"), "bucket")
+    return gather(exchange(per_row(rows, run, ENTRY_SCHEMA), buckets, 1, False, False), buckets, "lm-moved", 1)
+
+
+def seat_totals(counts: DataFrame, state: DataFrame, totals: dict, number: int) -> dict:
+    """Customers and tables of the parent; the tables of a spread word are drawn here."""
+    spread, tokens_of, _ = totals["spread"]
+
+    def run(r: dict) -> tuple[int, int, np.ndarray]:
+        words, per = np.frombuffer(r["x1"], np.uint64), unpack_ints(r["x2"])
+        t = unpack_tables(r["t"], int(per.sum()))
+        often = member(words, spread)
+        each = np.zeros(len(spread), np.int64)
+        each[often[often >= 0]] = np.add.reduceat(t, np.cumsum(per) - per)[often >= 0]
+        return int(t.sum()), int(unpack_tables(r["t0"], len(words)).sum()), each
+
+    customers, tables, seated = sums(counts.select("bucket", "x1", "x2").join(state.select("bucket", "t", "t0"), "bucket"), run, spread)
+    t0 = draw_parent(np.maximum(seated, 1), totals, np.random.default_rng([number]))
+    t0 = np.where(seated > 0, t0, 0)
+    return {"root_customers": customers, "root_tables": tables + int(t0.sum()), "spread": (spread, tokens_of, seated), "spread_tables": t0}
+
+
+def last_totals(counts: DataFrame, samples: list[tuple[DataFrame, dict]], buckets: int) -> DataFrame:
+    """All contexts of every bucket with their customers and their tables in each sample, and the rows of the homes."""
+
+    def run(r: dict) -> list[dict]:
+        b = Bucket([r[x] for x in BLOBS])
+        values = [b.n, *[unpack_tables(r[f"t_{k}"], len(b.n)) for k in range(SAMPLES)]]
+        return entries(r["bucket"], b.contexts, [b.tables(v) for v in values], np.ones(len(b.contexts), bool), buckets)
+
+    sent = per_row(model_rows(counts, samples), run, ENTRY_SCHEMA)
+    with tidy_shuffles(counts.sparkSession):
+        return materialize(exchange(sent, buckets, 1 + SAMPLES, False, True), "lm-contexts")
+
+
+def hot_contexts(homes: DataFrame, n_all: int) -> tuple[np.ndarray, ...]:
+    """(hashes, customers, tables of each sample) of the contexts with at least N / CONTEXTS customers."""
+
+    def run(r: dict) -> list[dict]:
+        h, size = np.frombuffer(r["h"], np.uint64).view(np.int64), r["size"]
+        n, *t = (unpack_tables(r[v], size) for v in VALUES)
+        often = np.flatnonzero(n >= max(n_all / CONTEXTS, 1))
+        return [dict(zip(["h", *VALUES], map(int, x), strict=True)) for x in zip(h[often], n[often], *[x[often] for x in t], strict=True)]
+
+    rows = per_row(homes, run, "h bigint, v0 bigint, v1 bigint, v2 bigint").collect()  # at most CONTEXTS rows
+    rows.sort(key=lambda r: r["h"] % (1 << 64))
+    return np.array([r["h"] for r in rows], np.int64).view(np.uint64), *[np.array([r[v] for r in rows], np.int64) for v in VALUES]
 
 
 def train(docs: DataFrame, buckets: int) -> tuple[DataFrame, list[tuple[DataFrame, dict]]]:
-    """(counts, samples): the counts per bucket and the sampled seatings with their totals."""
-    counts = count_corpus(docs, buckets)
-    totals = corpus_totals(counts)
-    # before the first seating: one table for every second customer, parent tables one per word
-    totals |= {"tables": totals["customers"] / 2, "root_customers": totals["N"] / 2, "root_tables": totals["V"]}
-    state, samples = None, []
+    """(counts, samples): the counts per bucket with the totals of its contexts, and the sampled seatings with theirs."""
+    spread = spread_words(docs)
+    counts = count_corpus(docs, buckets, spread)
+    totals = corpus_totals(counts, spread)
+    fixed = first_totals(counts, buckets)
+    # before the first seating: parent customers for every second token, parent tables one per word
+    totals |= {"root_customers": totals["N"] / 2, "root_tables": totals["V"]}
+    state, moved, samples = None, None, []
     for number in range(ROUNDS):
-        state = sample_round(counts, state, totals, number)
-        totals = totals | seat_totals(counts, state)
+        if state is not None:
+            moved = move_totals(state, fixed, buckets)
+        state = sample_round(counts, state, fixed, moved, totals, number, buckets)
+        totals = totals | seat_totals(counts, state, totals, number)
         samples.append((state, totals))
-    return counts, samples[-SAMPLES:]
+    samples = samples[-SAMPLES:]
+    contexts = last_totals(counts, samples, buckets)
+    homes = contexts.where("bucket = -1")
+    hot, customers, *tables = hot_contexts(homes, totals["N"])
+    samples = [(state, t | {"hot": hot, "customers": customers, "tables": tables[k], "homes": homes}) for k, (state, t) in enumerate(samples)]
+    return counts.join(gather(contexts.where("bucket >= 0"), buckets, "lm-totals", 1 + SAMPLES), "bucket"), samples
 
 
 class Predictor:
-    """Averaged predictive probabilities of a bucket's words."""
-
-    def __init__(self, parts: list[bytes], seatings: list[tuple[bytes, bytes]], totals: list[dict]):
-        self.b = Bucket(parts)
-        self.key = self.b.word.astype(np.int64) * CONTEXTS + self.b.u
-        self.samples = []
-        for (t, t0), tot in zip(seatings, totals, strict=True):
-            t, t0 = unpack_tables(t, len(self.b.n)), unpack_tables(t0, len(self.b.words))
+    """Averaged predictive probabilities of a bucket's words and of spread ones."""
+
+    def __init__(self, parts: list[bytes], seatings: list[tuple[bytes, bytes]], shares: list[bytes], totals: list[dict]):
+        self.b = b = Bucket(parts)
+        self.key = b.word.astype(np.int64) * len(b.contexts) + b.u
+        self.spread, tokens_of, _ = totals[0]["spread"]
+        self.own = member(self.spread, b.words)
+        self.count = np.concatenate([b.count, tokens_of])
+        self.hot = totals[0]["hot"]
+        customers, *tables = (unpack_tables(x, len(b.contexts)) for x in shares)
+        self.norm = STRENGTH + np.concatenate([customers, totals[0]["customers"], [0]])  # the last one: a context without customers
+        self.left, self.roots, self.shares = np.zeros(len(b.n)), [], []
+        for (t, t0), tot, here in zip(seatings, totals, tables, strict=True):
+            t, t0 = unpack_tables(t, len(b.n)), unpack_tables(t0, len(b.words))
             base = (ROOT_STRENGTH + ROOT_DISCOUNT * tot["root_tables"]) / (tot["V"] + 1)
-            norm = ROOT_STRENGTH + tot["root_customers"]
-            root = (np.add.reduceat(t, self.b.first) - ROOT_DISCOUNT * t0 + base) / norm
-            share = (STRENGTH + DISCOUNT * tot["tables"]) / (STRENGTH + tot["customers"])
-            self.samples.append((t, root, base / norm, share, STRENGTH + tot["customers"]))
+            seated = np.concatenate([np.add.reduceat(t, b.first) if len(t) else t, tot["spread"][2], [0]])
+            at_root = np.concatenate([t0, tot["spread_tables"], [0]])
+            self.roots.append((seated - ROOT_DISCOUNT * at_root + base) / (ROOT_STRENGTH + tot["root_customers"]))  # the last one: an unknown word
+            self.shares.append((STRENGTH + DISCOUNT * np.concatenate([here, tot["tables"], [0]])) / self.norm)
+            self.left += (b.n - DISCOUNT * t) / len(totals)
 
     def find(self, words: np.ndarray) -> np.ndarray:
-        """Number of each word, -1 where unknown."""
-        at = np.minimum(np.searchsorted(self.b.words, words), len(self.b.words) - 1)
-        return np.where(self.b.words[at] == words, at, -1)
+        """Number of each word, -1 where unknown; spread words follow the bucket's own."""
+        often = member(words, self.spread)
+        return np.where(often >= 0, len(self.b.words) + often, member(words, self.b.words))
+
+    def place(self, context: np.ndarray) -> np.ndarray:
+        """Number of each context, -1 where neither the bucket nor every task knows it."""
+        hot = member(context, self.hot)
+        here = member(context, self.b.contexts)
+        return np.where(here >= 0, here, np.where(hot >= 0, len(self.b.contexts) + hot, -1))
 
     def probability(self, number: np.ndarray, context: np.ndarray) -> np.ndarray:
-        known = number >= 0
-        key = number * CONTEXTS + context
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        dish = known & (self.key[at] == key)
-        out = np.zeros(len(number))
-        for t, root, unknown, share, norm in self.samples:
-            own = np.where(dish, self.b.n[at] - DISCOUNT * t[at], 0.0) / norm[context]
-            out += own + share[context] * np.where(known, root[number], unknown)
-        return out / len(self.samples)
+        return self.at_place(number, self.place(context.astype(np.uint64)))
+
+    def at_place(self, number: np.ndarray, place: np.ndarray) -> np.ndarray:
+        size, width = len(self.b.words), len(self.b.contexts)
+        out = sum(s[place] * r[number] for s, r in zip(self.shares, self.roots, strict=True)) / len(self.roots)
+        if size:
+            word = number.copy()
+            far = number >= size
+            word[far] = self.own[number[far] - size]
+            key = word * width + place
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            dish = (word >= 0) & (place >= 0) & (place < width) & (self.key[at] == key)
+            out = out + np.where(dish, self.left[at], 0.0) / self.norm[place]
+        return out
+
+    def parent(self, number: np.ndarray) -> np.ndarray:
+        """The parent's probabilities of words, by sample."""
+        return np.stack([r[number] for r in self.roots], axis=1)
 
 
 def model_rows(counts: DataFrame, samples: list[tuple[DataFrame, dict]]) -> DataFrame:
-    """(bucket, x1..x5, t_0, t0_0, t_1, ...): everything a bucket needs to predict."""
-    rows = counts.select("bucket", *BLOBS[:5])
+    """(bucket, x1..x6, v0.., t_0, t0_0, t_1, ...): everything a bucket needs to predict."""
+    rows = counts
     for k, (state, _) in enumerate(samples):
         rows = rows.join(state.select("bucket", F.col("t").alias(f"t_{k}"), F.col("t0").alias(f"t0_{k}")), "bucket")
     return rows
 
 
-def _predictor(r: dict, totals: list[dict]) -> Predictor:
-    return Predictor([r[x] for x in BLOBS[:5]], [(r[f"t_{k}"], r[f"t0_{k}"]) for k in range(len(totals))], totals)
+def _predictor(r: dict | None, totals: list[dict]) -> Predictor:
+    none = np.zeros(0, np.int64)
+    if r is None:  # a bucket without training words
+        return Predictor(pack_pairs(none.view(np.uint64), none.view(np.uint64), none), [(pack_tables(none),) * 2] * len(totals),
+                         [pack_tables(none)] * (1 + len(totals)), totals)
+    return Predictor([r[x] for x in BLOBS], [(r[f"t_{k}"], r[f"t0_{k}"]) for k in range(len(totals))],
+                     [r[v] for v in VALUES[:1 + len(totals)]], totals)
 
 
-def frequent_words(model: DataFrame, totals: list[dict]) -> list:
-    """(word, count, probabilities by context class) of the words with at least N / FREQUENT tokens."""
+def frequent_words(model: DataFrame, totals: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, counts, probabilities by hot context) of the words with at least N / FREQUENT tokens."""
     least = max(totals[0]["N"] / FREQUENT, 1)
+    hot = totals[0]["hot"]
+
+    def run(r: dict) -> list[dict]:
+        p = _predictor(r, totals)
+        words = p.find(p.b.words)
+        out = []
+        for i in np.flatnonzero(p.count[words] >= least).tolist():
+            x, y = p.b.first[i], p.b.first[i + 1] if i + 1 < len(p.b.first) else len(p.b.n)
+            at = member(p.b.contexts[p.b.u[x:y]], hot)
+            out.append({"word": int(p.b.words[i].view(np.int64)), "n": int(p.count[words[i]]), "parent": p.parent(words[i:i + 1]).tobytes(),
+                        "at": at[at >= 0].astype(np.int64).tobytes(), "own": p.left[x:y][at >= 0].tobytes()})
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                (r,) = b.slice(k, 1).to_pylist()
-                p = _predictor(r, totals)
-                often = np.flatnonzero(p.b.count >= least)
-                rows = [{"word": int(p.b.words[i].view(np.int64)), "n": int(p.b.count[i]),
-                         "p": p.probability(np.full(CONTEXTS, i), np.arange(CONTEXTS)).tobytes()} for i in often]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("word", pa.int64()), ("n", pa.int64()), ("p", pa.binary())]))
-
-    return model.mapInArrow(run, "word bigint, n bigint, p binary").collect()  # at most FREQUENT rows
+    # the words' dishes in hot contexts: at most FREQUENT x CONTEXTS numbers
+    rows = per_row(model, run, "word bigint, n bigint, parent binary, at binary, own binary").collect()
+    words = np.unique(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
+    count, p = np.zeros(len(words), np.int64), np.zeros((len(words), len(hot)))
+    norm = STRENGTH + totals[0]["customers"]
+    shares = np.stack([(STRENGTH + DISCOUNT * t["tables"]) / norm for t in totals])
+    seen = set()
+    for r in rows:
+        (k,) = member(np.array([r["word"]], np.int64).view(np.uint64), words)
+        if k not in seen:
+            seen.add(k)
+            count[k] = r["n"]
+            p[k] += np.frombuffer(r["parent"]) @ shares / len(totals)
+        at = np.frombuffer(r["at"], np.int64)
+        p[k, at] += np.frombuffer(r["own"]) / norm[at]
+    return words, count, p
 
 
 def score_documents(docs: DataFrame, counts: DataFrame, samples: list[tuple[DataFrame, dict]], buckets: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
-    totals = [t for _, t in samples]
-    n_all, v = totals[0]["N"], totals[0]["V"]
+    homes = samples[0][1]["homes"]
+    totals = [{k: v for k, v in t.items() if k != "homes"} for _, t in samples]
+    n_all, v, width = totals[0]["N"], totals[0]["V"], len(totals)
+    spread, hot = totals[0]["spread"][0], totals[0]["hot"]
     model = model_rows(counts, samples)
-    often = sorted((np.int64(r["word"]).view(np.uint64), r["n"], r["p"]) for r in frequent_words(model, totals))
-    sent = spark.sparkContext.broadcast((np.array([x[0] for x in often], np.uint64), np.array([x[1] for x in often], np.int64),
-                                         np.log10(np.array([np.frombuffer(x[2], np.float64) for x in often]).reshape(-1, CONTEXTS)).astype(np.float32)))
+    words_, count_, p_ = frequent_words(model, totals)
+    sent = spark.sparkContext.broadcast((words_, count_, np.log10(p_).astype(np.float32)))
     sent_totals = spark.sparkContext.broadcast(totals)
     floor = np.log10(n_all + BASE_ALPHA * (v + 1))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, count, log_p = sent.value
         base = np.log10(count + BASE_ALPHA) - floor
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(words >> np.uint64(44)).astype(np.int64)] = True
         block = TaskContext.get().partitionId() << 32
         for big in batches:
-            for batch in slices(big, "text", 4 << 20):
+            for batch in slices(big, "text", 2 << 20):
                 word, context, first = tokens(batch.column("text"))
                 rows = batch.num_rows
                 doc = np.repeat(np.arange(rows, dtype=np.int64), np.diff(first))
-                at = np.full(len(word), -1)
-                hit = np.flatnonzero(maybe[(word >> np.uint64(44)).astype(np.int64)])
-                if len(words):
-                    k = np.minimum(np.searchsorted(words, word[hit]), len(words) - 1)
-                    at[hit] = np.where(words[k] == word[hit], k, -1)
-                here = at >= 0
-                sums = [np.bincount(doc[here], x, rows) for x in (np.ones(int(here.sum())), base[at[here]], log_p[at[here], context[here]])]
+                at, place = member(word, words), member(context, hot)
+                here = (at >= 0) & (place >= 0)
+                sums = [np.bincount(doc[here], x, rows) for x in (np.ones(int(here.sum())), base[at[here]], log_p[at[here], place[here]])]
                 ids = batch.column("doc_id")
                 info = [np.asarray(ids.fill_null(0)).astype(np.int64).tobytes(), np.asarray(ids.is_null()).astype(np.uint8).tobytes(),
                         np.diff(first).astype(np.int64).tobytes(), *[s.astype(np.float64).tobytes() for s in sums]]
                 out = [(int(mix(np.array([block], np.uint64))[0] % np.uint64(buckets)), 1, block, *info)]
-                w, u, d = word[~here], context[~here], doc[~here]
-                b = bucket_of(w, buckets)
-                order = np.lexsort((d, w, b))
-                w, u, d, b = w[order], u[order], d[order], b[order]
-                cut = np.searchsorted(b, np.arange(buckets + 1))
-                for k, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
-                    if y > x:
-                        new = np.flatnonzero(np.concatenate([[True], w[x + 1:y] != w[x:y - 1]]))
-                        per = np.diff(np.append(new, y - x))
-                        out.append((k, 2, block, w[x:y][new].tobytes(), pack_ints(per), u[x:y].tobytes(), pack_ints(d[x:y])))
+                far = ~here
+                out += pack_tokens(word[far], context[far], doc[far], hot, spread, buckets, block)
+                del word, context, doc, at, place, here, far
                 yield _rows(out)
                 block += 1
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _groups(batches, "bucket"):
-            p = None
-            for r in rows:
-                if r["kind"] == 0:
-                    p = _predictor(r, sent_totals.value)
-                elif r["kind"] == 1:
-                    yield _rows([(bucket, 1, r["block"], *[r[b] for b in BLOBS])])
-                else:
-                    w, u = np.frombuffer(r["x1"], np.uint64), np.frombuffer(r["x3"], np.uint16)
-                    per, d = unpack_ints(r["x2"]), unpack_ints(r["x4"])
-                    if p is not None:
-                        number = np.repeat(p.find(w), per)
-                        c = np.where(number >= 0, p.b.count[number], 0)
-                        prob = p.probability(number, u.astype(np.int64))
-                    else:  # no training word in this bucket
-                        t = sent_totals.value
-                        number, c = np.full(len(u), -1), np.zeros(len(u))
-                        prob = sum(_unknown(x, u) for x in t) / len(t)
-                    docs_here, inverse = np.unique(d, return_inverse=True)
-                    known, *sums = [np.bincount(inverse, x) for x in ((number >= 0).astype(float), floor - np.log10(c + BASE_ALPHA), -np.log10(prob))]
-                    yield _rows([(bucket, 2, r["block"], pack_ints(np.diff(docs_here, prepend=0)), pack_ints(known),
-                                  *[pack_ints(np.rint(s * UNITS)) for s in sums])])
+                trim_memory()
+
+    def score(model_row: pa.Table, dealt: pa.Table) -> pa.Table:
+        out = []
+        if dealt.num_rows:
+            p = _predictor(next(iter(model_row.to_pylist()), None), sent_totals.value)
+            rows = dealt.to_pylist()
+            out = [tuple(r[c] for c in ["bucket", "kind", "block", *BLOBS]) for r in rows if r["kind"] == 1]
+            for part in chunks([r for r in rows if r["kind"] == 2]):
+                out += score_tokens(part, p, floor, buckets)
+            del p, rows
+            trim_memory()
+        return pa.Table.from_batches([_rows(out)])
+
+    def finish(home: pa.Table, dealt: pa.Table) -> pa.Table:
+        out = []
+        if dealt.num_rows:
+            r = next(iter(home.to_pylist()), None)
+            h, values = np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * (1 + width)
+            if r is not None:
+                h = np.frombuffer(r["h"], np.uint64)
+                values = [unpack_tables(r[x], r["size"]) for x in VALUES[:1 + width]]
+            customers, *tables = (np.append(x, 0) for x in values)  # the last one: a context without customers
+            shares = np.stack([(STRENGTH + DISCOUNT * t) / (STRENGTH + customers) for t in tables], axis=1)
+            for row in dealt.to_pylist():
+                at = member(np.frombuffer(row["x1"], np.uint64), h)
+                parent = np.frombuffer(row["x2"]).reshape(-1, width)
+                log_p = -np.log10((shares[at] * parent).mean(axis=1))
+                per = unpack_ints(row["x3"])
+                block, d, log_p = np.repeat(np.frombuffer(row["x5"], np.int64), per), unpack_ints(row["x4"]), np.repeat(log_p, per)
+                for k, x, y in spans(block):
+                    out.append(_part(row["bucket"], int(k), d[x:y], np.zeros(y - x), np.zeros(y - x), log_p[x:y]))
+        return pa.Table.from_batches([_rows(out)])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, "block"):
@@ -663,21 +994,118 @@ def score_documents(docs: DataFrame, counts: DataFrame, samples: list[tuple[Data
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(size), pa.array(sums[0].astype(np.int64)),
                                               pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    columns = ["bucket", "kind", "block", *BLOBS, *[f"{t}_{k}" for k in range(len(samples)) for t in ("t", "t0")]]
-    none = [F.lit(None).cast("binary").alias(c) for c in columns[3 + len(BLOBS):]]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, ROW_SCHEMA).select("*", *none)
-    model = model.withColumns({"kind": F.lit(0), "block": F.lit(-1).cast("long"), "x6": F.lit(None).cast("binary")}).select(*columns)
-    dealt = model.unionByName(texts).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "block")
-    back = dealt.mapInArrow(score, ROW_SCHEMA).repartition(buckets, "block").sortWithinPartitions("block", "kind", "bucket")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, ROW_SCHEMA)
+    with tidy_shuffles(spark):
+        scored = materialize(model.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(score, ROW_SCHEMA), "lm-scored")
+    far = scored.where("kind = 3")
+    late = homes.groupBy("home").cogroup(far.groupBy("bucket")).applyInArrow(finish, ROW_SCHEMA)
+    back = scored.where("kind < 3").unionByName(late).repartition(buckets, "block").sortWithinPartitions("block", "kind", "bucket")
     out = back.mapInArrow(total, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select("doc_id", held_out(F.col("doc_id"), 10, 0).alias("held_out"), "n_tokens", "n_known",
                       F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _unknown(t: dict, u: np.ndarray) -> np.ndarray:
-    share = (STRENGTH + DISCOUNT * t["tables"]) / (STRENGTH + t["customers"])
-    base = (ROOT_STRENGTH + ROOT_DISCOUNT * t["root_tables"]) / (t["V"] + 1) / (ROOT_STRENGTH + t["root_customers"])
-    return share[u] * base
+def pack_tokens(w: np.ndarray, u: np.ndarray, d: np.ndarray, hot: np.ndarray, spread: np.ndarray, buckets: int, block: int) -> list[tuple]:
+    """Tokens (word, context, document) dealt to the buckets of their dishes.  A bucket's row has its words once; for each the
+    number of different contexts, hot ones (by place, two bytes) before others; how many tokens have each; their documents."""
+    if not len(w):
+        return []
+    words, wi = np.unique(w, return_inverse=True)
+    contexts, ui = np.unique(u, return_inverse=True)
+    place = member(contexts, hot)
+    order = np.argsort(place < 0, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    contexts, place, ui = contexts[order], place[order], rank[ui]
+    dealt, di = np.unique(dish_bucket(w, u, spread, buckets) * len(words) + wi, return_inverse=True)  # (bucket, word)
+    code = di * len(contexts) + ui
+    order = np.argsort(code)
+    code, d = code[order], d[order]
+    new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    per_pair = np.diff(np.append(new, len(code)))
+    pair_word, pair_context = np.divmod(code[new], len(contexts))
+    is_hot = place[pair_context] >= 0
+    hot_per = np.bincount(pair_word[is_hot], minlength=len(dealt))
+    other_per = np.bincount(pair_word[~is_hot], minlength=len(dealt))
+    word_cut = np.searchsorted(dealt // len(words), np.arange(buckets + 1))
+    pair_cut = np.searchsorted(pair_word, word_cut)
+    token_cut = np.append(new, len(code))[pair_cut]
+    out = []
+    for k in np.flatnonzero(np.diff(word_cut)).tolist():
+        a, b = word_cut[k], word_cut[k + 1]
+        x, y = pair_cut[k], pair_cut[k + 1]
+        c, here = pair_context[x:y], is_hot[x:y]
+        out.append((k, 2, block, words[dealt[a:b] % len(words)].tobytes(), pack_ints(np.concatenate([hot_per[a:b], other_per[a:b]])),
+                    place[c[here]].astype(np.uint16).tobytes(), contexts[c[~here]].tobytes(), pack_ints(per_pair[x:y]),
+                    pack_ints(d[token_cut[k]:token_cut[k + 1]])))
+    return out
+
+
+def unpack_tokens(r: dict, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, pairs of each, contexts of the pairs, tokens of each, documents of the tokens)"""
+    words, per = np.frombuffer(r["x1"], np.uint64), unpack_ints(r["x2"])
+    both = per.reshape(2, -1).T
+    is_hot = np.repeat(np.tile([True, False], len(words)), both.ravel())
+    context = np.empty(len(is_hot), np.uint64)
+    context[is_hot] = hot[np.frombuffer(r["x3"], np.uint16)]
+    context[~is_hot] = np.frombuffer(r["x4"], np.uint64)
+    return words, both.sum(axis=1), context, unpack_ints(r["x5"]), unpack_ints(r["x6"])
+
+
+def chunks(rows: list[dict]) -> Iterator[list[dict]]:
+    """Runs of rows with about ``FLUSH_BYTES`` in all."""
+    part, size = [], 0
+    for r in rows:
+        part.append(r)
+        size += sum(len(r[b]) for b in BLOBS)
+        if size >= FLUSH_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def spans(key: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, start, end) of the runs of equal keys."""
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return zip(key[new].tolist(), new.tolist(), np.append(new[1:], len(key)).tolist(), strict=True)
+
+
+def _part(bucket: int, block: int, d: np.ndarray, known: np.ndarray, base: np.ndarray, log_p: np.ndarray) -> tuple:
+    """The sums by document of a block's tokens."""
+    docs, at = np.unique(d, return_inverse=True)
+    known, *sums = [np.bincount(at, x) for x in (known, base, log_p)]
+    return (bucket, 2, block, pack_ints(np.diff(docs, prepend=0)), pack_ints(known), *[pack_ints(np.rint(s * UNITS)) for s in sums])
+
+
+def score_tokens(rows: list[dict], p: Predictor, floor: float, buckets: int) -> list[tuple]:
+    """Part sums of the tokens in ``rows`` of a bucket; a pair whose context the bucket does not know goes on to the context's
+    bucket with the word's parent probabilities (kind 3: contexts, parents, tokens of each, their documents, blocks)."""
+    words, per_word, context, per, d = (list(x) for x in zip(*[unpack_tokens(r, p.hot) for r in rows], strict=True))
+    pairs = np.cumsum([0, *map(len, context)])
+    toks = np.cumsum([0, *map(len, d)])
+    number = np.repeat(p.find(np.concatenate(words)), np.concatenate(per_word))
+    context, per, d = np.concatenate(context), np.concatenate(per), np.concatenate(d)
+    place = p.place(context)
+    far = place < 0
+    c = np.where(number >= 0, p.count[number] if len(p.count) else 0, 0)
+    log_p = np.where(far, 0.0, -np.log10(p.at_place(number, place)))
+    known, base, log_p = (np.repeat(x, per) for x in ((number >= 0).astype(float), floor - np.log10(c + BASE_ALPHA), log_p))
+    bucket = rows[0]["bucket"]
+    out = [_part(bucket, r["block"], d[x:y], known[x:y], base[x:y], log_p[x:y]) for r, x, y in zip(rows, toks, toks[1:], strict=False)]
+    if far.any():
+        at = np.flatnonzero(far)
+        home = context_bucket(context[at], buckets)
+        at = at[np.argsort(home, kind="stable")]
+        block = np.repeat(np.array([r["block"] for r in rows], np.int64), np.diff(pairs))[at]
+        first = np.cumsum(per) - per
+        for k, x, y in spans(np.sort(home)):
+            some = at[x:y]
+            size = per[some]
+            token = np.repeat(first[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            out.append((k, 3, 0, context[some].tobytes(), p.parent(number[some]).tobytes(), pack_ints(size), pack_ints(d[token]),
+                        block[x:y].tobytes()))
+    return out
 
 
 def op5_language_model(spark, sf_dir: str) -> DataFrame:

@@ -218,6 +218,62 @@ def test_scores_do_not_depend_on_the_blocks(spark, frame, monkeypatch):
         assert r.score == pytest.approx(want[i].score) and r.base_score == pytest.approx(want[i].base_score)
 
 
+def test_every_previous_word_is_a_context():
+    word, context, first = pitman_yor.tokens(pa.array([" ".join(f"w{i}" for i in range(6000)), None, "w1 w2"]))
+    assert first.tolist() == [0, 6001, 6002, 6005] and len(np.unique(context)) == 6001  # the words and the start of a text
+    assert context[0] == context[6001] == context[6002] and (context[1:6001] == word[:6000]).all() and context[6003] == word[1]
+
+
+def test_scores_equal_the_formula_with_a_restaurant_for_each_previous_word(spark, frame, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "CONTEXTS", 24)  # some contexts are known to every task, most are not
+    monkeypatch.setattr(pitman_yor, "FREQUENT", 12)
+    monkeypatch.setattr(pitman_yor, "SPREAD_PART", 1)
+    monkeypatch.setattr(pitman_yor, "SPREAD_LEAST", 20)
+    rng = np.random.default_rng(5)
+    texts = {i: " ".join(f"w{k}" for k in rng.zipf(1.4, 30) % 400) for i in range(150)}
+    docs = frame(list(texts.items())).repartition(3)
+    counts, samples = pitman_yor.train(docs, 5)
+    totals = [t for _, t in samples]
+    assert len(totals[0]["spread"][0]) and 0 < len(totals[0]["hot"]) < 24
+    scored = pitman_yor.score_documents(docs, counts, samples, 5).collect()
+    one = [pitman_yor.tokens(pa.array([texts[r.doc_id]]))[:2] for r in scored]
+    pairs = {}
+    for r, (w, u) in zip(scored, one, strict=True):
+        for x in zip(w.tolist(), u.tolist(), strict=True) if not r.held_out else ():
+            pairs[x] = pairs.get(x, 0) + 1
+    dishes, parents = {}, [dict(zip(t["spread"][0].tolist(), t["spread_tables"].tolist(), strict=True)) for t in totals]
+    for r in pitman_yor.model_rows(counts, samples).collect():
+        b = pitman_yor.Bucket([r[x] for x in pitman_yor.BLOBS])
+        w, u, n = b.words[b.word], b.contexts[b.u], b.n
+        t = [pitman_yor.unpack_tables(r[f"t_{k}"], len(n)) for k in range(2)]
+        dishes |= {(a, b): x for a, b, *x in zip(w.tolist(), u.tolist(), n.tolist(), *[x.tolist() for x in t], strict=True)}
+        for k in range(2):
+            t0 = pitman_yor.unpack_tables(r[f"t0_{k}"], len(np.unique(w)))
+            parents[k] |= {a: x for a, x in zip(np.unique(w).tolist(), t0.tolist(), strict=True) if a not in parents[k]}
+    assert {x: v[0] for x, v in dishes.items()} == pairs
+    n_u, t_u, c_w = {}, [{}, {}], [{}, {}]
+    for (w, u), (n, *t) in dishes.items():
+        n_u[u] = n_u.get(u, 0) + n
+        for k in range(2):
+            t_u[k][u] = t_u[k].get(u, 0) + t[k]
+            c_w[k][w] = c_w[k].get(w, 0) + t[k]
+    d, h, rd, rh = pitman_yor.DISCOUNT, pitman_yor.STRENGTH, pitman_yor.ROOT_DISCOUNT, pitman_yor.ROOT_STRENGTH
+
+    def probability(w, u):
+        out = 0.0
+        for k in range(2):
+            customers, tables = sum(c_w[k].values()), sum(parents[k].values())
+            assert (customers, tables) == (totals[k]["root_customers"], totals[k]["root_tables"])
+            root = (c_w[k].get(w, 0) - rd * parents[k].get(w, 0) + (rh + rd * tables) / (len(c_w[k]) + 1)) / (rh + customers)
+            n, *t = dishes.get((w, u), (0, 0, 0))
+            out += (n - d * t[k] + (h + d * t_u[k].get(u, 0)) * root) / (h + n_u.get(u, 0)) / 2
+        return out
+
+    for r, (w, u) in zip(scored, one, strict=True):
+        assert r.score == pytest.approx(sum(np.log10(probability(*x)) for x in zip(w.tolist(), u.tolist(), strict=True)), rel=1e-6)
+        assert r.n_known == sum(x in c_w[0] for x in w.tolist()) and r.train_tokens == sum(pairs.values())
+
+
 def test_seats_keep_their_customers():
     rng = np.random.default_rng(1)
     n = np.array([1, 5, 40, 300])
