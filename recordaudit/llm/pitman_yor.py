@@ -68,6 +68,8 @@ BEGIN = np.uint64(0xBB67AE8584CAA73B)  # the context of a text's first token
 FLUSH_PAIRS = 1_000_000
 FLUSH_BYTES = 2 << 20
 BASE_ALPHA = 0.1
+PASSES = 2  # shares of the documents whose tokens are dealt one after another
+PART = 32  # a document's number in its task takes the low bits of a block or document key, the task's the high ones
 UNITS = 1e9  # part sums of log10 probabilities travel as integers of this many units
 
 _SPACE = np.zeros(256, bool)
@@ -91,6 +93,15 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, context, first
 
 
+def numbered(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(types, words, contexts): the different words, BEGIN after them, and the tokens' words and contexts as numbers of types."""
+    types, w = np.unique(word, return_inverse=True)
+    u = np.empty_like(w)
+    u[1:] = w[:-1]
+    u[first[:-1]] = len(types)
+    return np.append(types, BEGIN), w, u
+
+
 def bucket_of(word: np.ndarray, buckets: int) -> np.ndarray:
     return (word >> np.uint64(33)).astype(np.int64) % buckets
 
@@ -121,17 +132,12 @@ def member(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_pairs(word: np.ndarray, context: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (word, context) in order, with their summed counts."""
-    w, wi = np.unique(word, return_inverse=True)
-    u, ui = np.unique(context, return_inverse=True)
-    code = wi * max(len(u), 1) + ui
-    if n is None:
-        code, total = np.unique(code, return_counts=True)
-    else:
-        code, at = np.unique(code, return_inverse=True)
-        total = add_up(at, n, len(code))
-    return w[code // max(len(u), 1)], u[code % max(len(u), 1)], total.astype(np.int64)
+def add_equal(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, with their summed counts."""
+    order = np.argsort(code)
+    code = code[order]
+    new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[new], np.add.reduceat(n[order], new) if len(new) else np.zeros(0, np.int64)
 
 
 def add_up(at: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
@@ -194,6 +200,18 @@ def pack_dishes(w: np.ndarray, u: np.ndarray, n: np.ndarray) -> list[bytes]:
     return [words, per, pack_ints(at), few, many, contexts.tobytes()]
 
 
+def merge_pairs(parts: list[list[bytes]]) -> list[bytes]:
+    """``pack_dishes`` of the pairs of several ``pack_pairs``, their counts summed."""
+    words, at = np.unique(np.concatenate([np.frombuffer(p[0], np.uint64) for p in parts]), return_inverse=True)
+    contexts, u = np.unique(np.concatenate([np.frombuffer(p[2], np.uint64) for p in parts]), return_inverse=True)
+    w = np.repeat(at, np.concatenate([unpack_ints(p[1]) for p in parts]))
+    code, n = add_equal(w * max(len(contexts), 1) + u, np.concatenate([unpack_counts(p) for p in parts]))
+    w, u = np.divmod(code, max(len(contexts), 1))
+    big = n >= 255
+    return [words.tobytes(), pack_ints(np.bincount(w, minlength=len(words))), pack_ints(u), np.where(big, 255, n).astype(np.uint8).tobytes(),
+            n[big].astype(np.int64).tobytes(), contexts.tobytes()]
+
+
 BLOBS = ["x1", "x2", "x3", "x4", "x5", "x6"]
 ROW_SCHEMA = "bucket int, kind int, block bigint, " + ", ".join(f"{b} binary" for b in BLOBS)
 
@@ -206,12 +224,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "kind", "block", *BLOBS])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[dict]]]:
-    """Consecutive rows with equal ``key``, one row at a time."""
+def _groups(batches: Iterator[pa.RecordBatch], key: str, shift: int = 0) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Consecutive rows with equal ``key`` (above its lowest ``shift`` bits), one row at a time."""
     import itertools
 
     rows = (r for b in batches for k in range(b.num_rows) for r in b.slice(k, 1).to_pylist())
-    return itertools.groupby(rows, lambda r: r[key])
+    return itertools.groupby(rows, lambda r: r[key] >> shift)
 
 
 @contextmanager
@@ -280,14 +298,19 @@ def spread_words(docs: DataFrame) -> np.ndarray:
 
 
 def count_corpus(docs: DataFrame, buckets: int, spread: np.ndarray) -> DataFrame:
-    """(bucket, x1..x6): the packed (word, context, count) of all training documents, one row per bucket."""
+    """(bucket, x1..x6, tally): the packed (word, context, count) of all training documents, one row per bucket, and its tokens,
+    words that are not spread and tokens of spread words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple] = []  # (types, words, contexts, counts) of the pairs of a slice
         size = 0
 
         def flush() -> pa.RecordBatch:
-            w, u, n = count_pairs(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            types, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            cut = np.cumsum([0, *[len(h[0]) for h in held]])
+            w, u = (np.concatenate([at[x + h[k]] for x, h in zip(cut, held, strict=False)]) for k in (1, 2))
+            code, n = add_equal(w * len(types) + u, np.concatenate([h[3] for h in held]))
+            w, u = (types[x] for x in np.divmod(code, len(types)))
             b = dish_bucket(w, u, spread, buckets)
             order = np.argsort(b, kind="stable")
             w, u, n, b = w[order], u[order], n[order], b[order]
@@ -298,9 +321,11 @@ def count_corpus(docs: DataFrame, buckets: int, spread: np.ndarray) -> DataFrame
 
         for big in batches:
             for batch in slices(big, "text", 2 << 20):
-                word, context, _ = tokens(batch.column("text"))
-                held.append(count_pairs(word, context))
-                size += len(held[-1][0])
+                word, _, first = tokens(batch.column("text"))
+                types, w, u = numbered(word, first)
+                code, n = np.unique(w * len(types) + u, return_counts=True)
+                held.append((types, *np.divmod(code, len(types)), n))
+                size += len(n)
                 if size >= FLUSH_PAIRS:  # bounded memory: what has been counted goes out
                     yield flush()
                     size = 0
@@ -311,13 +336,17 @@ def count_corpus(docs: DataFrame, buckets: int, spread: np.ndarray) -> DataFrame
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _groups(batches, "bucket"):
-            parts = [unpack_pairs([r[b] for b in BLOBS[:5]]) for r in rows]
-            yield _rows([(bucket, 0, 0, *pack_dishes(*count_pairs(*[np.concatenate(x) for x in zip(*parts, strict=True)])))])
+            parts = merge_pairs([[r[b] for b in BLOBS[:5]] for r in rows])
+            words, n = np.frombuffer(parts[0], np.uint64), unpack_counts(parts)
+            tally = [[n.sum(), (member(words, spread) < 0).sum()], by_spread(words, unpack_ints(parts[1]), n, spread)]
+            yield pa.RecordBatch.from_pylist([{"bucket": bucket, **dict(zip(BLOBS, parts, strict=True)), "tally": np.concatenate(tally).tobytes()}],
+                                             pa.schema([("bucket", pa.int32()), *[(x, pa.binary()) for x in (*BLOBS, "tally")]]))
+            del parts, words, n
             trim_memory()
 
     train = docs.where(~held_out(F.col("doc_id"), 10, 0)).select("text")
     dealt = train.mapInArrow(count, ROW_SCHEMA).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return bucketed(dealt.mapInArrow(merge, ROW_SCHEMA).select("bucket", *BLOBS), "lm-counts", buckets)
+    return bucketed(dealt.mapInArrow(merge, "bucket int, " + ", ".join(f"{x} binary" for x in (*BLOBS, "tally"))), "lm-counts", buckets)
 
 
 class Seats:
@@ -389,6 +418,26 @@ def stirling_rows(discount: float) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(4)
+def _series(n: int, d: float) -> np.ndarray:
+    """Factors of t (t - 1) ... (t - k + 1) / n**(d k) in the alternating series of P(n)."""
+    k = np.arange(1, min(TERMS, int((n - 1) / d)) + 1)
+    part = log_gamma(n - d * k) + log_gamma(1 + d * k) - log_gamma(k + 1) - log_gamma(n + 1) + d * k * np.log(n)
+    return np.where(k % 2, 1, -1) * np.sin(np.pi * d * k) / np.pi * np.exp(part)
+
+
+def _mean(x: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """(log m, -d log m / dx): m is the mean of a Sibuya variable under the tilt 1 - e**x."""
+    rest, left = -np.expm1(x), -np.expm1(d * x)
+    return np.log(d) + np.log(rest) + (d - 1) * x - np.log(left), (1 - rest) / rest + 1 - d - d * (1 - left) / left
+
+
+@functools.lru_cache(2)
+def _tilts(d: float) -> tuple[np.ndarray, np.ndarray]:
+    x = -np.geomspace(1e-9, 80, 4096)
+    return _mean(x, d)[0], x
+
+
 def log_stirling(n: int, t: np.ndarray, d: float) -> np.ndarray:
     """log S(n, t), the weight of all seatings of n customers at t tables.  S(n, t) = n! / (t! d**t) P(n), P the law
     of a sum of t Sibuya variables: an alternating series where one large table leads, else a saddle point."""
@@ -398,22 +447,18 @@ def log_stirling(n: int, t: np.ndarray, d: float) -> np.ndarray:
     out = np.zeros(len(t))
     near = t <= 2.5 * n ** d
     if near.any():
-        k = np.arange(1, min(TERMS, int((n - 1) / d)) + 1)
-        part = log_gamma(n - d * k) + log_gamma(1 + d * k) - log_gamma(k + 1) - log_gamma(n + 1)
-        sign = np.where(k % 2, 1, -1) * np.sin(np.pi * d * k) / np.pi
-        with np.errstate(divide="ignore"):
-            falling = np.cumsum(np.log(np.maximum(t[near, None] - k + 1, 0)), axis=1)
-        out[near] = np.log(np.maximum((sign * np.exp(falling + part)).sum(axis=1), 1e-300))
+        c = _series(n, d)
+        falling = np.cumprod(np.maximum(t[near, None] - np.arange(len(c)), 0) / n ** d, axis=1)  # 2.5**TERMS at most
+        out[near] = np.log(np.maximum(falling @ c, 1e-300))
     far = ~near & (t < n)
     if far.any():
         tt = t[far]
-        lo, hi = np.full(len(tt), -80.0), np.zeros(len(tt))
-        for _ in range(44):  # the tilt 1 - y whose mean is n / t, to 5e-12
-            mid = (lo + hi) / 2
-            y = np.exp(mid)
-            more = d * (1 - y) * y ** (d - 1) / (1 - y ** d) > n / tt
-            lo, hi = np.where(more, mid, lo), np.where(more, hi, mid)
-        y = np.exp((lo + hi) / 2)
+        want = np.log(n / tt)
+        x = np.interp(want, *_tilts(d))
+        for _ in range(3):  # Newton steps to the tilt whose mean is n / t
+            mean, slope = _mean(x, d)
+            x = np.clip(x + (mean - want) / slope, -80.0, -1e-12)
+        y = np.exp(x)
         u = y ** d
         a, b = (1 - y) / y, u / (1 - u)
         k1, q = d * a * b, 1 + a - d * a * (1 + b)
@@ -522,7 +567,7 @@ class Bucket:
             parts = pack_dishes(*unpack_pairs(parts))
         self.words, per = np.frombuffer(parts[0], np.uint64), unpack_ints(parts[1])
         self.n, self.u, self.contexts = unpack_counts(parts), unpack_ints(parts[2]), np.frombuffer(parts[5], np.uint64)
-        self.first = np.cumsum(per) - per
+        self.per, self.first = per, np.cumsum(per) - per
         self.word = np.repeat(np.arange(len(per)), per)
         self.count = np.add.reduceat(self.n, self.first) if len(per) else self.n
 
@@ -599,35 +644,34 @@ def draw_parent(c: np.ndarray, totals: dict, rng: np.random.Generator) -> np.nda
     return draw_tables(c, lambda i, k: root_open, lambda i, k: k * np.log(root_open), ROOT_DISCOUNT, rng)
 
 
-def sums(rows: DataFrame, run, spread: np.ndarray) -> tuple[int, int, np.ndarray]:
-    """``run(row)`` gives two numbers and one for each spread word; their sums over all rows."""
+def by_spread(words: np.ndarray, per: np.ndarray, n: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """The sum of ``n`` over the dishes (``per`` word) of each spread word."""
+    often = member(words, spread)
+    out = np.zeros(len(spread), np.int64)
+    out[often[often >= 0]] = np.add.reduceat(n, np.cumsum(per) - per)[often >= 0]
+    return out
+
+
+def sums(rows: DataFrame, column: str, spread: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """``column`` holds two numbers and one for each spread word; their sums over all rows."""
     size = len(spread) + 2
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size, np.int64)
         for b in batches:
-            for k in range(b.num_rows):
-                (r,) = b.slice(k, 1).to_pylist()
-                x, y, each = run(r)
-                out += np.concatenate([[x, y], each])
+            for x in b.column(0):
+                out += np.frombuffer(x.as_py(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(out)], names=["k", "n"])
 
-    got = {r["k"]: r["n"] for r in rows.mapInArrow(add, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()}  # FREQUENT + 2 at most
+    each = rows.select(column).mapInArrow(add, "k int, n bigint")
+    got = {r["k"]: r["n"] for r in each.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # FREQUENT + 2 at most
     out = np.array([got.get(k, 0) for k in range(size)], np.int64)
     return int(out[0]), int(out[1]), out[2:]
 
 
 def corpus_totals(counts: DataFrame, spread: np.ndarray) -> dict:
     """N, V and the tokens of spread words."""
-
-    def run(r: dict) -> tuple[int, int, np.ndarray]:
-        n, per = unpack_counts([r[x] for x in BLOBS]), unpack_ints(r["x2"])
-        often = member(np.frombuffer(r["x1"], np.uint64), spread)
-        each = np.zeros(len(spread), np.int64)
-        each[often[often >= 0]] = np.add.reduceat(n, np.cumsum(per) - per)[often >= 0]
-        return int(n.sum()), int((often < 0).sum()), each
-
-    n, v, each = sums(counts.select("bucket", *[F.lit(None).alias(x) if x in ("x3", "x6") else x for x in BLOBS]), run, spread)
+    n, v, each = sums(counts, "tally", spread)
     return {"N": n, "V": v + int((each > 0).sum()), "spread": (spread, each, None)}
 
 
@@ -636,22 +680,21 @@ VALUES = ["v0", "v1", "v2"]
 
 
 def entries(bucket: int, contexts: np.ndarray, values: list[np.ndarray], answered: np.ndarray, buckets: int) -> list[dict]:
-    """What a bucket sends to the buckets of its contexts (ascending): their hashes and values."""
+    """What a bucket sends to the buckets of its contexts (ascending): a row each with their hashes and values, first of
+    those that are to be ``answered``."""
     cut = np.searchsorted(context_bucket(contexts, buckets), np.arange(buckets + 1))
     out = []
     for home in np.flatnonzero(np.diff(cut)).tolist():
         x, y = cut[home], cut[home + 1]
-        for flag in (0, 1):
-            at = x + np.flatnonzero(answered[x:y] == flag)
-            if len(at):
-                out.append({"home": home, "bucket": bucket, "answered": flag, "size": len(at), "h": contexts[at].tobytes(),
-                            **{v: pack_tables(n[at]) for v, n in zip(VALUES, values, strict=False)}})
+        at = x + np.argsort(~answered[x:y], kind="stable")
+        out.append({"home": home, "bucket": bucket, "answered": int(answered[x:y].sum()), "size": len(at), "h": contexts[at].tobytes(),
+                    **{v: pack_tables(n[at]) for v, n in zip(VALUES, values, strict=False)}})
     return out
 
 
 def exchange(sent: DataFrame, buckets: int, width: int, hashes: bool, whole: bool) -> DataFrame:
-    """Adds the values of every context up over the buckets.  Rows with ``answered`` come back with the sums in place of
-    the values, and ``whole`` adds a row of bucket -1 with all contexts of a home."""
+    """Adds the values of every context up over the buckets.  The first ``answered`` contexts of a row come back with the
+    sums in place of the values, and ``whole`` adds a row of bucket -1 with all contexts of a home."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for home, rows in _groups(batches, "home"):
@@ -660,10 +703,10 @@ def exchange(sent: DataFrame, buckets: int, width: int, hashes: bool, whole: boo
             total = [add_up(at, np.concatenate([unpack_tables(r[v], r["size"]) for r in rows]), len(h)) for v in VALUES[:width]]
             out, x = [], 0
             for r in rows:
-                here = at[x:x + r["size"]]
+                here = at[x:x + r["answered"]]
                 x += r["size"]
                 if r["answered"]:
-                    out.append({"home": home, "bucket": r["bucket"], "answered": 1, "size": r["size"], "h": r["h"] if hashes else None,
+                    out.append({"home": home, "bucket": r["bucket"], "answered": len(here), "size": len(here), "h": r["h"][:8 * len(here)] if hashes else None,
                                 **{v: pack_tables(n[here]) for v, n in zip(VALUES, total, strict=False)}})
             if whole:
                 out.append({"home": home, "bucket": -1, "answered": 0, "size": len(h), "h": h.tobytes(),
@@ -704,7 +747,8 @@ def first_totals(counts: DataFrame, buckets: int) -> DataFrame:
 
 def sample_round(counts: DataFrame, state: DataFrame | None, fixed: DataFrame, moved: DataFrame | None, totals: dict, number: int,
                  buckets: int) -> DataFrame:
-    """(bucket, t, t0, sums): the seating after one more round in every bucket, and the tables of its contexts."""
+    """(bucket, t, t0, sums, seated): the seating after one more round in every bucket, the tables of its contexts, and its parent's
+    customers, tables and customers of spread words."""
     none = F.lit(None).cast("binary")
     rows = counts.join(fixed.select("bucket", F.col("v0").alias("customers"), F.col("v1").alias("single")), "bucket", "left")
     if state is None:
@@ -723,9 +767,11 @@ def sample_round(counts: DataFrame, state: DataFrame | None, fixed: DataFrame, m
             tables[open_] = unpack_tables(r["customers"], size) / 2 if r["t"] is None else \
                 unpack_tables(r["single"], size) + unpack_tables(r["moved"], size)
         t, t0 = b.sample((r["t"], r["t0"]) if r["t"] is not None else None, totals | {"tables": tables}, rng)
-        return [{"bucket": r["bucket"], "t": pack_tables(t), "t0": pack_tables(t0), "sums": pack_tables(b.tables(np.where(b.n > 1, t, 0))[open_])}]
+        seated = np.concatenate([[t.sum(), t0.sum()], by_spread(b.words, b.per, t, totals["spread"][0])])
+        return [{"bucket": r["bucket"], "t": pack_tables(t), "t0": pack_tables(t0), "sums": pack_tables(b.tables(np.where(b.n > 1, t, 0))[open_]),
+                 "seated": seated.astype(np.int64).tobytes()}]
 
-    return bucketed(per_row(rows, run, "bucket int, t binary, t0 binary, sums binary"), "lm-seating", buckets)
+    return bucketed(per_row(rows, run, "bucket int, t binary, t0 binary, sums binary, seated binary"), "lm-seating", buckets)
 
 
 def move_totals(state: DataFrame, fixed: DataFrame, buckets: int) -> DataFrame:
@@ -739,19 +785,10 @@ def move_totals(state: DataFrame, fixed: DataFrame, buckets: int) -> DataFrame:
     return gather(exchange(per_row(rows, run, ENTRY_SCHEMA), buckets, 1, False, False), buckets, "lm-moved", 1)
 
 
-def seat_totals(counts: DataFrame, state: DataFrame, totals: dict, number: int) -> dict:
+def seat_totals(state: DataFrame, totals: dict, number: int) -> dict:
     """Customers and tables of the parent; the tables of a spread word are drawn here."""
     spread, tokens_of, _ = totals["spread"]
-
-    def run(r: dict) -> tuple[int, int, np.ndarray]:
-        words, per = np.frombuffer(r["x1"], np.uint64), unpack_ints(r["x2"])
-        t = unpack_tables(r["t"], int(per.sum()))
-        often = member(words, spread)
-        each = np.zeros(len(spread), np.int64)
-        each[often[often >= 0]] = np.add.reduceat(t, np.cumsum(per) - per)[often >= 0]
-        return int(t.sum()), int(unpack_tables(r["t0"], len(words)).sum()), each
-
-    customers, tables, seated = sums(counts.select("bucket", "x1", "x2").join(state.select("bucket", "t", "t0"), "bucket"), run, spread)
+    customers, tables, seated = sums(state, "seated", spread)
     t0 = draw_parent(np.maximum(seated, 1), totals, np.random.default_rng([number]))
     t0 = np.where(seated > 0, t0, 0)
     return {"root_customers": customers, "root_tables": tables + int(t0.sum()), "spread": (spread, tokens_of, seated), "spread_tables": t0}
@@ -789,6 +826,7 @@ def train(docs: DataFrame, buckets: int) -> tuple[DataFrame, list[tuple[DataFram
     spread = spread_words(docs)
     counts = count_corpus(docs, buckets, spread)
     totals = corpus_totals(counts, spread)
+    counts = counts.drop("tally")
     fixed = first_totals(counts, buckets)
     # before the first seating: parent customers for every second token, parent tables one per word
     totals |= {"root_customers": totals["N"] / 2, "root_tables": totals["V"]}
@@ -797,7 +835,7 @@ def train(docs: DataFrame, buckets: int) -> tuple[DataFrame, list[tuple[DataFram
         if state is not None:
             moved = move_totals(state, fixed, buckets)
         state = sample_round(counts, state, fixed, moved, totals, number, buckets)
-        totals = totals | seat_totals(counts, state, totals, number)
+        totals = totals | seat_totals(state, totals, number)
         samples.append((state, totals))
     samples = samples[-SAMPLES:]
     contexts = last_totals(counts, samples, buckets)
@@ -925,43 +963,48 @@ def score_documents(docs: DataFrame, counts: DataFrame, samples: list[tuple[Data
     sent_totals = spark.sparkContext.broadcast(totals)
     floor = np.log10(n_all + BASE_ALPHA * (v + 1))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(number: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, count, log_p = sent.value
         base = np.log10(count + BASE_ALPHA) - floor
-        block = TaskContext.get().partitionId() << 32
+        block = (TaskContext.get().partitionId() * PASSES + number) << PART  # the task, and the number of the slice's first document in it
         for big in batches:
             for batch in slices(big, "text", 2 << 20):
-                word, context, first = tokens(batch.column("text"))
+                word, _, first = tokens(batch.column("text"))
+                types, word, context = numbered(word, first)
                 rows = batch.num_rows
                 doc = np.repeat(np.arange(rows, dtype=np.int64), np.diff(first))
-                at, place = member(word, words), member(context, hot)
-                here = (at >= 0) & (place >= 0)
-                sums = [np.bincount(doc[here], x, rows) for x in (np.ones(int(here.sum())), base[at[here]], log_p[at[here], place[here]])]
+                often, place = member(types, words), member(types, hot)
+                here = (often[word] >= 0) & (place[context] >= 0)
+                at = often[word[here]]
+                sums = [np.bincount(doc[here], x, rows) for x in (np.ones(len(at)), base[at], log_p[at, place[context[here]]])]
                 ids = batch.column("doc_id")
                 info = [np.asarray(ids.fill_null(0)).astype(np.int64).tobytes(), np.asarray(ids.is_null()).astype(np.uint8).tobytes(),
                         np.diff(first).astype(np.int64).tobytes(), *[s.astype(np.float64).tobytes() for s in sums]]
                 out = [(int(mix(np.array([block], np.uint64))[0] % np.uint64(buckets)), 1, block, *info)]
                 far = ~here
-                out += pack_tokens(word[far], context[far], doc[far], hot, spread, buckets, block)
+                out += pack_tokens(types, word[far], context[far], doc[far], place, spread, buckets, block)
                 del word, context, doc, at, place, here, far
                 yield _rows(out)
-                block += 1
+                block += rows
                 trim_memory()
 
     def score(model_row: pa.Table, dealt: pa.Table) -> pa.Table:
-        out = []
+        out, sums = [], []
         if dealt.num_rows:
             p = _predictor(next(iter(model_row.to_pylist()), None), sent_totals.value)
             rows = dealt.to_pylist()
             out = [tuple(r[c] for c in ["bucket", "kind", "block", *BLOBS]) for r in rows if r["kind"] == 1]
             for part in chunks([r for r in rows if r["kind"] == 2]):
-                out += score_tokens(part, p, floor, buckets)
+                some, late = score_tokens(part, p, floor, buckets)
+                sums.append(some)
+                out += late
+            out += part_rows(dealt["bucket"][0].as_py(), sums)
             del p, rows
             trim_memory()
         return pa.Table.from_batches([_rows(out)])
 
     def finish(home: pa.Table, dealt: pa.Table) -> pa.Table:
-        out = []
+        out, sums = [], []
         if dealt.num_rows:
             r = next(iter(home.to_pylist()), None)
             h, values = np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * (1 + width)
@@ -975,69 +1018,79 @@ def score_documents(docs: DataFrame, counts: DataFrame, samples: list[tuple[Data
                 parent = np.frombuffer(row["x2"]).reshape(-1, width)
                 log_p = -np.log10((shares[at] * parent).mean(axis=1))
                 per = unpack_ints(row["x3"])
-                block, d, log_p = np.repeat(np.frombuffer(row["x5"], np.int64), per), unpack_ints(row["x4"]), np.repeat(log_p, per)
-                for k, x, y in spans(block):
-                    out.append(_part(row["bucket"], int(k), d[x:y], np.zeros(y - x), np.zeros(y - x), log_p[x:y]))
+                doc, none = np.repeat(np.frombuffer(row["x5"], np.int64), per) + unpack_ints(row["x4"]), np.zeros(int(per.sum()))
+                sums.append(add_parts([(doc, none, none, np.repeat(log_p, per))]))
+            out = part_rows(dealt["bucket"][0].as_py(), sums)
         return pa.Table.from_batches([_rows(out)])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, "block"):
-            ids = null = size = sums = None
-            for r in rows:
+        for _, rows in _groups(batches, "block", PART):
+            docs, sums = [], None
+            for r in rows:  # those of the documents first, in order
                 if r["kind"] == 1:
-                    ids, null, size, *sums = (np.frombuffer(r[b], t).copy() for b, t in zip(
-                        BLOBS, (np.int64, np.uint8, np.int64, np.float64, np.float64, np.float64), strict=True))
-                else:
-                    at = np.cumsum(unpack_ints(r["x1"]))
-                    for s, b, unit in zip(sums, BLOBS[1:], (1.0, -UNITS, -UNITS), strict=False):
-                        s[at] += unpack_ints(r[b]) / unit
+                    docs.append([np.frombuffer(r[b], t) for b, t in zip(
+                        BLOBS, (np.int64, np.uint8, np.int64, np.float64, np.float64, np.float64), strict=True)])
+                    continue
+                if sums is None:
+                    ids, null, size, *sums = map(np.concatenate, zip(*docs, strict=True))
+                at = np.cumsum(unpack_ints(r["x1"]))
+                for s, b, unit in zip(sums, BLOBS[1:], (1.0, -UNITS, -UNITS), strict=False):
+                    s[at] += unpack_ints(r[b]) / unit
+            if sums is None:
+                ids, null, size, *sums = map(np.concatenate, zip(*docs, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(size), pa.array(sums[0].astype(np.int64)),
                                               pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, ROW_SCHEMA)
-    with tidy_shuffles(spark):
-        scored = materialize(model.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(score, ROW_SCHEMA), "lm-scored")
+    scored = None
+    for number in range(PASSES):  # the tokens of one share of the documents on disk at a time
+
+        share = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(PASSES)) == number)
+        texts = share.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(functools.partial(read, number), ROW_SCHEMA)
+        with tidy_shuffles(spark):
+            rows = materialize(model.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(score, ROW_SCHEMA), "lm-scored")
+        scored = rows if scored is None else scored.unionByName(rows)
     far = scored.where("kind = 3")
     late = homes.groupBy("home").cogroup(far.groupBy("bucket")).applyInArrow(finish, ROW_SCHEMA)
-    back = scored.where("kind < 3").unionByName(late).repartition(buckets, "block").sortWithinPartitions("block", "kind", "bucket")
+    task = F.shiftright("block", PART)
+    back = scored.where("kind < 3").unionByName(late).repartition(buckets, task).sortWithinPartitions(task, "kind", "block", "bucket")
     out = back.mapInArrow(total, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select("doc_id", held_out(F.col("doc_id"), 10, 0).alias("held_out"), "n_tokens", "n_known",
                       F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def pack_tokens(w: np.ndarray, u: np.ndarray, d: np.ndarray, hot: np.ndarray, spread: np.ndarray, buckets: int, block: int) -> list[tuple]:
-    """Tokens (word, context, document) dealt to the buckets of their dishes.  A bucket's row has its words once; for each the
-    number of different contexts, hot ones (by place, two bytes) before others; how many tokens have each; their documents."""
+def pack_tokens(types: np.ndarray, w: np.ndarray, u: np.ndarray, d: np.ndarray, place: np.ndarray, spread: np.ndarray, buckets: int,
+                block: int) -> list[tuple]:
+    """Tokens (word, context, document) dealt to the buckets of their dishes; words and contexts are numbers of ``types``, ``place``
+    the places of types among the hot contexts.  A bucket's row has its words once; for each the number of different contexts,
+    hot ones (by place, two bytes) before others; how many tokens have each; their documents."""
     if not len(w):
         return []
-    words, wi = np.unique(w, return_inverse=True)
-    contexts, ui = np.unique(u, return_inverse=True)
-    place = member(contexts, hot)
-    order = np.argsort(place < 0, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    contexts, place, ui = contexts[order], place[order], rank[ui]
-    dealt, di = np.unique(dish_bucket(w, u, spread, buckets) * len(words) + wi, return_inverse=True)  # (bucket, word)
-    code = di * len(contexts) + ui
+    hot_first = np.argsort(place < 0, kind="stable")
+    rank = np.empty(len(types), np.int64)
+    rank[hot_first] = np.arange(len(types))
+    code = w * len(types) + rank[u]
     order = np.argsort(code)
     code, d = code[order], d[order]
-    new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-    per_pair = np.diff(np.append(new, len(code)))
-    pair_word, pair_context = np.divmod(code[new], len(contexts))
-    is_hot = place[pair_context] >= 0
-    hot_per = np.bincount(pair_word[is_hot], minlength=len(dealt))
-    other_per = np.bincount(pair_word[~is_hot], minlength=len(dealt))
-    word_cut = np.searchsorted(dealt // len(words), np.arange(buckets + 1))
-    pair_cut = np.searchsorted(pair_word, word_cut)
-    token_cut = np.append(new, len(code))[pair_cut]
+    start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    per_pair = np.diff(np.append(start, len(code)))
+    word, context = np.divmod(code[start], len(types))  # of the pairs
+    context = hot_first[context]
+    bucket = dish_bucket(types[word], types[context], spread, buckets)
+    order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+    start, per_pair, word, context, bucket = start[order], per_pair[order], word[order], context[order], bucket[order]
+    ends = np.cumsum(per_pair)
+    d = d[np.repeat(start - (ends - per_pair), per_pair) + np.arange(len(d))]
+    new = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (word[1:] != word[:-1])]))  # words of buckets
+    is_hot = place[context] >= 0
+    per = np.diff(np.append(new, len(word)))
+    hot_per = np.add.reduceat(is_hot.astype(np.int64), new)
     out = []
-    for k in np.flatnonzero(np.diff(word_cut)).tolist():
-        a, b = word_cut[k], word_cut[k + 1]
-        x, y = pair_cut[k], pair_cut[k + 1]
-        c, here = pair_context[x:y], is_hot[x:y]
-        out.append((k, 2, block, words[dealt[a:b] % len(words)].tobytes(), pack_ints(np.concatenate([hot_per[a:b], other_per[a:b]])),
-                    place[c[here]].astype(np.uint16).tobytes(), contexts[c[~here]].tobytes(), pack_ints(per_pair[x:y]),
-                    pack_ints(d[token_cut[k]:token_cut[k + 1]])))
+    for k, x, y in spans(bucket):
+        a, b = np.searchsorted(new, [x, y])
+        c, here = context[x:y], is_hot[x:y]
+        out.append((k, 2, block, types[word[new[a:b]]].tobytes(), pack_ints(np.concatenate([hot_per[a:b], per[a:b] - hot_per[a:b]])),
+                    place[c[here]].astype(np.uint16).tobytes(), types[c[~here]].tobytes(), pack_ints(per_pair[x:y]),
+                    pack_ints(d[ends[x] - per_pair[x]:ends[y - 1]])))
     return out
 
 
@@ -1071,16 +1124,25 @@ def spans(key: np.ndarray) -> Iterator[tuple[int, int, int]]:
     return zip(key[new].tolist(), new.tolist(), np.append(new[1:], len(key)).tolist(), strict=True)
 
 
-def _part(bucket: int, block: int, d: np.ndarray, known: np.ndarray, base: np.ndarray, log_p: np.ndarray) -> tuple:
-    """The sums by document of a block's tokens."""
-    docs, at = np.unique(d, return_inverse=True)
-    known, *sums = [np.bincount(at, x) for x in (known, base, log_p)]
-    return (bucket, 2, block, pack_ints(np.diff(docs, prepend=0)), pack_ints(known), *[pack_ints(np.rint(s * UNITS)) for s in sums])
+def add_parts(parts: list[tuple]) -> tuple[np.ndarray, ...]:
+    """(document keys, known, base, log_p): the sums of several such by document."""
+    key, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return key, *[np.bincount(at, np.concatenate([p[k] for p in parts])) for k in (1, 2, 3)]
 
 
-def score_tokens(rows: list[dict], p: Predictor, floor: float, buckets: int) -> list[tuple]:
-    """Part sums of the tokens in ``rows`` of a bucket; a pair whose context the bucket does not know goes on to the context's
-    bucket with the word's parent probabilities (kind 3: contexts, parents, tokens of each, their documents, blocks)."""
+def part_rows(bucket: int, parts: list[tuple]) -> list[tuple]:
+    """A row with the sums of the documents of each task that read them, so there are no more rows than pairs of tasks."""
+    if not parts:
+        return []
+    key, known, *sums = add_parts(parts)
+    doc = key & ((1 << PART) - 1)
+    return [(bucket, 2, k << PART, pack_ints(np.diff(doc[x:y], prepend=0)), pack_ints(known[x:y]), *[pack_ints(np.rint(s[x:y] * UNITS)) for s in sums])
+            for k, x, y in spans(key >> PART)]
+
+
+def score_tokens(rows: list[dict], p: Predictor, floor: float, buckets: int) -> tuple[tuple[np.ndarray, ...], list[tuple]]:
+    """Sums by document of the tokens in ``rows`` of a bucket, and rows of the pairs whose context the bucket does not know: they go
+    on to the context's bucket with the word's parent probabilities (kind 3: contexts, parents, tokens of each, their documents, blocks)."""
     words, per_word, context, per, d = (list(x) for x in zip(*[unpack_tokens(r, p.hot) for r in rows], strict=True))
     pairs = np.cumsum([0, *map(len, context)])
     toks = np.cumsum([0, *map(len, d)])
@@ -1091,13 +1153,13 @@ def score_tokens(rows: list[dict], p: Predictor, floor: float, buckets: int) ->
     c = np.where(number >= 0, p.count[number] if len(p.count) else 0, 0)
     log_p = np.where(far, 0.0, -np.log10(p.at_place(number, place)))
     known, base, log_p = (np.repeat(x, per) for x in ((number >= 0).astype(float), floor - np.log10(c + BASE_ALPHA), log_p))
-    bucket = rows[0]["bucket"]
-    out = [_part(bucket, r["block"], d[x:y], known[x:y], base[x:y], log_p[x:y]) for r, x, y in zip(rows, toks, toks[1:], strict=False)]
+    blocks = np.array([r["block"] for r in rows], np.int64)
+    sums, out = add_parts([(np.repeat(blocks, np.diff(toks)) + d, known, base, log_p)]), []
     if far.any():
         at = np.flatnonzero(far)
         home = context_bucket(context[at], buckets)
         at = at[np.argsort(home, kind="stable")]
-        block = np.repeat(np.array([r["block"] for r in rows], np.int64), np.diff(pairs))[at]
+        block = np.repeat(blocks, np.diff(pairs))[at]
         first = np.cumsum(per) - per
         for k, x, y in spans(np.sort(home)):
             some = at[x:y]
@@ -1105,7 +1167,7 @@ def score_tokens(rows: list[dict], p: Predictor, floor: float, buckets: int) ->
             token = np.repeat(first[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             out.append((k, 3, 0, context[some].tobytes(), p.parent(number[some]).tobytes(), pack_ints(size), pack_ints(d[token]),
                         block[x:y].tobytes()))
-    return out
+    return sums, out
 
 
 def op5_language_model(spark, sf_dir: str) -> DataFrame:

@@ -218,6 +218,37 @@ def test_scores_do_not_depend_on_the_blocks(spark, frame, monkeypatch):
         assert r.score == pytest.approx(want[i].score) and r.base_score == pytest.approx(want[i].base_score)
 
 
+def test_rows_of_sums_grow_with_tasks_and_not_with_slices(spark, frame, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "CONTEXTS", 4)
+    monkeypatch.setattr(pitman_yor, "FREQUENT", 4)
+    docs = frame([(i, f"a b w{i % 5} c a w{i % 3} {'x ' * (i % 4)}") for i in range(60)]).repartition(2)
+    counts, samples = pitman_yor.train(docs, 3)
+    kept, write, cut = [], pitman_yor.materialize, pitman_yor.slices
+    monkeypatch.setattr(pitman_yor, "materialize", lambda df, name: kept.append(write(df, name)) or kept[-1])
+    monkeypatch.setattr(pitman_yor, "slices", lambda batch, column, limit: cut(batch, column, 90))
+    assert pitman_yor.score_documents(docs, counts, samples, 3).count() == 60
+    assert sum(k.where("kind = 1").count() for k in kept) >= 12  # slices
+    assert 0 < sum(k.where("kind = 2").count() for k in kept) <= 2 * 2 * 3  # two tasks a share, two shares, three buckets
+    # five slices of two tasks: what a bucket of contexts makes of them, too
+    keys = np.concatenate([(task << pitman_yor.PART) + first + np.arange(3) for task, first in ((0, 0), (0, 2), (0, 9), (7, 0), (7, 3))])
+    rows = pitman_yor.part_rows(4, [(keys[:7], *np.ones((3, 7))), (keys[7:], *np.ones((3, 8)))])
+    assert [r[:3] for r in rows] == [(4, 2, 0), (4, 2, 7 << pitman_yor.PART)]
+    assert np.cumsum(pitman_yor.unpack_ints(rows[0][3])).tolist() == [0, 1, 2, 3, 4, 9, 10, 11]
+    assert pitman_yor.unpack_ints(rows[0][4]).tolist() == [1, 1, 2, 1, 1, 1, 1, 1]
+
+
+def test_a_bucket_sends_one_row_to_each_home():
+    contexts = np.sort(np.random.default_rng(0).integers(0, 2**64, 500, dtype=np.uint64))
+    answered = np.arange(500) % 3 == 0
+    rows = pitman_yor.entries(2, contexts, [np.arange(500)], answered, 4)
+    assert [r["home"] for r in rows] == [0, 1, 2, 3]
+    sent = [np.frombuffer(r["h"], np.uint64) for r in rows]
+    assert np.array_equal(np.sort(np.concatenate(sent)), contexts)
+    assert np.array_equal(np.concatenate([h[:r["answered"]] for h, r in zip(sent, rows, strict=True)]), contexts[answered])
+    for h, r in zip(sent, rows, strict=True):
+        assert np.array_equal(contexts[pitman_yor.unpack_tables(r["v0"], r["size"])], h)
+
+
 def test_every_previous_word_is_a_context():
     word, context, first = pitman_yor.tokens(pa.array([" ".join(f"w{i}" for i in range(6000)), None, "w1 w2"]))
     assert first.tolist() == [0, 6001, 6002, 6005] and len(np.unique(context)) == 6001  # the words and the start of a text
