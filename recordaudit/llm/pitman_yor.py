@@ -58,6 +58,7 @@ CONTEXTS = 4096  # contexts that every task knows are those with 1/CONTEXTS of a
 FREQUENT = 1024
 SPREAD_PART, SPREAD_LEAST = 32, 1000  # one document of so many is looked at for words to spread, which occur so often there
 ROUNDS, SAMPLES = 4, 2
+HOME_CONTEXTS = 8192  # a context's own bucket holds so many contexts at least; small vocabularies have fewer of them than words have buckets
 BLOCKS = 32  # parts of a word's dishes that are drawn one after another
 EXACT, TERMS, NODES, ROOT_NODES = 1024, 100, 65, 1 << 16
 CELLS = 1 << 18  # size of the drawing arrays
@@ -114,6 +115,11 @@ def dish_bucket(word: np.ndarray, context: np.ndarray, spread: np.ndarray, bucke
     return out
 
 
+def home_count(v: int, buckets: int) -> int:
+    """The contexts' own buckets for V words, so a bucket's message to one of them is not cut finer as buckets become many."""
+    return max(min(v // HOME_CONTEXTS, buckets), 1)
+
+
 def context_bucket(context: np.ndarray, buckets: int) -> np.ndarray:
     """Ranges of hashes, so contexts in order are in order of their buckets, too."""
     return (((context >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
@@ -679,10 +685,10 @@ ENTRY_SCHEMA = "home int, bucket int, answered int, size int, h binary, v0 binar
 VALUES = ["v0", "v1", "v2"]
 
 
-def entries(bucket: int, contexts: np.ndarray, values: list[np.ndarray], answered: np.ndarray, buckets: int) -> list[dict]:
+def entries(bucket: int, contexts: np.ndarray, values: list[np.ndarray], answered: np.ndarray, homes: int) -> list[dict]:
     """What a bucket sends to the buckets of its contexts (ascending): a row each with their hashes and values, first of
     those that are to be ``answered``."""
-    cut = np.searchsorted(context_bucket(contexts, buckets), np.arange(buckets + 1))
+    cut = np.searchsorted(context_bucket(contexts, homes), np.arange(homes + 1))
     out = []
     for home in np.flatnonzero(np.diff(cut)).tolist():
         x, y = cut[home], cut[home + 1]
@@ -734,13 +740,13 @@ def gather(answers: DataFrame, buckets: int, name: str, width: int, hashes: bool
     return bucketed(out.select("bucket", *(["h"] if hashes else []), *VALUES[:width]), name, buckets)
 
 
-def first_totals(counts: DataFrame, buckets: int) -> DataFrame:
+def first_totals(counts: DataFrame, homes: int, buckets: int) -> DataFrame:
     """(bucket, h, v0, v1): the contexts of a bucket whose tables can change, with their customers and how many of their
     dishes have one customer."""
 
     def run(r: dict) -> list[dict]:
         b = Bucket([r[x] for x in BLOBS])
-        return entries(r["bucket"], b.contexts, [b.tables(b.n), b.tables(b.n == 1)], b.open(), buckets)
+        return entries(r["bucket"], b.contexts, [b.tables(b.n), b.tables(b.n == 1)], b.open(), homes)
 
     return gather(exchange(per_row(counts, run, ENTRY_SCHEMA), buckets, 2, True, False), buckets, "lm-first", 2, True)
 
@@ -774,12 +780,12 @@ def sample_round(counts: DataFrame, state: DataFrame | None, fixed: DataFrame, m
     return bucketed(per_row(rows, run, "bucket int, t binary, t0 binary, sums binary, seated binary"), "lm-seating", buckets)
 
 
-def move_totals(state: DataFrame, fixed: DataFrame, buckets: int) -> DataFrame:
+def move_totals(state: DataFrame, fixed: DataFrame, homes: int, buckets: int) -> DataFrame:
     """(bucket, v0): for the contexts of ``fixed`` the tables of dishes with several customers."""
 
     def run(r: dict) -> list[dict]:
         h = np.frombuffer(r["h"], np.uint64)
-        return entries(r["bucket"], h, [unpack_tables(r["sums"], len(h))], np.ones(len(h), bool), buckets)
+        return entries(r["bucket"], h, [unpack_tables(r["sums"], len(h))], np.ones(len(h), bool), homes)
 
     rows = state.select("bucket", "sums").join(fixed.select("bucket", "h"), "bucket")
     return gather(exchange(per_row(rows, run, ENTRY_SCHEMA), buckets, 1, False, False), buckets, "lm-moved", 1)
@@ -794,13 +800,13 @@ def seat_totals(state: DataFrame, totals: dict, number: int) -> dict:
     return {"root_customers": customers, "root_tables": tables + int(t0.sum()), "spread": (spread, tokens_of, seated), "spread_tables": t0}
 
 
-def last_totals(counts: DataFrame, samples: list[tuple[DataFrame, dict]], buckets: int) -> DataFrame:
+def last_totals(counts: DataFrame, samples: list[tuple[DataFrame, dict]], homes: int, buckets: int) -> DataFrame:
     """All contexts of every bucket with their customers and their tables in each sample, and the rows of the homes."""
 
     def run(r: dict) -> list[dict]:
         b = Bucket([r[x] for x in BLOBS])
         values = [b.n, *[unpack_tables(r[f"t_{k}"], len(b.n)) for k in range(SAMPLES)]]
-        return entries(r["bucket"], b.contexts, [b.tables(v) for v in values], np.ones(len(b.contexts), bool), buckets)
+        return entries(r["bucket"], b.contexts, [b.tables(v) for v in values], np.ones(len(b.contexts), bool), homes)
 
     sent = per_row(model_rows(counts, samples), run, ENTRY_SCHEMA)
     with tidy_shuffles(counts.sparkSession):
@@ -827,18 +833,19 @@ def train(docs: DataFrame, buckets: int) -> tuple[DataFrame, list[tuple[DataFram
     counts = count_corpus(docs, buckets, spread)
     totals = corpus_totals(counts, spread)
     counts = counts.drop("tally")
-    fixed = first_totals(counts, buckets)
+    own = home_count(totals["V"], buckets)
+    fixed = first_totals(counts, own, buckets)
     # before the first seating: parent customers for every second token, parent tables one per word
     totals |= {"root_customers": totals["N"] / 2, "root_tables": totals["V"]}
     state, moved, samples = None, None, []
     for number in range(ROUNDS):
         if state is not None:
-            moved = move_totals(state, fixed, buckets)
+            moved = move_totals(state, fixed, own, buckets)
         state = sample_round(counts, state, fixed, moved, totals, number, buckets)
         totals = totals | seat_totals(state, totals, number)
         samples.append((state, totals))
     samples = samples[-SAMPLES:]
-    contexts = last_totals(counts, samples, buckets)
+    contexts = last_totals(counts, samples, own, buckets)
     homes = contexts.where("bucket = -1")
     hot, customers, *tables = hot_contexts(homes, totals["N"])
     samples = [(state, t | {"hot": hot, "customers": customers, "tables": tables[k], "homes": homes}) for k, (state, t) in enumerate(samples)]
@@ -995,7 +1002,7 @@ def score_documents(docs: DataFrame, counts: DataFrame, samples: list[tuple[Data
             rows = dealt.to_pylist()
             out = [tuple(r[c] for c in ["bucket", "kind", "block", *BLOBS]) for r in rows if r["kind"] == 1]
             for part in chunks([r for r in rows if r["kind"] == 2]):
-                some, late = score_tokens(part, p, floor, buckets)
+                some, late = score_tokens(part, p, floor, home_count(v, buckets))
                 sums.append(some)
                 out += late
             out += part_rows(dealt["bucket"][0].as_py(), sums)
@@ -1140,7 +1147,7 @@ def part_rows(bucket: int, parts: list[tuple]) -> list[tuple]:
             for k, x, y in spans(key >> PART)]
 
 
-def score_tokens(rows: list[dict], p: Predictor, floor: float, buckets: int) -> tuple[tuple[np.ndarray, ...], list[tuple]]:
+def score_tokens(rows: list[dict], p: Predictor, floor: float, homes: int) -> tuple[tuple[np.ndarray, ...], list[tuple]]:
     """Sums by document of the tokens in ``rows`` of a bucket, and rows of the pairs whose context the bucket does not know: they go
     on to the context's bucket with the word's parent probabilities (kind 3: contexts, parents, tokens of each, their documents, blocks)."""
     words, per_word, context, per, d = (list(x) for x in zip(*[unpack_tokens(r, p.hot) for r in rows], strict=True))
@@ -1157,7 +1164,7 @@ def score_tokens(rows: list[dict], p: Predictor, floor: float, buckets: int) ->
     sums, out = add_parts([(np.repeat(blocks, np.diff(toks)) + d, known, base, log_p)]), []
     if far.any():
         at = np.flatnonzero(far)
-        home = context_bucket(context[at], buckets)
+        home = context_bucket(context[at], homes)
         at = at[np.argsort(home, kind="stable")]
         block = np.repeat(blocks, np.diff(pairs))[at]
         first = np.cumsum(per) - per

@@ -237,6 +237,15 @@ def test_rows_of_sums_grow_with_tasks_and_not_with_slices(spark, frame, monkeypa
     assert pitman_yor.unpack_ints(rows[0][4]).tolist() == [1, 1, 2, 1, 1, 1, 1, 1]
 
 
+def test_messages_do_not_become_finer_with_more_buckets(spark, frame, monkeypatch):
+    docs = frame([(i, " ".join(f"w{k}" for k in range(i % 7, 40))) for i in range(20)])
+    sent, deal = [], pitman_yor.exchange
+    monkeypatch.setattr(pitman_yor, "exchange", lambda rows, *more: sent.append(rows.count()) or deal(rows, *more))
+    pitman_yor.train(docs, 12)
+    assert len(sent) == 1 + pitman_yor.ROUNDS and max(sent) <= 12  # a row for each bucket, not for each pair of buckets
+    assert pitman_yor.home_count(10**6, 12) == 12 and pitman_yor.home_count(0, 12) == 1
+
+
 def test_a_bucket_sends_one_row_to_each_home():
     contexts = np.sort(np.random.default_rng(0).integers(0, 2**64, 500, dtype=np.uint64))
     answered = np.arange(500) % 3 == 0
